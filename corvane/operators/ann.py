@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, fields, replace
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
@@ -72,38 +75,30 @@ def sample_rows(vectors: DataFrame, rows: int, seed: int = 7) -> DataFrame:
     return vectors.sample(fraction=min(1.0, rows / total), seed=seed)
 
 
-def ivf_centroids(vectors: DataFrame, cells: int, *, train_rows: int = 1_000_000, seed: int = 7) -> DataFrame:
-    """``cell, centroid``: k-means over unit vectors; ``cells`` rows, fixed by the caller."""
+def ivf_centroids(vectors: DataFrame, cells: int, *, train_rows: int = 1_000_000, seed: int = 7) -> np.ndarray:
+    """k-means centroids over unit vectors, one row per cell; ``cells`` is fixed by the caller."""
     unit = sample_rows(vectors, train_rows, seed).select(
         array_to_vector(normalize(F.col("vector"))).alias("features")
     )
-    model = KMeans(k=cells, seed=seed, maxIter=10).fit(unit)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return vectors.sparkSession.createDataFrame(rows, "cell int, centroid array<double>")
-
-
-def nearest_cells(rows: DataFrame, centroids: DataFrame, count: int) -> DataFrame:
-    """Each row with its ``count`` nearest cells as ``cells array<int>``.
-
-    The centroid table is small by construction, so it rides in each row as one array literal
-    taken from a one-row aggregate; no row is multiplied.
-    """
-    table = centroids.agg(F.sort_array(F.collect_list(F.struct("cell", "centroid"))).alias("all"))
-    everything = table.scalar()
-    unit = normalize(F.col("vector"))
-    return rows.withColumn("_unit", unit).withColumn(
-        "cells",
-        F.transform(
-            F.slice(
-                F.array_sort(
-                    F.transform(everything, lambda c: F.struct((-dot(c["centroid"], F.col("_unit"))).alias("d"), c["cell"].alias("cell")))
-                ),
-                1,
-                count,
-            ),
-            lambda c: c["cell"],
-        ),
-    )
+    return np.asarray(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters())
+
+
+def nearest_cells(rows: DataFrame, centroids: np.ndarray, count: int) -> DataFrame:
+    """Each row with its unit vector and its ``count`` nearest cells (``cells array<int>``)."""
+    shipped = rows.sparkSession.sparkContext.broadcast(centroids)
+
+    @F.arrow_udf("array<int>")
+    def nearest(units: pa.Array) -> pa.Array:
+        table = shipped.value
+        flat = pc.list_flatten(units).to_numpy(zero_copy_only=False).reshape(len(units), table.shape[1])
+        # |u - c|^2 without |u|^2, which is the same for every cell of a row
+        distance = (table * table).sum(axis=1) - 2 * flat @ table.T
+        best = np.argsort(distance, axis=1, kind="stable")[:, :count].astype(np.int32)
+        offsets = pa.array(np.arange(len(units) + 1, dtype=np.int32) * count)
+        return pa.ListArray.from_arrays(offsets, pa.array(best.reshape(-1)))
+
+    unit = rows.withColumn("_unit", normalize(F.col("vector")))
+    return unit.withColumn("cells", nearest(F.col("_unit")))
 
 
 def ivf_topk(

@@ -65,14 +65,12 @@ def per_query_metrics(
             F.min("rank").alias("first"),
         )
     )
-    place = Window.partitionBy(*judged_keys).orderBy(F.desc("rel"), doc)
-    ideal = (
-        judged.withColumn("_at", F.row_number().over(place))
-        .groupBy(*judged_keys)
-        .agg(
-            F.sum(F.when(F.col("_at") <= k, gain(F.col("rel"), F.col("_at"))).otherwise(0.0)).alias("ideal"),
-            F.count("*").alias("relevant"),
-        )
+    # Only the k best judgements of a query make its ideal, so the ranking is cut before the
+    # shuffle; the number of relevant documents is a plain count.
+    place = Window.partitionBy(*judged_keys).orderBy(F.desc("rel"))
+    best = judged.select(*judged_keys, "rel", F.row_number().over(place).alias("_at")).where(F.col("_at") <= k)
+    ideal = best.groupBy(*judged_keys).agg(F.sum(gain(F.col("rel"), F.col("_at"))).alias("ideal")).join(
+        judged.groupBy(*judged_keys).agg(F.count("*").alias("relevant")), judged_keys
     )
     zero = F.lit(0.0)
     return (
@@ -96,45 +94,46 @@ def mean_metrics(per_query: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def delivered_views(
-    chunk_ranking: DataFrame, qrels: DataFrame, queries: DataFrame, rungs: DataFrame, *, doc: str = "doc_id"
+    chunk_ranking: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int], *, doc: str = "doc_id"
 ) -> DataFrame:
-    """nDCG at each rung's ``k`` as delivered and over distinct documents.
+    """nDCG at each depth of ``ks`` as delivered and over distinct documents.
 
     Delivered: the first k chunks as they come, where a repeated document earns nothing but still
     takes its slot. Documents: the first k distinct documents. Distinct: how many the first k
-    chunks name. ``rungs``: ``k`` per row; ``chunk_ranking`` must reach deep enough for the
-    largest k distinct documents.
+    chunks name. ``chunk_ranking`` must reach deep enough for the largest k distinct documents.
     """
-    seen = Window.partitionBy("qid", doc).orderBy("rank")
+    depths = F.array(*[F.lit(int(x)) for x in sorted(set(ks))])
     order = Window.partitionBy("qid").orderBy("rank")
     firsts = (
-        chunk_ranking.withColumn("_nth", F.row_number().over(seen))
-        .where("_nth = 1")
+        chunk_ranking.groupBy("qid", doc)
+        .agg(F.min("rank").alias("rank"))
         .withColumn("doc_rank", F.row_number().over(order))
+        .where(F.col("doc_rank") <= max(ks))
         .join(qrels.where("rel > 0"), ["qid", doc], "left")
         .select("qid", doc, "rank", "doc_rank", F.coalesce("rel", F.lit(0)).alias("rel"))
     )
-    ks = F.broadcast(rungs.select("k").distinct())  # a handful of configured depths
-    by_k = firsts.join(ks, firsts["doc_rank"] <= ks["k"]).groupBy("qid", "k").agg(
+    by_k = firsts.withColumn("k", F.explode(F.filter(depths, lambda x: x >= F.col("doc_rank")))).groupBy("qid", "k").agg(
         F.sum(F.when(F.col("rank") <= F.col("k"), gain(F.col("rel"), F.col("rank"))).otherwise(0.0)).alias("dcg_delivered"),
         F.sum(gain(F.col("rel"), F.col("doc_rank"))).alias("dcg_documents"),
         F.count_if(F.col("rank") <= F.col("k")).alias("distinct_docs"),
     )
-    place = Window.partitionBy("qid").orderBy(F.desc("rel"), doc)
-    judged = qrels.where("rel > 0").withColumn("_at", F.row_number().over(place))
-    ideal = judged.join(ks, judged["_at"] <= ks["k"]).groupBy("qid", "k").agg(
+    place = Window.partitionBy("qid").orderBy(F.desc("rel"))
+    judged = qrels.where("rel > 0").select("qid", "rel", F.row_number().over(place).alias("_at")).where(
+        F.col("_at") <= max(ks)
+    )
+    ideal = judged.withColumn("k", F.explode(F.filter(depths, lambda x: x >= F.col("_at")))).groupBy("qid", "k").agg(
         F.sum(gain(F.col("rel"), F.col("_at"))).alias("ideal")
     )
     zero = F.lit(0.0)
     return (
-        queries.select("qid", F.explode(rungs.agg(F.collect_set("k")).scalar()).alias("k"))
+        queries.select("qid", F.explode(depths).alias("k"))
         .join(by_k, ["qid", "k"], "left")
         .join(ideal, ["qid", "k"], "left")
         .select(
             "qid",
             "k",
-            F.coalesce(F.col("dcg_delivered") / F.col("ideal"), zero).alias("delivered"),
-            F.coalesce(F.col("dcg_documents") / F.col("ideal"), zero).alias("documents"),
+            F.round(F.coalesce(F.col("dcg_delivered") / F.col("ideal"), zero), 9).alias("delivered"),
+            F.round(F.coalesce(F.col("dcg_documents") / F.col("ideal"), zero), 9).alias("documents"),
             F.coalesce("distinct_docs", F.lit(0)).cast("double").alias("distinct_docs"),
         )
     )

@@ -220,11 +220,11 @@ def lexical_ranking(spark, sf, k: int) -> DataFrame:
 
 @query(
     "bm25_search",
-    f"WITH {BM25_SQL} SELECT qid, doc_id, round(score, 4) AS score, rank::BIGINT AS rank FROM lexrank WHERE rank <= 10",
+    f"WITH {BM25_SQL} SELECT qid, doc_id, score, rank::BIGINT AS rank FROM lexrank WHERE rank <= 10",
 )
 def bm25_search(spark, sf):
     return lexical_ranking(spark, sf, 10).select(
-        "qid", "doc_id", F.round("score", 4).alias("score"), F.col("rank").cast("long").alias("rank")
+        "qid", "doc_id", "score", F.col("rank").cast("long").alias("rank")
     )
 
 

@@ -25,7 +25,7 @@ def connect(sf: str):
 
 def _key(value):
     if isinstance(value, float):
-        return "nan" if math.isnan(value) else f"{value:.6g}" if value else "0"
+        return "nan" if math.isnan(value) else f"{value:.9g}" if value else "0"
     if isinstance(value, (list, tuple)):
         return tuple(_key(v) for v in value)
     return str(value)
