@@ -6,7 +6,7 @@ import hashlib
 import os
 from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 HASH_BLOCK = 64 * 1024  # fixed value
 
@@ -59,3 +59,56 @@ class FileListing(DataSource):
 
     def reader(self, schema):
         return _Reader(self.options)
+
+
+class _PulseReader(SimpleDataSourceStreamReader):
+    """Emits one row whenever the names, sizes or times below the roots changed.
+
+    The offset is a digest of the listing, so it stays small however many files there are, and
+    created, modified and deleted files all move it. What changed is for the reconcile to find.
+    """
+
+    def __init__(self, options) -> None:
+        self.paths = [p for p in options.get("paths", "").split(",") if p]
+        self.extensions = tuple(e.lower() for e in options.get("extensions", ".md,.txt").split(",") if e)
+
+    def _digest(self) -> str:
+        digest = hashlib.sha256()
+        for root in self.paths:
+            for folder, folders, files in os.walk(root):
+                folders.sort()
+                for name in sorted(files):
+                    if name.lower().endswith(self.extensions):
+                        stat = os.stat(os.path.join(folder, name))
+                        digest.update(f"{folder}/{name}|{stat.st_size}|{stat.st_mtime_ns}\n".encode())
+        return digest.hexdigest()
+
+    def initialOffset(self):
+        return {"pulse": 0, "digest": ""}
+
+    def read(self, start):
+        now = self._digest()
+        if now == start["digest"]:
+            return iter(()), start
+        end = {"pulse": start["pulse"] + 1, "digest": now}
+        return self.readBetweenOffsets(start, end), end
+
+    def readBetweenOffsets(self, start, end):
+        return iter([(end["pulse"], end["digest"])] if end["pulse"] > start["pulse"] else [])
+
+    def commit(self, end):
+        pass
+
+
+class ListingPulse(DataSource):
+    """A stream with one row per burst of file changes below ``paths``."""
+
+    @classmethod
+    def name(cls):
+        return "corvane_pulse"
+
+    def schema(self):
+        return "pulse long, digest string"
+
+    def simpleStreamReader(self, schema):
+        return _PulseReader(self.options)
