@@ -72,6 +72,7 @@ def bm25_topk(
     *,
     keys: Sequence[str],
     unique: Sequence[str] = (),
+    segments: Sequence[str] = (),
     stops: Sequence[str] = ENGLISH_STOPS,
     k1: float = K1,
     b: float = B,
@@ -80,10 +81,11 @@ def bm25_topk(
 ) -> DataFrame:
     """The ``k`` best rows of ``docs`` (``keys..., text``) per query (``qid, text``) by BM25.
 
-    Rows sharing no term with a query are not hits.
+    Rows sharing no term with a query are not hits. ``segments`` asks for the top-k inside each
+    segment value under the shared index statistics.
     """
-    keys, unique = list(keys), list(unique)
-    analysed = docs.select(*keys, terms(F.col("text"), stops).alias("terms"))
+    keys, unique, segments = list(keys), list(unique), list(segments)
+    analysed = docs.select(*segments, *keys, terms(F.col("text"), stops).alias("terms"))
     asked = queries.select("qid", terms(F.col("text"), stops).alias("terms"))
     shape = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("terms")), F.lit(0)).alias("w")).first()
     if not shape["n"]:
@@ -123,7 +125,7 @@ def bm25_topk(
         return rank_against(
             analysed, qids, weights, saturated, k,
             qid_field=(block.schema["qid"].dataType, table.schema.field("qid").type),
-            keys=keys, segments=[], unique=unique, decimals=decimals,
+            keys=keys, segments=segments, unique=unique, decimals=decimals,
         ).where(F.col("score") > 0)
 
     return in_blocks(asked, cap, one_pass)
