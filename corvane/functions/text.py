@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -12,6 +14,15 @@ BLANKS = r"(?U)[\s\x1c-\x1f]+"
 EDGE_BLANKS = r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    Inside a lambda a repeated expression is evaluated for every element; binding it to a lambda
+    variable of a one-element array evaluates it once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Whitespace tokens without the empty ones ``split`` leaves at the edges."""
     return F.filter(F.split(text, BLANKS), lambda t: t != "")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import is_blank, tokens
+from corvane.functions.text import is_blank, let, tokens
 from corvane.schema import ConfigError
 
 
@@ -50,7 +50,7 @@ def chunk_whitespace(
     )
 
 
-def _match_pieces(text: Column) -> Column:
+def token_pieces(text: Column) -> Column:
     """The text cut into ``token + blanks after it`` pieces; a leading blank run joins the first."""
     return F.regexp_extract_all(
         text, F.lit(r"(?U)^[\s\x1c-\x1f]*[^\s\x1c-\x1f]+[\s\x1c-\x1f]*|[^\s\x1c-\x1f]+[\s\x1c-\x1f]*"), F.lit(0)
@@ -64,19 +64,22 @@ def tile_pieces(text: Column, token_count: Column, max_tokens: int) -> Column:
     whether and into how many pieces the text is cut; the whitespace tokens only decide where.
     Returns ``array<struct<text, token_count>>``.
     """
-    pieces = _match_pieces(text)
-    n = F.size(pieces)
-    even = F.greatest(F.lit(1), F.ceil(n / F.ceil(token_count / F.lit(max_tokens))).cast("int"))
-    window = F.when(n <= max_tokens, even).otherwise(F.lit(max_tokens))
-    cut = F.transform(
-        F.sequence(F.lit(0), n - 1, window),
-        lambda s: F.struct(
-            F.array_join(F.slice(pieces, s + 1, window), "").alias("text"),
-            F.size(F.slice(pieces, s + 1, window)).alias("token_count"),
-        ),
-    )
     whole = F.array(F.struct(text.alias("text"), token_count.cast("int").alias("token_count")))
-    return F.when((token_count <= max_tokens) | (n <= 1), whole).otherwise(cut)
+
+    def cut(pieces: Column) -> Column:
+        n = F.size(pieces)
+        even = F.greatest(F.lit(1), F.ceil(n / F.ceil(token_count / F.lit(max_tokens))).cast("int"))
+        window = F.when(n <= max_tokens, even).otherwise(F.lit(max_tokens))
+        tiled = F.transform(
+            F.sequence(F.lit(0), n - 1, window),
+            lambda s: F.struct(
+                F.array_join(F.slice(pieces, s + 1, window), "").alias("text"),
+                F.size(F.slice(pieces, s + 1, window)).alias("token_count"),
+            ),
+        )
+        return F.when(n <= 1, whole).otherwise(tiled)
+
+    return F.when(token_count <= max_tokens, whole).otherwise(let(token_pieces(text), cut))
 
 
 def split_oversized(chunks: DataFrame, max_tokens: int, *, order: str = "ordinal") -> DataFrame:
@@ -112,23 +115,6 @@ def drop_empty_renumber(pieces: Column) -> Column:
     return F.filter(pieces, lambda p: ~is_blank(p["text"]))
 
 
-def add_overlap(windows: Column, overlap: int) -> Column:
-    """Prepend the last ``overlap`` tokens of the previous chunk to each chunk (arrays of tokens)."""
-    return F.transform(
-        windows,
-        lambda w, i: F.when(i == 0, w).otherwise(
-            F.concat(
-                F.slice(
-                    F.get(windows, i - 1),
-                    F.greatest(F.size(F.get(windows, i - 1)) - overlap, F.lit(0)) + 1,
-                    F.lit(max(overlap, 1)) if overlap else F.lit(0),
-                ),
-                w,
-            )
-        ),
-    )
-
-
 # The heading rule's parameters.
 MARK = "## "
 HEADING_MAX_CHARS = 79

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
-from corvane.functions.text import doc_id_of, doc_uri, file_uri, path_of, snippet, tokens, truncate_words
+from corvane.functions.text import doc_id_of, doc_uri, file_uri, let, path_of, snippet, tokens, truncate_words
 from corvane.operators import chunking as C
 from corvane.operators.embed import embed_once, hash_embedder, leading_sentences
 from corvane.operators.extract import Route, extract_html, extract_text, route_backend
@@ -107,9 +107,10 @@ def answer_rows(spark, sf):
 
 def middle_words(text):
     """The middle eight single-spaced words of a text (empty when they are not one run in it)."""
-    toks = tokens(text)
-    run = F.array_join(F.slice(toks, F.greatest(F.floor(F.size(toks) / 2).cast("int") - 3, F.lit(1)), 8), " ")
-    return F.when(F.contains(text, run), run).otherwise(F.lit(""))
+    def run(toks):
+        return F.array_join(F.slice(toks, F.greatest(F.floor(F.size(toks) / 2).cast("int") - 3, F.lit(1)), 8), " ")
+
+    return let(let(tokens(text), run), lambda r: F.when(F.contains(text, r), r).otherwise(F.lit("")))
 
 
 MIDDLE_SQL = f"""mid AS (
