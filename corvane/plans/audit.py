@@ -192,14 +192,14 @@ def span_bits(spark, sf) -> DataFrame:
     )
 
 
-BITS_SQL = rf"""{hygiene.MIDDLE_SQL},
-    tk AS (SELECT doc_id, i, length(p) AS flen, length(trim(p, E' \n\t\r')) AS wlen, length(p) - length(ltrim(p, E' \n\t\r')) AS ld
+BITS_SQL = rf"""{hygiene.MIDDLE_SQL.replace("qa AS (", "qa AS MATERIALIZED (")},
+    tk AS MATERIALIZED (SELECT doc_id, i, length(p) AS flen, length(trim(p, E' \n\t\r')) AS wlen, length(p) - length(ltrim(p, E' \n\t\r')) AS ld
            FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '^\s*[^\s]+\s*|[^\s]+\s*') AS ps FROM documents))),
-    ps AS (SELECT doc_id, i, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld AS a, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld + wlen AS z FROM tk),
-    nn AS (SELECT doc_id, max(i) AS n FROM ps GROUP BY doc_id),
+    ps AS MATERIALIZED (SELECT doc_id, i, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld AS a, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld + wlen AS z FROM tk),
+    pl AS MATERIALIZED (SELECT doc_id, list(a ORDER BY i) AS la, list(z ORDER BY i) AS lz, count(*) AS n FROM ps GROUP BY doc_id),
     sg AS (SELECT * FROM (VALUES {", ".join(f"({c}, {o})" for c, o in SPAN_GRID)}) g(cap, ov)),
-    wn AS (SELECT doc_id, cap, ov, s, greatest(s - ov, 0) + 1 AS i0, least(s + cap, n) AS i1 FROM (SELECT doc_id, n, cap, ov, unnest(range(0, n, cap)) AS s FROM nn, sg)),
-    sp AS (SELECT wn.doc_id, cap, ov, x.a AS start, y.z AS "end" FROM wn JOIN ps x ON x.doc_id = wn.doc_id AND x.i = i0 JOIN ps y ON y.doc_id = wn.doc_id AND y.i = i1),
+    sx AS (SELECT doc_id, cap, ov, unnest(list_transform(range(0, n, cap), lambda s: {{'a': la[greatest(s - ov, 0) + 1], 'z': lz[least(s + cap, n)]}})) AS w FROM pl, sg),
+    sp AS MATERIALIZED (SELECT doc_id, cap, ov, w.a AS start, w.z AS "end" FROM sx),
     bits AS (SELECT qa.doc_id, 'docs_' || any_value(lang) AS corpus, cap, ov, count(*) AS n_chunks, any_value(length(qa.a)) AS answer_chars, bool_or(sp.start <= p AND sp."end" >= p + length(qa.a)) AS intact
              FROM qa JOIN sp USING (doc_id) GROUP BY qa.doc_id, cap, ov)"""
 
@@ -289,9 +289,9 @@ def _blind_sql(cap: int, ov: int) -> str:
     return rf"""WITH {ev.QRELS_SQL}, {sql.dense_scores_cte(cap=cap, overlap=ov)},
     hits AS (SELECT qid, doc_id, ordinal FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, ordinal) AS rank FROM scored) WHERE rank <= 20),
     items AS (SELECT qr.qid, qr.doc_id, strpos(d.text, b.text) - 1 AS p, strpos(d.text, b.text) - 1 + length(b.text) AS e FROM qrels qr JOIN documents d USING (doc_id) JOIN benchmark b ON b.item_id = qr.qid WHERE rel = 2),
-    tk AS (SELECT doc_id, i, length(p) AS flen, length(trim(p, E' \n\t\r')) AS wlen, length(p) - length(ltrim(p, E' \n\t\r')) AS ld
+    tk AS MATERIALIZED (SELECT doc_id, i, length(p) AS flen, length(trim(p, E' \n\t\r')) AS wlen, length(p) - length(ltrim(p, E' \n\t\r')) AS ld
            FROM (SELECT doc_id, unnest(ps) AS p, unnest(range(1, len(ps) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(text, '^\s*[^\s]+\s*|[^\s]+\s*') AS ps FROM documents WHERE doc_id IN (SELECT doc_id FROM items)))),
-    ps AS (SELECT doc_id, i, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld AS a, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld + wlen AS z, count(*) OVER (PARTITION BY doc_id) AS n FROM tk),
+    ps AS MATERIALIZED (SELECT doc_id, i, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld AS a, sum(flen) OVER (PARTITION BY doc_id ORDER BY i) - flen + ld + wlen AS z, count(*) OVER (PARTITION BY doc_id) AS n FROM tk),
     wn AS (SELECT doc_id, s // {cap} AS ordinal, greatest(s - {ov}, 0) + 1 AS i0, least(s + {cap}, n) AS i1 FROM (SELECT doc_id, n, unnest(range(0, n, {cap})) AS s FROM (SELECT DISTINCT doc_id, n FROM ps))),
     sp AS (SELECT wn.doc_id, ordinal, x.a AS start, y.z AS "end" FROM wn JOIN ps x ON x.doc_id = wn.doc_id AND x.i = i0 JOIN ps y ON y.doc_id = wn.doc_id AND y.i = i1),
     q AS (SELECT i.qid, i.doc_id, bool_or(h.ordinal IS NOT NULL) AS doc_hit, bool_or(h.ordinal IS NOT NULL AND sp.start <= p AND sp."end" >= e) AS span_hit, bool_or(sp.start <= p AND sp."end" >= e) AS somewhere
