@@ -271,12 +271,12 @@ def proj_dotted(spark, sf):
     return claim_rows(spark, sf).select("doc_id", F.col("held.lang").alias("held_lang"), F.col("held.source").alias("held_source"))
 
 
-@query("proj_round", "SELECT o_orderkey, round_even(o_totalprice / 1000, 2) AS rounded FROM orders WHERE abs(o_totalprice / 10 - trunc(o_totalprice / 10)) NOT BETWEEN 0.499999 AND 0.500001")
+@query("proj_round", """WITH c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS cents FROM orders)
+    SELECT o_orderkey, ((cents // 1000 + (cents % 1000 > 500 OR (cents % 1000 = 500 AND (cents // 1000) % 2 = 1))::INT) / 100)::DOUBLE AS rounded FROM c""")
 def proj_round(spark, sf):
-    """Half-even rounding to fixed places (exact halves, which binary floats cannot hold, left out)."""
-    tenth = F.abs(F.col("o_totalprice") / 10 - F.expr("try_cast(o_totalprice / 10 AS bigint)"))
-    orders = t.table(spark, sf, "orders").where(~tenth.between(0.499999, 0.500001))
-    return orders.select("o_orderkey", F.bround(F.col("o_totalprice") / 1000, 2).alias("rounded"))
+    """Half-even rounding to fixed places, on decimals, where a half is a half."""
+    exact = F.col("o_totalprice").cast("decimal(18,2)").cast("decimal(24,5)") / 1000
+    return t.table(spark, sf, "orders").select("o_orderkey", F.bround(exact, 2).cast("double").alias("rounded"))
 
 
 def claim_cells(spark, sf) -> DataFrame:
