@@ -17,6 +17,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.functions.vectors import dot, normalize
 from corvane.schema import ConfigError
 
@@ -110,7 +111,7 @@ def ivf_topk(
         raise ConfigError("nprobes must be between 1 and the number of cells")
     centroids = ivf_centroids(vectors, cells)
     filed = nearest_cells(vectors, centroids, 1).select(key, F.col("_unit").alias("v"), F.get("cells", F.lit(0)).alias("cell"))
-    probes = nearest_cells(queries, centroids, nprobes).select("qid", F.col("_unit").alias("q"), F.explode("cells").alias("cell"))
+    probes = fan_out(nearest_cells(queries, centroids, nprobes), ["qid", F.col("_unit").alias("q")], F.col("cells"), "cell")
     if queries.limit(max_queries + 1).count() <= max_queries:
         probes = F.broadcast(probes)  # bounded: the large table then never moves, however full a cell is
     scored = filed.join(probes, "cell").select("qid", key, F.round(dot(F.col("q"), F.col("v")), decimals).alias("score"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.functions.text import is_blank, let, tokens
 from corvane.schema import ConfigError
 
@@ -39,9 +40,8 @@ def chunk_whitespace(
 ) -> DataFrame:
     """``ordinal, token_count, text`` per chunk; the document's other columns ride along."""
     keep = [c for c in docs.columns if c != text]
-    windows = docs.select(*keep, tokens(F.col(text)).alias("_toks")).select(
-        *keep, F.posexplode(whitespace_windows(F.col("_toks"), max_tokens, overlap)).alias("ordinal", "_win")
-    )
+    split = docs.select(*keep, tokens(F.col(text)).alias("_toks"))
+    windows = fan_out(split, keep, whitespace_windows(F.col("_toks"), max_tokens, overlap), "_win", "ordinal")
     return windows.select(
         *keep,
         "ordinal",
@@ -85,18 +85,16 @@ def tile_pieces(text: Column, token_count: Column, max_tokens: int) -> Column:
 def split_oversized(chunks: DataFrame, max_tokens: int, *, order: str = "ordinal") -> DataFrame:
     """The size guard over a chunk table: one row per piece, ``piece`` counting from 0."""
     keep = [c for c in chunks.columns if c not in ("text", "token_count")]
-    return chunks.select(
-        *keep, F.posexplode(tile_pieces(F.col("text"), F.col("token_count"), max_tokens)).alias("piece", "_p")
-    ).select(*keep, "piece", F.col("_p.token_count").alias("token_count"), F.col("_p.text").alias("text"))
+    return fan_out(chunks, keep, tile_pieces(F.col("text"), F.col("token_count"), max_tokens), "_p", "piece").select(*keep, "piece", F.col("_p.token_count").alias("token_count"), F.col("_p.text").alias("text"))
 
 
 def plan_repair(chunks: DataFrame, max_tokens: int) -> DataFrame:
     """Replace oversized chunks by pieces; ``carry`` is the old ordinal, or -1 for "embed again"."""
     keep = [c for c in chunks.columns if c not in ("text", "token_count")]
     pieces = F.col("_ps")
+    cut = chunks.select(*keep, tile_pieces(F.col("text"), F.col("token_count"), max_tokens).alias("_ps"))
     return (
-        chunks.select(*keep, tile_pieces(F.col("text"), F.col("token_count"), max_tokens).alias("_ps"))
-        .select(*keep, F.size(pieces).alias("_n"), F.posexplode(pieces).alias("piece", "_p"))
+        fan_out(cut, [*keep, F.size(pieces).alias("_n")], pieces, "_p", "piece")
         .select(
             *keep,
             "piece",

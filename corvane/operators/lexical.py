@@ -16,6 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.operators.topk import BROADCAST_VALUES, in_blocks, rank_against
 from corvane.schema import ConfigError
 
@@ -56,7 +57,7 @@ def terms(text: Column, stops: Sequence[str] = ENGLISH_STOPS) -> Column:
 def corpus_statistics(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(n_docs, avg_len)`` in one row, and ``term, df`` for the terms in ``vocabulary``."""
     totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    seen = docs.select(F.explode(F.array_distinct("terms")).alias("term"))
+    seen = fan_out(docs, [], F.array_distinct("terms"), "term")
     df = seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
     return totals, df
 
@@ -94,7 +95,7 @@ def bm25_topk(
     cap = max(1, int((max_values / max(1, shape["w"])) ** 0.5))
 
     def one_pass(block: DataFrame) -> DataFrame:
-        words = block.select("qid", F.explode("terms").alias("term"))
+        words = fan_out(block, ["qid"], F.col("terms"), "term")
         totals, df = corpus_statistics(analysed, words.select("term").distinct())
         weighted = (
             words.groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(df, "term")

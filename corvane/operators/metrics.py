@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.functions.text import tokens
 
 
@@ -159,8 +160,8 @@ def word_recall(pairs: DataFrame, key: str, reference: str, extracted: str) -> D
     Both sides are counted before they meet, so the join moves distinct tokens, not occurrences;
     an empty reference scores 1.
     """
-    exploded = pairs.select(key, F.explode(reference).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    found = pairs.select(key, F.explode(extracted).alias("token")).groupBy(key, "token").agg(F.count("*").alias("m"))
+    exploded = fan_out(pairs, [key], F.col(reference), "token").groupBy(key, "token").agg(F.count("*").alias("n"))
+    found = fan_out(pairs, [key], F.col(extracted), "token").groupBy(key, "token").agg(F.count("*").alias("m"))
     hit = exploded.join(found, [key, "token"], "left").groupBy(key).agg(
         (F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("word_recall")
     )

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.text import BLANKS, let
 from corvane.schema import ConfigError
 
 
@@ -37,15 +38,23 @@ def windows(text: Column, chars: int) -> Column:
 def detectors_tripped(window: Column, o: SanitizeOptions) -> Column:
     """How many machine-content signals a window trips: few blanks, many symbols, long words."""
     n = F.length(window)
-    blanks = F.regexp_count(window, F.lit(r"(?U)[\s\x1c-\x1f]"))
-    symbols = F.regexp_count(window, F.lit(r"(?U)[^\p{L}\p{N}\s\x1c-\x1f]"))
-    words = F.regexp_count(window, F.lit(r"(?U)[^\s\x1c-\x1f]+"))
-    mean_word = F.when(words > 0, (n - blanks) / words).otherwise(n.cast("double"))
-    return (
-        (blanks / n < o.whitespace_ratio_min).cast("int")
-        + (symbols / n > o.symbol_ratio_max).cast("int")
-        + (mean_word > o.word_length_max).cast("int")
+
+    def tripped(m: Column) -> Column:
+        chars = n - m["blanks"]
+        mean_word = F.when(m["words"] > 0, chars / m["words"]).otherwise(n.cast("double"))
+        return (
+            (m["blanks"] / n < o.whitespace_ratio_min).cast("int")
+            + (m["symbols"] / n > o.symbol_ratio_max).cast("int")
+            + (mean_word > o.word_length_max).cast("int")
+        )
+
+    # Runs are removed in bulk, so each pass has a match per word rather than one per character.
+    measures = F.struct(
+        (n - F.length(F.regexp_replace(window, BLANKS, ""))).alias("blanks"),
+        F.length(F.regexp_replace(window, r"(?U)[\p{L}\p{N}\s\x1c-\x1f]+", "")).alias("symbols"),
+        F.regexp_count(window, F.lit(r"(?U)[^\s\x1c-\x1f]+")).alias("words"),
     )
+    return let(measures, tripped)
 
 
 def junk_spans(text: Column, o: SanitizeOptions) -> Column:

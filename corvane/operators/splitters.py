@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.operators.chunking import chunk_whitespace
 from corvane.operators.embed import hash_vectors
 
@@ -140,6 +141,6 @@ def split_documents(
             yield pa.array(out, type=pa.list_(_ITEM))
 
     keep = [c for c in docs.columns if c != "text"]
-    return docs.select(*keep, F.posexplode(split(F.col("text"))).alias("ordinal", "_c")).select(
+    return fan_out(docs, keep, split(F.col("text")), "_c", "ordinal").select(
         *keep, "ordinal", "_c.token_count", "_c.text", "_c.start", "_c.end"
     )

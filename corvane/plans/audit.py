@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.functions.text import tokens
 from corvane.operators import audit as A
 from corvane.operators import effects as E
@@ -179,13 +180,15 @@ def span_bits(spark, sf) -> DataFrame:
     """One row per (profile, question): is the answer (a document's middle eight words) whole?"""
     docs = t.documents(spark, sf).select(
         "doc_id", F.concat(F.lit("docs_"), "lang").alias("corpus"), "text", hygiene.middle_words(F.col("text")).alias("answer")
-    ).where(F.length("answer") > 0).withColumn("start", F.position(F.col("answer"), F.col("text")) - 1)
+    ).withColumn("start", F.position(F.col("answer"), F.col("text")) - 1)
     end = F.col("start") + F.length("answer")
-    cells = F.array(*[
+    every = F.array(*[
         F.struct(F.lit(c).alias("max_tokens"), F.lit(o).alias("overlap_tokens"), P.window_spans(F.col("text"), c, o).alias("spans"))
         for c, o in SPAN_GRID
     ])
-    wide = docs.select("doc_id", "corpus", "answer", "start", end.alias("end"), F.inline(cells))
+    # A document without an answer gets no cells; a filter on the answer would be computed twice.
+    cells = F.when(F.length("answer") > 0, every)
+    wide = fan_out(docs, ["doc_id", "corpus", "answer", "start", end.alias("end")], cells, "cell").select("*", "cell.*")
     return wide.select(
         "doc_id", "corpus", "max_tokens", "overlap_tokens", F.size("spans").alias("n_chunks"), F.length("answer").alias("answer_chars"),
         P.intact(F.col("spans"), F.col("start"), F.col("end")).alias("intact"),

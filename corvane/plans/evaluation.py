@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.functions.text import tokens
 from corvane.operators import effects as E
 from corvane.operators import metrics as M
@@ -61,7 +62,7 @@ def passage_qrels(spark, sf) -> DataFrame:
     runs = F.when(F.size("_t") >= ANCHOR, F.transform(
         F.sequence(F.lit(1), F.size("_t") - ANCHOR + 1), lambda i: F.array_join(F.slice(F.col("_t"), i, ANCHOR), " ")
     )).otherwise(F.array().cast("array<string>"))
-    shingles = docs.select("doc_id", toks.alias("_t")).select("doc_id", F.explode(runs).alias("run"))
+    shingles = fan_out(docs.select("doc_id", toks.alias("_t")), ["doc_id"], runs, "run")
     found = shingles.join(asked.select("run", "qid"), "run").select("doc_id", "qid").distinct()
     rel = F.when(F.contains("text", F.col("passage")), 2).otherwise(1)
     return found.join(docs, "doc_id").join(asked, "qid").select(

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
+from corvane.functions.rows import fan_out
 from corvane.functions.text import doc_id_of, doc_uri, file_uri, let, path_of, snippet, tokens, truncate_words
 from corvane.operators import chunking as C
 from corvane.operators.embed import embed_once, hash_embedder, leading_sentences
@@ -221,8 +222,8 @@ LOOSE_SQL = _spans_sql(0.14, 0.06, 6.2, 2)
 
 @query("sanitize_detect", f"""WITH {LOOSE_SQL} SELECT doc_id, start::BIGINT AS start, "end"::BIGINT AS "end" FROM spans""")
 def sanitize_detect(spark, sf):
-    found = sanitize(t.documents(spark, sf), LOOSE).select("doc_id", F.inline("spans"))
-    return found.select("doc_id", F.col("start").cast(L).alias("start"), F.col("end").cast(L).alias("end"))
+    found = fan_out(sanitize(t.documents(spark, sf), LOOSE), ["doc_id"], F.col("spans"), "s")
+    return found.select("doc_id", F.col("s.start").cast(L).alias("start"), F.col("s.end").cast(L).alias("end"))
 
 
 @query("sanitize_strip", f"""WITH {LOOSE_SQL},
@@ -281,7 +282,7 @@ LINES_SQL = rf"""lines AS (SELECT doc_id, i - 1 AS ordinal, string_split(text, c
 
 
 def line_chunks(spark, sf):
-    lines = t.documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("ordinal", "text"))
+    lines = fan_out(t.documents(spark, sf), ["doc_id"], F.split("text", "\n", -1), "text", "ordinal")
     return lines.withColumn("token_count", F.size(tokens(F.col("text"))) + 1)
 
 
@@ -306,7 +307,7 @@ def chunk_plan_repair(spark, sf):
     SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::BIGINT AS ordinal, md5(line) AS text_md5 FROM l WHERE regexp_matches(line, '[^\s]')""")
 def chunk_drop_empty_renumber(spark, sf):
     pairs = F.transform(F.split("text", "\n", -1), lambda x: F.struct(x.alias("text"), F.size(tokens(x)).alias("token_count")))
-    kept = t.documents(spark, sf).select("doc_id", F.posexplode(C.drop_empty_renumber(pairs)).alias("ordinal", "p"))
+    kept = fan_out(t.documents(spark, sf), ["doc_id"], C.drop_empty_renumber(pairs), "p", "ordinal")
     return kept.select("doc_id", F.col("ordinal").cast(L).alias("ordinal"), F.md5("p.text").alias("text_md5"))
 
 
@@ -378,7 +379,7 @@ def chunk_fallback(spark, sf):
     SELECT doc_id, b::BIGINT AS bucket, round(c / n, 6) AS weight FROM bag JOIN bag_n USING (doc_id)""")
 def embed_placeholder(spark, sf):
     docs = t.documents(spark, sf).select("doc_id", hash_embedder(64, "md5")(F.col("text")).alias("v"))
-    cells = docs.select("doc_id", F.posexplode("v").alias("bucket", "weight")).where("weight > 0")
+    cells = fan_out(docs, ["doc_id"], F.col("v"), "weight", "bucket").where("weight > 0")
     return cells.select("doc_id", F.col("bucket").cast(L).alias("bucket"), F.round("weight", 6).alias("weight"))
 
 
@@ -403,14 +404,14 @@ def embed_query_once_per_model(spark, sf):
     SELECT vec_id, i::BIGINT AS at, round(3 * v[i + 1] / sqrt(9 * list_inner_product(v, v)), 6) AS x FROM (SELECT vec_id, v, unnest(range(0, len(v))) AS i FROM vecs)""")
 def vector_normalize(spark, sf):
     scaled = t.vectors(spark, sf).select("vec_id", F.transform("vector", lambda x: x * 3).alias("v"))
-    cells = scaled.select("vec_id", F.posexplode(V.normalize(F.col("v"))).alias("at", "x"))
+    cells = fan_out(scaled, ["vec_id"], V.normalize(F.col("v")), "x", "at")
     return cells.select("vec_id", F.col("at").cast(L).alias("at"), F.round("x", 6).alias("x"))
 
 
 @query("vector_truncate", f"""WITH {sql.VECTORS_CTE}, p AS (SELECT vec_id, list_slice(v, 1, 16) AS v FROM vecs)
     SELECT vec_id, i::BIGINT AS at, round(v[i + 1] / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT vec_id, v, unnest(range(0, len(v))) AS i FROM p)""")
 def vector_truncate(spark, sf):
-    cells = t.vectors(spark, sf).select("vec_id", F.posexplode(V.truncate(F.col("vector"), 16)).alias("at", "x"))
+    cells = fan_out(t.vectors(spark, sf), ["vec_id"], V.truncate(F.col("vector"), 16), "x", "at")
     return cells.select("vec_id", F.col("at").cast(L).alias("at"), F.round("x", 6).alias("x"))
 
 

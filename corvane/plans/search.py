@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import fan_out
 from corvane.functions.text import doc_id_of, doc_uri
 from corvane.operators.ann import PRESETS, AnnParams, ivf_topk, lsh_topk, resolve_params, search_mode
 from corvane.operators.fusion import first_distinct_documents, fuse_datasets, fuse_documents, rerank
@@ -240,11 +241,9 @@ def bm25_index(spark, sf):
     """The index statistics: document and collection frequency and idf of every term."""
     lex = t.documents(spark, sf).select("doc_id", lexical_terms(F.col("text")).alias("terms"))
     n_docs = lex.agg(F.count("*").alias("n")).scalar()
-    per_doc = lex.select(
-        F.explode(F.array_distinct("terms")).alias("term"), F.col("terms")
-    )
-    counts = lex.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("cf"))
-    dfs = per_doc.select("term").groupBy("term").agg(F.count("*").alias("df"))
+    per_doc = fan_out(lex, [], F.array_distinct("terms"), "term")
+    counts = fan_out(lex, [], F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("cf"))
+    dfs = per_doc.groupBy("term").agg(F.count("*").alias("df"))
     return dfs.join(counts, "term").select("term", "df", "cf", F.round(idf(n_docs, F.col("df")), 6).alias("idf"))
 
 
