@@ -156,7 +156,8 @@ def spearman(cells: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> Dat
     def rho(a: str, b: str) -> Column:
         x, y = f"_r_{a}", f"_r_{b}"
         flat = (F.min(x) == F.max(x)) | (F.min(y) == F.max(y))
-        return F.when(flat, F.lit(0.0)).otherwise(F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0)))
+        linear = F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+        return F.when(flat, F.lit(0.0)).otherwise(F.coalesce(linear, F.lit(0.0)))
 
     table = ranked.groupBy(*by).agg(F.count("*").alias("n"), *[rho(a, b).alias(f"_{a}_{b}") for a, b in pairs])
     return table.select(
