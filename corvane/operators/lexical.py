@@ -107,7 +107,7 @@ def bm25_topk(
         place = {term: i for i, term in enumerate(vocabulary)}
         qids = sorted(set(table.column("qid").to_pylist()))
         line = {qid: i for i, qid in enumerate(qids)}
-        weights = np.zeros((len(qids), len(vocabulary)))
+        weights = np.zeros((len(qids), len(vocabulary)))  # no row when no query term occurs anywhere
         for qid, term, w in zip(*(table.column(c).to_pylist() for c in ("qid", "term", "w")), strict=True):
             weights[line[qid], place[term]] = w
         lookup = pa.array(vocabulary)

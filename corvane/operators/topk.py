@@ -176,23 +176,23 @@ def rank_against(
 
 
 def in_blocks(
-    queries: DataFrame, cap: int, one_pass: Callable[[DataFrame], DataFrame]
+    queries: DataFrame, cap: int, one_pass: Callable[[DataFrame], DataFrame], depth: int = 0
 ) -> DataFrame:
     """Run ``one_pass`` over query blocks of at most ``cap`` rows.
 
     One block when the set is small; otherwise the set is hash-split and each block's result is
-    written out before the next block is broadcast.
+    written out before the next block is broadcast. A block the hash overfilled is split again.
     """
     if queries.select("qid").limit(cap + 1).count() <= cap:
         return one_pass(queries)
+    if depth > 16:
+        raise ConfigError("query ids repeat: no split brings them under the broadcast bound")
     blocks = -(-2 * queries.count() // cap)
-    split = cut_lineage(queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(blocks))))
+    number = F.pmod(F.xxhash64("qid", F.lit(depth)), F.lit(blocks))
+    split = cut_lineage(queries.withColumn("_block", number))
     result: DataFrame | None = None
-    for number in range(blocks):
-        block = split.where(F.col("_block") == number).drop("_block")
-        if block.limit(cap + 1).count() > cap:
-            raise ConfigError("query ids repeat: a block of queries grew past its bound")
-        done = cut_lineage(one_pass(block))
+    for one in range(blocks):
+        done = cut_lineage(in_blocks(split.where(F.col("_block") == one).drop("_block"), cap, one_pass, depth + 1))
         result = done if result is None else result.unionByName(done)
     return result
 
