@@ -322,7 +322,7 @@ for _how in ("count", "sum", "mean", "min", "max", "value", "ratio", "difference
     query(f"agg_{_how}", f"WITH {CLAIMS_SQL} SELECT id, round(d, 6) AS derived FROM dv WHERE id = '{_how}'")(_reducer)
 
 
-# -- joins and sets the reference does in dictionaries ---------------------------------------------
+# -- joins and sets ---------------------------------------------------------------------------------
 
 
 @query("join_inner_shared", "SELECT doc_id, quality::BIGINT AS quality, n_chars FROM documents JOIN labels USING (doc_id)")
