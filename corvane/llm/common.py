@@ -59,7 +59,7 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
     An id that was put in is always found; another is found with a chance of at most ids / bits. It
     only spares a shuffle rows that an exact join drops anyway, so a full bitmap costs time, not results.
     """
-    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits))
+    place = F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)) + 1  # these functions count values from 1
     slices = (
         ids.select(place.alias("place"))
         .groupBy(F.bitmap_bucket_number("place").alias("slice"))
@@ -73,17 +73,19 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
     return out
 
 
-def in_filter(df: DataFrame, column: str, ids: DataFrame, ids_column: str, bits: int = 1 << 26) -> DataFrame:
-    """The rows of ``df`` whose id may be among ``ids``; an exact join must follow."""
+def in_filter(
+    df: DataFrame, column: str, ids: DataFrame, ids_column: str, bits: int = 1 << 26, keep: bool = True
+) -> DataFrame:
+    """The rows of ``df`` whose id may be among ``ids`` (an exact join must follow), or those whose id is surely not."""
     known = df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_column, bits))
 
-    def keep(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def choose(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         place = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)
         hit = (known.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
-        yield batch.filter(pa.array(hit.astype(bool))).select(range(batch.num_columns - 1))
+        yield batch.filter(pa.array(hit.astype(bool) == keep)).select(range(batch.num_columns - 1))
 
     marked = df.withColumn("__place", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
-    return map_batches(marked, keep, df.schema)
+    return map_batches(marked, choose, df.schema)
 
 
 def texts(column: pa.Array) -> list[bytes]:

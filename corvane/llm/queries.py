@@ -59,6 +59,40 @@ def op7(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+@query("op6_quality_rules")
+def op6(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.rules import judge
+
+    return judge(documents(spark, sf))
+
+
+@query(
+    "op8_substring_dedup",
+    sql="""
+    WITH d AS (
+      SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ \\x09-\\x0D]+') AS w FROM documents
+    ), x AS (
+      SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM d WHERE len(w) >= 50
+    ), k AS (
+      SELECT doc_id, i, md5(array_to_string(list_slice(w, i, i + 49), ' ')) AS h FROM x
+    ), m AS (
+      SELECT h, min(doc_id) AS a FROM k GROUP BY h HAVING min(doc_id) < max(doc_id)
+    ), hit AS (
+      SELECT DISTINCT k.doc_id, unnest(range(k.i, k.i + 50)) AS i FROM k JOIN m ON k.h = m.h WHERE k.doc_id > m.a
+    ), t AS (
+      SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d
+    )
+    SELECT d.doc_id, count(t.i) AS n_words, count(hit.i) AS n_removed,
+      sha256(coalesce(string_agg(t.w, ' ' ORDER BY t.i) FILTER (hit.i IS NULL), '')) AS kept_sha256
+    FROM d LEFT JOIN t ON d.doc_id = t.doc_id LEFT JOIN hit ON hit.doc_id = t.doc_id AND hit.i = t.i GROUP BY d.doc_id""",
+)
+def op8(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.spans import dedup_spans
+
+    out = dedup_spans(documents(spark, sf))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text"), 256).alias("kept_sha256"))
+
+
 @query("op9_byte_bpe")
 def op9(spark: SparkSession, sf: str) -> DataFrame:
     import public_tokenizers
