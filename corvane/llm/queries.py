@@ -23,6 +23,28 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_ngram_jaccard_join")
+def op1(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.jaccard import near_components
+
+    return near_components(documents(spark, sf))
+
+
+@query("op4_quality_classifier")
+def op4(spark: SparkSession, sf: str) -> DataFrame:
+    """Expected grade of every document, the chances of a grade above 0 and above 1, and whether it is kept."""
+    out = rated(spark, documents(spark, sf), sf)
+    return out.select("doc_id", "expected_grade", F.col("tail")[0].alias("p_good"), F.col("tail")[1].alias("p_clean"), (F.col("tail")[1] >= 0.5).alias("kept"))
+
+
+def rated(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
+    """``docs`` scored by a model that is fitted to the labels of the documents table."""
+    from corvane.llm.quality import fit, grades, score
+
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    return score(docs, fit(documents(spark, sf), grades(labels), 3))
+
+
 @query("op5_best_fit_packing")
 def op5(spark: SparkSession, sf: str) -> DataFrame:
     from corvane.llm.packing import pack
