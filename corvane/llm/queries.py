@@ -30,6 +30,20 @@ def op1(spark: SparkSession, sf: str) -> DataFrame:
     return near_components(documents(spark, sf))
 
 
+@query("op2_document_fingerprints")
+def op2(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.merkle import fingerprints
+
+    return fingerprints(documents(spark, sf))
+
+
+@query("op3_personal_data")
+def op3(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.pii import report
+
+    return report(documents(spark, sf))
+
+
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Expected grade of every document, the chances of a grade above 0 and above 1, and whether it is kept."""
