@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corvane.session import shared_folder
 
-BATCH_ROWS = 1024  # rows in an Arrow batch, so that a batch of very long texts still fits a worker
+BATCH_ROWS = 512  # rows in an Arrow batch, so that a batch of very long texts still fits a worker
 NO_ID = 2**63 - 1  # stands for a null id inside an operator: it sorts after every other id
 BLANKS = b" \t\n\x0b\x0c\r"
 
@@ -21,10 +21,10 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
-def keyed(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, text`` alone, so that no other column can clash; a null id becomes ``NO_ID``, a null text stays null."""
+def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame:
+    """``id, text, more...`` alone, so that no other column can clash; a null id becomes ``NO_ID``, a null text stays null."""
     return df.select(
-        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text")
+        F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"), *more
     )
 
 

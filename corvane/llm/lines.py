@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -95,9 +95,9 @@ def twice_seen(df: DataFrame, bits: int, least: int) -> np.ndarray:
 
 
 def dedup_lines(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, bits: int = 1 << 26
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10, bits: int = 1 << 26, carry: Sequence[str] = ()
 ) -> DataFrame:
-    """``doc_id, n_lines, n_dropped, text``: every row with the lines it keeps.
+    """``doc_id, n_lines, n_dropped, text, rest``: every row with the lines it keeps; ``rest`` is a struct of the columns ``carry``.
 
     A line's key is the line without outer blanks and with A-Z in lower case. A key of at least ``least`` code
     points in two documents or more loses all its lines except in the smallest id that holds it (there all of
@@ -107,10 +107,12 @@ def dedup_lines(
 
     A null or empty text is one empty line and becomes an empty text. Rows that repeat an id count as one
     document. A null id counts as one document after all others. An empty table gives an empty one.
-    Other columns are not read.
+    Columns outside ``carry`` are not read; carried ones sit inside ``rest``, so no name can clash.
     """
-    rows = keyed(df, id_col, text_col)
-    known = df.sparkSession.sparkContext.broadcast(twice_seen(rows, bits, least))
+    rest = F.struct(*carry) if carry else F.lit(None).cast("int")
+    rows = keyed(df, id_col, text_col, rest.alias("rest"))
+    rest_type = rows.schema["rest"].dataType.simpleString()
+    known = df.sparkSession.sparkContext.broadcast(twice_seen(rows.select("id", "text"), bits, least))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -121,16 +123,16 @@ def dedup_lines(
                 suspects.append([k for k, h in zip(keys, hit, strict=True) if h])
                 kept.append(text)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(kept, type=pa.binary()).cast(pa.string()), pa.array(suspects, type=pa.list_(pa.binary()))],
-                ["id", "text", "keys"],
+                [batch.column(0), pa.array(kept, type=pa.binary()).cast(pa.string()), pa.array(suspects, type=pa.list_(pa.binary())), batch.column(2)],
+                ["id", "text", "keys", "rest"],
             )
 
-    seen = stored(map_partitions(rows, look, "id long, text string, keys array<binary>"), "lines")
+    seen = stored(map_partitions(rows, look, f"id long, text string, keys array<binary>, rest {rest_type}"), "lines")
     asked = seen.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
     shared = asked.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").drop("last")
     # one row per key on this side; the other one's frequent keys are split by the adaptive skew join
     lost = asked.join(shared, "key").where("id <> keeper").groupBy("id").agg(F.collect_set("key").alias("lost"))
-    cut = seen.where(F.size("keys") > 0).select("id", "text").join(lost, "id", "left")
+    cut = seen.where(F.size("keys") > 0).select("id", "text", "rest").join(lost, "id", "left").select("id", "text", "lost", "rest")
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,12 +145,12 @@ def dedup_lines(
                 gone.append(len(lines) - len(left))
                 kept.append(b"\n".join(left))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(kept, type=pa.binary()).cast(pa.string())],
-                ["id", "n_lines", "n_dropped", "text"],
+                [batch.column(0), pa.array(total, type=pa.int64()), pa.array(gone, type=pa.int64()), pa.array(kept, type=pa.binary()).cast(pa.string()), batch.column(3)],
+                ["id", "n_lines", "n_dropped", "text", "rest"],
             )
 
-    whole = seen.where(F.size("keys") == 0).select("id", "text", F.lit(None).cast("array<binary>").alias("lost"))
-    out = map_partitions(whole.unionByName(cut), drop, "id long, n_lines long, n_dropped long, text string")
-    return out.select(id_back("id").alias("doc_id"), "n_lines", "n_dropped", "text")
+    whole = seen.where(F.size("keys") == 0).select("id", "text", F.lit(None).cast("array<binary>").alias("lost"), "rest")
+    out = map_partitions(whole.unionByName(cut), drop, f"id long, n_lines long, n_dropped long, text string, rest {rest_type}")
+    return out.select(id_back("id").alias("doc_id"), "n_lines", "n_dropped", "text", "rest")
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from corvane.llm.common import BLANKS, NO_ID, id_back, keyed, lists, map_batches, stored, texts
 
 SPACE = 1 << 18  # hashed features
-SAMPLE = 20_000  # rated rows at most that a fit sees
+SAMPLE = 10_000  # rated rows at most that a fit sees
 LEAST_ROWS = 5  # rated rows that a feature needs
 TELLING = 4.0  # standard errors by which its share must differ between grades
 EDGE = b".,;:!?()[]\"'"
@@ -175,6 +175,19 @@ def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col
     return out.select(id_back("id").alias("doc_id"), "expected_grade", "tail")
 
 
+def keep(docs: DataFrame, model: OrdinalModel, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose chance of the best grade is at least ``least``."""
+    known = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        weights, thresholds = known.value
+        z = np.array([weights[features(t)].sum() for t in texts(batch.column(at))])
+        yield batch.filter(pa.array(sigmoid(z - thresholds[-1]) >= least, pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)
+
+
 def grades(labels: DataFrame) -> DataFrame:
     """Grades from two marks: 0 poor, 1 good but toxic, 2 good. A null mark counts as poor, or as toxic."""
     good, clean = F.coalesce(F.col("quality"), F.lit(0)) == 1, F.coalesce(F.col("toxic"), F.lit(1)) == 0

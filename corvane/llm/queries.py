@@ -47,16 +47,17 @@ def op3(spark: SparkSession, sf: str) -> DataFrame:
 @query("op4_quality_classifier")
 def op4(spark: SparkSession, sf: str) -> DataFrame:
     """Expected grade of every document, the chances of a grade above 0 and above 1, and whether it is kept."""
-    out = rated(spark, documents(spark, sf), sf)
+    from corvane.llm.quality import score
+
+    out = score(documents(spark, sf), rated_model(spark, sf))
     return out.select("doc_id", "expected_grade", F.col("tail")[0].alias("p_good"), F.col("tail")[1].alias("p_clean"), (F.col("tail")[1] >= 0.5).alias("kept"))
 
 
-def rated(spark: SparkSession, docs: DataFrame, sf: str) -> DataFrame:
-    """``docs`` scored by a model that is fitted to the labels of the documents table."""
-    from corvane.llm.quality import fit, grades, score
+def rated_model(spark: SparkSession, sf: str):
+    """A model fitted to the labels of the documents table."""
+    from corvane.llm.quality import fit, grades
 
-    labels = spark.read.parquet(f"{sf}/labels.parquet")
-    return score(docs, fit(documents(spark, sf), grades(labels), 3))
+    return fit(documents(spark, sf), grades(spark.read.parquet(f"{sf}/labels.parquet")), 3)
 
 
 @query("op5_best_fit_packing")
