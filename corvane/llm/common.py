@@ -28,6 +28,13 @@ def keyed(df: DataFrame, id_col: str, text_col: str, *more: Column) -> DataFrame
     )
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name
+
+
 def id_back(column: str | Column) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     return F.when(value != NO_ID, value)
@@ -84,7 +91,7 @@ def in_filter(
         hit = (known.value[place >> 3] >> (place & 7).astype(np.uint8)) & 1
         yield batch.filter(pa.array(hit.astype(bool) == keep)).select(range(batch.num_columns - 1))
 
-    marked = df.withColumn("__place", F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
+    marked = df.withColumn(fresh(df, "place"), F.pmod(F.xxhash64(F.col(column).cast("long")), F.lit(bits)))
     return map_batches(marked, choose, df.schema)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.text import let
-from corvane.llm.common import NO_ID, id_back, stored
+from corvane.llm.common import NO_ID, fresh, id_back, stored
 
 # Fixed values. The added look-arounds only spare starts that cannot match: a run is tried at its first
 # character, or where the match before it ended. Possessive repeats keep long runs linear.
@@ -251,10 +251,12 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """
     text = F.col(text_col).cast("string")
     some = F.coalesce(F.regexp_like(text, F.lit(ANY)), F.lit(False))
-    spans = find(df.where(some), id_col, text_col).where(F.size("spans") > 0).select(F.col("id").alias("__id"), F.col("tag").alias("__tag"), F.col("spans").alias("__spans"))
-    keys = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == F.col("__id")) & (F.xxhash64(text) == F.col("__tag"))
-    hit = df.where(some).join(spans.distinct(), keys, "left")
-    by_start = F.sort_array(F.transform("__spans", lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    name = fresh(df, "found")
+    found = find(df.where(some), id_col, text_col).where(F.size("spans") > 0).select("id", "tag", "spans").distinct()
+    found, at = found.select(F.struct("id", "tag", "spans").alias(name)), F.col(name)
+    keys = (F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)) == at["id"]) & (F.xxhash64(text) == at["tag"])
+    hit = df.where(some).join(found, keys, "left")
+    by_start = F.sort_array(F.transform(at["spans"], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
     sign = lambda s: F.get(F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS]), s["kind"])
     done = F.aggregate(
         by_start, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
@@ -266,6 +268,6 @@ def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         ),
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substr(text, acc["at"] + 1)),
     )
-    changed = F.when(F.col("__spans").isNull(), text).otherwise(done)
+    changed = F.when(at.isNull(), text).otherwise(done)
     kept = [changed.alias(c) if c == text_col else F.col(c) for c in df.columns]
     return hit.select(*kept).unionByName(df.where(~some))
