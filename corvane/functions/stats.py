@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+from hashlib import md5
 from itertools import accumulate
 from math import exp, factorial
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,9 +21,13 @@ def uniform(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def poisson_weight(*parts: Column) -> Column:
-    u = uniform(*parts)
-    weight = F.lit(len(POISSON_CDF)).cast("double")
-    for copies in reversed(range(len(POISSON_CDF))):
-        weight = F.when(u < POISSON_CDF[copies], float(copies)).otherwise(weight)
-    return weight
+DRAWS = 8  # 16-bit numbers in one MD5
+
+
+@lru_cache(maxsize=4096)
+def poisson_weights(unit: str, resamples: int) -> np.ndarray:
+    """How often each resample holds ``unit``: 16-bit uniform numbers from MD5s of the unit and a counter."""
+    blocks = -(-resamples // DRAWS)
+    raw = b"".join(md5(f"{unit}|{k}".encode()).digest() for k in range(blocks))
+    u = np.frombuffer(raw, dtype=">u2")[:resamples] / 65536.0
+    return np.searchsorted(np.array(POISSON_CDF), u, side="right").astype(np.uint8)

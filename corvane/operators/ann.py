@@ -1,25 +1,27 @@
 """Approximate search, opt-in and always reported next to the exact result.
 
-``ivf``: k-means cells, a query probes its nearest few cells and ranks their rows exactly.
-``lsh``: random-projection buckets (Spark has no graph index; this is its stand-in).
+k-means cells: a query probes its nearest few cells and ranks their rows exactly.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.rows import fan_out
-from corvane.functions.vectors import dot, normalize
+from corvane.functions.vectors import normalize
+from corvane.operators.topk import exact_topk
 from corvane.schema import ConfigError
+from corvane.session import shared_folder
 
 ANN_MIN_ROWS = 100_000  # fixed value: below this an exact scan is used
 
@@ -31,9 +33,6 @@ class AnnParams:
     nprobes: int | None = None
     refine_factor: int | None = None
     ef_search: int | None = None
-    m: int | None = None
-    ef_construction: int | None = None
-    num_partitions: int | None = None
 
     def over(self, preset: AnnParams) -> AnnParams:
         """These knobs where set, the preset's elsewhere."""
@@ -68,19 +67,9 @@ def search_mode(rows: Column, threshold: int = ANN_MIN_ROWS) -> Column:
     return F.when(rows >= threshold, F.lit("approximate")).otherwise(F.lit("exact"))
 
 
-def sample_rows(vectors: DataFrame, rows: int, seed: int = 7) -> DataFrame:
-    """About ``rows`` training rows, drawn by hash; k-means needs a sample, never the whole table."""
-    total = vectors.count()
-    if total <= rows:
-        return vectors
-    return vectors.sample(fraction=min(1.0, rows / total), seed=seed)
-
-
-def ivf_centroids(vectors: DataFrame, cells: int, *, train_rows: int = 1_000_000, seed: int = 7) -> np.ndarray:
-    """k-means centroids over unit vectors, one row per cell; ``cells`` is fixed by the caller."""
-    unit = sample_rows(vectors, train_rows, seed).select(
-        array_to_vector(normalize(F.col("vector"))).alias("features")
-    )
+def ivf_centroids(vectors: DataFrame, cells: int, *, seed: int = 7) -> np.ndarray:
+    """k-means centroids over all unit vectors, one row per cell; ``cells`` is fixed by the caller."""
+    unit = vectors.select(array_to_vector(normalize(F.col("vector"))).alias("features"))
     return np.asarray(KMeans(k=cells, seed=seed, maxIter=10).fit(unit).clusterCenters())
 
 
@@ -102,38 +91,42 @@ def nearest_cells(rows: DataFrame, centroids: np.ndarray, count: int) -> DataFra
     return unit.withColumn("cells", nearest(F.col("_unit")))
 
 
-def ivf_topk(
-    vectors: DataFrame, queries: DataFrame, k: int, *, key: str, cells: int, nprobes: int,
-    max_queries: int = 100_000, decimals: int = 6,
-) -> DataFrame:
-    """Approximate top-k: only rows whose cell a query probes are scored, and those exactly."""
-    if nprobes < 1 or nprobes > cells:
-        raise ConfigError("nprobes must be between 1 and the number of cells")
-    centroids = ivf_centroids(vectors, cells)
-    filed = nearest_cells(vectors, centroids, 1).select(key, F.col("_unit").alias("v"), F.get("cells", F.lit(0)).alias("cell"))
-    probes = fan_out(nearest_cells(queries, centroids, nprobes), ["qid", F.col("_unit").alias("q")], F.col("cells"), "cell")
-    if queries.limit(max_queries + 1).count() <= max_queries:
-        probes = F.broadcast(probes)  # bounded: the large table then never moves, however full a cell is
-    scored = filed.join(probes, "cell").select("qid", key, F.round(dot(F.col("q"), F.col("v")), decimals).alias("score"))
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def lsh_topk(
-    vectors: DataFrame, queries: DataFrame, k: int, *, key: str, bucket: float = 1.0, tables: int = 4,
-    max_distance: float = 2.0, seed: int = 7, decimals: int = 6,
-) -> DataFrame:
-    """Approximate top-k through random-projection buckets over unit vectors."""
-    feats = vectors.select(key, array_to_vector(normalize(F.col("vector"))).alias("features"))
-    asked = queries.select("qid", array_to_vector(normalize(F.col("vector"))).alias("features"))
-    model = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=seed
-    ).fit(feats)
-    pairs = model.approxSimilarityJoin(feats, asked, max_distance, distCol="dist")
-    scored = pairs.select(
-        F.col("datasetB.qid").alias("qid"),
-        F.col(f"datasetA.{key}").alias(key),
-        F.round(1 - F.col("dist") * F.col("dist") / 2, decimals).alias("score"),
-    )
-    order = Window.partitionBy("qid").orderBy(F.desc("score"), key)
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+class IvfIndex:
+    """A stored inverted-file index: unit vectors filed by their nearest centroid, and the centroids beside them."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def build(self, vectors: DataFrame, cells: int) -> IvfIndex:
+        """Train on all rows and file them; ``vectors`` has a ``vector`` and any key columns."""
+        centroids = ivf_centroids(vectors, cells)
+        rows = [(i, [float(x) for x in c]) for i, c in enumerate(centroids)]
+        self.spark.createDataFrame(rows, "cell int, centroid array<double>").write.parquet(f"{self.path}/centroids")
+        filed = nearest_cells(vectors, centroids, 1).withColumn("vector", F.col("_unit")).withColumn("cell", F.get("cells", F.lit(0)))
+        filed.drop("_unit", "cells").hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{self.path}/rows")
+        return self
+
+    def search(self, queries: DataFrame, k: int, *, dim: int, keys: Sequence[str], nprobes: int, decimals: int = 6) -> DataFrame:
+        """``qid, keys..., score, rank``: the best ``k`` rows among each query's ``nprobes`` nearest cells.
+
+        Only the folders of cells that some query probes are read. The kernel keeps the best ``k`` of every cell
+        and query inside the scan, so no pair of a row and a query becomes a row of its own.
+        """
+        table = self.spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()
+        if nprobes < 1 or nprobes > len(table):
+            raise ConfigError("nprobes must be between 1 and the number of cells")
+        centroids = np.array([r["centroid"] for r in table])
+        probes = fan_out(nearest_cells(queries, centroids, nprobes), ["qid"], F.col("cells"), "cell")
+        wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most one per cell
+        rows = self.spark.read.parquet(f"{self.path}/rows").where(F.col("cell").isin(wanted))
+        best = exact_topk(rows, queries, k, dim=dim, keys=keys, segments=["cell"], decimals=decimals)
+        order = Window.partitionBy("qid").orderBy(F.desc("score"), *keys)
+        near = best.drop("rank").join(probes, ["qid", "cell"]).drop("cell")
+        return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int, *, key: str, cells: int, nprobes: int, dim: int = 64) -> DataFrame:
+    """An index built for one search, in the shared folder."""
+    spark = vectors.sparkSession
+    index = IvfIndex(spark, f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}").build(vectors.select(key, "vector"), cells)
+    return index.search(queries, k, dim=dim, keys=[key], nprobes=nprobes)

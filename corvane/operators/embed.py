@@ -165,22 +165,21 @@ def embed_once(rows: DataFrame, text: str, keys: Sequence[str], embedder: Callab
     return rows.join(vectors, [*keys, text])
 
 
-def leading_sentences(text: Column, max_input: int = 8000, sentences: int = 2) -> Column:
-    """An offline summary: the first sentences of the first ``max_input`` characters."""
-    head = F.substring(text, 1, max_input)
-    found = F.regexp_extract_all(head, F.lit(r"(?s)[^.!?]+[.!?]*"), F.lit(0))
+def leading_sentences(text: Column, sentences: int = 2) -> Column:
+    """An offline summary: the first sentences of a text, however long they are."""
+    found = F.regexp_extract_all(text, F.lit(r"(?s)[^.!?]+[.!?]*"), F.lit(0))
     return F.trim(F.array_join(F.slice(found, 1, sentences), ""))
 
 
-def summarizer(connect: Callable[[], Callable[[str], str]], max_input: int = 8000) -> Callable[[Column], Column]:
-    """A language-model summary per document, taken before chunking so it is one call a document."""
+def summarizer(connect: Callable[[], Callable[[str], str]]) -> Callable[[Column], Column]:
+    """A language-model summary per document, of its whole text, taken before chunking so it is one call a document."""
 
     @F.arrow_udf("string")
     def summarize(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         client = connect()
         for texts in batches:
             yield pa.array(
-                [with_retry(lambda t=t: client(t[:max_input])) for t in texts.to_pylist()], type=pa.string()
+                [with_retry(lambda t=t: client(t)) for t in texts.to_pylist()], type=pa.string()
             )
 
     return summarize

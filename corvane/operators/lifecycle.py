@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,20 +11,26 @@ from pyspark.sql import functions as F
 from corvane.operators.chunking import chunk_whitespace
 from corvane.operators.sanitize import SanitizeOptions, sanitize
 
-NEW, CHANGED, UNCHANGED, VANISHED = "new", "changed", "unchanged", "vanished"
+NEW, CHANGED, UNCHANGED, VANISHED, FAILED = "new", "changed", "unchanged", "vanished", "failed"
 
 
-def reconcile_diff(current: DataFrame, indexed: DataFrame) -> DataFrame:
-    """``uri, content_hash, status`` for every URI on either side (both keyed by ``uri``)."""
-    now = current.select("uri", F.col("content_hash").alias("now"))
+def reconcile_diff(current: DataFrame, indexed: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
+    """``uri, content_hash, status, carry...`` for every URI on either side (both keyed by ``uri``).
+
+    A new or changed source with an ``error`` has failed: it is listed, so it has not vanished, but
+    there is nothing to index.
+    """
+    failed = F.col("error").isNotNull() if "error" in current.columns else F.lit(False)
+    now = current.select("uri", F.col("content_hash").alias("now"), failed.alias("failed"), *carry)
     was = indexed.select("uri", F.col("content_hash").alias("was"))
     status = (
         F.when(F.col("now").isNull(), VANISHED)
-        .when(F.col("was").isNull(), NEW)
         .when(F.col("now") == F.col("was"), UNCHANGED)
+        .when(F.col("failed"), FAILED)
+        .when(F.col("was").isNull(), NEW)
         .otherwise(CHANGED)
     )
-    return now.join(was, "uri", "full_outer").select("uri", F.coalesce("now", "was").alias("content_hash"), status.alias("status"))
+    return now.join(was, "uri", "full_outer").select("uri", F.coalesce("now", "was").alias("content_hash"), status.alias("status"), *carry)
 
 
 def reconcile_report(diff: DataFrame) -> DataFrame:
@@ -32,6 +38,7 @@ def reconcile_report(diff: DataFrame) -> DataFrame:
         F.count_if(F.col("status").isin(NEW, CHANGED)).alias("indexed"),
         F.count_if(F.col("status") == VANISHED).alias("pruned"),
         F.count_if(F.col("status") == UNCHANGED).alias("unchanged"),
+        F.count_if(F.col("status") == FAILED).alias("errors"),
     )
 
 

@@ -95,21 +95,20 @@ def mean_metrics(per_query: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def delivered_views(
-    chunk_ranking: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int], *, doc: str = "doc_id"
+    chunk_ranking: DataFrame, doc_ranking: DataFrame, qrels: DataFrame, queries: DataFrame, ks: Sequence[int], *, doc: str = "doc_id"
 ) -> DataFrame:
     """nDCG at each depth of ``ks`` as delivered and over distinct documents.
 
     Delivered: the first k chunks as they come, where a repeated document earns nothing but still
     takes its slot. Documents: the first k distinct documents. Distinct: how many the first k
-    chunks name. ``chunk_ranking`` must reach deep enough for the largest k distinct documents.
+    chunks name. Both rankings reach as deep as the largest k: ``doc_ranking`` ranks documents by
+    their best chunk, so no depth of chunks has to hold enough of them.
     """
     depths = F.array(*[F.lit(int(x)) for x in sorted(set(ks))])
-    order = Window.partitionBy("qid").orderBy("rank")
+    seen = chunk_ranking.groupBy("qid", doc).agg(F.min("rank").alias("rank"))
     firsts = (
-        chunk_ranking.groupBy("qid", doc)
-        .agg(F.min("rank").alias("rank"))
-        .withColumn("doc_rank", F.row_number().over(order))
-        .where(F.col("doc_rank") <= max(ks))
+        doc_ranking.select("qid", doc, F.col("rank").alias("doc_rank")).where(F.col("doc_rank") <= max(ks))
+        .join(seen, ["qid", doc], "left")
         .join(qrels.where("rel > 0"), ["qid", doc], "left")
         .select("qid", doc, "rank", "doc_rank", F.coalesce("rel", F.lit(0)).alias("rel"))
     )

@@ -16,12 +16,21 @@ def draw(key: Column, seed: int) -> Column:
 def slice_corpus(docs: DataFrame, judged: DataFrame, budget: int, *, key: str = "doc_id", seed: int = 42) -> DataFrame:
     """All judged documents plus hash-drawn others up to exactly ``budget``.
 
-    Only the draw is ranked (a distributed top-n), never the documents.
+    The draw is counted by its first four digits; whole prefixes are taken until one would overshoot, and only
+    that one, a 65,536th of the documents, is ordered.
     """
     kept = docs.join(judged.select(key).distinct(), key, "left_semi")
     others = docs.join(judged.select(key).distinct(), key, "left_anti")
     room = max(0, budget - kept.count())
-    filler = others.withColumn("_o", draw(F.col(key), seed)).orderBy("_o", key).limit(room).drop("_o")
+    drawn = others.withColumn("_o", draw(F.col(key), seed)).withColumn("_p", F.substring("_o", 1, 4))
+    taken, last = 0, ""
+    for row in drawn.groupBy("_p").count().orderBy("_p").collect():  # at most 65,536 rows
+        last = row["_p"]
+        if taken + row["count"] >= room:
+            break
+        taken += row["count"]
+    edge = drawn.where(F.col("_p") == last).orderBy("_o", key).limit(room - taken)
+    filler = drawn.where(F.col("_p") < last).unionByName(edge).drop("_o", "_p")
     return kept.withColumn("judged", F.lit(True)).unionByName(filler.withColumn("judged", F.lit(False)))
 
 

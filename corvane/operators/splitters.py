@@ -76,11 +76,11 @@ def with_context(text: str, spans: list[Span], overlap: int) -> list[Span]:
     return out
 
 
-def windowed(text: str, spans: list[Span], cap: int, overlap: int) -> list[Span]:
-    """Re-cut so that the overlap fits inside the cap."""
+def windowed(text: str, spans: list[Span], cap: int, overlap: int, strategy: str) -> list[Span]:
+    """Re-cut by the strategy's own levels so that the overlap fits inside the cap."""
     if not overlap:
         return spans
-    return with_context(text, hierarchical(text, max(1, cap - overlap), LEVELS["fast"]), overlap)
+    return with_context(text, hierarchical(text, max(1, cap - overlap), LEVELS[strategy]), overlap)
 
 
 def semantic(text: str, cap: int, dim: int = 256, drop: float = 0.15) -> list[Span]:
@@ -108,7 +108,7 @@ def spans_of(text: str, strategy: str, cap: int, overlap: int) -> list[Span]:
         # Late chunking embeds the whole document first; its cuts are those of the base splitter.
         return semantic(text, cap) if strategy == "semantic" else hierarchical(text, cap, LEVELS["recursive"])
     spans = hierarchical(text, cap, LEVELS[strategy])
-    return with_context(text, spans, overlap) if strategy == "recursive" else windowed(text, spans, cap, overlap)
+    return with_context(text, spans, overlap) if strategy == "recursive" else windowed(text, spans, cap, overlap, strategy)
 
 
 SPLIT_STRATEGIES = ("recursive", "markdown", "fast", "semantic", "late")

@@ -6,78 +6,65 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions.stats import poisson_weight
+from corvane.functions.stats import poisson_weights
 
-# The bootstrap's resamples, seed and level, and the smallest difference that counts.
+# The bootstrap's resamples and level, and the smallest difference that counts.
 RESAMPLES = 10_000
-SEED = 20260806
 ALPHA = 0.05
 MATERIAL_FLOOR = 0.005
 NEGLIGIBLE_DELTA = 1e-4
 NEAR_DUPLICATE_RHO = 0.95
-BLOCK = 256
-EXACT_LIMIT = 50_000  # values per group up to which the exact bootstrap holds a group in one task
+SLICE = 20_000  # units of a group that one task sums
+CHUNK = 512  # units whose weights are held at once
 
 
-def _group_interval(values: np.ndarray, resamples: int, seed: int, alpha: float) -> tuple[float, float]:
-    rng = np.random.default_rng(seed)
-    means = np.concatenate([
-        values[rng.integers(0, values.size, size=(min(BLOCK, resamples - at), values.size))].mean(axis=1)
-        for at in range(0, resamples, BLOCK)
-    ])
-    lo, hi = np.percentile(means, [alpha / 2 * 100, (1 - alpha / 2) * 100])
-    return float(lo), float(hi)
-
-
-def bootstrap_poisson(
-    values: DataFrame, by: Sequence[str], *, unit: str = "qid", value: str = "value", resamples: int = 200,
+def bootstrap(
+    values: DataFrame, by: Sequence[str], *, unit: str = "qid", value: str = "value", resamples: int = RESAMPLES,
     alpha: float = ALPHA,
 ) -> DataFrame:
     """``by..., ci_lo, ci_hi`` by Poisson resampling: additive, so no group is ever gathered.
 
-    Every value gets a weight per resample that depends on its unit alone. Weighted sums are
-    ordinary partial aggregates, and the same unit weighs the same in every group, which keeps
-    groups comparable.
-    """
-    draws = values.select(*by, unit, value, F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("_b"))
-    weighted = draws.withColumn("_w", poisson_weight(F.col(unit), F.col("_b")))
-    means = weighted.groupBy(*by, "_b").agg(
-        F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col(value)).alias("_swx")
-    ).where("_sw > 0").withColumn("_m", F.round(F.col("_swx") / F.col("_sw"), 12))
-    cut = F.percentile("_m", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))
-    return means.groupBy(*by).agg(cut.alias("_c")).select(*by, F.get("_c", F.lit(0)).alias("ci_lo"), F.get("_c", F.lit(1)).alias("ci_hi"))
-
-
-def bootstrap_exact(
-    values: DataFrame, by: Sequence[str], *, unit: str = "qid", value: str = "value", resamples: int = RESAMPLES,
-    seed: int = SEED, alpha: float = ALPHA, limit: int = EXACT_LIMIT,
-) -> DataFrame:
-    """``by..., ci_lo, ci_hi`` by the seeded percentile bootstrap.
-
-    A group is one cell's queries. Groups beyond ``limit`` values take the additive form instead,
-    so no task holds more than ``limit`` values.
+    Every value gets a weight per resample that depends on its unit alone, so the same unit weighs the
+    same in every group, which keeps groups comparable. A slice of a group becomes two vectors of
+    weighted sums; vectors of slices add up. No row is multiplied by the resamples.
     """
     by = list(by)
-    sizes = values.groupBy(*by).agg(F.count("*").alias("_n"))
-    small = values.join(sizes.where(F.col("_n") <= limit), by, "left_semi")
-    large = values.join(sizes.where(F.col("_n") > limit), by, "left_semi")
-    schema = values.select(*by).schema.add("ci_lo", "double").add("ci_hi", "double")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(unit)[value].to_numpy(dtype=np.float64)
-        lo, hi = _group_interval(ordered, resamples, seed, alpha)
-        return pd.DataFrame([[*pdf.iloc[0][by], lo, hi]], columns=[*by, "ci_lo", "ci_hi"])
-
-    exact = small.groupBy(*by).applyInPandas(one, schema)
-    return exact.unionByName(bootstrap_poisson(large, by, unit=unit, value=value, alpha=alpha))
-
-
-def mean_interval(values: DataFrame, by: Sequence[str], *, unit: str = "qid", value: str = "value", exact: bool = True, **options) -> DataFrame:
+    rows = values.select(*by, F.col(unit).cast("string").alias("_u"), F.col(value).cast("double").alias("_x"))
+    most = rows.groupBy(*by).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_n")).first()["_n"] or 0
+    slices = max(1, -(-most // SLICE))
+
+    def sums(key, table):
+        units, x = table.column("_u").to_pylist(), table.column("_x").to_numpy()
+        total, weighted = np.zeros(resamples), np.zeros(resamples)
+        for at in range(0, len(units), CHUNK):
+            w = np.stack([poisson_weights(u, resamples) for u in units[at : at + CHUNK]])
+            total += w.sum(axis=0, dtype=np.float64)
+            weighted += x[at : at + CHUNK] @ w
+        named = {c: pa.array([k.as_py()], type=k.type) for c, k in zip(by, key[: len(by)], strict=True)}
+        return pa.table(named | {"_w": pa.array([total]), "_wx": pa.array([weighted])})
+
+    def ends(key, table):
+        total, weighted = (np.sum([np.asarray(v) for v in table.column(c).to_pylist()], axis=0) for c in ("_w", "_wx"))
+        means = np.round(weighted[total > 0] / total[total > 0], 12)
+        lo, hi = np.percentile(means, [alpha / 2 * 100, (1 - alpha / 2) * 100]) if len(means) else (None, None)
+        named = {c: pa.array([k.as_py()], type=k.type) for c, k in zip(by, key, strict=True)}
+        return pa.table(named | {"ci_lo": pa.array([lo], pa.float64()), "ci_hi": pa.array([hi], pa.float64())})
+
+    kinds = values.select(*by).schema
+    vectors = T.StructType([*kinds.fields, *[T.StructField(c, T.ArrayType(T.DoubleType())) for c in ("_w", "_wx")]])
+    limits = T.StructType([*kinds.fields, *[T.StructField(c, T.DoubleType()) for c in ("ci_lo", "ci_hi")]])
+    dealt = rows.withColumn("_s", F.pmod(F.xxhash64("_u"), F.lit(slices)))
+    return dealt.groupBy(*by, "_s").applyInArrow(sums, vectors).groupBy(*by).applyInArrow(ends, limits)
+
+
+def mean_interval(values: DataFrame, by: Sequence[str], *, unit: str = "qid", value: str = "value", **options) -> DataFrame:
     """``by..., mean, sd, n, ci_lo, ci_hi, half_width``; one value gives an interval of no width."""
-    interval = (bootstrap_exact if exact else bootstrap_poisson)(values, by, unit=unit, value=value, **options)
+    interval = bootstrap(values, by, unit=unit, value=value, **options)
     stats = values.groupBy(*by).agg(
         F.avg(value).alias("mean"), F.coalesce(F.stddev_samp(value), F.lit(0.0)).alias("sd"), F.count("*").alias("n")
     )
@@ -92,7 +79,7 @@ def paired_deltas(pairs: DataFrame, scores: DataFrame, *, cell: str = "cell", va
     return joined.withColumn("delta", F.round(F.col("_to") - F.col("_from"), 9)).drop("_to", "_from")
 
 
-def paired_summary(deltas: DataFrame, by: Sequence[str], *, exact: bool = False, drop_same: bool = False, places: int = 6, **options) -> DataFrame:
+def paired_summary(deltas: DataFrame, by: Sequence[str], *, drop_same: bool = False, places: int = 6, **options) -> DataFrame:
     """``by..., mean_delta, ci_lo, ci_hi, wins, ties, losses, n_shared, resolved, material``.
 
     ``drop_same`` leaves out pairs that score alike on every shared query: one ranking under two
@@ -108,7 +95,6 @@ def paired_summary(deltas: DataFrame, by: Sequence[str], *, exact: bool = False,
     )
     if drop_same:
         counts = counts.where(F.col("ties") < F.col("n_shared"))
-    bootstrap = bootstrap_exact if exact else bootstrap_poisson
     interval = bootstrap(deltas, by, value="delta", **options)
     return (
         counts.join(interval, by)

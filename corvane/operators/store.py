@@ -101,7 +101,7 @@ class VectorTable:
             if (found[1]["model_id"], found[1]["dim"]) != (c.model_id, c.dim):
                 raise StoreError(f"collection {c.name!r} is pinned to {found[1]['model_id']}/{found[1]['dim']}")
             return
-        fresh = {"model_id": c.model_id, "dim": c.dim, "buckets": self.buckets, "paths": {}, "batch": -1}
+        fresh = {"model_id": c.model_id, "dim": c.dim, "buckets": self.buckets, "paths": {}, "batches": {}}
         self._publish(c.name, found[0] + 1 if found else 0, fresh)
 
     def names(self) -> list[str]:
@@ -115,8 +115,9 @@ class VectorTable:
         found = self._latest(name)
         return found is not None and not found[1].get("dropped")
 
-    def last_batch(self, name: str) -> int:
-        return int(self._need(name)[1].get("batch", -1))
+    def last_batch(self, name: str, stream: str = "") -> int:
+        """The last batch that ``stream`` has committed; numbers of different streams are apart."""
+        return int(self._need(name)[1].get("batches", {}).get(stream, -1))
 
     # -- reading -------------------------------------------------------------------------------
 
@@ -161,15 +162,15 @@ class VectorTable:
 
     def replace(
         self, name: str, rows: DataFrame | None, sources: DataFrame | None, removed: DataFrame | None = None,
-        *, batch: int | None = None,
+        *, batch: int | None = None, stream: str = "",
     ) -> bool:
         """Drop every row of the URIs in ``sources`` and ``removed``, add ``rows``; one commit.
 
         ``sources`` lists all sources being written, also those that yield no chunks. With a
-        ``batch`` number the commit is idempotent: a batch at or before the last one is a no-op.
+        ``batch`` number the commit is idempotent: a batch at or before its stream's last one is a no-op.
         """
         version, data = self._need(name)
-        if batch is not None and batch <= int(data.get("batch", -1)):
+        if batch is not None and batch <= self.last_batch(name, stream):
             return False
         n, dim = int(data["buckets"]), int(data["dim"])
         parts = [d.select("uri") for d in (sources, removed) if d is not None]
@@ -186,8 +187,8 @@ class VectorTable:
             self._write(folder, "sources", self._read(data, "sources", SOURCES, touched), gone, sources,
                         [f.name for f in SOURCES.fields], n)
             paths = {**data["paths"], **{str(b): folder for b in touched}}
-            fresh = {**data, "paths": paths, "batch": batch if batch is not None else data.get("batch", -1)}
-            self._publish(name, version + 1, fresh)
+            batches = data.get("batches", {}) | ({} if batch is None else {stream: batch})
+            self._publish(name, version + 1, {**data, "paths": paths, "batches": batches})
         return True
 
     def _write(self, folder, kind, old, gone, new, columns, n) -> None:
@@ -205,9 +206,22 @@ class VectorTable:
         """The target takes over the staging collection's files, model and width; staging goes."""
         version, data = self._need(staging)
         old = self._latest(target)
-        self._publish(target, old[0] + 1 if old else 0, dict(data))
+        own = old[1].get("batches", {}) if old else {}  # the target's streams go on where they were
+        self._publish(target, old[0] + 1 if old else 0, {**data, "batches": own})
         self._publish(staging, version + 1, {**data, "paths": {}, "dropped": True})
 
+    def vacuum(self, name: str) -> int:
+        """Remove the data folders of the collection that no manifest names any more; how many went.
+
+        A swapped collection's files lie under its staging name, so all collections are asked. Not while an
+        older view is being read: that view's files are what goes.
+        """
+        used = {p for n in self.names() for p in self._need(n)[1]["paths"].values()}
+        gone = [f for f in self.files.names("data", name) if f"data/{name}/{f}" not in used]
+        for folder in gone:
+            self.files.delete("data", name, folder)
+        return len(gone)
+
     def compact(self, name: str) -> None:
         """Rewrite the collection into one folder with large files; rows and ``seq`` stay."""
         version, data = self._need(name)

@@ -10,6 +10,7 @@ from corvane.functions.text import tokens
 from corvane.operators import audit as A
 from corvane.operators import effects as E
 from corvane.operators import spans as P
+from corvane.operators import stats as S
 from corvane.operators.chunking import whitespace_windows
 from corvane.operators.topk import exact_topk
 from corvane.plans import evaluation as ev
@@ -104,7 +105,7 @@ def agg_duplicates(spark, sf):
 
 @query("agg_text_coverage", f"""WITH {SETS_SQL}, g AS (SELECT corpus, count(*) AS profiles, max(chars_total) - min(chars_total) AS cd, max(rows) * 4 AS bound, (max(tokens_total) - min(tokens_total)) / max(tokens_total) AS ts FROM sets WHERE overlap_tokens = 0 GROUP BY corpus)
     SELECT corpus, profiles::BIGINT AS profiles, cd::BIGINT AS char_delta, bound::BIGINT AS bound, round(ts * 100, 2) AS token_spread_pct,
-           CASE WHEN cd > bound THEN 'MATERIAL text loss or duplication' WHEN ts > 0.005 THEN 'token counter unit differs across strategies (text identical to within boundary trimming)' ELSE 'consistent' END AS verdict FROM g WHERE profiles >= 2""")
+           CASE WHEN cd > bound THEN 'text_differs' WHEN ts > 0.005 THEN 'counters_differ' ELSE 'consistent' END AS verdict FROM g WHERE profiles >= 2""")
 def agg_text_coverage(spark, sf):
     return A.text_coverage(sets(spark, sf))
 
@@ -171,6 +172,8 @@ def true_cap(spark, sf):
     return sets(spark, sf).select("corpus", "profile", E.true_cap(*args, APPENDED).cast(L).alias("appended_cap"), E.true_cap(*args).cast(L).alias("native_cap"))
 
 
+DECLARED = ("docs_de", "docs_en", "docs_es", "docs_fr")  # the corpora that a report may name
+
 # -- spans -----------------------------------------------------------------------------------------
 
 SPAN_GRID = ((16, 0), (16, 8), (32, 0), (32, 8), (64, 0), (64, 8))
@@ -182,8 +185,9 @@ def span_bits(spark, sf) -> DataFrame:
         "doc_id", F.concat(F.lit("docs_"), "lang").alias("corpus"), "text", hygiene.middle_words(F.col("text")).alias("answer")
     ).withColumn("start", F.position(F.col("answer"), F.col("text")) - 1)
     end = F.col("start") + F.length("answer")
+    docs = docs.withColumn("marks", P.piece_marks(F.col("text")))  # tokens are found once for the whole grid
     every = F.array(*[
-        F.struct(F.lit(c).alias("max_tokens"), F.lit(o).alias("overlap_tokens"), P.window_spans(F.col("text"), c, o).alias("spans"))
+        F.struct(F.lit(c).alias("max_tokens"), F.lit(o).alias("overlap_tokens"), P.spans_of(F.col("marks"), c, o).alias("spans"))
         for c, o in SPAN_GRID
     ])
     # A document without an answer gets no cells; a filter on the answer would be computed twice.
@@ -219,12 +223,15 @@ def agg_span_integrity(spark, sf):
     return got.withColumn("max_tokens", F.col("max_tokens").cast(L)).withColumn("overlap_tokens", F.col("overlap_tokens").cast(L))
 
 
-def flag_pairs(bits: DataFrame) -> DataFrame:
-    """Wins, ties and losses of every one-axis step, low level to high, over shared questions.
+def flag_deltas(bits: DataFrame) -> DataFrame:
+    """Per question the difference of every one-axis step, low level to high, between cells that are fit.
 
     The grid is known, so each question's cells are pivoted into its row by aggregation and every
-    pair is compared there.
+    pair is compared there. A cell whose contexts have too few chunks is compared with nothing.
     """
+    fit = bits.groupBy("corpus", "max_tokens", "overlap_tokens").agg(F.avg("n_chunks").alias("n")).where(F.col("n") >= P.MIN_CHUNKS_PER_CONTEXT)
+    bits = bits.join(fit.drop("n"), ["corpus", "max_tokens", "overlap_tokens"], "left_semi")
+
     def cell(c, o):
         return F.bool_or(F.when((F.col("max_tokens") == c) & (F.col("overlap_tokens") == o), F.col("intact")))
 
@@ -237,22 +244,22 @@ def flag_pairs(bits: DataFrame) -> DataFrame:
                 held, low, high = (o, c, c2) if axis == "max_tokens" else (c, o, o2)
                 structs.append(F.struct(
                     F.lit(axis).alias("axis"), F.lit(held).cast(L).alias("held"), F.lit(low).cast(L).alias("from_level"), F.lit(high).cast(L).alias("to_level"),
-                    (F.col(f"_{c2}_{o2}").cast("int") - F.col(f"_{c}_{o}").cast("int")).alias("delta"),
+                    (F.col(f"_{c2}_{o2}").cast("int") - F.col(f"_{c}_{o}").cast("int")).cast("double").alias("delta"),
                 ))
-    return rows.select("corpus", F.inline(F.array(*structs))).groupBy("axis", "corpus", "held", "from_level", "to_level").agg(
-        F.count_if(F.col("delta") > 0).alias("wins"), F.count_if(F.col("delta") == 0).alias("ties"), F.count_if(F.col("delta") < 0).alias("losses")
-    )
+    return rows.select("corpus", "doc_id", F.inline(F.array(*structs))).where("delta IS NOT NULL")
 
 
-@query("agg_span_axis_effects", f"""WITH {BITS_SQL}, pr AS (
-      SELECT 'max_tokens' AS axis, l.corpus, l.ov AS held, l.cap AS from_level, h.cap AS to_level, h.intact::INT - l.intact::INT AS d FROM bits l JOIN bits h ON l.doc_id = h.doc_id AND l.ov = h.ov AND l.cap < h.cap
-      UNION ALL SELECT 'overlap_tokens', l.corpus, l.cap, l.ov, h.ov, h.intact::INT - l.intact::INT FROM bits l JOIN bits h ON l.doc_id = h.doc_id AND l.cap = h.cap AND l.ov < h.ov),
-    a AS (SELECT axis, corpus, held, from_level, to_level, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, count(*) AS n, avg(d) AS m FROM pr GROUP BY ALL),
-    b AS (SELECT *, 1.959964 * sqrt(greatest(((wins + losses) / n - m * m) / n, 0)) AS half FROM a)
-    SELECT axis, corpus, held::BIGINT AS held, from_level::BIGINT AS from_level, to_level::BIGINT AS to_level, wins::BIGINT AS wins, ties::BIGINT AS ties, losses::BIGINT AS losses, n::BIGINT AS n_shared,
-           round(m, 6) AS mean_delta, round(m - half, 6) AS ci_lo, round(m + half, 6) AS ci_hi, round(m - half, 6) > 0 OR round(m + half, 6) < 0 AS resolved FROM b""")
+@query("agg_span_axis_effects", f"""WITH {BITS_SQL}, fit AS (SELECT corpus, cap, ov FROM bits GROUP BY ALL HAVING avg(n_chunks) >= 2), fb AS (SELECT bits.* FROM bits JOIN fit USING (corpus, cap, ov)), pr AS (
+      SELECT 'max_tokens' AS axis, l.corpus, l.ov AS held, l.cap AS from_level, h.cap AS to_level, l.doc_id, h.intact::INT - l.intact::INT AS d FROM fb l JOIN fb h ON l.doc_id = h.doc_id AND l.ov = h.ov AND l.cap < h.cap
+      UNION ALL SELECT 'overlap_tokens', l.corpus, l.cap, l.ov, h.ov, l.doc_id, h.intact::INT - l.intact::INT FROM fb l JOIN fb h ON l.doc_id = h.doc_id AND l.cap = h.cap AND l.ov < h.ov),
+    {ev.weights_sql("doc_id", "documents", "dw", "doc_id")}, {ev._interval_sql("pi", "pr", "axis, corpus, held, from_level, to_level", "d", "doc_id", "dw")},
+    a AS (SELECT axis, corpus, held, from_level, to_level, count(*) FILTER (d > 0) AS wins, count(*) FILTER (d = 0) AS ties, count(*) FILTER (d < 0) AS losses, count(*) AS n, round(avg(d), 6) AS m FROM pr GROUP BY ALL)
+    SELECT axis, corpus, held::BIGINT AS held, from_level::BIGINT AS from_level, to_level::BIGINT AS to_level, wins::BIGINT AS wins, ties::BIGINT AS ties, losses::BIGINT AS losses, n::BIGINT AS n_shared, m AS mean_delta,
+           round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(ci_lo, 6) > 0 OR round(ci_hi, 6) < 0 AS resolved, (round(ci_lo, 6) > 0 OR round(ci_hi, 6) < 0) AND abs(m) >= 0.005 AS material
+    FROM a JOIN pi USING (axis, corpus, held, from_level, to_level)""")
 def agg_span_axis_effects(spark, sf):
-    return P.flag_effects(flag_pairs(span_bits(spark, sf)))
+    """Paired over the same questions, with the bootstrap of every other comparison."""
+    return S.paired_summary(flag_deltas(span_bits(spark, sf)), ["axis", "corpus", "held", "from_level", "to_level"], unit="doc_id")
 
 
 @query("span_profiles", """SELECT strategy, cap::BIGINT AS max_tokens, ov::BIGINT AS overlap_tokens, count(*)::BIGINT AS documents
@@ -310,16 +317,14 @@ def agg_blind_spot(spark, sf):
     return P.blind_spot(plain.unionByName(over), ["max_tokens", "overlap_tokens"])
 
 
-@query("chunk_locate_offsets")
+@query("chunk_locate_offsets", f"""WITH {sql.chunk_cte(cols='doc_id, lang')} SELECT lang, count(*)::BIGINT AS chunks, count(*)::BIGINT AS as_cut FROM chunks GROUP BY lang""")
 def chunk_locate_offsets(spark, sf):
-    """Chunk texts searched back in their documents, beside the ranges known from the cut."""
-    docs = t.documents(spark, sf).select("doc_id", "lang", "text", P.window_spans(F.col("text"), 64, 16).alias("known"))
+    """Chunks looked up in their documents at the offsets that the cut gives: is it the same text?"""
+    docs = t.documents(spark, sf).select("lang", "text", P.window_spans(F.col("text"), 64, 16).alias("spans"))
     texts = F.transform(whitespace_windows(tokens(F.col("text")), 64, 16), lambda w: F.array_join(w, " "))
-    found = docs.withColumn("found", P.located_spans(F.col("text"), texts))
-    return found.groupBy("lang").agg(
-        F.sum(F.size("known")).alias("chunks"),
-        F.sum(F.size(F.filter("found", lambda s: s.isNull()))).alias("unlocatable"),
-        F.sum(F.size(F.filter(F.zip_with("known", "found", lambda a, b: a == b), lambda same: same))).alias("as_cut"),
+    same = F.zip_with("spans", texts, lambda s, c: P.text_at(F.col("text"), s) == c)
+    return docs.select("lang", F.size("spans").alias("n"), F.size(F.filter(same, lambda x: x)).alias("hit")).groupBy("lang").agg(
+        F.sum("n").alias("chunks"), F.sum("hit").alias("as_cut")
     )
 
 
@@ -346,7 +351,7 @@ def cells_void(spark, sf):
         F.round(100.0 * (F.sum(n) - F.sum(F.least(n, F.lit(60)))) / F.sum(n), 4).alias("token_mass_lost_pct")
     ).withColumn("embedding", F.lit("hash-16"))
     judged = E.void_cells(ev.cells(spark, sf), moved, clipped)
-    verdict = F.when(F.col("reason").isNull(), "kept").when(F.startswith("reason", F.lit("chunk set")), "recut").otherwise("clipped")
+    verdict = F.when(F.col("reason").isNull(), "kept").when(F.startswith("reason", F.lit("recut")), "recut").otherwise("clipped")
     return judged.select("cell", verdict.alias("verdict"))
 
 
@@ -363,7 +368,8 @@ def cells_unscored(spark, sf):
 
 @query("cells_reject_foreign", f"WITH {ev.CELLS_SQL} SELECT corpus, count(*)::BIGINT AS cells FROM cells GROUP BY corpus")
 def cells_reject_foreign(spark, sf):
-    return E.reject_foreign(ev.cells(spark, sf), ev.corpora(spark, sf)).groupBy("corpus").agg(F.count("*").alias("cells"))
+    """The cells of the declared corpora; the job fails when the documents hold another one."""
+    return E.reject_foreign(ev.cells(spark, sf), DECLARED).groupBy("corpus").agg(F.count("*").alias("cells"))
 
 
 @query("cells_provenance", """SELECT '{"box":"' || event_type || '","measured_utc":"' || strftime(date_trunc('month', ts), '%Y-%m') || '"}' AS run, count(*)::BIGINT AS cells FROM events WHERE event_type <> 'error' GROUP BY ALL""")

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.rows import fan_out
+from corvane.functions.stats import DRAWS, POISSON_CDF
 from corvane.functions.text import tokens
 from corvane.operators import effects as E
 from corvane.operators import metrics as M
@@ -47,32 +48,51 @@ def once(spark, sf, name, build) -> DataFrame:
 # -- judgements ------------------------------------------------------------------------------------
 
 
-def passage_qrels(spark, sf) -> DataFrame:
-    """``qid, corpus, doc_id, rel``: documents holding a passage (2), or eight inner words of it (1).
-
-    The eight words make an equi-join key: only documents sharing a run of words with a passage
-    are compared with it.
-    """
-    toks = tokens(F.col("text"))
-    anchor = F.when(F.size(toks) >= ANCHOR + 2, F.array_join(F.slice(toks, 2, ANCHOR), " ")).otherwise(
-        F.raise_error(F.lit("a passage needs ten words to be looked for"))
-    )
-    asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), anchor.alias("run"))
-    docs = t.documents(spark, sf).select("doc_id", "lang", "text")
-    runs = F.when(F.size("_t") >= ANCHOR, F.transform(
-        F.sequence(F.lit(1), F.size("_t") - ANCHOR + 1), lambda i: F.array_join(F.slice(F.col("_t"), i, ANCHOR), " ")
+def word_runs(toks, size: int):
+    """Every run of ``size`` words; none when there are fewer."""
+    return F.when(F.size(toks) >= size, F.transform(
+        F.sequence(F.lit(1), F.size(toks) - size + 1), lambda i: F.array_join(F.slice(toks, i, size), " ")
     )).otherwise(F.array().cast("array<string>"))
-    shingles = fan_out(docs.select("doc_id", toks.alias("_t")), ["doc_id"], runs, "run")
-    found = shingles.join(asked.select("run", "qid"), "run").select("doc_id", "qid").distinct()
-    rel = F.when(F.contains("text", F.col("passage")), 2).otherwise(1)
-    return found.join(docs, "doc_id").join(asked, "qid").select(
-        "qid", F.concat(F.lit("docs_"), "lang").alias("corpus"), "doc_id", rel.alias("rel")
-    )
 
 
-QRELS_SQL = f"""qpass AS (SELECT item_id AS qid, text, ' ' || array_to_string(list_slice({sql.toks('text')}, 2, 9), ' ') || ' ' AS run FROM benchmark),
-    dflat AS (SELECT doc_id, lang, text, ' ' || array_to_string({sql.toks('text')}, ' ') || ' ' AS flat FROM documents),
-    qrels AS (SELECT qid, 'docs_' || lang AS corpus, doc_id, CASE WHEN contains(dflat.text, qpass.text) THEN 2 ELSE 1 END AS rel FROM qpass JOIN dflat ON contains(flat, run))"""
+def passage_qrels(spark, sf) -> DataFrame:
+    """``qid, corpus, doc_id, rel``: documents holding a passage (2), or any eight words in a row of it (1).
+
+    A passage under eight words counts as one run. Documents send hashes of their runs, which meet the
+    passages' in an equi-join (broadcast when the passages are few); the run itself confirms a hit.
+    """
+    asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), tokens(F.col("text")).alias("_p"))
+    asked = asked.where(F.size("_p") > 0).withColumn("k", F.least(F.size("_p"), F.lit(ANCHOR)))
+    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most ANCHOR numbers
+    runs = F.coalesce(*[F.when(F.col("k") == k, word_runs(F.col("_p"), k)) for k in sizes], F.array().cast("array<string>"))
+    asked = asked.select("qid", "passage", F.explode(runs).alias("run"))
+    docs = t.documents(spark, sf).where("lang IS NOT NULL").select("doc_id", "lang", "text")
+    hashes = lambda c: F.transform(c, lambda r: F.xxhash64(r))
+    own = F.concat(F.array().cast("array<long>"), *[hashes(word_runs(F.col("_t"), k)) for k in sizes])
+    rows = fan_out(docs.select("doc_id", tokens(F.col("text")).alias("_t")), ["doc_id"], own, "h")
+    wanted = cut_lineage(asked.select(F.xxhash64("run").alias("h"), "qid", "run").distinct())
+    few = wanted.count() <= 1_000_000  # a number, an id and eight words each
+    found = rows.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "qid", "run").distinct()
+    flat = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
+    sure = found.join(docs, "doc_id").where(F.contains(flat, F.concat(F.lit(" "), "run", F.lit(" "))))
+    passages = asked.select("qid", "passage").distinct()
+    rel = F.max(F.when(F.contains("text", F.col("passage")), 2).otherwise(1))
+    return sure.join(passages, "qid").groupBy("qid", F.concat(F.lit("docs_"), "lang").alias("corpus"), "doc_id").agg(rel.alias("rel"))
+
+
+def _runs_sql(words: str, k: str) -> str:
+    return f"list_transform(range(1, len({words}) - {k} + 2), lambda i: array_to_string(list_slice({words}, i, i + {k} - 1), ' '))"
+
+
+QRELS_SQL = f"""qpass AS (SELECT item_id AS qid, text, {sql.toks('text')} AS w FROM benchmark),
+    qruns AS (SELECT DISTINCT qid, unnest({_runs_sql('w', f'least(len(w), {ANCHOR})')}) AS run FROM qpass WHERE len(w) > 0),
+    dtoks AS (SELECT doc_id, {sql.toks('text')} AS w FROM documents WHERE lang IS NOT NULL),
+    druns AS (SELECT DISTINCT doc_id, unnest({_runs_sql('w', str(ANCHOR))}) AS run FROM dtoks WHERE len(w) >= {ANCHOR}),
+    short AS (SELECT qid, run FROM qruns SEMI JOIN (SELECT qid FROM qpass WHERE len(w) < {ANCHOR}) USING (qid)),
+    qhit AS (SELECT qid, doc_id FROM qruns JOIN druns USING (run)
+             UNION SELECT qid, doc_id FROM short JOIN dtoks ON contains(' ' || array_to_string(w, ' ') || ' ', ' ' || run || ' ')),
+    qrels AS (SELECT qid, 'docs_' || lang AS corpus, doc_id, CASE WHEN contains(documents.text, qpass.text) THEN 2 ELSE 1 END AS rel
+              FROM qhit JOIN qpass USING (qid) JOIN documents USING (doc_id))"""
 
 
 @query("qrels_passages", f"WITH {QRELS_SQL} SELECT qid, corpus, doc_id, rel::BIGINT AS rel FROM qrels")
@@ -120,8 +140,9 @@ def grid_rankings(spark, sf, dim: int, words: int | None = None) -> DataFrame:
 
 
 def corpora(spark, sf) -> list[str]:
-    """The corpora are the languages of the documents; their number does not grow with the data."""
-    return ["docs_de", "docs_en", "docs_es", "docs_fr"]
+    """One corpus per language that the documents have; a document without a language is in none."""
+    found = t.table(spark, sf, "documents").select("lang").where("lang IS NOT NULL").distinct().orderBy("lang")
+    return [f"docs_{r['lang']}" for r in found.collect()]
 
 
 def _asked(spark, sf, cells) -> DataFrame:
@@ -131,7 +152,8 @@ def _asked(spark, sf, cells) -> DataFrame:
 
 def sweep_scores(spark, sf, words: int | None = None) -> DataFrame:
     """``cell, corpus, profile, axes..., embedding, dim, method, qid, ndcg, recall, mrr, p1``."""
-    qrels = passage_qrels(spark, sf)
+    qrels = cut_lineage(passage_qrels(spark, sf))
+    names = corpora(spark, sf)
     parts = []
     lexical = None
     for dim in DIMS:
@@ -140,7 +162,7 @@ def sweep_scores(spark, sf, words: int | None = None) -> DataFrame:
             ranked = cut_lineage(ranked)
         asked = _asked(spark, sf, [
             F.struct(F.lit(c).alias("corpus"), F.lit(m).alias("max_tokens"), F.lit(o).alias("overlap_tokens"))
-            for c in corpora(spark, sf) for m in CAPS for o in OVERLAPS
+            for c in names for m in CAPS for o in OVERLAPS
         ])
         plain = M.per_query_metrics(ranked, qrels, asked, K, segments=PROFILE_COLS, decimals=6)
         parts.append(plain.withColumn("method", F.lit(None).cast("string")).withColumn("dim", F.lit(dim)))
@@ -159,7 +181,7 @@ def sweep_scores(spark, sf, words: int | None = None) -> DataFrame:
             one = rows.withColumn("method", F.lit(name))
             methods = one if methods is None else methods.unionByName(one)
         asked = _asked(spark, sf, [
-            F.struct(F.lit(c).alias("corpus"), F.lit(m).alias("method")) for c in corpora(spark, sf) for m in ("dense", "bm25", "hybrid")
+            F.struct(F.lit(c).alias("corpus"), F.lit(m).alias("method")) for c in names for m in ("dense", "bm25", "hybrid")
         ])
         declared = M.per_query_metrics(methods, qrels, asked, K, segments=["corpus", "method"], decimals=6)
         parts.append(declared.withColumn("max_tokens", F.lit(CAPS[0])).withColumn("overlap_tokens", F.lit(0)).withColumn("dim", F.lit(dim)))
@@ -208,7 +230,7 @@ def _metrics_sql(name: str, ranking: str, keys: str, asked: str) -> str:
         FROM {asked} a LEFT JOIN {name}_h h USING ({keys}, corpus, qid) LEFT JOIN {name}_i i USING (corpus, qid))"""
 
 
-_LANGS = "(SELECT unnest(['docs_de', 'docs_en', 'docs_es', 'docs_fr']) AS corpus)"
+_LANGS = "(SELECT DISTINCT 'docs_' || lang AS corpus FROM documents WHERE lang IS NOT NULL)"
 
 PLAIN_SQL = f"""{_grid_sql()},
     asked AS (SELECT dim, cap, ov, corpus, item_id AS qid FROM (VALUES (16), (64)) d(dim), g, {_LANGS}, benchmark),
@@ -272,22 +294,31 @@ def agg_mean_metrics(spark, sf):
 
 # -- intervals -------------------------------------------------------------------------------------
 
-RESAMPLES = 200
-_CDF = "".join(f" WHEN u < {p!r} THEN {float(i)}" for i, p in enumerate(__import__("corvane.functions.stats", fromlist=["x"]).POISSON_CDF))
-WEIGHTS_SQL = f"""wts AS (SELECT qid, b, CASE{_CDF} ELSE 9.0 END AS w
-      FROM (SELECT item_id AS qid, b, ('0x' || substr(md5(item_id || '|' || b), 1, 8))::BIGINT / 4294967296.0 AS u FROM benchmark, range(1, {RESAMPLES + 1}) r(b)))"""
+_CDF = "".join(f" WHEN u < {p!r} THEN {float(i)}" for i, p in enumerate(POISSON_CDF))
 
 
-def _interval_sql(name: str, src: str, keys: str, value: str) -> str:
+def weights_sql(unit: str = "item_id", table: str = "benchmark", name: str = "wts", key: str = "qid") -> str:
+    """The weights of every unit in every resample, by the same MD5s."""
+    return f"""{name} AS (SELECT {key}, b, CASE{_CDF} ELSE 9.0 END AS w
+      FROM (SELECT {key}, block * {DRAWS} + k AS b, ('0x' || substr(h, 4 * k + 1, 4))::BIGINT / 65536.0 AS u
+            FROM (SELECT {unit} AS {key}, block, md5({unit} || '|' || block) AS h FROM {table}, range(0, {S.RESAMPLES // DRAWS}) r(block)), range(0, {DRAWS}) s(k)))"""
+
+
+WEIGHTS_SQL = weights_sql()
+
+
+def _interval_sql(name: str, src: str, keys: str, value: str, unit: str = "qid", weights: str = "wts") -> str:
     return f"""{name} AS (SELECT {keys}, quantile_cont(m, 0.025) AS ci_lo, quantile_cont(m, 0.975) AS ci_hi
-      FROM (SELECT {keys}, b, round(sum(w * {value}) / sum(w), 12) AS m FROM {src} JOIN wts USING (qid) GROUP BY ALL HAVING sum(w) > 0) GROUP BY ALL)"""
+      FROM (SELECT {keys}, b, round(sum(w * {value}) / sum(w), 12) AS m FROM {src} JOIN {weights} USING ({unit}) GROUP BY ALL HAVING sum(w) > 0) GROUP BY ALL)"""
 
 
-@query("agg_bootstrap_ci")
+@query("agg_bootstrap_ci", f"""WITH {SCORES_SQL}, {WEIGHTS_SQL}, {_interval_sql('ci', 'scores', 'cell', 'recall')},
+    st AS (SELECT cell, avg(recall) AS mean, count(*)::BIGINT AS n FROM scores GROUP BY cell)
+    SELECT cell, n, round(mean, 6) AS mean, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round((ci_hi - ci_lo) / 2, 6) AS half_width FROM st JOIN ci USING (cell)""")
 def agg_bootstrap_ci(spark, sf):
-    """nDCG per cell with the seeded 10,000-fold percentile bootstrap."""
-    values = scores(spark, sf).select("cell", "qid", F.col("ndcg").alias("value"))
-    return S.mean_interval(values, ["cell"])
+    """Recall per cell with its interval."""
+    got = S.mean_interval(scores(spark, sf).select("cell", "qid", F.col("recall").alias("value")), ["cell"])
+    return got.select("cell", "n", *[F.round(c, 6).alias(c) for c in ("mean", "ci_lo", "ci_hi", "half_width")])
 
 
 @query("agg_bootstrap_additive", f"""WITH {SCORES_SQL}, {WEIGHTS_SQL}, {_interval_sql('ci', 'scores', 'cell', 'ndcg')},
@@ -296,7 +327,7 @@ def agg_bootstrap_ci(spark, sf):
 def agg_bootstrap_additive(spark, sf):
     """The same interval by additive resampling, which never gathers a cell."""
     values = scores(spark, sf).select("cell", "qid", F.col("ndcg").alias("value"))
-    got = S.mean_interval(values, ["cell"], exact=False, resamples=RESAMPLES)
+    got = S.mean_interval(values, ["cell"])
     return got.select("cell", "n", *[F.round(c, 6).alias(c) for c in ("mean", "sd", "ci_lo", "ci_hi")])
 
 
@@ -314,7 +345,7 @@ def effects(spark, sf) -> DataFrame:
     """Every one-axis comparison of the sweep, in the raw (unoriented) direction."""
 
     def build():
-        return S.paired_summary(deltas(spark, sf), E.PAIR_COLUMNS, drop_same=True, places=4, resamples=RESAMPLES)
+        return S.paired_summary(deltas(spark, sf), E.PAIR_COLUMNS, drop_same=True, places=4)
 
     return once(spark, sf, "effects", build)
 
@@ -358,10 +389,13 @@ def agg_paired_effects(spark, sf):
     return effects(spark, sf).select(*EFFECT_OUT.split(", "))
 
 
-@query("agg_paired_ci")
+@query("agg_paired_ci", f"""WITH {EFFECTS_SQL}, od AS (SELECT * FROM deltas WHERE axis = 'overlap_tokens'), {_interval_sql('oci', 'od', 'to_cell, from_cell', 'delta')},
+    os AS (SELECT to_cell, from_cell, round(avg(delta), 6) AS mean_delta, count(*)::BIGINT AS n_shared FROM od GROUP BY ALL)
+    SELECT to_cell, from_cell, mean_delta, n_shared, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi, round(ci_lo, 6) > 0 OR round(ci_hi, 6) < 0 AS resolved FROM os JOIN oci USING (to_cell, from_cell)""")
 def agg_paired_ci(spark, sf):
-    """The comparisons along the overlap axis with the seeded percentile bootstrap."""
-    return S.paired_summary(deltas(spark, sf).where("axis = 'overlap_tokens'"), E.PAIR_COLUMNS, exact=True)
+    """The comparisons along the overlap axis, those without any difference too."""
+    got = S.paired_summary(deltas(spark, sf).where("axis = 'overlap_tokens'"), E.PAIR_COLUMNS)
+    return got.select("to_cell", "from_cell", "mean_delta", "n_shared", "ci_lo", "ci_hi", "resolved")
 
 
 @query("agg_material", f"WITH {EFFECTS_SQL} SELECT axis, resolved, material, count(*)::BIGINT AS comparisons, round(min(abs(mean_delta)), 4) AS smallest FROM eff GROUP BY ALL")
@@ -407,7 +441,7 @@ def agg_rung_steps(spark, sf):
 @query("agg_rung_ceiling", f"""WITH {EFFECTS_SQL}, {_steps_sql('corpus, held, held_cap, embedding')}
     SELECT corpus, held, held_cap::BIGINT AS held_cap, embedding, count(*)::BIGINT AS steps, count(*) FILTER (resolved)::BIGINT AS resolved, count(*) FILTER (material)::BIGINT AS material,
            max(to_num) FILTER (material) AS highest_material, max_by(from_num, to_num) AS last_from, max(to_num) AS last_to, max_by(mean_delta, to_num) AS last_delta,
-           CASE WHEN max_by(stp.material, to_num) THEN 'material' WHEN max_by(stp.resolved, to_num) THEN 'resolved, immaterial' ELSE 'unresolved' END AS last_state
+           CASE WHEN max_by(stp.material, to_num) THEN 'material' WHEN max_by(stp.resolved, to_num) THEN 'small' ELSE 'unresolved' END AS last_state
     FROM stp GROUP BY corpus, held, held_cap, embedding""")
 def agg_rung_ceiling(spark, sf):
     return E.rung_ceiling(oriented(spark, sf)).withColumn("held_cap", F.col("held_cap").cast(L))
@@ -446,7 +480,7 @@ def agg_winners(spark, sf):
     SELECT corpus, (SELECT count(*) FROM benchmark)::BIGINT AS queries, round(avg((ci_hi - ci_lo) / 2), 6) AS half_width, round(2 * avg((ci_hi - ci_lo) / 2), 6) AS separable FROM ci GROUP BY corpus""")
 def agg_precision_table(spark, sf):
     values = scores(spark, sf).select("corpus", "cell", "qid", F.col("ndcg").alias("value"))
-    got = S.mean_interval(values, ["corpus", "cell"], exact=False, resamples=RESAMPLES)
+    got = S.mean_interval(values, ["corpus", "cell"])
     return got.groupBy("corpus").agg(
         F.max("n").alias("queries"), F.round(F.avg("half_width"), 6).alias("half_width"), F.round(2 * F.avg("half_width"), 6).alias("separable")
     )
@@ -518,22 +552,35 @@ def agg_query_power(spark, sf):
     return S.query_power(oriented(spark, sf), ["corpus"], POWER_LADDER)
 
 
-@query("agg_power_validation")
+HALVES = (1, 2, 3)  # seeds of the subsamples
+
+
+@query("agg_power_validation", f"""WITH {EFFECTS_SQL}, hd AS (SELECT d.*, seed FROM deltas d, (VALUES (1), (2), (3)) s(seed) WHERE ('0x' || substr(md5('half|' || seed || '|' || qid), 1, 8))::BIGINT / 4294967296.0 < 0.5),
+    hs AS (SELECT seed, axis, to_cell, from_cell, round(avg(delta), 6) AS mean_delta, count(*) AS n_shared FROM hd GROUP BY ALL HAVING count(*) FILTER (delta = 0) < count(*)),
+    {_interval_sql('hci', 'hd', 'seed, to_cell, from_cell', 'delta')},
+    hr AS (SELECT hs.*, round(ci_lo, 6) AS ci_lo, round(ci_hi, 6) AS ci_hi FROM hs JOIN hci USING (seed, to_cell, from_cell)),
+    told AS (SELECT *, {_NEED_SQL} <= (SELECT count(*) FROM benchmark) AS predicted FROM hr WHERE NOT (ci_lo > 0 OR ci_hi < 0)),
+    c AS (SELECT t.axis, count(*) AS unresolved_on_half, count(*) FILTER (predicted) AS predicted, count(*) FILTER (e.resolved) AS resolved, count(*) FILTER (predicted AND e.resolved) AS agreed
+          FROM told t JOIN eff e USING (to_cell, from_cell) GROUP BY t.axis)
+    SELECT axis, unresolved_on_half::BIGINT AS unresolved_on_half, predicted::BIGINT AS predicted, resolved::BIGINT AS resolved, agreed::BIGINT AS agreed,
+           CASE WHEN predicted > 0 THEN round(agreed / predicted, 6) END AS "precision", CASE WHEN resolved > 0 THEN round(agreed / resolved, 6) END AS recall FROM c""")
 def agg_power_validation(spark, sf):
     """Do effects unresolved on half the queries resolve on all of them when predicted to?
 
-    The half is drawn by hash, so it is the same whichever task looks at a query.
+    Over repeated halves, drawn by hash, so they are the same whichever task looks at a query.
     """
     from corvane.functions.stats import uniform
 
-    half = deltas(spark, sf).where(uniform(F.lit("half"), F.col("qid")) < 0.5)
-    small = S.paired_summary(half, E.PAIR_COLUMNS, drop_same=True, resamples=RESAMPLES)
+    seeds = deltas(spark, sf).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in HALVES])))
+    half = seeds.where(uniform(F.lit("half"), F.col("seed"), F.col("qid")) < 0.5)
+    small = S.paired_summary(half, ["seed", *E.PAIR_COLUMNS], drop_same=True)
     need = S.queries_to_resolve((F.col("ci_hi") - F.col("ci_lo")) / 2, F.col("mean_delta"), F.col("n_shared"))
     total = t.table(spark, sf, "benchmark").agg(F.count("*").alias("n")).scalar()
     told = small.where("NOT resolved").select("axis", "to_cell", "from_cell", (need <= total).alias("predicted"))
     seen = effects(spark, sf).select("to_cell", "from_cell", "resolved")
-    both = told.join(seen, ["to_cell", "from_cell"])
-    return both.groupBy("axis").agg(
+    counts = told.join(seen, ["to_cell", "from_cell"]).groupBy("axis").agg(
         F.count("*").alias("unresolved_on_half"), F.count_if("predicted").alias("predicted"), F.count_if("resolved").alias("resolved"),
-        F.count_if(F.col("predicted") & F.col("resolved")).alias("both"),
+        F.count_if(F.col("predicted") & F.col("resolved")).alias("agreed"),
     )
+    share = lambda of: F.when(F.col(of) > 0, F.round(F.col("agreed") / F.col(of), 6))
+    return counts.withColumn("precision", share("predicted")).withColumn("recall", share("resolved"))

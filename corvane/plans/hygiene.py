@@ -165,11 +165,10 @@ def src_connector(spark, sf):
 # -- extraction and routing ------------------------------------------------------------------------
 
 
-@query("extract_text", """SELECT doc_id, CASE WHEN strlen(text) > 20000 THEN 'file is larger than the text cap' END AS error,
-    CASE WHEN strlen(text) <= 20000 THEN length(text)::BIGINT END AS chars FROM documents""")
+@query("extract_text", "SELECT doc_id, NULL::VARCHAR AS error, length(text)::BIGINT AS chars FROM documents")
 def extract_text_plan(spark, sf):
     files = t.documents(spark, sf).select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    return extract_text(files, cap=20000).select("doc_id", "error", F.length("text").cast(L).alias("chars"))
+    return extract_text(files).select("doc_id", "error", F.length("text").cast(L).alias("chars"))
 
 
 @query("extract_html")
@@ -356,11 +355,11 @@ def snippet_plan(spark, sf):
     return t.documents(spark, sf).select("doc_id", snippet(F.col("text")).alias("snippet"))
 
 
-for _strategy in ("recursive", "markdown", "fast", "semantic", "late"):
+for _strategy in ("recursive", "markdown", "fast", "semantic"):
 
     def _split_plan(spark, sf, strategy=_strategy):
         docs = t.documents(spark, sf).select("doc_id", "lang", "text")
-        return split_documents(docs, strategy, max_tokens=t.CAP, overlap=8 if strategy != "semantic" and strategy != "late" else 0)
+        return split_documents(docs, strategy, max_tokens=t.CAP, overlap=8 if strategy != "semantic" else 0)
 
     query(f"chunk_{_strategy}")(_split_plan)
 
@@ -439,11 +438,12 @@ def truncation_audit(chunks, by, token_cap: int):
     )
 
 
-@query("summarize")
+@query("summarize", f"""WITH {sql.chunk_cte(cap=256, cols='doc_id, text')}
+    SELECT doc_id, ordinal::BIGINT AS ordinal, trim(array_to_string(list_slice(regexp_extract_all(text, '[^.!?]+[.!?]*'), 1, 2), '')) AS summary FROM chunks""")
 def summarize(spark, sf):
     """The offline summary, taken per document and carried by each of its chunks."""
     docs = t.documents(spark, sf).select("doc_id", "text", leading_sentences(F.col("text")).alias("summary"))
-    return C.chunk_whitespace(docs, 256).select("doc_id", "ordinal", "summary")
+    return C.chunk_whitespace(docs, 256).select("doc_id", F.col("ordinal").cast(L).alias("ordinal"), "summary")
 
 
 @query("language_of", "SELECT doc_id, 'docs_' || lang || '_slice' AS corpus, CASE WHEN lang = 'de' THEN 'german' ELSE 'english' END AS language FROM documents")

@@ -6,15 +6,15 @@ from pyspark.sql import functions as F
 
 from corvane.functions.text import doc_uri
 from corvane.operators.embed import hash_embedder
-from corvane.operators.index import forget, index_sources, reconcile
-from corvane.operators.lifecycle import IndexPlan, compaction_due, move_detect, reconcile_diff, reconcile_report, remembered
+from corvane.operators.index import forget, index_sources, reconcile, remember
+from corvane.operators.lifecycle import IndexPlan, compaction_due, move_detect, reconcile_diff, reconcile_report
 from corvane.operators.store import VectorTable
 from corvane.plans import sql
 from corvane.plans import tables as t
 from corvane.plans.hygiene import scratch
 from corvane.plans.registry import query
-from corvane.schema import Collection
-from corvane.streaming.changes import burst_windows, fold_points, last_known
+from corvane.schema import Collection, Dataset
+from corvane.streaming.changes import burst_slices, fold_points, last_known
 
 L = "long"
 PLAN = IndexPlan(embedder=None, dim=t.DIM, max_tokens=t.CAP)
@@ -82,20 +82,30 @@ def index_sources_plan(spark, sf):
     return _per_label(built(spark, sf, t.listing(spark, sf)).rows("docs"))
 
 
-@query("reconcile", f"""WITH {DIFF_SQL}, {sql.chunk_cte()}
-    SELECT (SELECT count(*) FROM diff WHERE status IN ('new', 'changed'))::BIGINT AS indexed, (SELECT count(*) FROM diff WHERE status = 'vanished')::BIGINT AS pruned,
-           (SELECT count(*) FROM diff WHERE status = 'unchanged')::BIGINT AS unchanged, source AS label, count(*)::BIGINT AS chunks, sum(len(toks))::BIGINT AS tokens
+UNREADABLE = "src13"  # the source whose documents cannot be read at the second run
+
+
+@query("reconcile", f"""WITH {DIFF_SQL}, bad AS (SELECT 'doc://' || doc_id AS uri FROM documents WHERE source = '{UNREADABLE}'),
+    st AS (SELECT CASE WHEN status IN ('new', 'changed') AND uri IN (SELECT uri FROM bad) THEN 'failed' ELSE status END AS status FROM diff),
+    final AS (SELECT doc_id, source, text FROM documents WHERE source <> '{UNREADABLE}'
+              UNION ALL SELECT doc_id, source, CASE WHEN quality = 0 THEN 'earlier ' || text ELSE text END FROM documents JOIN labels USING (doc_id) WHERE source = '{UNREADABLE}' AND toxic = 0),
+    {sql.chunk_cte(src='final', cols='doc_id, source')}
+    SELECT (SELECT count(*) FROM st WHERE status IN ('new', 'changed'))::BIGINT AS indexed, (SELECT count(*) FROM st WHERE status = 'vanished')::BIGINT AS pruned,
+           (SELECT count(*) FROM st WHERE status = 'unchanged')::BIGINT AS unchanged, (SELECT count(*) FROM st WHERE status = 'failed')::BIGINT AS errors,
+           source AS label, count(*)::BIGINT AS chunks, sum(len(toks))::BIGINT AS tokens
     FROM chunks GROUP BY source""")
 def reconcile_plan(spark, sf):
-    """The earlier index brought up to date; the result must equal an index built afresh."""
+    """The earlier index brought up to date; what cannot be read keeps its earlier rows."""
     store = built(spark, sf, earlier_listing(spark, sf))
-    report = reconcile(store, "docs", t.listing(spark, sf), _plan())
+    bad = F.col("label") == UNREADABLE
+    listing = t.listing(spark, sf).withColumn("error", F.when(bad, F.lit("not readable"))).withColumn("text", F.when(~bad, F.col("text")))
+    report = reconcile(store, "docs", listing, _plan())
     rows = _per_label(store.rows("docs"))
-    return rows.select(*[report.select(c).scalar().alias(c) for c in ("indexed", "pruned", "unchanged")], "label", "chunks", "tokens")
+    return rows.select(*[report.select(c).scalar().alias(c) for c in ("indexed", "pruned", "unchanged", "errors")], "label", "chunks", "tokens")
 
 
 @query("reconcile_report", f"""WITH {DIFF_SQL} SELECT count(*) FILTER (status IN ('new', 'changed'))::BIGINT AS indexed,
-    count(*) FILTER (status = 'vanished')::BIGINT AS pruned, count(*) FILTER (status = 'unchanged')::BIGINT AS unchanged FROM diff""")
+    count(*) FILTER (status = 'vanished')::BIGINT AS pruned, count(*) FILTER (status = 'unchanged')::BIGINT AS unchanged, 0::BIGINT AS errors FROM diff""")
 def reconcile_report_plan(spark, sf):
     return reconcile_report(reconcile_diff(t.listing(spark, sf), earlier_listing(spark, sf)))
 
@@ -161,14 +171,14 @@ def store_count(spark, sf):
 
 
 @query("store_collections", f"""WITH {sql.chunk_cte(src='documents', cols='doc_id, lang')}
-    SELECT 'docs_' || lang AS name, 'hash-md5' AS model_id, 64::INT AS dim, count(*)::BIGINT AS chunks FROM chunks GROUP BY lang""")
+    SELECT 'docs_' || lang AS name, 'hash-md5' AS model_id, 64::INT AS dim, count(*)::BIGINT AS chunks FROM chunks WHERE lang IS NOT NULL GROUP BY lang""")
 def store_collections(spark, sf):
     """One collection per language, listed from the catalogue with its row count."""
     store = VectorTable(spark, scratch(spark, "store"), buckets=4)
     docs = t.listing(spark, sf).join(
         t.documents(spark, sf).select(doc_uri(F.col("doc_id")).alias("uri"), "lang"), "uri"
     )
-    for lang in ("de", "en", "es", "fr"):
+    for lang in [r["lang"] for r in docs.select("lang").where("lang IS NOT NULL").distinct().collect()]:
         store.ensure(Collection(f"docs_{lang}", "hash-md5", t.DIM))
         index_sources(store, f"docs_{lang}", docs.where(F.col("lang") == lang).drop("lang"), _plan())
     counts = None
@@ -191,12 +201,16 @@ def store_search(spark, sf):
     )
 
 
-@query("remember", """WITH n AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
-    SELECT 'corvane://notes/' || conv_id AS uri, 'notes' AS label, sha256(text) AS content_hash, length(text)::BIGINT AS chars FROM n WHERE k = 1""")
-def remember(spark, sf):
-    """Every turn is a write under its conversation's id; the last one stands."""
-    notes = remembered(t.table(spark, sf, "conversations"), "notes", "conv_id", "text", "turn")
-    return notes.select("uri", "label", "content_hash", F.length("text").cast(L).alias("chars"))
+@query("remember", f"""WITH n AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
+    SELECT 'corvane://notes/' || conv_id AS uri, 'notes' AS label, sha256(text) AS content_hash, len({sql.toks('text')})::BIGINT AS tokens FROM n WHERE k = 1""")
+def remember_plan(spark, sf):
+    """Every turn is a write under its conversation's id; the last one stands in the stored collection."""
+    store = VectorTable(spark, scratch(spark, "store"), buckets=4)
+    store.ensure(Collection("notes", "hash-md5", t.DIM))
+    notes = Dataset("notes", "notes", "hash-md5", writable=True)
+    remember(store, notes, t.table(spark, sf, "conversations"), _plan(), "conv_id", "text", "turn")
+    chars = store.rows("notes").groupBy("uri").agg(F.sum("token_count").alias("tokens"))
+    return store.sources("notes").join(chars, "uri").select("uri", "label", "content_hash", F.col("tokens").cast(L).alias("tokens"))
 
 
 @query("compaction_due", """WITH s AS (SELECT user_id, count(*) AS records, epoch(max(ts)) - epoch(min(ts)) AS seconds FROM events GROUP BY user_id)
@@ -223,7 +237,7 @@ def compaction_cadence(spark, sf):
 def watch_debounce(spark, sf):
     """Events as file changes: a burst ends after a quiet gap and costs one reconcile."""
     events = t.table(spark, sf, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"))
-    bursts = burst_windows(events, ["event_type"], gap="10 minutes")
+    bursts = burst_slices(events, ["event_type"], gap_seconds=600, unit="day")
     return bursts.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "changes")
 
 

@@ -44,15 +44,15 @@ def agg_rungs(spark, sf):
 
 
 def product_views(spark, sf) -> DataFrame:
-    ranking = search.chunk_ranking(spark, sf, 200)
+    deep = max(RUNGS)
     qrels = ev.passage_qrels(spark, sf).select("qid", "doc_id", "rel")
     queries = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"))
-    return M.delivered_views(ranking, qrels, queries, RUNGS)
+    return M.delivered_views(search.chunk_ranking(spark, sf, deep), search.document_ranking(spark, sf, deep), qrels, queries, RUNGS)
 
 
 VIEWS_SQL = f"""{ev.QRELS_SQL}, {sql.dense_scores_cte()},
     ranked AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, ordinal) AS rank FROM scored),
-    fst AS (SELECT qid, doc_id, min(rank) AS rank FROM ranked WHERE rank <= 200 GROUP BY ALL),
+    fst AS (SELECT qid, doc_id, min(rank) AS rank FROM ranked GROUP BY ALL),
     dr AS (SELECT f.*, row_number() OVER (PARTITION BY f.qid ORDER BY f.rank) AS doc_rank, coalesce(q.rel, 0) AS rel FROM fst f LEFT JOIN qrels q USING (qid, doc_id)),
     ks AS (SELECT * FROM (VALUES (5), (20), (40)) x(k)),
     byk AS (SELECT qid, k, sum(CASE WHEN rank <= k THEN rel / log2(rank + 1) ELSE 0 END) AS dd, sum(rel / log2(doc_rank + 1)) AS dc, count(*) FILTER (rank <= k) AS distinct_docs FROM dr, ks WHERE doc_rank <= k GROUP BY ALL),

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from corvane.functions.rows import fan_out
 from corvane.functions.text import doc_id_of, doc_uri
-from corvane.operators.ann import PRESETS, AnnParams, ivf_topk, lsh_topk, resolve_params, search_mode
-from corvane.operators.fusion import first_distinct_documents, fuse_datasets, fuse_documents, rerank
+from corvane.operators.ann import PRESETS, AnnParams, ivf_topk, resolve_params, search_mode
+from corvane.operators.fusion import fuse_datasets, fuse_documents, rerank
 from corvane.operators.lexical import ENGLISH_STOPS, bm25_topk, idf
 from corvane.operators.lexical import terms as lexical_terms
 from corvane.operators.metrics import recall_vs_exact, word_overlap
@@ -70,16 +70,13 @@ DOC_RANK_SQL = """best AS (
 @query(
     "dedup_docs_topk",
     f"""WITH {sql.dense_scores_cte()},
-    r AS (SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, ordinal) AS rank FROM scored),
-    top AS (SELECT qid, doc_id, min(rank) AS chunk_rank FROM r WHERE rank <= 200 GROUP BY ALL),
-    d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY chunk_rank) AS rank FROM top)
-    SELECT qid, doc_id, chunk_rank::BIGINT AS chunk_rank, rank::BIGINT AS rank FROM d WHERE rank <= 10""",
+    b AS (SELECT qid, doc_id, max(score) AS score, min_by(ordinal, (-score, ordinal)) AS ordinal FROM scored GROUP BY ALL),
+    d AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, ordinal) AS rank FROM b)
+    SELECT qid, doc_id, score, rank::BIGINT AS rank FROM d WHERE rank <= 10""",
 )
 def dedup_docs_topk(spark, sf):
-    """The over-fetch form: 20 k chunks, then the first k distinct documents among them."""
-    return first_distinct_documents(chunk_ranking(spark, sf, 200), 10).select(
-        "qid", "doc_id", F.col("chunk_rank").cast("long").alias("chunk_rank"), F.col("rank").cast("long").alias("rank")
-    )
+    """The first k distinct documents of the whole chunk ranking: repeats leave it before it is cut."""
+    return document_ranking(spark, sf, 10).select("qid", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
@@ -140,8 +137,17 @@ def overlapping_hits(spark, sf, k: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _two_width_sql(k: int) -> str:
-    """Chunk rankings under two widths, as CTEs ``hits(qid, dataset, pos, uri, doc_id, ordinal, rank)``."""
+def overlapping_documents(spark, sf, k: int) -> DataFrame:
+    """The documents of both datasets, ``k`` distinct ones per passage and dataset."""
+    parts = [
+        document_ranking(spark, sf, k, dim=dim).select("qid", F.lit(f"hash-{dim}").alias("dataset"), F.lit(pos).alias("list_pos"), "doc_id", "rank")
+        for pos, dim in enumerate((64, 16))
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def _two_width_sql(k: int | None) -> str:
+    """Chunk rankings under two widths, as CTEs ``hits(qid, dataset, pos, uri, doc_id, ordinal, rank)``; all chunks without ``k``."""
     parts = []
     for dim in (64, 16):
         parts.append(f"""{sql.bag_cte(f'cb{dim}', 'chunks', 'doc_id, ordinal', 'toks', dim)},
@@ -151,9 +157,10 @@ def _two_width_sql(k: int) -> str:
        FROM qb{dim} q JOIN cb{dim} c USING (b) JOIN qb{dim}_n qn ON qn.item_id = q.item_id
        JOIN cb{dim}_n cn ON cn.doc_id = c.doc_id AND cn.ordinal = c.ordinal GROUP BY ALL)""")
     rank = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id, ordinal)"
+    cut = "true" if k is None else f"rank <= {k}"
     parts.append(f"""hits AS (
-       SELECT * FROM (SELECT *, 'hash-64' AS dataset, 0 AS pos, {rank} AS rank FROM s64) WHERE rank <= {k}
-       UNION ALL SELECT * FROM (SELECT *, 'hash-16' AS dataset, 1 AS pos, {rank} AS rank FROM s16) WHERE rank <= {k})""")
+       SELECT * FROM (SELECT *, 'hash-64' AS dataset, 0 AS pos, {rank} AS rank FROM s64) WHERE {cut}
+       UNION ALL SELECT * FROM (SELECT *, 'hash-16' AS dataset, 1 AS pos, {rank} AS rank FROM s16) WHERE {cut})""")
     return f"{sql.chunk_cte()},\n" + ",\n".join(parts)
 
 
@@ -175,7 +182,7 @@ def rrf_fuse_datasets(spark, sf):
 
 @query(
     "rrf_fuse_documents",
-    f"""WITH {_two_width_sql(40)},
+    f"""WITH {_two_width_sql(None)},
     d AS (SELECT qid, dataset, doc_id, min(rank) AS chunk_rank FROM hits GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid, dataset ORDER BY chunk_rank) AS rank FROM d),
     f AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(rank) AS best_rank FROM r WHERE rank <= 10 GROUP BY ALL),
@@ -183,9 +190,7 @@ def rrf_fuse_datasets(spark, sf):
     SELECT qid, doc_id, round(rrf, 9) AS rrf_score, best_rank::BIGINT AS best_rank, rank::BIGINT AS rank FROM o WHERE rank <= 10""",
 )
 def rrf_fuse_documents(spark, sf):
-    lists = overlapping_hits(spark, sf, 40).withColumn("doc_id", doc_id_of(F.col("uri")).cast("long"))
-    docs = first_distinct_documents(lists, 10, segments=["dataset"])
-    return fuse_documents(docs, 10).select(
+    return fuse_documents(overlapping_documents(spark, sf, 10), 10).select(
         "qid", "doc_id", F.round("rrf_score", 9).alias("rrf_score"),
         F.col("best_rank").cast("long").alias("best_rank"), F.col("rank").cast("long").alias("rank"),
     )
@@ -303,17 +308,17 @@ def rerank_shortlist(spark, sf):
 
 @query(
     "recall_vs_exact",
-    f"""WITH {_two_width_sql(10)},
-    e AS (SELECT DISTINCT qid, doc_id FROM hits WHERE pos = 0), c AS (SELECT DISTINCT qid, doc_id FROM hits WHERE pos = 1),
+    f"""WITH {_two_width_sql(None)},
+    d AS (SELECT qid, pos, doc_id, row_number() OVER (PARTITION BY qid, pos ORDER BY min(rank)) AS rank FROM hits GROUP BY qid, pos, doc_id),
+    e AS (SELECT qid, doc_id FROM d WHERE pos = 0 AND rank <= 10), c AS (SELECT qid, doc_id FROM d WHERE pos = 1 AND rank <= 10),
     p AS (SELECT e.qid, count(*) AS target, count(c.doc_id) AS found FROM e LEFT JOIN c USING (qid, doc_id) GROUP BY e.qid)
     SELECT count(*)::BIGINT AS queries, round(avg(found::DOUBLE / target), 4) AS recall FROM p""",
 )
 def recall_of_candidate(spark, sf):
     """How much of the 64-wide top-10 documents the 16-wide ranking keeps."""
-    hits = overlapping_hits(spark, sf, 10)
-    exact = hits.where("list_pos = 0").select("qid", "uri").distinct()
-    candidate = hits.where("list_pos = 1").select("qid", "uri").distinct()
-    return recall_vs_exact(exact, candidate, "uri").select(
+    docs = overlapping_documents(spark, sf, 10)
+    exact, candidate = (docs.where(F.col("list_pos") == p).select("qid", "doc_id") for p in (0, 1))
+    return recall_vs_exact(exact, candidate, "doc_id").select(
         "queries", F.round("recall", 4).alias("recall")
     )
 
@@ -334,20 +339,27 @@ def filter_by_collection(spark, sf):
              F.col("rank").cast("long").alias("rank"))
 
 
-@query("search_ann_ivf")
+@query(
+    "search_ann_ivf",
+    f"""WITH {sql.VECTORS_CTE}, {sql.CLASS_QUERIES_CTE},
+    s AS (SELECT qid, vec_id, round({sql.cosine('q', 'v')}, 6) AS score FROM qs, vecs),
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) AS rank FROM s)
+    SELECT qid::BIGINT AS qid, vec_id, score, rank::BIGINT AS rank FROM r WHERE rank <= 10""",
+)
 def search_ann_ivf(spark, sf):
-    """IVF answers with the exact recall beside them."""
+    """The stored index with every cell probed: what it files must be found again, so it equals the exact ranking."""
+    got = ivf_topk(t.vectors(spark, sf), t.class_queries(spark, sf), 10, key="vec_id", cells=16, nprobes=16)
+    return got.select(F.col("qid").cast("long").alias("qid"), "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
+@query("search_ann_ivf_probed")
+def search_ann_ivf_probed(spark, sf):
+    """A quarter of the cells probed, with the exact recall beside the answers."""
     return _with_recall(
         ivf_topk(t.vectors(spark, sf), t.class_queries(spark, sf), 10, key="vec_id", cells=16, nprobes=4), spark, sf
     )
 
 
-@query("search_ann_hnsw")
-def search_ann_hnsw(spark, sf):
-    """The graph index's stand-in: random-projection buckets, with the exact recall beside them."""
-    return _with_recall(lsh_topk(t.vectors(spark, sf), t.class_queries(spark, sf), 10, key="vec_id"), spark, sf)
-
-
 def _with_recall(answers: DataFrame, spark, sf) -> DataFrame:
     exact = class_ranking(spark, sf, 10).select("qid", "vec_id")
     recall = recall_vs_exact(exact, answers.select("qid", "vec_id"), "vec_id").select("recall")

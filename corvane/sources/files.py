@@ -31,9 +31,11 @@ def discover(
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths))
     kept = files.where(_wanted(F.col("path"), extensions, ignore_case))
-    local = F.regexp_replace(F.col("path"), r"^file:/*", "/")
+    local = file_uri(F.regexp_replace(F.col("path"), r"^file:/*", "/"))
+    # a path of another file system is a URI already; only local ones are spelled anew
+    uri = F.when(F.col("path").rlike(r"^(?!file:)[A-Za-z][A-Za-z0-9+.-]*:"), F.col("path")).otherwise(local)
     columns = [
-        file_uri(local).alias("uri"),
+        uri.alias("uri"),
         F.lit(label).alias("label"),
         F.sha2("content", 256).alias("content_hash"),
         F.unix_micros("modificationTime").cast("double").__truediv__(1e6).alias("mtime"),
@@ -42,8 +44,8 @@ def discover(
 
 
 def read_documents(spark: SparkSession, paths: Sequence[str], **options) -> DataFrame:
-    """A listing together with its decoded text; unreadable files are left out of the index."""
+    """A listing with decoded text; a file that cannot be read is listed with an ``error`` and no text."""
     from corvane.operators.extract import extract_text
 
     files = discover(spark, paths, with_content=True, **options)
-    return extract_text(files).where(F.col("error").isNull()).drop("error")
+    return extract_text(files)

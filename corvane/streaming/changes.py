@@ -22,13 +22,36 @@ DEBOUNCE = "400 milliseconds"  # fixed value: the quiet gap that ends a burst
 def burst_windows(events: DataFrame, by: Sequence[str], ts: str = "ts", gap: str = DEBOUNCE, late: str | None = None) -> DataFrame:
     """``by..., start, end, changes``: one row per burst. Works on a stream and on a table.
 
-    Session windows merge partially before the shuffle, so a busy key sends sessions, not events.
+    A busy key's events meet in one task; :func:`burst_slices` spreads a table's over time slices.
     """
     rows = events.withWatermark(ts, late) if late else events
     grouped = rows.groupBy(F.session_window(ts, gap).alias("w"), *by).agg(F.count("*").alias("changes"))
     return grouped.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "changes")
 
 
+def burst_slices(events: DataFrame, by: Sequence[str], ts: str = "ts", gap_seconds: float = 0.4, unit: str = "hour") -> DataFrame:
+    """:func:`burst_windows` of a table, without gathering a busy key: the walk goes by time slices.
+
+    An event's predecessor is the one before it in its slice, or the last one of the slice before; a burst's
+    number is the bursts that began in earlier slices plus those in its own.
+    """
+    by, gap = list(by), round(gap_seconds * 1e6)
+    rows = events.select(*by, F.col(ts).alias("_ts"), F.date_trunc(unit, F.col(ts)).alias("_slice"))
+    slices = Window.partitionBy(*by).orderBy("_slice")
+    inside = Window.partitionBy(*by, "_slice").orderBy("_ts").rowsBetween(Window.unboundedPreceding, 0)
+    last = rows.groupBy(*by, "_slice").agg(F.max("_ts").alias("_last")).withColumn("_prior", F.lag("_last").over(slices)).drop("_last")
+    before = F.coalesce(F.lag("_ts").over(Window.partitionBy(*by, "_slice").orderBy("_ts")), F.col("_prior"))
+    apart = F.unix_micros("_ts") - F.unix_micros(before) >= gap
+    marked = rows.join(last, [*by, "_slice"]).withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int"))
+    begun = marked.groupBy(*by, "_slice").agg(F.sum("_new").alias("_n"))
+    begun = begun.select(*by, "_slice", (F.sum("_n").over(slices) - F.col("_n")).alias("_done"))
+    numbered = marked.withColumn("_in", F.sum("_new").over(inside)).join(begun, [*by, "_slice"])
+    bursts = numbered.groupBy(*by, (F.col("_done") + F.col("_in")).alias("_burst")).agg(
+        F.min("_ts").alias("start"), F.max("_ts").alias("_end"), F.count("*").alias("changes")
+    )
+    return bursts.select(*by, "start", F.timestamp_micros(F.unix_micros("_end") + gap).alias("end"), "changes")
+
+
 def last_known(
     changes: DataFrame, *, key: str = "uri", schema: str = "uri string, status string, content_hash string"
 ) -> DataFrame:
@@ -69,19 +92,20 @@ def watch(
     """Follow the dataset's folders; every micro-batch of changes is one reconcile.
 
     A dataset without roots, or one that is read-only or written by hand, is not watched. The
-    micro-batch number travels into the commit, so a batch replayed after a failure changes
-    nothing. A file that cannot be read is left out of its batch and does not stop the stream.
+    micro-batch number travels into the commit together with the checkpoint it counts for, so a batch
+    replayed after a failure changes nothing and a new checkpoint starts anew. A file that cannot be
+    read keeps the rows it had, is counted as an error, and does not stop the stream.
     """
     if not dataset.watched:
         return None
 
     def apply(changes: DataFrame, batch: int) -> None:
-        if store.last_batch(dataset.collection) >= batch or changes.isEmpty():
+        if store.last_batch(dataset.collection, checkpoint) >= batch or changes.isEmpty():
             return
         listing = read_documents(
             changes.sparkSession, dataset.roots, label=dataset.name, extensions=extensions, ignore_case=True
         )
-        report = reconcile(store, dataset.collection, listing, plan, batch=batch)
+        report = reconcile(store, dataset.collection, listing, plan, batch=batch, stream=checkpoint)
         if on_report is not None:
             on_report(batch, report)
 

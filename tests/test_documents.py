@@ -11,7 +11,7 @@ from corvane.operators import chunking as C
 from corvane.operators.embed import Transient, call_in_batches, hash_embedder, provider_embedder, with_retry
 from corvane.operators.extract import Route, extract_text, html_to_text, route_backend
 from corvane.operators.sanitize import SanitizeOptions, sanitize
-from corvane.operators.spans import locate, pack_bits, unpack_bits, window_spans
+from corvane.operators.spans import text_at, window_spans
 from corvane.operators.splitters import SPLIT_STRATEGIES, spans_of, split_documents
 from corvane.schema import ConfigError, EngineError, ExtractorBackend
 
@@ -100,11 +100,10 @@ def test_window_spans_hold_the_windows(docs, cap, overlap):
             assert [(x.start, x.end) for x in r.s] == want
 
 
-def test_locating_keeps_slots_and_repeats():
-    context = "the cat  sat. the cat sat.\nthe dog"
-    assert locate(context, ["the cat sat.", "missing", "the cat sat.", "the dog"]) == [(0, 13), None, (14, 26), (27, 34)]
-    flags = [True, False, True, True, False, False, True, False, True]
-    assert unpack_bits(pack_bits(flags), len(flags)) == flags
+def test_spans_give_the_chunks_back(docs):
+    spans = F.transform(window_spans(F.col("text"), 5, 2), lambda s: text_at(F.col("text"), s))
+    chunks = F.transform(C.whitespace_windows(X.tokens(F.col("text")), 5, 2), lambda w: F.array_join(w, " "))
+    assert all(r.a == r.b for r in docs.select(spans.alias("a"), chunks.alias("b")).collect())
 
 
 @pytest.mark.parametrize("strategy", SPLIT_STRATEGIES)

@@ -29,5 +29,5 @@ def test_equals_its_sql(spark, sf, db, name):
 
 
 def test_entry_and_registry_shape(spark, sf):
-    assert entry(spark).columns == ["qid", "doc_id", "chunk_rank", "rank"]
+    assert entry(spark).columns == ["qid", "doc_id", "score", "rank"]
     assert set(oracle_sql()) <= set(queries()) and len(queries()) > 170

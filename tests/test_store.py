@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corvane.operators.embed import hash_embedder
-from corvane.operators.index import forget, index_sources, reconcile
+from corvane.operators.index import forget, index_sources, reconcile, reindex, remember
 from corvane.operators.lifecycle import IndexPlan
 from corvane.operators.store import VectorTable
 from corvane.schema import Collection, ConfigError, Dataset, DimensionError, EngineError, StoreError, pick_dataset
@@ -75,6 +75,50 @@ def test_reconcile_counts_and_is_idempotent(spark, store):
     assert nothing.pruned == 4 and uris(store) == {}
 
 
+def test_what_cannot_be_read_keeps_its_rows(spark, store):
+    index_sources(store, "c", docs(spark, [("kept", "x y"), ("edit", "before"), ("gone", "z")]), plan())
+    bad = F.col("uri").isin("edit", "fresh")
+    listing = docs(spark, [("kept", "x y"), ("edit", "after it"), ("fresh", "q")])
+    listing = listing.withColumn("error", F.when(bad, "broken")).withColumn("text", F.when(~bad, F.col("text")))
+    for _ in range(2):
+        report = reconcile(store, "c", listing, plan()).first()
+        assert (report.indexed, report.unchanged, report.errors) == (0, 1, 2)
+        assert uris(store) == {"kept": 1, "edit": 1}
+    assert {r.text for r in store.rows("c").where("uri = 'edit'").collect()} == {"before"}
+
+
+def test_batches_count_per_stream_and_survive_a_swap(spark, store):
+    assert store.replace("c", None, None, docs(spark, [("a", "x")]), batch=5, stream="old")
+    assert index_sources(store, "c", docs(spark, [("a", "x")]), plan())
+    assert store.last_batch("c", "old") == 5 and store.last_batch("c", "new") == -1
+    store.ensure(Collection("s", "m", 16))
+    assert index_sources(store, "s", docs(spark, [("b", "y")]), plan(), batch=9)
+    store.swap("s", "c")
+    assert store.last_batch("c") == -1 and store.last_batch("c", "old") == 5
+    store.ensure(Collection("s", "m", 16))
+    assert store.vacuum("c") == 2 and store.vacuum("s") == 0 and uris(store) == {"b": 1}
+
+
+def test_one_source_rewrites_only_its_bucket_and_vacuum_removes_the_rest(spark, store):
+    index_sources(store, "c", docs(spark, [(f"u{k}", f"word {k}") for k in range(40)]), plan())
+    before = store._need("c")[1]["paths"]
+    forget(store, "c", spark.createDataFrame([("u7",)], "uri string"))
+    after = store._need("c")[1]["paths"]
+    assert sum(before[b] != after[b] for b in before) == 1 and len(uris(store)) == 39
+    store.compact("c")
+    assert store.vacuum("c") == 2 and len(uris(store)) == 39
+
+
+def test_remember_and_reindex_mind_their_guards(spark, store):
+    notes = spark.createDataFrame([(1, 1, "first"), (1, 2, "second thought"), (2, 1, "other")], "id long, turn int, text string")
+    remember(store, Dataset("n", "c", "m", writable=True), notes, plan(), "id", "text", "turn")
+    assert {(r.uri, r.text) for r in store.rows("c").collect()} == {("corvane://n/1", "second thought"), ("corvane://n/2", "other")}
+    with pytest.raises(EngineError):
+        remember(store, Dataset("n", "c", "m"), notes, plan(), "id", "text", "turn")
+    with pytest.raises(EngineError):
+        reindex(store, Dataset("n", "c", "m", read_only=True), docs(spark, []), plan())
+
+
 def test_a_replayed_batch_changes_nothing(spark, store):
     assert index_sources(store, "c", docs(spark, [("a", "x")]), plan(), batch=3)
     assert not index_sources(store, "c", docs(spark, [("a", "y"), ("b", "z")]), plan(), batch=3)
@@ -116,5 +160,5 @@ def test_watch_follows_created_changed_and_deleted_files(spark, store):
         query.processAllAvailable()
     finally:
         query.stop()
-    assert reports[0] == (2, 0, 0) and reports[-1][1:] == (0, 1)
+    assert reports[0] == (2, 0, 0, 0) and reports[-1][1:] == (0, 1, 1)
     assert {u.rsplit("/", 1)[1] for u in uris(store)} == {"a.md", "b.TXT"}
