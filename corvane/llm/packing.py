@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import zlib
@@ -26,8 +27,13 @@ def tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
     from tokenizers import Tokenizer
 
-    code = Tokenizer.from_file(path)
-    return code, [t.content for t in code.get_added_tokens_decoder().values()]
+    return Tokenizer.from_file(path)
+
+
+@functools.lru_cache(maxsize=2)
+def special_tokens(path: str) -> list[str]:
+    with open(path, encoding="utf-8") as file:
+        return [t["content"] for t in json.load(file)["added_tokens"]]
 
 
 def token_ids(texts: list[str], vocabulary: str, ranks: tuple[str, str] | None) -> list[bytes]:
@@ -35,11 +41,13 @@ def token_ids(texts: list[str], vocabulary: str, ranks: tuple[str, str] | None)
 
     ``vocabulary`` defines them. ``ranks``, a rank file of the same vocabulary and its splitting pattern, gives
     the same ids several times faster where no special token's string and no character occurs that
-    two splitters may class differently; every other text goes through ``vocabulary`` itself.
+    two splitters may class differently; every other text goes through ``vocabulary`` itself, which a worker
+    loads with the first such text.
     """
-    code, special = tokenizer(vocabulary)
+    special = special_tokens(vocabulary)
     quick = [bool(ranks) and PLAIN.fullmatch(t) is not None and not any(s in t for s in special) for t in texts]
-    slow = iter(code.encode_batch_fast([t for t, ok in zip(texts, quick, strict=True) if not ok], add_special_tokens=False))
+    others = [t for t, ok in zip(texts, quick, strict=True) if not ok]
+    slow = iter(tokenizer(vocabulary).encode_batch_fast(others, add_special_tokens=False) if others else [])
     fast = encoding(*ranks) if ranks else None
     return [
         array("I", [i for part in parts(t) for i in fast.encode_ordinary(part)] if ok else next(slow).ids).tobytes()

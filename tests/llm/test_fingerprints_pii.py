@@ -5,6 +5,7 @@ import brute
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.functions.rows import offsets
 from corvane.llm import pii
 from corvane.llm.merkle import fingerprint_codes, fingerprints, likeness, paragraphs
 
@@ -121,5 +122,5 @@ def test_redaction(spark):
 def test_offsets(spark):
     for n in (0, 1, 2, 5, 37, 100):
         lengths = list(range(3, n + 3))
-        r = spark.createDataFrame([(lengths,)], "a array<int>").select(pii.offsets(F.col("a")).alias("o")).first()
+        r = spark.createDataFrame([(lengths,)], "a array<int>").select(offsets(F.col("a")).alias("o")).first()
         assert r["o"] == [sum(lengths[:i]) for i in range(n)]

@@ -48,7 +48,7 @@ def test_broken_ids_decode_to_raw_bytes(spark):
 def test_both_ways_give_the_same_ids(text):
     files = packing_files()
     for t in (text, text + "<|endoftext|>"):
-        ids = tokenizer(files[0])[0].encode(t, add_special_tokens=False).ids
+        ids = tokenizer(files[0]).encode(t, add_special_tokens=False).ids
         assert token_ids([t], *files) == token_ids([t], files[0], None) == [struct.pack(f"<{len(ids)}I", *ids)]
 
 
@@ -56,7 +56,7 @@ def test_packing(spark):
     width = 64
     rows = [*ROWS, *[(k, " ".join(["word"] * (k % 60))) for k in range(200, 500)]]
     got = pack(brute.frame(spark, rows), *packing_files(), width=width).collect()
-    code = tokenizer(packing_files()[0])[0]
+    code = tokenizer(packing_files()[0])
     want = Counter()
     for d, t in rows:
         ids = [*code.encode(t or "", add_special_tokens=False).ids, 2]
