@@ -9,6 +9,7 @@ from html.parser import HTMLParser
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.functions.text import path_of, strip, suffix_of
 from corvane.operators.embed import with_retry
@@ -97,7 +98,8 @@ def remote_extractor(connect: Callable[[], Converter], *, cap: int | None = None
 
     def apply(files: DataFrame) -> DataFrame:
         names = [c for c in files.columns if c != "content"]
-        schema = files.select(*names, F.lit("").alias("text"), F.lit("").alias("error")).schema
+        texts_and_errors = [T.StructField(c, T.StringType()) for c in ("text", "error")]
+        schema = T.StructType([*files.select(*names).schema.fields, *texts_and_errors])
 
         def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             client = connect()

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from corvane.functions.rows import fan_out
 from corvane.operators.topk import BROADCAST_VALUES, in_blocks, rank_against
 from corvane.schema import ConfigError
+from corvane.session import cut_lineage
 
 K1 = 1.5  # fixed values: the public defaults of the ranking function
 B = 0.75
@@ -51,7 +52,15 @@ def language_of(corpus: Column) -> Column:
 
 def terms(text: Column, stops: Sequence[str] = ENGLISH_STOPS) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(*stops))
+    return F.filter(found, lambda w: ~w.isin(*stops)) if stops else found
+
+
+def terms_of(text: Column, language: Column) -> Column:
+    """The terms of a text without the stop words of its own language."""
+    found = terms(text, ())
+    return F.when(language == "german", F.filter(found, lambda w: ~w.isin(*GERMAN_STOPS))).otherwise(
+        F.filter(found, lambda w: ~w.isin(*ENGLISH_STOPS))
+    )
 
 
 def corpus_statistics(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -74,7 +83,7 @@ def bm25_topk(
     keys: Sequence[str],
     unique: Sequence[str] = (),
     segments: Sequence[str] = (),
-    stops: Sequence[str] = ENGLISH_STOPS,
+    language: Column | None = None,
     k1: float = K1,
     b: float = B,
     decimals: int = 6,
@@ -83,26 +92,31 @@ def bm25_topk(
     """The ``k`` best rows of ``docs`` (``keys..., text``) per query (``qid, text``) by BM25.
 
     Rows sharing no term with a query are not hits. ``segments`` asks for the top-k inside each
-    segment value under the shared index statistics.
+    segment value under the shared index statistics. ``language`` names each row's stop words (English by
+    default); queries keep all their words, as a row without a stop word cannot be hit by it. Terms are
+    extracted once, written, and serve the statistics and every block of queries.
     """
     keys, unique, segments = list(keys), list(unique), list(segments)
-    analysed = docs.select(*segments, *keys, terms(F.col("text"), stops).alias("terms"))
-    asked = queries.select("qid", terms(F.col("text"), stops).alias("terms"))
+    found = terms_of(F.col("text"), F.lit("english") if language is None else language)
+    analysed = cut_lineage(docs.select(*segments, *keys, found.alias("terms")))
+    asked = queries.select("qid", terms(F.col("text"), ()).alias("terms"))
     shape = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("terms")), F.lit(0)).alias("w")).first()
     if not shape["n"]:
         raise ConfigError("no queries")
     # b queries hold at most b * w terms, and the weight matrix b * (b * w) values.
     cap = max(1, int((max_values / max(1, shape["w"])) ** 0.5))
 
+    totals, df = corpus_statistics(analysed, fan_out(asked, [], F.col("terms"), "term").distinct())
+    totals, df = cut_lineage(totals), cut_lineage(df)
+    avg_len = float(totals.first()["avg_len"] or 1.0)
+
     def one_pass(block: DataFrame) -> DataFrame:
         words = fan_out(block, ["qid"], F.col("terms"), "term")
-        totals, df = corpus_statistics(analysed, words.select("term").distinct())
         weighted = (
             words.groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(df, "term")
             .select("qid", "term", (F.col("qtf") * idf(totals.select("n_docs").scalar(), F.col("df"))).alias("w"))
         )
         table = weighted.toArrow()  # at most cap * w rows
-        avg_len = float(totals.first()["avg_len"] or 1.0)
         vocabulary = sorted(set(table.column("term").to_pylist())) or [""]
         place = {term: i for i, term in enumerate(vocabulary)}
         qids = sorted(set(table.column("qid").to_pylist()))

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 
 from corvane.operators.topk import exact_topk
 from corvane.schema import CHUNKS, SOURCES, Collection, DimensionError, StoreError, checked_vector
+from corvane.session import cut_lineage
+
+FEW_HITS = 200_000  # hits that are broadcast at most
 
 ROW_COLUMNS = [f.name for f in CHUNKS.fields]
 
@@ -149,9 +152,10 @@ class VectorTable:
         if width is not None:
             raise DimensionError(f"collection {name!r} has width {dim}, a query has {width['w']}")
         rows = self.rows(name)
-        hits = exact_topk(rows, queries, k, dim=dim, keys=["seq", "uri", "ordinal"])
+        hits = cut_lineage(exact_topk(rows, queries, k, dim=dim, keys=["seq", "uri", "ordinal"]))
+        hits = F.broadcast(hits) if hits.count() <= FEW_HITS else hits  # few hits go to the texts
         payload = rows.select("uri", "ordinal", "label", "summary", F.col("text").alias("chunk_text"))
-        return hits.join(payload, ["uri", "ordinal"]).select(
+        return payload.join(hits, ["uri", "ordinal"]).select(
             "qid", "rank", "chunk_text", "score", "uri", "ordinal", "label", F.lit(name).alias("collection"), "summary"
         )
 

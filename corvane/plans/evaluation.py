@@ -18,7 +18,7 @@ from corvane.operators import stats as S
 from corvane.operators.chunking import whitespace_windows
 from corvane.operators.embed import hash_embedder
 from corvane.operators.fusion import fuse_documents
-from corvane.operators.lexical import bm25_topk
+from corvane.operators.lexical import bm25_topk, language_of
 from corvane.operators.topk import exact_topk
 from corvane.plans import search, sql
 from corvane.plans import tables as t
@@ -34,12 +34,19 @@ K = 10
 METRICS = ("ndcg", "recall", "mrr", "p1")
 ANCHOR = 8
 
-_MEMO: dict[tuple[str, str, str], DataFrame] = {}
+_MEMO: dict[tuple[str, str, int, str], DataFrame] = {}
+
+
+def table_mark(spark, sf) -> int:
+    """A mark of the tables' files: paths, sizes and times, so that changed tables under one path are other tables."""
+    folder = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    files = folder.load([f"{sf}/{name}.parquet" for name in ("documents", "benchmark")])
+    return files.agg(F.bit_xor(F.xxhash64("path", "modificationTime", "length"))).first()[0]
 
 
 def once(spark, sf, name, build) -> DataFrame:
-    """``build()`` written to the shared folder, once per application and tables."""
-    key = (spark.sparkContext.applicationId, sf, name)
+    """``build()`` written to the shared folder, once per application and state of the tables."""
+    key = (spark.sparkContext.applicationId, sf, table_mark(spark, sf), name)
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(build())
     return _MEMO[key]
@@ -170,9 +177,9 @@ def sweep_scores(spark, sf, words: int | None = None) -> DataFrame:
             continue
         if lexical is None:
             lexical = cut_lineage(bm25_topk(
-                t.documents(spark, sf).select("doc_id", F.concat(F.lit("docs_"), "lang").alias("corpus"), "text"),
+                t.documents(spark, sf).where("lang IS NOT NULL").select("doc_id", F.concat(F.lit("docs_"), "lang").alias("corpus"), "text"),
                 t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), DEPTH,
-                keys=["doc_id"], segments=["corpus"],
+                keys=["doc_id"], segments=["corpus"], language=language_of(F.col("corpus")),
             ).select("qid", "corpus", "doc_id", "rank"))
         dense = ranked.where((F.col("max_tokens") == CAPS[0]) & (F.col("overlap_tokens") == 0)).select("qid", "corpus", "doc_id", "rank")
         fused = fuse_documents(dense.unionByName(lexical), K, segments=["corpus"]).select("qid", "corpus", "doc_id", "rank")

@@ -22,6 +22,7 @@ from corvane.plans import evaluation as ev
 from corvane.plans import hygiene, search, sql
 from corvane.plans import tables as t
 from corvane.plans.registry import query
+from corvane.session import cut_lineage
 
 L = "long"
 
@@ -488,7 +489,7 @@ def recalls(spark, sf) -> DataFrame:
     """How many of a document's words its sanitized text keeps."""
     clean = sanitize(t.documents(spark, sf).withColumn("original", F.col("text")), hygiene.LOOSE, mode="strip")
     pairs = clean.select("doc_id", word_tokens(F.col("original")).alias("a"), word_tokens(F.col("text")).alias("b"))
-    return M.word_recall(pairs, "doc_id", "a", "b")
+    return M.word_recall(cut_lineage(pairs), "doc_id", "a", "b")  # both sides from one sanitizing pass
 
 
 @query("agg_word_recall", f"WITH {KEPT_SQL} SELECT doc_id, round(r, 6) AS word_recall FROM wr")
@@ -511,8 +512,8 @@ def agg_group_summary(spark, sf):
 @query("agg_edit_similarity")
 def agg_edit_similarity(spark, sf):
     """Each passage against its best chunk, as whole texts."""
-    best = search.document_ranking(spark, sf, 1).select("qid", "doc_id", "ordinal")
-    chunks = t.chunks(spark, sf).select("doc_id", "ordinal", F.col("text").alias("chunk_text"))
+    best = cut_lineage(search.document_ranking(spark, sf, 1).select("qid", "doc_id", "ordinal"))
+    chunks = t.chunks_of(spark, sf, best.select("doc_id").distinct()).select("doc_id", "ordinal", F.col("text").alias("chunk_text"))
     asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return best.join(chunks, ["doc_id", "ordinal"]).join(asked, "qid").select(
         "qid", "doc_id", measure.edit_similarity(F.col("text"), F.col("chunk_text")).alias("similarity")

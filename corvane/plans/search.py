@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.functions.rows import fan_out
-from corvane.functions.text import doc_id_of, doc_uri
+from corvane.functions.text import doc_uri
 from corvane.operators.ann import PRESETS, AnnParams, ivf_topk, resolve_params, search_mode
 from corvane.operators.fusion import fuse_datasets, fuse_documents, rerank
-from corvane.operators.lexical import ENGLISH_STOPS, bm25_topk, idf
-from corvane.operators.lexical import terms as lexical_terms
+from corvane.operators.lexical import ENGLISH_STOPS, GERMAN_STOPS, bm25_topk, idf, language_of, terms_of
 from corvane.operators.metrics import recall_vs_exact, word_overlap
 from corvane.operators.topk import exact_topk
 from corvane.plans import sql
 from corvane.plans import tables as t
 from corvane.plans.registry import query
+from corvane.session import cut_lineage
 
 
 def chunk_ranking(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
@@ -199,15 +199,20 @@ def rrf_fuse_documents(spark, sf):
 STOPS_SQL = ", ".join(f"'{w}'" for w in ENGLISH_STOPS)
 
 
-def _terms_sql(expr: str) -> str:
-    return rf"list_filter(regexp_extract_all(lower({expr}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([{STOPS_SQL}], w))"
+def _all_terms_sql(expr: str, stops: str = "") -> str:
+    found = rf"regexp_extract_all(lower({expr}), '[\p{{L}}\p{{N}}_]{{2,}}')"
+    return f"list_filter({found}, lambda w: NOT list_contains([{stops}], w))" if stops else found
 
 
-BM25_SQL = f"""lex AS (SELECT doc_id, lang, {_terms_sql('text')} AS ts FROM documents),
+_GERMAN_SQL = ", ".join(f"'{w}'" for w in GERMAN_STOPS)
+
+LEX_TERMS_SQL = f"CASE WHEN lang = 'de' THEN {_all_terms_sql('text', _GERMAN_SQL)} ELSE {_all_terms_sql('text', STOPS_SQL)} END"
+
+BM25_SQL = f"""lex AS (SELECT doc_id, lang, {LEX_TERMS_SQL} AS ts FROM documents),
     tot AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM lex),
     tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM lex) GROUP BY ALL),
     df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    qt AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_terms_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+    qt AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_all_terms_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
     lexscore AS (
       SELECT qt.qid, tf.doc_id,
              round(sum(qtf * ln(1 + (tot.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5
@@ -217,10 +222,15 @@ BM25_SQL = f"""lex AS (SELECT doc_id, lang, {_terms_sql('text')} AS ts FROM docu
     lexrank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM lexscore WHERE score > 0)"""
 
 
+def doc_language():
+    return language_of(F.concat(F.lit("docs_"), F.coalesce("lang", F.lit(""))))
+
+
 def lexical_ranking(spark, sf, k: int) -> DataFrame:
     return bm25_topk(
-        t.documents(spark, sf).select("doc_id", "text"),
+        t.documents(spark, sf).select("doc_id", "text", "lang"),
         t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), k, keys=["doc_id"],
+        language=doc_language(),
     )
 
 
@@ -236,7 +246,7 @@ def bm25_search(spark, sf):
 
 @query(
     "bm25_index",
-    rf"""WITH lex AS (SELECT doc_id, {_terms_sql('text')} AS ts FROM documents),
+    rf"""WITH lex AS (SELECT doc_id, {LEX_TERMS_SQL} AS ts FROM documents),
     tot AS (SELECT count(*) AS n FROM lex),
     df AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf
            FROM (SELECT doc_id, unnest(ts) AS term FROM lex) GROUP BY term)
@@ -244,7 +254,7 @@ def bm25_search(spark, sf):
 )
 def bm25_index(spark, sf):
     """The index statistics: document and collection frequency and idf of every term."""
-    lex = t.documents(spark, sf).select("doc_id", lexical_terms(F.col("text")).alias("terms"))
+    lex = cut_lineage(t.documents(spark, sf).select("doc_id", terms_of(F.col("text"), doc_language()).alias("terms")))  # read three times
     n_docs = lex.agg(F.count("*").alias("n")).scalar()
     per_doc = fan_out(lex, [], F.array_distinct("terms"), "term")
     counts = fan_out(lex, [], F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("cf"))
@@ -282,8 +292,8 @@ def hybrid_search(spark, sf):
 def reranked(spark, sf, depth: int = DEPTH) -> DataFrame:
     """The dense shortlist re-ordered by the share of distinct query words its best chunk holds."""
     shortlist = document_ranking(spark, sf, depth)
-    wanted = shortlist.select("qid", "doc_id", "ordinal", "rank")
-    texts = t.chunks(spark, sf).select("doc_id", "ordinal", F.col("text").alias("chunk_text"))
+    wanted = cut_lineage(shortlist.select("qid", "doc_id", "ordinal", "rank"))
+    texts = t.chunks_of(spark, sf, wanted.select("doc_id").distinct()).select("doc_id", "ordinal", F.col("text").alias("chunk_text"))
     asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query_text"))
     pairs = wanted.join(texts, ["doc_id", "ordinal"]).join(asked, "qid")
     return rerank(pairs, word_overlap(F.col("query_text"), F.col("chunk_text")))

@@ -47,6 +47,16 @@ def chunks(spark: SparkSession, sf: str, cap: int = CAP, overlap: int = 0) -> Da
     return chunk_whitespace(docs, cap, overlap=overlap)
 
 
+FEW_IDS = 1_000_000
+
+
+def chunks_of(spark: SparkSession, sf: str, ids: DataFrame, cap: int = CAP) -> DataFrame:
+    """The chunks of the documents in ``ids`` (``doc_id``); few ids are sent to the documents, not the other way round."""
+    wanted = F.broadcast(ids) if ids.count() <= FEW_IDS else ids
+    docs = documents(spark, sf).select("doc_id", "lang", "source", "text").join(wanted, "doc_id", "left_semi")
+    return chunk_whitespace(docs, cap)
+
+
 def embedded(spark: SparkSession, sf: str, cap: int = CAP, overlap: int = 0, dim: int = DIM) -> DataFrame:
     return chunks(spark, sf, cap, overlap).withColumn("vector", hash_embedder(dim, "md5")(F.col("text")))
 

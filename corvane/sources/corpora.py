@@ -34,9 +34,9 @@ def corpus_documents(lines: DataFrame) -> DataFrame:
 
 
 def read_corpus(spark: SparkSession, path: str) -> DataFrame:
-    """A ``corpus.jsonl`` file; line order comes from the file offsets Spark reads in."""
-    lines = spark.read.text(path).withColumn("position", F.monotonically_increasing_id())
-    return corpus_documents(lines)
+    """One or more ``corpus.jsonl`` files; lines are ordered by file name, then by their place in the file."""
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("line"))
+    return corpus_documents(spark.read.text(path).select("value", place.alias("position")))
 
 
 def read_tsv_qrels(spark: SparkSession, path: str) -> DataFrame:
