@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import stored
 
 
+FEW = 250_000  # links of two ids each, some 4 MB
+
+
 def components(links: DataFrame, a: str, b: str) -> DataFrame:
     """``id, component``: every id of a link with the smallest id that it reaches; ids without links are left out.
 
@@ -18,12 +21,14 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
     edges = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     edges, mark = settled(edges)
     while True:
-        both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(edges.select("lo", "hi"))
+        ends = F.array(F.struct(F.col("hi").alias("u"), F.col("lo").alias("v")), F.struct(F.col("lo").alias("u"), F.col("hi").alias("v")))
+        both = edges.select(F.inline(ends))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
         least = large.groupBy("hi").agg(F.min("lo").alias("m"))
         small = large.join(least, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
-        edges, now = settled(small.union(least.select("hi", F.col("m").alias("lo"))).distinct())
+        moved = small.union(least.select("hi", F.col("m").alias("lo")))
+        edges, now = settled((moved.coalesce(1) if mark[0] <= FEW else moved).distinct())
         if now == mark:
             break
         mark = now
@@ -32,7 +37,10 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def settled(edges: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
-    """The written table and a mark of its content: stars that no round changes any more keep it."""
+    """The written table and a mark of its content: stars that no round changes any more keep it.
+
+    Few links are one partition, so a round over them is one task and no shuffle.
+    """
     table = stored(edges, "stars")
     seen = table.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("hi", "lo")).alias("x")).first()
-    return table, (seen["n"], seen["x"])
+    return (table.coalesce(1) if seen["n"] <= FEW else table), (seen["n"], seen["x"])

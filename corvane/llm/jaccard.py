@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +18,8 @@ from corvane.llm.shingles import shingle_set
 WORDS = 5
 NUM, DEN = 3, 4  # the least similarity, 3/4; sizes in a band differ by that factor at most
 BLOCK = 4096  # documents whose shingles are counted together
-COMMON = 1 << 16  # shingles that come last in the order: a broadcast of half a MB at most
+SEEN = 4  # sets of a block that a shingle must be in to be counted as common
+COMMON = 1 << 17  # shingles that come last in the order: a broadcast of a MB at most
 TILE = 2048  # documents on a side of a tile
 PARTNERS = 1024  # documents that are compared with one home in one task
 
@@ -27,8 +29,8 @@ def similar(shared: int, a: int, b: int) -> bool:
 
 
 def signature(shingles: np.ndarray) -> bytes:
-    """A bitmap with about a bit per shingle; each shingle flips one bit."""
-    bits = 1 << max(6, int(len(shingles) - 1).bit_length())
+    """A bitmap with two to four bits per shingle; each shingle flips one bit."""
+    bits = 2 << max(6, int(len(shingles) - 1).bit_length())
     flips = np.bincount((shingles & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(flips.astype(np.uint8), bitorder="little").tobytes()
 
@@ -59,11 +61,12 @@ def profiles(rows: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block: list[np.ndarray] = []
+        known: set[bytes] = set()
         size = 0
 
         def frequent() -> tuple[np.ndarray, np.ndarray]:
             mers, many = np.unique(np.concatenate(block), return_counts=True) if block else (np.empty(0, np.uint64), np.empty(0, np.int64))
-            often = many >= max(8, len(block) // 256)
+            often = many >= SEEN
             return mers[often].view(np.int64), many[often]
 
         def out(ids, sizes, digests, mers, many) -> pa.RecordBatch:
@@ -81,11 +84,14 @@ def profiles(rows: DataFrame, words: int) -> DataFrame:
             found = [shingle_set(t, words) for t in texts(batch.column(1))]
             digests = [xxhash.xxh3_128_digest(s) for s in found]
             yield out(batch.column(0).to_pylist(), [len(s) for s in found], digests, none, none)
-            block += found
-            size += sum(map(len, found))
+            for s, d in zip(found, digests, strict=True):
+                if d not in known:  # equal sets count once
+                    known.add(d)
+                    block.append(s)
+                    size += len(s)
             if len(block) >= BLOCK or size >= 2_000_000:
                 yield out([], [], [], *frequent())
-                block, size = [], 0
+                block, size, known = [], 0, set()
         yield out([], [], [], *frequent())
 
     return map_partitions(rows, run, "id long, n long, digest binary, mer long, seen long")
@@ -165,22 +171,17 @@ def runs(sets: DataFrame) -> DataFrame:
 
 
 def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` whose bitmaps allow the similarity, with ``room``: how much of it they allow."""
+    """The pairs ``a, b`` whose bitmaps allow the similarity."""
     sig = sets.select("id", "n", "sig").distinct()
     left, right = (sig.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("sig").alias(f"s{c}")) for c in "ab")
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        a, b, na, sa, nb, sb = (batch.column(k).to_pylist() for k in range(6))
-        keep, room = [], []
-        for i in range(batch.num_rows):
-            most = most_shared(na[i], sa[i], nb[i], sb[i])
-            keep.append(similar(most, na[i], nb[i]))
-            room.append(most / (na[i] + nb[i] - most) if keep[-1] else 0.0)
-        out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(room, pa.float64())], ["a", "b", "room"])
-        yield out.filter(pa.array(keep, pa.bool_()))
+        na, sa, nb, sb = (batch.column(k).to_pylist() for k in range(2, 6))
+        keep = [similar(most_shared(*x), x[0], x[2]) for x in zip(na, sa, nb, sb, strict=True)]
+        yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "na", "sa", "nb", "sb")
-    return map_batches(joined, run, "a long, b long, room double")
+    return map_batches(joined, run, "a long, b long")
 
 
 def linked(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
@@ -217,11 +218,12 @@ def linked(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return stored(map_partitions(met, run, "a long, b long").distinct(), "links")
 
 
-def across(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
+def across(open_rows: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """Promising pairs of different components under one key: ``a, b``.
 
     ``open_rows`` has ``key, id, n, component``. A key's sets are dealt into groups of about ``TILE``; every two groups
-    make a tile, in which bitmaps are compared along the sizes, inside the band.
+    make a tile, in which bitmaps are compared along the sizes, inside the band, and between components only. With
+    ``forest`` a tile gives one pair for components that it has not tied yet, so never more pairs than sets.
     """
     many = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("groups"))
     dealt = open_rows.join(many, "key").withColumn("g", F.pmod(F.xxhash64("id"), F.col("groups")))
@@ -232,35 +234,60 @@ def across(open_rows: DataFrame, sets: DataFrame) -> DataFrame:
     tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, near = None, []  # the rows of the tile that are still inside the size band
+        tile, near, tied = None, {}, {}  # near: by component, the tile's rows that are still inside the size band
+
+        def root(x: int) -> int:
+            while tied.get(x, x) != x:
+                x = tied[x]
+            return x
+
         for batch in batches:
             a, b = [], []
             for key, lo, hi, n, doc, part, g, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, lo, hi) != tile:
-                    tile, near = (key, lo, hi), []
-                while near and NUM * n > DEN * near[0][0]:
-                    near.pop(0)
-                p, size = int.from_bytes(sig, "little"), len(sig)
-                for m, other, its, group, q, width in near:
-                    if its != part and (lo == hi or group != g) and similar((n + m - differing(p, size, q, width)) // 2, n, m):
-                        a.append(other)
-                        b.append(doc)
-                near.append((n, doc, part, g, p, size))
+                    tile, near, tied = (key, lo, hi), {}, {}
+                p, size, own = int.from_bytes(sig, "little"), len(sig), root(part)
+                for its, rows in near.items():
+                    if its == part or (forest and root(its) == own):
+                        continue
+                    while rows and NUM * n > DEN * rows[0][0]:
+                        rows.popleft()
+                    for m, other, group, q, width in rows:
+                        if lo != hi and group == g:
+                            continue
+                        if similar((n + m - differing(p, size, q, width)) // 2, n, m):
+                            a.append(other)
+                            b.append(doc)
+                            if forest:
+                                tied[root(its)] = own
+                                break
+                near.setdefault(part, deque()).append((n, doc, g, p, size))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return stored(map_partitions(tiles, run, "a long, b long").distinct(), "across")
 
 
+def merged(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``id, component`` after ``links``: only components that a link ties are looked at again."""
+    ids = links.select(F.col("a").alias("id")).union(links.select("b")).distinct().join(label, "id", "left_anti")
+    label = stored(label.unionByName(ids.select("id", F.col("id").alias("component"))), "labels")
+    left, right = (label.select(F.col("id").alias(c), F.col("component").alias(f"c{c}")) for c in "ab")
+    ties = links.join(left, "a").join(right, "b").select("ca", "cb").where("ca <> cb").distinct()
+    found = components(ties, "ca", "cb").select(F.col("id").alias("component"), F.col("component").alias("now"))
+    return stored(label.join(found, "component", "left").select("id", F.coalesce("now", "component").alias("component")), "labels")
+
+
 def near_components(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id``: per row the size of its set and the smallest id that links reach.
 
     Two sets link when 4 times their intersection is at least 3 times their union. Links are complete:
 
     1. Equal sets are one class, represented by its smallest id; only representatives go on.
-    2. Similar sets share a key. Under each key a set is first tried against the leader of its size band:
-       bitmaps bound the overlap from above, and each set's best leader is confirmed by exact intersection.
-    3. Links inside a component change nothing. For every key whose sets are still in several components, all sets
-       of different components are compared in size-banded tiles of bitmaps, and survivors are confirmed.
+    2. Similar sets share a key. Under each key a size band has a leader; each set is first tried against its most
+       frequent leader: bitmaps bound the overlap from above, exact intersection confirms it.
+    3. Links inside a component change nothing. Wherever sets that share keys are still in several components, sets
+       of different components are compared in size-banded tiles of bitmaps: first for one pair per tie, and
+       then completely. Survivors are confirmed.
 
     So a family of copies costs a comparison per member, not per pair, and no partner is capped.
 
@@ -282,17 +309,23 @@ def near_components(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     several = members.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a < b").select("id", "a")
     same_id = members.join(several, "id").select("a", F.col("rep").alias("b")).where("a <> b").distinct()
 
-    led = keyed_rows.where("leader <> id").select(F.col("leader").alias("a"), F.col("id").alias("b")).distinct()
-    best = stored(promising(led, sets), "led").groupBy("b").agg(F.max(F.struct("room", "a")).alias("best")).select("best.a", "b")
-    first = linked(best, rows, words).union(same_id)
-
-    label = components(first, "a", "b")
-    held = keyed_rows.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    held = stored(held.distinct(), "held")
-    mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("key")
-    rest = linked(across(held.join(mixed, "key"), sets), rows, words)
-
-    label = stored(components(first.union(rest), "a", "b").withColumnRenamed("id", "rep"), "components")
+    # any choice of leader is right here, as the next step looks at whatever stays apart; the most frequent one is most alike
+    led = keyed_rows.where("leader <> id").groupBy("id", "leader").agg(F.count(F.lit(1)).alias("many"))
+    led = led.groupBy("id").agg(F.max(F.struct("many", "leader")).alias("best")).select(F.col("best.leader").alias("a"), F.col("id").alias("b"))
+    best = promising(led, sets).select("a", "b")
+    first = linked(stored(best, "led"), rows, words).union(same_id)
+
+    label = stored(components(first, "a", "b"), "labels")
+    for forest in (True, False):
+        held = keyed_rows.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        held = stored(held.distinct(), "held")
+        seal = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"seal{k}") for k in range(2)]
+        mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many"), *seal)
+        # keys with the very same sets compare the same pairs, so one of them does
+        mixed = mixed.where("x < y").groupBy("many", "seal0", "seal1").agg(F.min("key").alias("key")).select("key")
+        label = merged(label, linked(across(held.join(mixed, "key"), sets, forest), rows, words))
+
+    label = label.withColumnRenamed("id", "rep")
     named = docs.join(classes.withColumnRenamed("id", "rep"), "digest", "left").join(label, "rep", "left")
     return named.select(id_back("id").alias("doc_id"), F.col("n").alias("n_shingles"), id_back(F.coalesce("component", "rep", "id")).alias("component_id"))
 
