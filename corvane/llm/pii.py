@@ -29,8 +29,10 @@ HINTS = {
 KINDS = tuple(PATTERNS)
 ANY = r"[0-9@]"  # no kind is without one of these
 TOKEN = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
-RUN = rf"(?<![^\x20\x09-\x0D]){TOKEN}(?:\x20{TOKEN})*+"
-WIDTH = 3  # tokens of an instance at most
+# Blanks and lone punctuation between tokens belong to the token before them, so an identifier has at most as many tokens as digits.
+BETWEEN = r"(?:\x20++[().-]++(?=\x20))*+\x20++"
+RUN = rf"(?<![^\x20\x09-\x0D]){TOKEN}(?:{BETWEEN}{TOKEN})*+"
+PIECE = rf"{TOKEN}(?:{BETWEEN})?+"
 ROUNDS = 3
 GOOD = 0.8  # least score of a pattern that is followed, and of an instance that is taken
 SUPPORT = 5  # known instances that a pattern needs
@@ -122,17 +124,22 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
-def candidates(scan: DataFrame) -> DataFrame:
-    """``id, tag, start, end, value, shape, left``: one to ``WIDTH`` tokens of a run, without outer punctuation."""
+def pieces(value: Column) -> Column:
+    """The tokens of a run, each with the blanks and lone punctuation behind it."""
+    return F.regexp_extract_all(value, F.lit(PIECE), F.lit(0))
+
+
+def candidates(scan: DataFrame, widths: list[int]) -> DataFrame:
+    """``id, tag, start, end, value, shape, left``: as many tokens of a run as one of ``widths``, without outer punctuation."""
     runs = scan.select("id", "tag", F.explode("runs").alias("run")).select("id", "tag", "run.*")
-    runs = runs.withColumn("tokens", F.split("value", " ")).withColumn("at", offsets(F.transform("tokens", lambda t: F.char_length(t) + 1)))
+    runs = runs.withColumn("tokens", pieces(F.col("value"))).withColumn("at", offsets(F.transform("tokens", lambda t: F.char_length(t))))
     token = runs.select("id", "tag", F.col("start").alias("begun"), "left", "tokens", "at", F.posexplode("tokens").alias("i", "token"))
-    token = token.withColumn("many", F.explode(F.array(*[F.lit(k) for k in range(1, WIDTH + 1)])))
+    token = token.withColumn("many", F.explode(F.array(*[F.lit(k) for k in widths]).cast("array<int>")))
     token = token.where(F.col("i") + F.col("many") <= F.size("tokens"))
-    text = F.array_join(F.slice("tokens", F.col("i") + 1, F.col("many")), " ")
+    text = F.array_join(F.slice("tokens", F.col("i") + 1, F.col("many")), "")
     token = token.select(
         "id", "tag", (F.col("begun") + F.get("at", F.col("i"))).alias("start"), text.alias("raw"),
-        F.when(F.col("i") == 0, F.col("left")).otherwise(F.lower(F.get("tokens", F.col("i") - 1))).alias("left"),
+        F.when(F.col("i") == 0, F.col("left")).otherwise(F.lower(F.rtrim(F.get("tokens", F.col("i") - 1)))).alias("left"),
     )
     bare = F.regexp_replace(F.col("raw"), r"^[^\p{L}0-9+(]++", "")
     token = token.withColumn("start", F.col("start") + F.char_length("raw") - F.char_length(bare))
@@ -140,14 +147,28 @@ def candidates(scan: DataFrame) -> DataFrame:
     return token.select("id", "tag", "start", (F.col("start") + F.char_length("value")).alias("end"), "value", shape(F.col("value")).alias("shape"), "left")
 
 
-def bootstrap(scan: DataFrame) -> DataFrame:
-    """``kind, value``: identifiers that good patterns find, with the seeds among them."""
+def seeded(scan: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
+    """Seeds ``kind, value``, their shapes ``kind, shape, n`` and the numbers of tokens that these have.
+
+    A card has at most 19 digits and a phone 15, so there are never more than 19 widths.
+    """
     values = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(k).alias("kind"), s["value"].alias("value")))
     spans = F.concat(*map(values, KINDS))
     seeds = stored(scan.select(F.explode(spans).alias("s")).select("s.*").distinct(), "seeds")
-    shapes = small(seeds.withColumn("shape", shape(F.col("value"))).groupBy("kind", "shape").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= SUPPORT))
+    shapes = seeds.groupBy("kind", shape(F.col("value")).alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(pieces(F.col("value")))).alias("width"))
+    shapes = small(shapes.where(F.col("n") >= SUPPORT))
+    widths = sorted(r["width"] for r in shapes.select("width").distinct().collect())
+    return seeds, shapes.drop("width"), widths
+
+
+def bootstrap(seeds: DataFrame, shapes: DataFrame, found: DataFrame) -> DataFrame:
+    """``kind, value``: identifiers that good patterns find among the candidates ``found``, with the seeds among them."""
     # each instance once under each pattern, however often it occurs: a frequent one weighs no more
-    graph = candidates(scan).join(shapes, "shape").select("kind", "value", "shape", "left").distinct()
+    graph = found.join(shapes, "shape").select("kind", "value", "shape", "left")
+    fits = F.lit(False)
+    for kind in KINDS:  # windows that cut a number in two say nothing about a pattern
+        fits = F.when(F.col("kind") == kind, valid(kind, F.col("value"))).otherwise(fits)
+    graph = graph.where(fits).distinct()
     graph = graph.select("kind", "value", F.explode(F.array(
         F.struct("shape", F.lit(None).cast("string").alias("left")), F.struct("shape", "left"),
     )).alias("p")).select("kind", "value", F.concat_ws("\u0001", "p.shape", "p.left").alias("pattern")).distinct()
@@ -180,7 +201,9 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     """
     scan = scanned(df, id_col, text_col)
     # a value that a good pattern holds is looked up where it occurs; frequent values are split by the adaptive skew join
-    hits = candidates(scan).join(bootstrap(scan), "value")
+    seeds, shapes, widths = seeded(scan)
+    windows = candidates(scan, widths)
+    hits = windows.join(bootstrap(seeds, shapes, windows), "value")
     fits = F.lit(False)
     for kind in KINDS:
         whole = F.regexp_like("value", F.lit(f"^(?:{PATTERNS[kind]})$"))

@@ -106,6 +106,22 @@ def test_patterns_find_what_runs_of_numbers_hide(spark):
     assert got[205] == got[206] == got[207] == "" and got[1] == ""
 
 
+def test_long_identifiers_in_runs_of_numbers(spark):
+    rng = random.Random(8)
+    grouped = lambda c: " ".join(c[i : i + 4] for i in range(0, 16, 4))
+    phone = lambda: f"+1 {rng.randrange(200, 999)} 555 {rng.randrange(1000, 9999)}"
+    spaced = lambda: f"+44 ( {rng.randrange(20, 99)} )  {rng.randrange(1000, 9999)} - {rng.randrange(1000, 9999)}"
+    rows = [(k, f"pay with {grouped(card(rng))} today or {phone()} tomorrow, {spaced()} later") for k in range(40)]
+    hidden, called, wide = grouped(card(rng)), phone(), spaced()
+    while any(brute.luhn(x.replace(" ", "")) for x in (f"7 {hidden}", f"7 {hidden}"[:-5])):
+        hidden = grouped(card(rng))
+    rows += [(100, f"ref 7 {hidden} and more"), (101, f"ref {called} 20 30 40 and more"), (102, f"ref {wide} 20 30 40 and more"), (103, "12 34 56 78 90 12 34 56")]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(brute.frame(spark, rows)).collect()}
+    assert got[100] == "ref 7 [CARD] and more"
+    assert got[101] == got[102] == "ref [PHONE] 20 30 40 and more"
+    assert got[103] == rows[-1][1]
+
+
 def test_redaction(spark):
     rows = private_rows()
     df = brute.frame(spark, rows)
