@@ -1,9 +1,10 @@
 """Personal data: fixed patterns as seeds, then bootstrapped contextual extraction. Column expressions only.
 
 Seeds are the matches of fixed patterns. A lexical pattern is the shape of an identifier with the word before it, or with
-any. Patterns and instances score each other: a pattern by the share of its instances that are known, an instance by
-the patterns it occurs in. Instances of good patterns are personal data too; they are found where a fixed pattern
-fails, as in a run of numbers.
+any; a context is the word before or behind alone, and its instances are segments of any shape. Patterns and instances score
+each other: a pattern by the share of its instances that are known, an instance by the patterns it occurs in. Instances of
+good patterns are personal data too; shapes find them where a fixed pattern fails, as in a run of numbers, and contexts
+find forms that no seed has, as far as a loose check of the kind allows.
 """
 
 from __future__ import annotations
@@ -27,7 +28,19 @@ HINTS = {
     "email": r"@", "ip": r"[0-9]\.[0-9]+\.[0-9]+\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": r"\+[0-9]",
 }
 KINDS = tuple(PATTERNS)
-ANY = r"[0-9@]"  # no kind is without one of these
+SPELT_AT = r"(?:\x20at\x20|\x20?[\[(](?:at|@)[\])]\x20?)"
+SPELT_DOT = r"(?:\x20dot\x20|\x20?[\[(](?:dot|\.)[\])]\x20?)"
+NAME = r"[a-z0-9_%+-]++"
+SPELT = (  # an email with its signs in words or brackets
+    rf"{NAME}(?:(?:{SPELT_DOT}|\.){NAME})*+(?:(?:{SPELT_AT}|@){NAME}(?:{SPELT_DOT}{NAME})++"
+    rf"|\x20?[\[(](?:at|@)[\])]\x20?{NAME}(?:(?:{SPELT_DOT}|\.){NAME})++)"
+)
+GROUPS = r"[0-9a-f]{1,4}(?::[0-9a-f]{0,4}){2,7}"
+NUMBER = rf"[+(]{{0,2}}[0-9]++(?:(?:{SPELT_DOT}|\x20?\(|\)\x20?[/-]?\x20?|\x20[/-]\x20|[\x20./-])[0-9]++)*+"
+# Segments: whatever may be an identifier in some form, each number or address in the text being one.
+LOOSE = rf"(?i)(?<![\p{{L}}0-9._%+-])(?:[a-z0-9._%+-]++@[a-z0-9-]++(?:\.[a-z0-9-]++)++(?!{SPELT_DOT})|{SPELT}|{GROUPS}|{NUMBER})(?![\p{{L}}0-9])"
+# no kind is without one of these
+ANY = r"[0-9@]|(?i:[\[(]at[\])]|\x20at\x20[^\x20]++[\x20\[(]++dot[\x20\])])"
 TOKEN = r"[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
 # Blanks and lone punctuation between tokens belong to the token before them, so an identifier has at most as many tokens as digits.
 BETWEEN = r"(?:\x20++[().-]++(?=\x20))*+\x20++"
@@ -40,21 +53,22 @@ FEW = 20_000  # rows up to which a table of patterns is broadcast
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """``start, end, value, gap`` of the leftmost matches, in code points; ``gap`` is the text between it and the one before."""
+    """``start, end, value, gap, next`` of the leftmost matches, in code points; ``gap`` is the text since the one before, ``next`` that to the one after."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
 
     def placed(hits: Column) -> Column:
-        pairs = F.zip_with(hits, F.slice(gaps, F.lit(1), F.size(hits)), lambda m, g: F.struct(m.alias("m"), g.alias("g")))
+        around = let(gaps, lambda g: F.zip_with(g, F.slice(g, F.lit(2), F.size(hits)), lambda x, y: F.struct(x.alias("g"), y.alias("h"))))
+        pairs = F.zip_with(hits, F.slice(around, F.lit(1), F.size(hits)), lambda m, g: F.struct(m.alias("m"), g["g"].alias("g"), g["h"].alias("h")))
         return let(pairs, lambda p: F.zip_with(
             p, offsets(F.transform(p, lambda x: F.char_length(x["m"]) + F.char_length(x["g"]))),
             lambda x, at: F.struct(
                 (at + F.char_length(x["g"])).alias("start"), (at + F.char_length(x["g"]) + F.char_length(x["m"])).alias("end"),
-                x["m"].alias("value"), x["g"].alias("gap"),
+                x["m"].alias("value"), x["g"].alias("gap"), x["h"].alias("next"),
             ),
         ))
 
-    kind = "array<struct<start:int,end:int,value:string,gap:string>>"
+    kind = "array<struct<start:int,end:int,value:string,gap:string,next:string>>"
     return F.when(F.regexp_like(text, F.lit(pattern)), let(found, placed)).otherwise(F.array().cast(kind))
 
 
@@ -75,6 +89,27 @@ def valid(kind: str, value: Column) -> Column:
     return size.between(13, 19) & luhn(digits(value))
 
 
+def loose(kind: str, value: Column) -> Column:
+    """What an instance must pass: the fixed pattern, or another form that can be of the kind."""
+    whole = F.regexp_like(value, F.lit(f"^(?:{PATTERNS[kind]})$")) & valid(kind, value)
+    if kind == "email":
+        return whole | F.regexp_like(value, F.lit(rf"(?i)^(?:{SPELT})$"))
+    if kind == "ip":
+        part = r"(?:[0-9]|[1-9][0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
+        four = F.regexp_like(value, F.lit(rf"(?i)^{part}(?:(?:{SPELT_DOT}|[.-]){part}){{3}}$"))
+        return whole | four | F.regexp_like(value, F.lit(rf"(?i)^(?=.*::|(?:[^:]+:){{7}}[^:]+$)(?!.*::.*::){GROUPS}$"))
+    number = F.regexp_like(value, F.lit(rf"^{'[+(]{0,2}' if kind == 'phone' else ''}[0-9][0-9\x20()./-]*+$"))
+    return whole | (number & valid(kind, value))
+
+
+def of_kind(check) -> Column:
+    """``check(kind, value)`` for the kind of the row."""
+    fits = F.lit(False)
+    for kind in KINDS:
+        fits = F.when(F.col("kind") == kind, check(kind, F.col("value"))).otherwise(fits)
+    return fits
+
+
 def luhn(number: Column) -> Column:
     """Every second digit from the right doubled, its digits summed; the total must end in 0."""
     each = F.transform(F.split(F.reverse(F.substring(number, 1, 19)), ""), lambda d: d.try_cast("int"))
@@ -105,7 +140,7 @@ def small(df: DataFrame) -> DataFrame:
 
 
 def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``id, tag``, one array of base spans per kind, and ``runs`` of tokens that may hold an identifier."""
+    """``id, tag``, one array of base spans per kind, ``runs`` of tokens that may hold an identifier, and ``segments``."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"))
     t = F.col("text")
@@ -118,10 +153,29 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         ),
     )
     none = F.array().cast("array<struct<start:int,value:string,left:string>>")
+    segments = F.transform(
+        matches(t, LOOSE),
+        lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"),
+            F.lower(F.regexp_extract(F.substring(s["gap"], -64, 64), r"(\p{L}++)\P{L}*+$", 1)).alias("left"),
+            F.lower(F.regexp_extract(F.substring(s["next"], 1, 64), r"^\P{L}*+(\p{L}++)", 1)).alias("right"),
+        ),
+    )
+    empty = F.array().cast("array<struct<start:int,end:int,value:string,left:string,right:string>>")
     return stored(
-        rows.select("id", F.xxhash64("text").alias("tag"), *[base(t, k).alias(k) for k in KINDS], F.when(some, runs).otherwise(none).alias("runs")),
-        "scanned",
-    )
+        rows.select(
+            "id", F.xxhash64("text").alias("tag"), *[base(t, k).alias(k) for k in KINDS], F.when(some, runs).otherwise(none).alias("runs"),
+            F.when(some, segments).otherwise(empty).alias("segments"),
+        ), "scanned",
+    )
+
+
+def in_context(scan: DataFrame) -> DataFrame:
+    """``id, tag, start, end, value, left, right``: the segments that are a base span or touch none."""
+    spans = F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
+    cut = lambda s: F.exists("spans", lambda b: overlaps(s, b) & ((s["start"] != b["start"]) | (s["end"] != b["end"])))
+    free = scan.select("id", "tag", "segments", spans.alias("spans")).select("id", "tag", F.filter("segments", lambda s: ~cut(s)).alias("segments"))
+    return free.select("id", "tag", F.explode("segments").alias("s")).select("id", "tag", "s.*")
 
 
 def pieces(value: Column) -> Column:
@@ -161,17 +215,20 @@ def seeded(scan: DataFrame) -> tuple[DataFrame, DataFrame, list[int]]:
     return seeds, shapes.drop("width"), widths
 
 
-def bootstrap(seeds: DataFrame, shapes: DataFrame, found: DataFrame) -> DataFrame:
-    """``kind, value``: identifiers that good patterns find among the candidates ``found``, with the seeds among them."""
+def bootstrap(seeds: DataFrame, shapes: DataFrame, windows: DataFrame, segments: DataFrame) -> DataFrame:
+    """``kind, value``: identifiers that good patterns find among windows and segments, with the seeds among them."""
     # each instance once under each pattern, however often it occurs: a frequent one weighs no more
-    graph = found.join(shapes, "shape").select("kind", "value", "shape", "left")
-    fits = F.lit(False)
-    for kind in KINDS:  # windows that cut a number in two say nothing about a pattern
-        fits = F.when(F.col("kind") == kind, valid(kind, F.col("value"))).otherwise(fits)
-    graph = graph.where(fits).distinct()
+    graph = windows.join(shapes, "shape").select("kind", "value", "shape", "left")
+    graph = graph.where(of_kind(valid)).distinct()  # windows that cut a number in two say nothing about a shape
     graph = graph.select("kind", "value", F.explode(F.array(
         F.struct("shape", F.lit(None).cast("string").alias("left")), F.struct("shape", "left"),
     )).alias("p")).select("kind", "value", F.concat_ws("\u0001", "p.shape", "p.left").alias("pattern")).distinct()
+    # a word tells nothing of a kind if it stands by other numbers as well, so all of them count, whatever they are
+    words = F.array(F.struct(F.lit("before").alias("side"), F.col("left").alias("word")), F.struct(F.lit("behind").alias("side"), F.col("right").alias("word")))
+    near = segments.select("value", F.explode(words).alias("p")).where("p.word <> ''")
+    near = near.select("value", F.concat_ws("\u0001", F.lit(""), "p.side", "p.word").alias("pattern")).distinct()
+    near = near.withColumn("kind", F.explode(F.array(*[F.lit(k) for k in KINDS])))
+    graph = graph.withColumn("fit", F.lit(True)).unionByName(near.withColumn("fit", of_kind(loose)))
     graph = stored(graph, "graph")
     known = seeds.withColumn("score", F.lit(1.0))
     for _ in range(ROUNDS):
@@ -180,7 +237,7 @@ def bootstrap(seeds: DataFrame, shapes: DataFrame, found: DataFrame) -> DataFram
             (F.sum("score") / (F.count(F.lit(1)) + 1)).alias("trust"), F.sum((F.col("score") > 0).cast("int")).alias("support")
         ).where((F.col("trust") >= GOOD) & (F.col("support") >= SUPPORT))
         doubt = F.sum(F.log(F.lit(1.0) - F.least("trust", F.lit(0.99))))
-        found = graph.join(small(good), ["kind", "pattern"]).groupBy("kind", "value").agg((F.lit(1.0) - F.exp(doubt)).alias("found"))
+        found = graph.where("fit").join(small(good), ["kind", "pattern"]).groupBy("kind", "value").agg((F.lit(1.0) - F.exp(doubt)).alias("found"))
         known = stored(
             found.join(seeds.withColumn("seed", F.lit(1.0)), ["kind", "value"], "full").select(
                 "kind", "value", F.coalesce("seed", "found").alias("score")
@@ -196,22 +253,20 @@ def overlaps(a: Column, b: Column) -> Column:
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, tag``, base spans per kind and ``spans``, all spans of a row by kind, then start. ``tag`` is a hash of the text.
 
-    A found instance becomes a span where it is valid for its kind and touches no base span; of found ones that
+    A found instance becomes a span where it can be of its kind (``loose``) and touches no base span; of found ones that
     overlap the earliest stays, of those the longest.
     """
     scan = scanned(df, id_col, text_col)
     # a value that a good pattern holds is looked up where it occurs; frequent values are split by the adaptive skew join
     seeds, shapes, widths = seeded(scan)
     windows = candidates(scan, widths)
-    hits = windows.join(bootstrap(seeds, shapes, windows), "value")
-    fits = F.lit(False)
-    for kind in KINDS:
-        whole = F.regexp_like("value", F.lit(f"^(?:{PATTERNS[kind]})$"))
-        fits = F.when(F.col("kind") == kind, whole & valid(kind, F.col("value"))).otherwise(fits)
-    extra = hits.where(fits).groupBy("id", "tag").agg(
+    segments = in_context(scan)
+    places = windows.select("id", "tag", "start", "end", "value").unionByName(segments.select("id", "tag", "start", "end", "value"))
+    hits = places.join(bootstrap(seeds, shapes, windows, segments), "value")
+    extra = hits.where(of_kind(loose)).groupBy("id", "tag").agg(
         F.sort_array(F.collect_set(F.struct("start", (-F.col("end")).alias("far"), "kind"))).alias("hits")
     )
-    rows = scan.drop("runs").join(extra, ["id", "tag"], "left")
+    rows = scan.drop("runs", "segments").join(extra, ["id", "tag"], "left")
     of = lambda k: F.transform(F.col(k), lambda s: F.struct(F.lit(KINDS.index(k)).alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     number = lambda c: sum(F.when(c == k, i).otherwise(0) for i, k in enumerate(KINDS))
     more = F.transform(F.coalesce("hits", F.array().cast("array<struct<start:int,far:int,kind:string>>")), lambda h: F.struct(
@@ -251,7 +306,7 @@ def report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def redact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``df`` with every span of its text replaced by ``[EMAIL]``, ``[IP]``, ``[CARD]`` or ``[PHONE]``; overlapping spans become one.
 
-    Texts without a digit or an at sign cannot hold a span and are passed on without a shuffle.
+    Texts without a digit, an at sign or such a sign in words cannot hold a span and are passed on without a shuffle.
     """
     text = F.col(text_col).cast("string")
     some = F.coalesce(F.regexp_like(text, F.lit(ANY)), F.lit(False))

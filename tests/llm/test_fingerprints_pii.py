@@ -122,6 +122,29 @@ def test_long_identifiers_in_runs_of_numbers(spark):
     assert got[103] == rows[-1][1]
 
 
+def test_contexts_find_forms_that_no_seed_has(spark):
+    rng = random.Random(9)
+    rows = []
+    for k in range(40):
+        number = rng.randrange(10**8, 10**9)
+        rows += [
+            (4 * k, f"please call +1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)} soon and order {number} apples"),
+            (4 * k + 1, f"just mail me{k}@mail{k}.example.com now or buy {number + 1} pears"), (4 * k + 2, f"came from 10.{k}.22.7 to room {k}"),
+            (4 * k + 3, f"paid with card {card(rng)} for {number + 2} plums"),
+        ]
+    spaced = " - ".join(re.findall("....", card(rng)))
+    planted = [
+        (500, "please call (030) 123456 today", "please call [PHONE] today"), (501, "phone call: 0170-1234567, thanks", "phone call: [PHONE], thanks"),
+        (502, "just mail name at host dot org instead", "just mail [EMAIL] instead"), (503, "came from 10[.]0[.]0[.]77 again", "came from [IP] again"),
+        (504, f"paid with card {spaced} twice", "paid with card [CARD] twice"),
+        (600, "please call 12 times", None), (601, "order 201234567 apples and 030 123456 pears", None), (602, "look at 12 dot 5 and at host dot org", None),
+        (603, "paid with card 1234 - 5678 - 9012 - 3456 twice", None), (604, "since 2024-05-06 and 0170 1234567 apples", None),
+    ]
+    got = {r["doc_id"]: r["text"] for r in pii.redact(brute.frame(spark, rows + [r[:2] for r in planted])).collect()}
+    assert [got[d] for d, _, _ in planted] == [want or text for _, text, want in planted]
+    assert all(str(n) in got[d] for d, t in rows for n in re.findall(r"\b[0-9]{9}\b", t))
+
+
 def test_redaction(spark):
     rows = private_rows()
     df = brute.frame(spark, rows)
