@@ -319,7 +319,8 @@ def near_components(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     for forest in (True, False):
         held = keyed_rows.select("key", "id", "n").join(label, "id", "left").withColumn("component", F.coalesce("component", "id"))
         held = stored(held.distinct(), "held")
-        seal = [F.bit_xor(F.xxhash64("id", F.lit(k))).alias(f"seal{k}") for k in range(2)]
+        # an id with texts of several sizes has a row for each; with the size in it no two rows of a key cancel
+        seal = [F.bit_xor(F.xxhash64("id", "n", F.lit(k))).alias(f"seal{k}") for k in range(2)]
         mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many"), *seal)
         # keys with the very same sets compare the same pairs, so one of them does
         mixed = mixed.where("x < y").groupBy("many", "seal0", "seal1").agg(F.min("key").alias("key")).select("key")

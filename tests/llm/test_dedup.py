@@ -15,6 +15,19 @@ def test_near_components_equal_brute_force(spark):
     assert brute.by_key(got) == brute.by_key(brute.near_components(ROWS))
 
 
+def test_repeated_ids_with_texts_of_two_sizes(spark):
+    """Chains whose ends meet only through the middle, each id with two texts: under every key each id stands twice."""
+    rows = []
+    for family in range(8):
+        words = [f"f{family}x{k}" for k in range(250)]
+        for member in range(3):
+            doc = None if (family, member) == (5, 2) else 100 * family + member
+            text = words[24 * member : 24 * member + 200]
+            rows += [(doc, " ".join(text)), (doc, " ".join([*text, f"more{family}of{member}"]))]
+    got = [tuple(r) for r in near_components(brute.frame(spark, rows)).collect()]
+    assert brute.by_key(got) == brute.by_key(brute.near_components(rows))
+
+
 def test_lines_equal_brute_force(spark):
     got = [tuple(r)[:4] for r in dedup_lines(brute.frame(spark, ROWS), carry=["lang", "id"]).collect()]
     assert brute.by_key(got) == brute.by_key(brute.dedup_lines(ROWS))
