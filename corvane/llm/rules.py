@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -134,6 +135,25 @@ def inverted(moments: DataFrame, factor: float) -> DataFrame:
     return map_batches(moments, run, "grp string, centre array<double>, inverse array<double>")
 
 
+def consistency(d: int, core: float) -> float:
+    """The scatter of a normal cloud in ``d`` dimensions by that of its nearest ``core`` share: core / P(chi2_{d+2} <= q).
+
+    ``q`` is the chi-square quantile of ``d`` at ``core``. Probabilities fall by x^(k/2) e^(-x/2) / 2^(k/2) / Gamma(k/2 + 1) from k to k + 2.
+    """
+    fall = lambda k, x: math.exp(k / 2 * math.log(x / 2) - x / 2 - math.lgamma(k / 2 + 1))
+
+    def below(x: float) -> float:
+        first = 2 - d % 2
+        start = math.erf(math.sqrt(x / 2)) if first == 1 else 1 - math.exp(-x / 2)
+        return start - sum(fall(k, x) for k in range(first, d, 2))
+
+    low, high = 1e-9, 100.0 + 10 * d
+    for _ in range(100):
+        q = (low + high) / 2
+        low, high = (q, high) if below(q) < core else (low, q)
+    return core / (core - fall(d, q))
+
+
 def estimates(rows: DataFrame) -> DataFrame:
     """Minimum-covariance-determinant estimates: ``grp, centre, inverse``.
 
@@ -150,8 +170,7 @@ def estimates(rows: DataFrame) -> DataFrame:
         "grp", F.array(*[F.get(f"q{i}", F.lit(1)) for i in range(d)]).alias("centre"),
         F.array(*[F.lit(1.0) / spread[i] if i == j else F.lit(0.0) for i in range(d) for j in range(d)]).alias("inverse"),
     )
-    # scatter of the nearest CORE share of a normal cloud, as a share of the whole one's (five statistics)
-    factor = 1.0 / 0.55
+    factor = consistency(d, CORE)
     for _ in range(STEPS):
         near = rows.join(small(now), "grp").select("grp", "x", distance(F.col("x"), F.col("centre"), F.col("inverse")).alias("d2"))
         edge = near.groupBy("grp").agg(F.percentile_approx("d2", CORE, 1000).alias("edge"))

@@ -9,7 +9,7 @@ import corpus_pipeline
 from corvane.llm import pii, quality
 from corvane.llm.jaccard import near_components
 from corvane.llm.queries import rated_model
-from corvane.llm.rules import CUT, judge
+from corvane.llm.rules import CORE, CUT, STATISTICS, consistency, judge
 
 ROWS = brute.odd_rows()
 
@@ -49,6 +49,15 @@ def test_rules_on_few_rows(spark, rows):
     assert [(r["doc_id"], r["kept"]) for r in judge(brute.frame(spark, rows)).collect()] == [(r[0], False) for r in rows]
 
 
+def test_scatter_of_a_core_is_made_consistent():
+    d = len(STATISTICS)
+    for n, core in ((d, CORE), (2, 0.5)):
+        x = np.random.default_rng(1).normal(size=(400_000, n))
+        far = (x**2).sum(axis=1)
+        near = x[far <= np.quantile(far, core)]
+        assert np.allclose(consistency(n, core) * near.var(axis=0), 1, atol=0.02)
+
+
 def test_held_out_accuracy(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet"), spark.read.parquet(f"{sf}/../sf0.01/labels.parquet")
     model = quality.fit(docs, quality.grades(labels.where("doc_id % 4 <> 0")), 3)
