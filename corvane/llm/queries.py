@@ -153,3 +153,10 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     keep = [F.col("doc_id"), (F.octet_length(text).cast("long") + 1).alias("size"), F.crc32(text).alias("text_crc32"), F.lit("key").alias("law")]
     return place(documents(spark, sf), "doc_id", [1.0] * 8, [1.0] * 9, keep)
+
+
+@query("op11_spelling_variants")
+def op11(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.spelling import variants
+
+    return variants(documents(spark, sf))
