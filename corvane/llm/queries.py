@@ -160,3 +160,20 @@ def op11(spark: SparkSession, sf: str) -> DataFrame:
     from corvane.llm.spelling import variants
 
     return variants(documents(spark, sf))
+
+
+@query("op12_tokenizer_alignment")
+def op12(spark: SparkSession, sf: str) -> DataFrame:
+    import public_tokenizers
+
+    from corvane.llm.alignment import align
+
+    ranks = (public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return align(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ranks)
+
+
+@query("op13_suffix_array_dedup")
+def op13(spark: SparkSession, sf: str) -> DataFrame:
+    from corvane.llm.suffixes import dedup_bytes
+
+    return dedup_bytes(documents(spark, sf)).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
