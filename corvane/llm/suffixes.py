@@ -100,8 +100,12 @@ def suffix_array(data: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.nd
     larger than one are sorted, by the group of the suffix that starts a depth later.
     """
     n = len(data)
-    order = np.argsort(first, kind="stable")
-    new = np.concatenate([[True], first[order][1:] != first[order][:-1]]) if n else np.empty(0, bool)
+    # suffixes of fewer than eight bytes are alone in their groups, the shorter before the longer and before all others
+    whole = max(0, n - 7)
+    turn = np.concatenate([np.arange(n - 1, whole - 1, -1), np.arange(whole)])
+    order = turn[np.argsort(first[turn], kind="stable")]
+    short = order >= whole
+    new = np.concatenate([[True], (first[order][1:] != first[order][:-1]) | short[1:] | short[:-1]]) if n else np.empty(0, bool)
     group = np.empty(n, dtype=np.int64)
     group[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     depth = 8
