@@ -26,20 +26,24 @@ def fan_out(df: DataFrame, keep: Sequence[str | Column], array: Column, name: st
 
 
 def offsets(lengths: Column) -> Column:
-    """The sum of all lengths before each place, in blocks of about the square root of their number."""
+    """The sum of all lengths before each place, in blocks of about the square root of their number.
+
+    ``lengths`` may be any expression: it is bound first, as every block reads it again.
+    """
 
     def total(some: Column) -> Column:
         return F.aggregate(some, F.lit(0), lambda a, x: a + x)
 
-    def walk(n: Column) -> Column:
-        def blocks(width: Column) -> Column:
-            sums = F.transform(F.sequence(F.lit(0), F.ceil(n / width).cast("int")), lambda b: total(F.slice(lengths, b * width + 1, width)))
-            return let(sums, lambda s: let(
-                F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))),
-                lambda begun: F.transform(lengths, lambda _, i: F.get(begun, F.floor(i / width).cast("int"))
-                    + total(F.slice(lengths, F.floor(i / width).cast("int") * width + 1, i % width))),
-            ))
+    def in_blocks(bound: Column, width: Column) -> Column:
+        sums = F.transform(F.sequence(F.lit(0), F.ceil(F.size(bound) / width).cast("int")), lambda b: total(F.slice(bound, b * width + 1, width)))
+        return let(sums, lambda s: let(
+            F.transform(s, lambda _, b: total(F.slice(s, F.lit(1), b))),
+            lambda begun: F.transform(bound, lambda _, i: F.get(begun, F.floor(i / width).cast("int"))
+                + total(F.slice(bound, F.floor(i / width).cast("int") * width + 1, i % width))),
+        ))
 
-        return let(F.greatest(F.lit(1), F.ceil(F.sqrt(n)).cast("int")), blocks)
+    def walk(bound: Column) -> Column:
+        summed = let(F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(bound))).cast("int")), lambda width: in_blocks(bound, width))
+        return F.when(F.size(bound) == 0, F.array().cast("array<int>")).otherwise(summed)
 
-    return F.when(F.size(lengths) == 0, F.array().cast("array<int>")).otherwise(let(F.size(lengths), walk))
+    return let(lengths, walk)
