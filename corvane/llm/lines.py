@@ -129,8 +129,8 @@ def dedup_lines(
 
     seen = stored(map_partitions(rows, look, f"id long, text string, keys array<binary>, rest {rest_type}"), "lines")
     asked = seen.where(F.size("keys") > 0).select("id", F.explode("keys").alias("key"))
-    shared = asked.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").drop("last")
-    # one row per key on this side; the other one's frequent keys are split by the adaptive skew join
+    # one row per key; written, so that both sides of the join are shuffled for it and the adaptive skew join may split a frequent key
+    shared = stored(asked.groupBy("key").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").drop("last"), "shared")
     lost = asked.join(shared, "key").where("id <> keeper").groupBy("id").agg(F.collect_set("key").alias("lost"))
     cut = seen.where(F.size("keys") > 0).select("id", "text", "rest").join(lost, "id", "left").select("id", "text", "lost", "rest")
 

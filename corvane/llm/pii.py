@@ -9,10 +9,12 @@ find forms that no seed has, as far as a loose check of the kind allows.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.rows import offsets
+from corvane.functions.rows import fan_out, offsets
 from corvane.functions.text import let
 from corvane.llm.common import NO_ID, fresh, id_back, stored
 
@@ -172,9 +174,8 @@ def scanned(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def in_context(scan: DataFrame) -> DataFrame:
     """``id, tag, start, end, value, left, right``: the segments that are a base span or touch none."""
-    spans = F.concat(*[F.transform(F.col(k), lambda s: F.struct(s["start"], s["end"])) for k in KINDS])
-    cut = lambda s: F.exists("spans", lambda b: overlaps(s, b) & ((s["start"] != b["start"]) | (s["end"] != b["end"])))
-    free = scan.select("id", "tag", "segments", spans.alias("spans")).select("id", "tag", F.filter("segments", lambda s: ~cut(s)).alias("segments"))
+    other = lambda s, b: overlaps(s, b) & ((s["start"] != b["start"]) | (s["end"] != b["end"]))
+    free = scan.select("id", "tag", apart(F.col("segments"), [F.col(k) for k in KINDS], other).alias("segments"))
     return free.select("id", "tag", F.explode("segments").alias("s")).select("id", "tag", "s.*")
 
 
@@ -186,15 +187,25 @@ def pieces(value: Column) -> Column:
 def candidates(scan: DataFrame, widths: list[int]) -> DataFrame:
     """``id, tag, start, end, value, shape, left``: as many tokens of a run as one of ``widths``, without outer punctuation."""
     runs = scan.select("id", "tag", F.explode("runs").alias("run")).select("id", "tag", "run.*")
-    runs = runs.withColumn("tokens", pieces(F.col("value"))).withColumn("at", offsets(F.transform("tokens", lambda t: F.char_length(t))))
-    token = runs.select("id", "tag", F.col("start").alias("begun"), "left", "tokens", "at", F.posexplode("tokens").alias("i", "token"))
-    token = token.withColumn("many", F.explode(F.array(*[F.lit(k) for k in widths]).cast("array<int>")))
-    token = token.where(F.col("i") + F.col("many") <= F.size("tokens"))
-    text = F.array_join(F.slice("tokens", F.col("i") + 1, F.col("many")), "")
-    token = token.select(
-        "id", "tag", (F.col("begun") + F.get("at", F.col("i"))).alias("start"), text.alias("raw"),
-        F.when(F.col("i") == 0, F.col("left")).otherwise(F.lower(F.rtrim(F.get("tokens", F.col("i") - 1)))).alias("left"),
-    )
+
+    def cut(tokens: Column) -> Column:
+        """The windows of all widths; a row of its own gets each window, never the array that it is cut from."""
+
+        def of_width(at: Column, many: int) -> Column:
+            places = F.when(F.size(tokens) >= many, F.sequence(F.lit(0), F.size(tokens) - many)).otherwise(F.array().cast("array<int>"))
+            return F.transform(places, lambda i: F.struct(
+                (F.col("start") + F.get(at, i)).alias("start"), F.array_join(F.slice(tokens, i + 1, F.lit(many)), "").alias("raw"),
+                F.when(i == 0, F.col("left")).otherwise(F.lower(F.rtrim(F.get(tokens, i - 1)))).alias("left"),
+            ))
+
+        return let(offsets(F.transform(tokens, lambda t: F.char_length(t))), lambda at: F.concat(*[of_width(at, k) for k in widths]))
+
+    if not widths:
+        nothing = F.array().cast("array<struct<start:int,raw:string,left:string>>")
+        token = runs.select("id", "tag", F.inline(nothing))
+    else:
+        windows = runs.select("id", "tag", "start", "left", let(pieces(F.col("value")), cut).alias("windows"))
+        token = fan_out(windows, ["id", "tag"], F.col("windows"), "w").select("id", "tag", "w.*")
     bare = F.regexp_replace(F.col("raw"), r"^[^\p{L}0-9+(]++", "")
     token = token.withColumn("start", F.col("start") + F.char_length("raw") - F.char_length(bare))
     token = token.withColumn("value", F.regexp_replace(bare, r"[^\p{L}0-9)]++$", "")).where(F.char_length("value") >= 6)
@@ -250,6 +261,33 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def apart(spans: Column, others: list[Column], meets: Callable[[Column, Column], Column]) -> Column:
+    """The ``spans`` that ``meets`` none of ``others``, each of which is in order and without overlaps.
+
+    Each of the others is cut into blocks of about the square root of its size. A span looks at the bounds of the
+    blocks, and inside those it overlaps.
+    """
+
+    def blocks(of: Column) -> Column:
+        width = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(of))).cast("int"))
+        cut = let(width, lambda w: F.transform(F.sequence(F.lit(0), F.ceil(F.size(of) / w).cast("int") - 1), lambda b: F.slice(of, b * w + 1, w)))
+        bounded = F.transform(cut, lambda c: F.struct(F.get(c, F.lit(0))["start"].alias("start"), F.element_at(c, -1)["end"].alias("end"), c.alias("held")))
+        return F.when(F.size(of) > 0, bounded)
+
+    def free(of: Column) -> Callable[[Column], Column]:
+        bare = F.transform(of, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+        def kept(left: Column) -> Column:
+            met = lambda bs, s: F.exists(bs, lambda b: overlaps(s, b) & F.exists(b["held"], lambda o: meets(s, o)))
+            return F.when((F.size(of) > 0) & (F.size(left) > 0), let(blocks(bare), lambda bs: F.filter(left, lambda s: ~met(bs, s)))).otherwise(left)
+
+        return kept
+
+    for of in others:
+        spans = let(spans, free(of))
+    return spans
+
+
 def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id, tag``, base spans per kind and ``spans``, all spans of a row by kind, then start. ``tag`` is a hash of the text.
 
@@ -273,7 +311,7 @@ def find(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
         number(h["kind"]).alias("kind"), h["start"].alias("start"), (-h["far"]).alias("end"),
     ))
     rows = rows.withColumn("base", F.concat(*[of(k) for k in KINDS])).withColumn("more", more)
-    free = F.filter("more", lambda m: ~F.exists("base", lambda b: overlaps(m, b)))
+    free = apart(F.col("more"), [F.col(k) for k in KINDS], overlaps)
     kind = "array<struct<kind:int,start:int,end:int>>"
     taken = F.aggregate(
         free, F.array().cast(kind),

@@ -81,7 +81,8 @@ def measured(df: DataFrame, id_col: str, text_col: str, lang_col: str, source_co
             ["id", "lang", "source", *COUNTS, "base_failed", "x"],
         )
 
-    group = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
+    # a null group is one of its own: every name gets a mark in front, so that neither it nor the pooled one can be a name
+    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null"))
     rows = df.select(
         F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(text_col).cast("string").alias("text"),
         group(lang_col).alias("lang"), group(source_col).alias("source"),

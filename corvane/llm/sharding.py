@@ -34,20 +34,18 @@ def place(df: DataFrame, key: str, weights: Sequence[float], grown: Sequence[flo
     ``slot`` counts from 0 without gaps inside a shard. It is a row number per shard and input partition plus
     the rows that earlier partitions put into the shard, so no shard is ever sorted in one task and a key
     that holds a third of all rows spreads with its input partitions. Repeated rows get slots of their own;
-    an empty table gives an empty one; only ``key`` and ``keep`` are read.
+    an empty table gives an empty one; only ``key`` and ``keep`` are read. A kept column named like one
+    of the three results gives way to it.
     """
-    rows = df.select(
-        *keep, rendezvous(F.col(key), weights).alias("shard"), rendezvous(F.col(key), grown).alias("grown_shard"),
-        F.spark_partition_id().alias("__part"), F.xxhash64(F.col(key)).alias("__order"),
+    names = [c for c in df.select(*keep).columns if c not in ("shard", "slot", "grown_shard")]
+    kept = df.select(F.struct(*keep).alias("kept"), F.col(key).alias("key"))  # inside a struct no carried name can clash
+    rows = kept.select(
+        "kept", rendezvous(F.col("key"), weights).alias("shard"), rendezvous(F.col("key"), grown).alias("grown_shard"),
+        F.spark_partition_id().alias("part"), F.xxhash64(F.col("key")).alias("turn"),
     )
     rows = stored(rows, "shards")  # partition numbers are fixed from here on
-    names = [c for c in rows.columns if not c.startswith("__")]
-    before = (
-        rows.groupBy("shard", "__part")
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .withColumn("__before", F.sum("__n").over(W.partitionBy("shard").orderBy("__part")) - F.col("__n"))
-        .select("shard", "__part", "__before")
-    )
-    own = F.row_number().over(W.partitionBy("shard", "__part").orderBy("__order", *names)).cast("long") - 1
-    placed = rows.withColumn("__own", own).join(before, ["shard", "__part"])
-    return placed.select(*[c for c in names if c != "grown_shard"], (F.col("__own") + F.col("__before")).alias("slot"), "grown_shard")
+    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("shard", "part", (F.sum("n").over(W.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
+    own = F.row_number().over(W.partitionBy("shard", "part").orderBy("turn", *[F.col("kept")[c] for c in names])).cast("long") - 1
+    placed = rows.withColumn("own", own).join(before, ["shard", "part"])
+    return placed.select(*[F.col("kept")[c].alias(c) for c in names], "shard", (F.col("own") + F.col("before")).alias("slot"), "grown_shard")

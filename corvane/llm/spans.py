@@ -143,7 +143,8 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, mer: int = MER, id_col:
     """
     rows = keyed(df, id_col, text_col)
     table = stored(anchors(rows, window, mer), "anchors")
-    first = table.groupBy("digest").agg(F.min("id").alias("keeper"))
+    # aggregates are written before they are joined with what they come from: only then may the skew join split a frequent key
+    first = stored(table.groupBy("digest").agg(F.min("id").alias("keeper"), F.max("id").alias("last")).where("keeper < last").drop("last"), "first")
     alike = stored(table.select("id", "tag", "n", "digest").join(first, "digest").where("id <> keeper"), "copies")
     copies = alike.select(
         "id", "tag", F.lit(0).alias("first"), F.col("n").cast("int").alias("n_words"), F.col("keeper").alias("source_id"),
@@ -151,13 +152,13 @@ def repeated_spans(df: DataFrame, window: int = WINDOW, mer: int = MER, id_col:
     ).distinct()
     alone = table.join(alike.select("id", "tag").distinct(), ["id", "tag"], "left_anti")
     mers = alone.select("id", "tag", F.explode("mers").alias("mer"))
-    shared = mers.groupBy("mer").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mer")
+    shared = stored(mers.groupBy("mer").agg(F.min("id").alias("a"), F.max("id").alias("b")).where("a < b").select("mer"), "mers")
     asked = stored(mers.join(shared, "mer").groupBy("id", "tag").agg(F.collect_set("mer").alias("mers")), "asked")
     some = in_filter(rows, "id", asked, "id").join(asked, "id").select("id", "text", "tag", "mers")
     walked = stored(edges(some, window, mer), "edges")
-    source = walked.groupBy("edge").agg(
+    source = stored(walked.groupBy("edge").agg(
         F.min(F.struct("id", "tag", "start")).alias("source"), F.max("id").alias("last")
-    ).where("source.id < last").drop("last")
+    ).where("source.id < last").drop("last"), "sources")
     repeated = walked.join(source, "edge").where(F.col("id") > F.col("source.id")).drop("edge")
     found = paths(repeated, window).unionByName(copies)
     # numbers are hashes of what they stand for, so they stay the same when a task runs again

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import lists, map_batches
+from corvane.llm.common import fresh, lists, map_batches
 
 PART_CHARS = 1 << 16
 # A blank after an ASCII letter, digit or full stop always starts a new match of the usual splitting
@@ -62,7 +62,7 @@ def encode(
             found.append(np.array(ids, dtype=np.int32))
         yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], lists(found, pa.int32())], [*keep, ids_col])
 
-    source = df.select(*keep, F.col(text_col).cast("string").alias("__text"))
+    source = df.select(*keep, F.col(text_col).cast("string").alias(fresh(df, "text_")))
     schema = df.select(*keep).schema.add(ids_col, T.ArrayType(T.IntegerType()))
     return map_batches(source, run, schema)
 

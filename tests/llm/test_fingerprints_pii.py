@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import brute
 import pytest
@@ -163,3 +164,23 @@ def test_offsets(spark):
         lengths = list(range(3, n + 3))
         r = spark.createDataFrame([(lengths,)], "a array<int>").select(offsets(F.col("a")).alias("o")).first()
         assert r["o"] == [sum(lengths[:i]) for i in range(n)]
+
+
+def timed(spark, text):
+    rows = [(1, text), (2, "plain words"), *((k, f"mail me{k}@host.org or call +49 170 12345{k:02d} please") for k in range(10, 50))]
+    pii.find(brute.frame(spark, rows[1:])).collect()  # compiles
+    began = time.monotonic()
+    got = {r["doc_id"]: r for r in pii.report(brute.frame(spark, rows)).collect()}
+    return got, time.monotonic() - began
+
+
+def test_many_addresses_in_one_text(spark):
+    text = " ".join(f"name{k}@host{k % 97}.example.org" for k in range(20_000))
+    got, took = timed(spark, text)
+    assert got[1]["n_email"] == 20_000 and got[1]["base_sha256"] == brute.sha(brute.personal(text)[1]) and took < 60
+
+
+def test_many_numbers_in_one_text(spark):
+    text = ", ".join(str(k % 90 + 10) for k in range(100_000))
+    got, took = timed(spark, text)
+    assert got[1]["n_phone"] == 0 and got[1]["base_sha256"] == brute.sha(brute.personal(text)[1]) and took < 60

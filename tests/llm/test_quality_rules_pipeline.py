@@ -146,3 +146,12 @@ def test_pipeline_stages_take_odd_and_empty_rows(spark, sf):
         assert corpus_pipeline.STAGES[0][1](spark, docs, sf).columns == columns
         assert len({r["doc_id"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, sf).collect()}) == len({r[0] for r in rows})
     assert len(near_components(brute.frame(spark, ROWS)).collect()) == len(ROWS)
+
+
+def test_rows_without_an_id_are_one_linked_document(spark):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words)), (None, " ".join([*words[:-1], "other"])), (3, "something else altogether " * 20)]
+    docs = brute.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()) == [1, 3]
+    alone = brute.frame(spark, [(1, "one text of its own"), (None, "another")]).select("doc_id", "text", "lang", "source", "n_chars")
+    assert corpus_pipeline.near_copy_stage(spark, alone, "").count() == 2

@@ -123,3 +123,12 @@ def test_weights_share_the_rows(spark):
     assert abs(n[1] / 20_000 - 0.75) < 0.02
     with pytest.raises(ValueError):
         place(keys, "id", [1.0, 0.0], [1.0], [])
+
+
+def test_carried_names_do_not_clash(spark):
+    df = spark.createDataFrame([(1, "a b", "x"), (2, None, "y")], "doc_id long, text string, __text string")
+    got = encode(df.withColumn("text_", F.lit("z")), RANKS, PATTERN, keep=("doc_id", "__text", "text_"))
+    assert sorted((r["doc_id"], r["__text"], r["text_"], len(r["ids"])) for r in got.collect()) == [(1, "x", "z", 2), (2, "y", "z", 0)]
+    placed = place(df, "doc_id", [1.0] * 3, [1.0] * 4, [F.col("doc_id"), F.col("__text").alias("__own"), F.lit(9).alias("shard"), F.lit("p").alias("part")])
+    assert placed.columns == ["doc_id", "__own", "part", "shard", "slot", "grown_shard"]
+    assert sorted((r["doc_id"], r["__own"], r["part"]) for r in placed.collect()) == [(1, "x", "p"), (2, "y", "p")]
