@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.llm import jaccard, lines, packing, pii, quality
-from corvane.llm.common import in_filter, stored
+from corvane.llm.common import NO_ID, fresh, in_filter, stored
 from corvane.llm.queries import packing_files, rated_model
 
 KEEP = 0.5  # least chance of the best grade
@@ -36,11 +36,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked ones: that with the smallest id. Only rows whose id may go are shuffled."""
+    """One document of each group of linked ones: that with the smallest id. Only rows whose id may go are shuffled.
+
+    Rows without an id are one document that comes after all others, as in the join: where it is linked, they go.
+    """
     groups = stored(jaccard.near_components(docs), "groups")
-    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    maybe = in_filter(docs, "doc_id", gone, "doc_id").join(gone, "doc_id", "left_anti").select(*docs.columns)
-    return maybe.unionByName(in_filter(docs, "doc_id", gone, "doc_id", keep=False))
+    gone = groups.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("gone_id")).distinct()
+    named = docs.withColumn(key := fresh(docs, "gone_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)))
+    gone = stored(gone.withColumnRenamed("gone_id", key), "gone")
+    maybe = in_filter(named, key, gone, key).join(gone, key, "left_anti").select(*docs.columns)
+    return maybe.unionByName(in_filter(named, key, gone, key, keep=False).select(*docs.columns))
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
