@@ -18,10 +18,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.rows import fan_out
-from corvane.functions.vectors import normalize
-from corvane.operators.topk import exact_topk
+from corvane.functions.vectors import cosine, normalize
+from corvane.operators.topk import best_of, exact_topk, topk_by
 from corvane.schema import ConfigError
-from corvane.session import shared_folder
+from corvane.session import cut_lineage, shared_folder
 
 ANN_MIN_ROWS = 100_000  # fixed value: below this an exact scan is used
 
@@ -125,6 +125,119 @@ class IvfIndex:
         return near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+# --- codes ----------------------------------------------------------------------------------------------------------
+
+TRAIN_ROWS = 65_536  # rows that centroids and code books are fitted to, at most
+PART = 4  # components that share a code
+CODES = 256  # codes of a part, so that a code is one byte
+
+
+def default_cells(rows: int) -> int:
+    return max(1, min(4096, round(rows**0.5 / 2)))
+
+
+def fitted_codes(points: np.ndarray, codes: int, rounds: int = 8) -> np.ndarray:
+    """k-means of a bounded sample, from points spread over it; a code that nothing is near keeps its place."""
+    book = points[np.linspace(0, len(points) - 1, codes).astype(np.int64)].copy()
+    for _ in range(rounds):
+        near = _nearest(points, book)
+        many = np.bincount(near, minlength=codes)
+        sums = np.stack([np.bincount(near, weights=points[:, c], minlength=codes) for c in range(points.shape[1])], axis=1)
+        book[many > 0] = sums[many > 0] / many[many > 0][:, None]
+    return book
+
+
+def _nearest(points: np.ndarray, book: np.ndarray) -> np.ndarray:
+    return ((book * book).sum(axis=1) - 2 * points @ book.T).argmin(axis=1)
+
+
+class CodeIndex:
+    """Product-quantised codes of unit vectors, filed by their nearest centroid.
+
+    What a row differs from its centroid is cut into parts of ``PART`` components, and each part is the number of the
+    nearest entry of its code book: a byte each instead of eight bytes a component. Centroids and books are fitted
+    to at most ``TRAIN_ROWS`` rows; every row is encoded.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def train(self, rows: DataFrame, dim: int, cells: int | None = None) -> CodeIndex:
+        """Fit centroids and books and write them; ``rows`` has a ``vector``."""
+        total = rows.count()
+        cells = min(total, cells or default_cells(total))
+        share = min(1.0, 1.2 * TRAIN_ROWS / max(1, total))
+        some = cut_lineage(rows.select("vector").sample(share, seed=7).limit(TRAIN_ROWS) if share < 1 else rows.select("vector"))
+        centroids = ivf_centroids(some, cells)
+        units = np.array([r[0] for r in some.select(normalize(F.col("vector"))).collect()]).reshape(-1, dim)
+        rest = units - centroids[_nearest(units, centroids)]
+        codes = min(CODES, len(rest))
+        books = [fitted_codes(rest[:, at : at + PART], codes) for at in range(0, dim, PART)]
+        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{self.path}/centroids")
+        entries = [(p, i, e.tolist()) for p, book in enumerate(books) for i, e in enumerate(book)]
+        self.spark.createDataFrame(entries, "part int, code int, entry array<double>").coalesce(1).write.parquet(f"{self.path}/books")
+        return self
+
+    def follow(self, last: CodeIndex, gone: DataFrame) -> CodeIndex:
+        """Take over an earlier index without the codes of the URIs in ``gone``."""
+        for kind in ("centroids", "books"):
+            self.spark.read.parquet(f"{last.path}/{kind}").coalesce(1).write.parquet(f"{self.path}/{kind}")
+        kept = self.spark.read.parquet(f"{last.path}/codes").join(gone, "uri", "left_anti")
+        kept.hint("rebalance", F.col("cell")).write.partitionBy("cell").parquet(f"{self.path}/codes")
+        return self
+
+    def _fitted(self) -> tuple[np.ndarray, list[np.ndarray]]:
+        cells = self.spark.read.parquet(f"{self.path}/centroids").orderBy("cell").collect()
+        books: dict[int, list] = {}
+        for r in self.spark.read.parquet(f"{self.path}/books").orderBy("part", "code").collect():
+            books.setdefault(r["part"], []).append(r["entry"])
+        return np.array([r["centroid"] for r in cells]), [np.array(b) for _, b in sorted(books.items())]
+
+    def add(self, rows: DataFrame, keys: Sequence[str]) -> CodeIndex:
+        """Encode ``rows`` and file their codes; ``keys`` name a row."""
+        shipped = self.spark.sparkContext.broadcast(self._fitted())
+
+        @F.arrow_udf("struct<cell: int, code: binary>")
+        def encoded(units: pa.Array) -> pa.Array:
+            centroids, books = shipped.value
+            flat = pc.list_flatten(units).to_numpy(zero_copy_only=False).reshape(len(units), centroids.shape[1])
+            cell = _nearest(flat, centroids) if len(flat) else np.empty(0, np.int64)
+            rest = flat - centroids[cell]
+            at = np.cumsum([0, *(b.shape[1] for b in books)])
+            code = np.stack([_nearest(rest[:, s : s + b.shape[1]], b) for s, b in zip(at, books, strict=False)], axis=1).astype(np.uint8)
+            return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["cell", "code"])
+
+        filed = rows.select(*keys, encoded(normalize(F.col("vector"))).alias("_found")).select(*keys, "_found.code", "_found.cell")
+        filed.hint("rebalance", F.col("cell")).write.mode("append").partitionBy("cell").parquet(f"{self.path}/codes")
+        return self
+
+    def candidates(self, queries: DataFrame, many: int, *, dim: int, keys: Sequence[str], nprobes: int) -> DataFrame:
+        """``qid, keys...``: for each query the ``many`` rows of best coded score in its ``nprobes`` nearest cells.
+
+        Only folders of cells that some query probes are read, and the kernel keeps the best of every cell and query
+        inside the scan.
+        """
+        centroids, books = self._fitted()
+        probes = fan_out(nearest_cells(queries, centroids, min(nprobes, len(centroids))), ["qid"], F.col("cells"), "cell")
+        probes = cut_lineage(probes)
+        wanted = [r["cell"] for r in probes.select("cell").distinct().collect()]  # at most one per cell
+        rows = self.spark.read.parquet(f"{self.path}/codes").where(F.col("cell").isin(wanted))
+
+        def decoded(part: pa.RecordBatch) -> np.ndarray:
+            code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(part.num_rows, len(books))
+            return centroids[part.column("cell").to_numpy()] + np.concatenate([b[code[:, p]] for p, b in enumerate(books)], axis=1)
+
+        best = topk_by(rows, queries, many, decoded, dim=dim, keys=keys, segments=["cell"], payload=["code"])
+        return best_of(best.drop("rank").join(probes, ["qid", "cell"]).drop("cell"), many, keys).select("qid", *keys)
+
+    def rescored(self, near: DataFrame, rows: DataFrame, queries: DataFrame, keys: Sequence[str], few: int) -> DataFrame:
+        """``qid, keys..., score`` of candidates by their vectors; few candidates go to the vectors, not the other way round."""
+        asked = near.join(queries.select("qid", F.col("vector").alias("_asked")), "qid")
+        asked = F.broadcast(asked) if near.count() * len(self._fitted()[0][0]) <= few * 64 else asked
+        met = rows.select(*keys, "vector").join(asked, list(keys))
+        return met.select("qid", *keys, F.round(cosine(F.col("vector"), F.col("_asked")), 6).alias("score"))
+
+
 def ivf_topk(vectors: DataFrame, queries: DataFrame, k: int, *, key: str, cells: int, nprobes: int, dim: int = 64) -> DataFrame:
     """An index built for one search, in the shared folder."""
     spark = vectors.sparkSession

@@ -1,25 +1,27 @@
-"""BM25 over whole documents or chunks.
+"""BM25 over a stored inverted index, one per corpus, each analysed in its own language.
 
-Document frequencies and the average length are ordinary partial aggregations, restricted to the
-terms the queries use before anything is shuffled. Scoring is a product of each batch's
-saturated term counts with the query weights, kept as a running top-k inside the task, so the
-postings of a frequent term never meet in one place.
+Documents are dealt to blocks by hash. A posting list holds a term's documents of one block, with their impacts
+(the saturated, length-normalised term counts) and the largest of these, so a frequent term never meets in one
+place. A search moves the lists of the query terms only; a block's scores are added up sparsely, and a
+query skips the blocks whose largest impacts cannot reach its best ``k`` so far.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from corvane.functions.rows import fan_out
-from corvane.operators.topk import BROADCAST_VALUES, in_blocks, rank_against
+from corvane.operators.topk import in_blocks, table_codes
 from corvane.schema import ConfigError
-from corvane.session import cut_lineage
+from corvane.session import cut_lineage, shared_folder
 
 K1 = 1.5  # fixed values: the public defaults of the ranking function
 B = 0.75
@@ -41,106 +43,240 @@ GERMAN_STOPS = (
     "um", "und", "von", "vor", "war", "wie", "wir", "zu", "zum", "zur",
 )
 
-STOPS = {"english": ENGLISH_STOPS, "german": GERMAN_STOPS}
+# The most frequent French function words.
+FRENCH_STOPS = (
+    "au", "aux", "avec", "ce", "ces", "dans", "de", "des", "du", "elle", "en", "est", "et", "eux", "il",
+    "ils", "je", "la", "le", "les", "leur", "lui", "ma", "mais", "me", "mes", "mon", "ne", "nos", "notre",
+    "nous", "on", "ou", "où", "par", "pas", "pour", "qu", "que", "qui", "sa", "se", "ses", "son", "sur",
+    "ta", "te", "tes", "ton", "tu", "un", "une", "vos", "votre", "vous", "été", "sont", "plus", "comme",
+)
+
+# The most frequent Spanish function words.
+SPANISH_STOPS = (
+    "al", "como", "con", "de", "del", "desde", "el", "ella", "ellas", "ellos", "en", "entre", "era",
+    "es", "esta", "este", "esto", "fue", "ha", "hasta", "hay", "la", "las", "le", "les", "lo", "los", "me",
+    "mi", "más", "muy", "ni", "no", "nos", "nosotros", "o", "para", "pero", "por", "porque", "que", "quien",
+    "se", "ser", "sin", "sobre", "son", "su", "sus", "también", "te", "tu", "un", "una", "y", "ya", "yo",
+)
+
+STOPS = {"english": ENGLISH_STOPS, "german": GERMAN_STOPS, "french": FRENCH_STOPS, "spanish": SPANISH_STOPS}
+MARKERS = {"de": "german", "fr": "french", "es": "spanish", "en": "english"}
+
+# Endings that are taken off one after the other, with what is put in their place; three letters stay.
+ENDINGS = {
+    "english": (("^(.{3,})ies$", "y"), ("^(.{2,}(?:ss|sh|ch|x|z))es$", ""), ("^(.{3,}[^su])s$", ""), ("^(.{3,})(?:ingly|edly|ing|ed|ly)$", ""), ("^(.{3,})e$", "")),
+    "german": (("^(.{3,})(?:ungen|heiten|keiten|schaften)$", "ung"), ("^(.{3,})(?:ern|em|en|er|es|e|n|s)$", "")),
+    "french": (("^(.{3,})aux$", "al"), ("^(.{3,})(?:s|x)$", ""), ("^(.{3,})(?:ement|ment|ée|er|é|e)$", "")),
+    "spanish": (("^(.{3,})(?:es|s)$", ""), ("^(.{3,})(?:amente|mente|ando|iendo|ado|ido|ar|er|ir|o|a|e)$", "")),
+}
 
 
 def language_of(corpus: Column) -> Column:
-    """The analyzer language a corpus name asks for: its ``_de`` or ``_en`` marker, else English."""
+    """The language a corpus name asks for: its ``_de`` or ``_en`` marker, else English."""
     marked = F.concat(corpus, F.lit("_"))
     return F.when(F.contains(marked, F.lit("_de_")), F.lit("german")).otherwise(F.lit("english"))
 
 
+def analyzer_of(corpus: Column) -> Column:
+    """The analyzer of a corpus: as :func:`language_of`, with the ``_fr`` and ``_es`` markers beside."""
+    marked = F.concat(corpus, F.lit("_"))
+    found = language_of(corpus)
+    for marker in ("fr", "es"):
+        found = F.when(F.contains(marked, F.lit(f"_{marker}_")), F.lit(MARKERS[marker])).otherwise(found)
+    return found
+
+
 def terms(text: Column, stops: Sequence[str] = ENGLISH_STOPS) -> Column:
     found = F.regexp_extract_all(F.lower(text), F.lit(TERM), F.lit(0))
     return F.filter(found, lambda w: ~w.isin(*stops)) if stops else found
 
 
-def terms_of(text: Column, language: Column) -> Column:
-    """The terms of a text without the stop words of its own language."""
-    found = terms(text, ())
-    return F.when(language == "german", F.filter(found, lambda w: ~w.isin(*GERMAN_STOPS))).otherwise(
-        F.filter(found, lambda w: ~w.isin(*ENGLISH_STOPS))
-    )
+def stem(word: Column, language: str) -> Column:
+    for ending, instead in ENDINGS[language]:
+        word = F.regexp_replace(word, ending, f"$1{instead}")
+    return word
 
 
-def corpus_statistics(docs: DataFrame, vocabulary: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(n_docs, avg_len)`` in one row, and ``term, df`` for the terms in ``vocabulary``."""
-    totals = docs.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"))
-    seen = fan_out(docs, [], F.array_distinct("terms"), "term")
-    df = seen.join(vocabulary, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
-    return totals, df
+def analysed(text: Column, language: str) -> Column:
+    """The stems of a text's words that are no stop words of the language."""
+    return F.transform(terms(text, STOPS[language]), lambda w: stem(w, language))
+
+
+def terms_of(text: Column, language: Column) -> Column:
+    """:func:`analysed` in a text's own language."""
+    found = F.when(language == "german", analysed(text, "german"))
+    for one in ("french", "spanish"):
+        found = found.when(language == one, analysed(text, one))
+    return found.otherwise(analysed(text, "english"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
-def bm25_topk(
-    docs: DataFrame,
-    queries: DataFrame,
-    k: int,
-    *,
-    keys: Sequence[str],
-    unique: Sequence[str] = (),
-    segments: Sequence[str] = (),
-    language: Column | None = None,
-    k1: float = K1,
-    b: float = B,
-    decimals: int = 6,
-    max_values: int = BROADCAST_VALUES,
-) -> DataFrame:
-    """The ``k`` best rows of ``docs`` (``keys..., text``) per query (``qid, text``) by BM25.
-
-    Rows sharing no term with a query are not hits. ``segments`` asks for the top-k inside each
-    segment value under the shared index statistics. ``language`` names each row's stop words (English by
-    default); queries keep all their words, as a row without a stop word cannot be hit by it. Terms are
-    extracted once, written, and serve the statistics and every block of queries.
-    """
-    keys, unique, segments = list(keys), list(unique), list(segments)
-    found = terms_of(F.col("text"), F.lit("english") if language is None else language)
-    analysed = cut_lineage(docs.select(*segments, *keys, found.alias("terms")))
-    asked = queries.select("qid", terms(F.col("text"), ()).alias("terms"))
-    shape = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("terms")), F.lit(0)).alias("w")).first()
-    if not shape["n"]:
-        raise ConfigError("no queries")
-    # b queries hold at most b * w terms, and the weight matrix b * (b * w) values.
-    cap = max(1, int((max_values / max(1, shape["w"])) ** 0.5))
-
-    totals, df = corpus_statistics(analysed, fan_out(asked, [], F.col("terms"), "term").distinct())
-    totals, df = cut_lineage(totals), cut_lineage(df)
-    avg_len = float(totals.first()["avg_len"] or 1.0)
-
-    def one_pass(block: DataFrame) -> DataFrame:
-        words = fan_out(block, ["qid"], F.col("terms"), "term")
-        weighted = (
-            words.groupBy("qid", "term").agg(F.count("*").alias("qtf")).join(df, "term")
-            .select("qid", "term", (F.col("qtf") * idf(totals.select("n_docs").scalar(), F.col("df"))).alias("w"))
+BLOCK_DOCS = 4096  # documents of a block, about
+QUERY_BLOCK = 4096  # queries that a search answers at a time
+
+
+class PostingsIndex:
+    """Posting lists, document frequencies and corpus sizes under one folder."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _table(self, kind: str) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{kind}")
+
+    def build(self, docs: DataFrame, keys: Sequence[str], *, corpus: Column, language: Column, k1: float = K1, b: float = B) -> PostingsIndex:
+        """Index ``docs`` (``keys..., text``); documents without a corpus are left out.
+
+        Texts are analysed once. A task counts a document's terms where its text is; what is shuffled are
+        postings, gathered per corpus, term and block.
+        """
+        keys = list(keys)
+        known = cut_lineage(
+            docs.select(F.struct(*keys).alias("doc"), corpus.alias("corpus"), language.alias("language"), terms_of(F.coalesce("text", F.lit("")), language).alias("terms"))
+            .where(F.col("corpus").isNotNull())
+        )
+        sizes = known.groupBy("corpus").agg(
+            F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"), F.first("language").alias("language"),
+            F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"),
+        )
+        sizes.coalesce(1).write.parquet(f"{self.path}/corpora")
+        doc_type = known.schema["doc"].dataType
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = [Counter(words) for words in batch.column("terms").to_pylist()]
+                many = np.array([len(c) for c in found], dtype=np.int64)
+                at = pa.array(np.repeat(np.arange(len(many)), many))
+                lengths = np.repeat(np.array([sum(c.values()) for c in found], dtype=np.int32), many)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("doc").take(at), batch.column("corpus").take(at), pa.array([w for c in found for w in c], pa.string()),
+                        pa.array([n for c in found for n in c.values()], pa.int32()), pa.array(lengths),
+                    ],
+                    ["doc", "corpus", "term", "tf", "len"],
+                )
+
+        shape = T.StructType([T.StructField("doc", doc_type), T.StructField("corpus", T.StringType()), T.StructField("term", T.StringType()),
+                              T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())])
+        rows = known.select("doc", "corpus", "terms").mapInArrow(counted, shape)
+        size = self._table("corpora").select("corpus", "avg_len", "blocks")  # a row per corpus
+        rows = rows.join(F.broadcast(size) if size.count() <= 10_000 else size, "corpus")
+        tf = F.col("tf").cast("double")
+        impact = tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
+        lists = rows.select("corpus", "term", F.pmod(F.xxhash64("doc"), F.col("blocks")).alias("block"), F.struct(impact.alias("impact"), "doc").alias("posting"), "tf")
+        lists = lists.groupBy("corpus", "term", "block").agg(
+            F.collect_list("posting").alias("postings"), F.max("posting.impact").alias("most"), F.sum("tf").alias("occurrences")
         )
-        table = weighted.toArrow()  # at most cap * w rows
-        vocabulary = sorted(set(table.column("term").to_pylist())) or [""]
-        place = {term: i for i, term in enumerate(vocabulary)}
-        qids = sorted(set(table.column("qid").to_pylist()))
-        line = {qid: i for i, qid in enumerate(qids)}
-        weights = np.zeros((len(qids), len(vocabulary)))  # no row when no query term occurs anywhere
-        for qid, term, w in zip(*(table.column(c).to_pylist() for c in ("qid", "term", "w")), strict=True):
-            weights[line[qid], place[term]] = w
-        lookup = pa.array(vocabulary)
-
-        def saturated(part: pa.RecordBatch) -> np.ndarray:
-            lists = part.column("terms")
-            sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.float64)
-            found = pc.index_in(pc.list_flatten(lists), value_set=lookup)
-            known = pc.is_valid(found).to_numpy(zero_copy_only=False)
-            rows = np.repeat(np.arange(len(sizes)), sizes.astype(np.int64))[known]
-            cells = rows * len(vocabulary) + found.drop_null().to_numpy().astype(np.int64)
-            tf = np.bincount(cells, minlength=len(sizes) * len(vocabulary)).astype(np.float64)
-            tf = tf.reshape(len(sizes), len(vocabulary))
-            return tf * (k1 + 1) / (tf + (k1 * (1 - b + b * sizes / avg_len))[:, None])
-
-        return rank_against(
-            analysed, qids, weights, saturated, k,
-            qid_field=(block.schema["qid"].dataType, table.schema.field("qid").type),
-            keys=keys, segments=segments, unique=unique, decimals=decimals,
-        ).where(F.col("score") > 0)
-
-    return in_blocks(asked, cap, one_pass)
+        lists.hint("rebalance").sortWithinPartitions("corpus", "term").write.parquet(f"{self.path}/postings")
+        frequent = self._table("postings").groupBy("corpus", "term").agg(F.sum(F.size("postings")).alias("df"), F.sum("occurrences").alias("cf"))
+        frequent.write.parquet(f"{self.path}/terms")
+        return self
+
+    def statistics(self) -> DataFrame:
+        """``corpus, term, df, cf, idf`` of every term."""
+        sizes = self._table("corpora").select("corpus", "n_docs")
+        return self._table("terms").join(sizes, "corpus").select("corpus", "term", "df", "cf", idf(F.col("n_docs"), F.col("df")).alias("idf"))
+
+    def search(self, queries: DataFrame, k: int, *, per_corpus: bool = True, decimals: int = 6) -> DataFrame:
+        """``qid, corpus, keys..., score, rank``: the best ``k`` documents per query, of each corpus or of all.
+
+        ``queries`` (``qid, text``) are analysed as the corpora are. A document that shares no term with a query is no hit.
+        """
+        if not queries.head(1):
+            raise ConfigError("no queries")
+        languages = [r["language"] for r in self._table("corpora").select("language").distinct().collect()]  # one per analyzer
+        asked = queries.select("qid", F.inline(F.array(*[F.struct(F.lit(x).alias("language"), analysed(F.col("text"), x).alias("terms")) for x in languages])))
+        asked = cut_lineage(asked.select("qid", "language", F.explode("terms").alias("term")).groupBy("qid", "language", "term").agg(F.count("*").alias("qtf")))
+        postings = self._table("postings")
+        qid_type, key_fields = queries.schema["qid"].dataType, postings.schema["postings"].dataType.elementType["doc"].dataType.fields
+        keys = [f.name for f in key_fields]
+        order = Window.partitionBy("qid", *(["corpus"] if per_corpus else [])).orderBy(F.desc("score"), *keys, *([] if per_corpus else ["corpus"]))
+
+        def one_pass(block: DataFrame) -> DataFrame:
+            words = asked.join(block.select("qid"), "qid", "left_semi").join(self._table("corpora").select("corpus", "language", "n_docs"), "language")
+            weighed = words.join(self._table("terms"), ["corpus", "term"]).select(
+                "corpus", "term", F.struct("qid", (F.col("qtf") * idf(F.col("n_docs"), F.col("df"))).alias("w")).alias("ask")
+            )
+            weights = weighed.groupBy("corpus", "term").agg(F.collect_list("ask").alias("asks"))  # at most QUERY_BLOCK queries each
+            met = postings.join(weights, ["corpus", "term"]).select("corpus", "block", "most", "postings", "asks")
+            met = met.repartition("corpus", "block").sortWithinPartitions("corpus", "block")
+            shape = T.StructType([T.StructField("qid", qid_type), T.StructField("corpus", T.StringType()), *key_fields, T.StructField("score", T.DoubleType())])
+            found = met.mapInArrow(lambda batches: scored(batches, keys, k, decimals), shape)
+            return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+        return in_blocks(queries.select("qid"), QUERY_BLOCK, one_pass)
+
+
+def scored(batches: Iterator[pa.RecordBatch], keys: list[str], k: int, decimals: int) -> Iterator[pa.RecordBatch]:
+    """The best ``k`` of every query and corpus among the blocks of a task, which come one after the other."""
+    best: dict[object, pa.Table] = {}
+    floor: dict[object, float] = {}
+    now, held = (None, None), []
+
+    def block_done() -> None:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists, asks = (rows.column(c).chunk(0) for c in ("postings", "asks"))
+        impact, docs = lists.flatten().field("impact").to_numpy(), lists.flatten().field("doc")
+        known = pa.Table.from_arrays([docs.field(c) for c in keys], keys)
+        doc = table_codes(known, keys)
+        codes, first, doc = np.unique(doc, return_index=True, return_inverse=True)
+        begin, many = lists.offsets.to_numpy() - lists.offsets[0].as_py(), lists.value_lengths().to_numpy()
+        most = rows.column("most").to_numpy()
+        qids = asks.flatten().field("qid").dictionary_encode()
+        of_ask, weight = np.repeat(np.arange(rows.num_rows), asks.value_lengths().to_numpy()), asks.flatten().field("w").to_numpy()
+        order = np.argsort(qids.indices.to_numpy(), kind="stable")
+        cuts = np.searchsorted(qids.indices.to_numpy()[order], np.arange(len(qids.dictionary) + 1))
+        for n, qid in enumerate(qids.dictionary.to_pylist()):
+            mine = order[cuts[n] : cuts[n + 1]]
+            row, w = of_ask[mine], weight[mine]
+            if (w * most[row]).sum() < floor.get(qid, -1.0) - 10.0**-decimals:
+                continue  # nothing here reaches the best so far
+            size = many[row]
+            at = np.repeat(begin[row] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            total = np.round(np.bincount(doc[at], weights=impact[at] * np.repeat(w, size), minlength=len(codes)), decimals)
+            hit = np.flatnonzero(total > 0)
+            if len(hit) > k:
+                hit = hit[total[hit] >= np.partition(total[hit], len(hit) - k)[len(hit) - k]]
+            if len(hit):
+                new = known.take(pa.array(first[hit])).append_column("score", pa.array(total[hit]))
+                new = pa.concat_tables([best[qid], new]) if qid in best else new
+                best[qid] = new.sort_by([("score", "descending"), *((c, "ascending") for c in keys)]).slice(0, k)
+                if best[qid].num_rows == k:
+                    floor[qid] = best[qid].column("score")[k - 1].as_py()
+
+    def corpus_done() -> Iterator[pa.RecordBatch]:
+        for qid, found in best.items():
+            full = found.add_column(0, "qid", pa.array([qid] * found.num_rows)).add_column(1, "corpus", pa.array([now[0]] * found.num_rows))
+            yield from full.combine_chunks().to_batches()
+        best.clear()
+        floor.clear()
+
+    for batch in batches:
+        corpora, numbers = batch.column("corpus").to_pylist(), batch.column("block").to_pylist()
+        start = 0
+        for i in range(batch.num_rows):
+            if (corpora[i], numbers[i]) != now:
+                if i > start:
+                    held.append(batch.slice(start, i - start))
+                if held:
+                    block_done()
+                    held = []
+                if corpora[i] != now[0]:
+                    yield from corpus_done()
+                now, start = (corpora[i], numbers[i]), i
+        if batch.num_rows > start:
+            held.append(batch.slice(start))
+    if held:
+        block_done()
+    yield from corpus_done()
+
+
+def bm25_topk(docs: DataFrame, queries: DataFrame, k: int, *, keys: Sequence[str], corpus: Column, language: Column | None = None, per_corpus: bool = True) -> DataFrame:
+    """An index built for one search, in the shared folder."""
+    spark = docs.sparkSession
+    index = PostingsIndex(spark, f"{shared_folder(spark).rstrip('/')}/postings-{uuid.uuid4().hex}")
+    index.build(docs, keys, corpus=corpus, language=analyzer_of(corpus) if language is None else language)
+    return index.search(queries, k, per_corpus=per_corpus)

@@ -113,16 +113,30 @@ def material(is_resolved: Column, mean_delta: Column, floor: float = MATERIAL_FL
     return is_resolved & (F.abs(mean_delta) >= floor)
 
 
+def prefix_sums(rows: DataFrame, by: Sequence[str], value: str, weight: str, out: str) -> DataFrame:
+    """Adds ``out``: the sum of ``weight`` over the rows of smaller ``value`` inside ``by``; values are distinct there.
+
+    Rows are range-partitioned by ``by`` and ``value``. A row's sum is that of the earlier ranges of its group, of
+    which there are as many as partitions at most, and what comes before it in its own range; so no task
+    sees a whole group, however large.
+    """
+    by = list(by)
+    ranged = cut_lineage(rows.repartitionByRange(*by, value).withColumn("_range", F.spark_partition_id()))
+    ranges = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = ranged.groupBy(*by, "_range").agg(F.sum(weight).alias("_sum"))
+    earlier = earlier.select(*by, "_range", F.coalesce(F.sum("_sum").over(ranges), F.lit(0)).alias("_earlier"))
+    inside = Window.partitionBy(*by, "_range").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    own = ranged.withColumn("_own", F.coalesce(F.sum(weight).over(inside), F.lit(0)))
+    return own.join(earlier, [*by, "_range"]).withColumn(out, F.col("_earlier") + F.col("_own")).drop("_range", "_earlier", "_own")
+
+
 def average_ranks(rows: DataFrame, by: Sequence[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: the 1-based rank of ``value`` inside ``by``; equal values share their mean rank.
 
-    Values are counted before they are ranked, so the window sees distinct values only.
+    Values are counted before they are ranked; the ranks are prefix sums over ranges of values.
     """
     by = list(by)
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n")).withColumn(
-        "_before", F.coalesce(F.sum("_n").over(order), F.lit(0))
-    )
+    counted = prefix_sums(rows.groupBy(*by, value).agg(F.count("*").alias("_n")), by, value, "_n", "_before")
     ranked = counted.select(*by, value, (F.col("_before") + (F.col("_n") + 1) / 2).alias(out))
     return rows.join(ranked, [*by, value])
 
@@ -134,9 +148,11 @@ def spearman(cells: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> Dat
     so each pair's correlation is one aggregate: no row meets another row.
     """
     by = list(by)
-    ranked = cells
-    for m in metrics:
-        ranked = average_ranks(ranked, by, m, f"_r_{m}")
+    # all metrics are ranked in one pass: a row per cell and metric, and back to a row per cell
+    numbered = cut_lineage(cells.select(*by, *metrics).withColumn("_cell", F.monotonically_increasing_id()))
+    long = numbered.select(*by, "_cell", F.inline(F.array(*[F.struct(F.lit(m).alias("_m"), F.col(m).alias("_v")) for m in metrics])))
+    ranks = average_ranks(long, [*by, "_m"], "_v", "_r")
+    ranked = ranks.groupBy(*by, "_cell").agg(*[F.max(F.when(F.col("_m") == m, F.col("_r"))).alias(f"_r_{m}") for m in metrics])
     pairs = [(a, b) for i, a in enumerate(metrics) for b in metrics[i + 1 :]]
 
     def rho(a: str, b: str) -> Column:
@@ -156,17 +172,75 @@ def spearman(cells: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> Dat
 def pair_disagreement(cells: DataFrame, by: Sequence[str], left: str, right: str, key: str) -> DataFrame:
     """``by..., pairs, disagreements``: how often two metrics pick different winners.
 
-    Pairs where either metric ties do not count. Cells are few (a sweep's grid), and equal
-    ``(left, right)`` values are counted once with their multiplicity before pairs are formed.
+    Pairs where either metric ties do not count. A pair disagrees when it is an inversion: sorted by one metric, its
+    members stand the other way round by the other. Points are cut into ranges of either metric. Inversions between
+    points that differ in both ranges follow from the points per pair of ranges; those inside a range of the second
+    metric, and those inside one of the first but not of the second, are counted by merging sorted runs in the
+    range's task. No point meets another as a row.
     """
     by = list(by)
-    points = cells.groupBy(*by, left, right).agg(F.count("*").alias("n"))
-    other = points.select(*by, F.col(left).alias("_l"), F.col(right).alias("_r"), F.col("n").alias("_n"))
-    met = points.join(other, by).where((F.col(left) > F.col("_l")) & (F.col(right) != F.col("_r")))
-    both = F.col("n") * F.col("_n")
-    return met.groupBy(*by).agg(
-        F.sum(both).alias("pairs"), F.sum(F.when(F.col(right) < F.col("_r"), both).otherwise(0)).alias("disagreements")
-    )
+    points = cells.where(F.col(left).isNotNull() & F.col(right).isNotNull()).groupBy(*by, left, right).agg(F.count("*").alias("n"))
+
+    def pairs_of(n: Column) -> Column:
+        return n * (n - 1) / 2
+
+    def tied(*values: str) -> Column:
+        return points.groupBy(*by, *values).agg(F.sum("n").alias("n")).groupBy(*by).agg(F.sum(pairs_of(F.col("n"))).alias("tied"))
+
+    sides = [tied(left), tied(right).withColumnRenamed("tied", "tied_right"), tied(left, right).withColumnRenamed("tied", "tied_both")]
+    whole = points.groupBy(*by).agg(pairs_of(F.sum("n")).alias("all"))
+    for side in sides:
+        whole = whole.join(side, by)
+    pairs = (F.col("all") - F.col("tied") - F.col("tied_right") + F.col("tied_both")).cast("long")
+
+    by_left = cut_lineage(points.repartitionByRange(*by, left).withColumn("_x", F.spark_partition_id()))
+    both = cut_lineage(by_left.repartitionByRange(*by, right).withColumn("_y", F.spark_partition_id()))
+    names, shape = [*by, left, right, "n", "_x", "_y"], both.select(*by).schema.add("inversions", "long")
+
+    def counted(apart: str | None) -> Callable[[pd.DataFrame], pd.DataFrame]:
+        def one(pdf: pd.DataFrame) -> pd.DataFrame:
+            found = inversions(pdf[left].to_numpy(), pdf[right].to_numpy(), pdf["n"].to_numpy())
+            if apart:  # those inside one range of the other metric are counted there
+                found -= sum(inversions(p[left].to_numpy(), p[right].to_numpy(), p["n"].to_numpy()) for _, p in pdf.groupby(apart))
+            return pd.DataFrame([[*pdf.iloc[0][by], found]], columns=[*by, "inversions"])
+
+        return one
+
+    def between(pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y = (np.unique(pdf[c], return_inverse=True)[1] for c in ("_x", "_y"))
+        grid = np.zeros((x.max() + 1, y.max() + 1), dtype=np.int64)
+        np.add.at(grid, (x, y), pdf["n"].to_numpy())
+        # points of later ranges of the first metric and earlier ones of the second
+        below = np.zeros_like(grid)
+        below[:-1, 1:] = grid[::-1].cumsum(axis=0)[::-1].cumsum(axis=1)[1:, :-1]
+        return pd.DataFrame([[*pdf.iloc[0][by], int((grid * below).sum())]], columns=[*by, "inversions"])
+
+    in_y = both.select(*names).groupBy(*by, "_y").applyInPandas(counted(None), shape)
+    in_x = both.select(*names).groupBy(*by, "_x").applyInPandas(counted("_y"), shape)
+    # a row per pair of ranges, so at most the square of the number of partitions
+    apart = both.groupBy(*by, "_x", "_y").agg(F.sum("n").alias("n")).groupBy(*by).applyInPandas(between, shape)
+    total = in_y.union(in_x).union(apart).groupBy(*by).agg(F.sum("inversions").alias("disagreements"))
+    return whole.select(*by, pairs.alias("pairs")).where("pairs > 0").join(total, by)
+
+
+def inversions(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> int:
+    """The weighted pairs with ``x`` the one way round and ``y`` the other, by merging sorted runs of doubling length."""
+    order = np.lexsort((y, x))  # equal x in order of y: no inversion
+    rank = np.unique(y, return_inverse=True)[1][order].astype(np.int64)
+    weight = n[order].astype(np.int64)
+    size, width, found = len(rank), 1, 0
+    place = np.arange(size)
+    span = int(rank.max()) + 1 if size else 1
+    while width < size:
+        block, second = place // (2 * width), (place // width) % 2 == 1
+        key = block * span + rank
+        first = np.flatnonzero(~second)[np.argsort(key[~second], kind="stable")]
+        sums = np.concatenate([[0], np.cumsum(weight[first])])
+        upto = np.searchsorted(key[first], key[second], side="right")  # first runs up to an equal rank
+        ends = np.searchsorted(key[first], (block[second] + 1) * span)
+        found += int(((sums[ends] - sums[upto]) * weight[second]).sum())
+        width *= 2
+    return found
 
 
 def effective_views(rhos: DataFrame, by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
@@ -218,26 +292,29 @@ def query_power(effects: DataFrame, by: Sequence[str], ladder: Sequence[int]) ->
     )
 
 
-def picked_percentile(rows: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], convention: str) -> DataFrame:
-    """Order-statistic percentiles: the ``floor``: ``int(q n)``, ``round``: ``round(q (n - 1))`` or
-    ``middle``: ``n // 2`` position of the sorted values (0-based).
+def position(convention: str, q: float, n: Column) -> Column:
+    """The 0-based place of a percentile among ``n`` sorted values: ``floor``: ``int(q n)``, ``round``:
+    ``round(q (n - 1))``, ``middle``: ``n // 2``."""
+    if convention == "floor":
+        return F.least(F.floor(F.lit(q) * n), n - 1)
+    return F.bround(F.lit(q) * (n - 1), 0).cast("long") if convention == "round" else F.floor(n / 2)
+
+
+def order_statistics(rows: DataFrame, by: Sequence[str], value: str, picks: dict[str, tuple[str, float]]) -> DataFrame:
+    """``by..., <picks>``: each pick is a convention and a quantile; all are read from one pass.
 
-    Values are counted first, then located by cumulative counts, so the window runs over distinct
-    values rather than rows.
+    Values are counted first and located by prefix sums over ranges of values, so no task sees a whole group.
     """
     by = list(by)
-    n = F.col("_total")
-
-    def position(q: float) -> Column:
-        if convention == "floor":
-            return F.least(F.floor(F.lit(q) * n), n - 1)
-        return F.bround(F.lit(q) * (n - 1), 0).cast("long") if convention == "round" else F.floor(n / 2)
-
-    counted = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
-    totals = counted.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("_upto", F.sum("_n").over(order)).join(totals, by)
-    picks = [
-        F.min(F.when(F.col("_upto") > position(q), F.col(value))).alias(f"p{round(q * 100)}") for q in quantiles
-    ]
-    return placed.groupBy(*by).agg(*picks)
+    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    placed = prefix_sums(counted, by, value, "_n", "_before")
+    totals = placed.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    at = {name: position(how, q, F.col("_total")) for name, (how, q) in picks.items()}
+    holds = {name: (F.col("_before") <= p) & (p < F.col("_before") + F.col("_n")) for name, p in at.items()}
+    met = placed.join(totals, by)
+    return met.groupBy(*by).agg(*[F.min(F.when(h, F.col(value))).alias(name) for name, h in holds.items()])
+
+
+def picked_percentile(rows: DataFrame, by: Sequence[str], value: str, quantiles: Sequence[float], convention: str) -> DataFrame:
+    """:func:`order_statistics` under one convention: ``p50``, ``p95`` and so on."""
+    return order_statistics(rows, by, value, {f"p{round(q * 100)}": (convention, q) for q in quantiles})

@@ -98,7 +98,7 @@ def _above_cut(scores, labels, segments, unique, k):
     if segments or unique:
         # The cut must be taken per segment and over distinct keys, so only positions that lead
         # their own (segment, unique) group in this block stay; the exact cut follows in _best.
-        codes = _group_codes(labels, [*segments, *unique])
+        codes = table_codes(labels, [*segments, *unique])
         if unique:
             order = np.argsort(codes, kind="stable")
             starts = np.r_[0, np.flatnonzero(np.diff(codes[order])) + 1]
@@ -108,7 +108,7 @@ def _above_cut(scores, labels, segments, unique, k):
             keep = scores == full
         else:
             keep = np.ones_like(scores, dtype=bool)
-        seg = _group_codes(labels, segments) if segments else np.zeros(n, dtype=np.int64)
+        seg = table_codes(labels, segments) if segments else np.zeros(n, dtype=np.int64)
         for value in np.unique(seg):
             rows = np.flatnonzero(seg == value)
             lead = codes[rows] if unique else np.arange(len(rows))
@@ -127,7 +127,7 @@ def _above_cut(scores, labels, segments, unique, k):
     return np.nonzero(scores >= cut)
 
 
-def _group_codes(labels: pa.Table, columns: list[str]) -> np.ndarray:
+def table_codes(labels: pa.Table, columns: list[str]) -> np.ndarray:
     codes = np.zeros(labels.num_rows, dtype=np.int64)
     for name in columns:
         column = labels.column(name).combine_chunks().dictionary_encode()
@@ -175,6 +175,12 @@ def rank_against(
     return ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def best_of(scored: DataFrame, k: int, keys: Sequence[str]) -> DataFrame:
+    """The ``k`` best of candidates ``qid, keys..., score``; bounded by what the scans before let through."""
+    order = Window.partitionBy("qid").orderBy(F.desc("score"), *keys)
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def in_blocks(
     queries: DataFrame, cap: int, one_pass: Callable[[DataFrame], DataFrame], depth: int = 0
 ) -> DataFrame:
@@ -222,15 +228,38 @@ def exact_topk(
     keys, segments, unique = list(keys), list(segments), list(unique)
     if not set(unique) <= set(keys):
         raise ConfigError("unique columns must be among the keys")
-    slim = vectors.select(*segments, *keys, "vector")
 
     def unit(part: pa.RecordBatch) -> np.ndarray:
         return _unit_rows(_matrix(part.column("vector"), dim))
 
+    return topk_by(
+        vectors, queries, k, unit, dim=dim, keys=keys, segments=segments, unique=unique, payload=["vector"],
+        decimals=decimals, max_values=max_values,
+    )
+
+
+def topk_by(
+    rows: DataFrame,
+    queries: DataFrame,
+    k: int,
+    build: Callable[[pa.RecordBatch], np.ndarray],
+    *,
+    dim: int,
+    keys: Sequence[str],
+    segments: Sequence[str] = (),
+    unique: Sequence[str] = (),
+    payload: Sequence[str] = (),
+    decimals: int | None = 6,
+    max_values: int = BROADCAST_VALUES,
+) -> DataFrame:
+    """:func:`exact_topk` over whatever vectors ``build`` makes of a batch of ``segments``, ``keys`` and ``payload``."""
+    keys, segments, unique = list(keys), list(segments), list(unique)
+    slim = rows.select(*segments, *keys, *payload)
+
     def one_pass(block: DataFrame) -> DataFrame:
         qids, matrix, qid_type = _collect_queries(block, dim)
         return rank_against(
-            slim, qids, matrix, unit, k, qid_field=(block.schema["qid"].dataType, qid_type),
+            slim, qids, matrix, build, k, qid_field=(block.schema["qid"].dataType, qid_type),
             keys=keys, segments=segments, unique=unique, decimals=decimals,
         )
 

@@ -18,7 +18,7 @@ from corvane.operators import stats as S
 from corvane.operators.chunking import whitespace_windows
 from corvane.operators.embed import hash_embedder
 from corvane.operators.fusion import fuse_documents
-from corvane.operators.lexical import bm25_topk, language_of
+from corvane.operators.lexical import bm25_topk
 from corvane.operators.topk import exact_topk
 from corvane.plans import search, sql
 from corvane.plans import tables as t
@@ -179,7 +179,7 @@ def sweep_scores(spark, sf, words: int | None = None) -> DataFrame:
             lexical = cut_lineage(bm25_topk(
                 t.documents(spark, sf).where("lang IS NOT NULL").select("doc_id", F.concat(F.lit("docs_"), "lang").alias("corpus"), "text"),
                 t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), DEPTH,
-                keys=["doc_id"], segments=["corpus"], language=language_of(F.col("corpus")),
+                keys=["doc_id"], corpus=F.col("corpus"),
             ).select("qid", "corpus", "doc_id", "rank"))
         dense = ranked.where((F.col("max_tokens") == CAPS[0]) & (F.col("overlap_tokens") == 0)).select("qid", "corpus", "doc_id", "rank")
         fused = fuse_documents(dense.unionByName(lexical), K, segments=["corpus"]).select("qid", "corpus", "doc_id", "rank")

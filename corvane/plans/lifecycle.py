@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions.text import doc_uri
+from corvane.operators.ann import AnnParams
+from corvane.operators.datasets import SearchTarget, search_across
 from corvane.operators.embed import hash_embedder
 from corvane.operators.index import forget, index_sources, reconcile, remember
 from corvane.operators.lifecycle import IndexPlan, compaction_due, move_detect, reconcile_diff, reconcile_report
 from corvane.operators.store import VectorTable
-from corvane.plans import sql
+from corvane.plans import search, sql
 from corvane.plans import tables as t
 from corvane.plans.hygiene import scratch
 from corvane.plans.registry import query
@@ -20,8 +22,8 @@ L = "long"
 PLAN = IndexPlan(embedder=None, dim=t.DIM, max_tokens=t.CAP)
 
 
-def _plan() -> IndexPlan:
-    return IndexPlan(embedder=hash_embedder(t.DIM, "md5"), dim=t.DIM, max_tokens=t.CAP)
+def _plan(dim: int = t.DIM) -> IndexPlan:
+    return IndexPlan(embedder=hash_embedder(dim, "md5"), dim=dim, max_tokens=t.CAP)
 
 
 def earlier_listing(spark, sf):
@@ -135,7 +137,7 @@ def store_delete_by_source(spark, sf):
 
 @query("forget", f"{PER_SOURCE_SQL} WHERE NOT {TOXIC_SQL} GROUP BY source")
 def forget_plan(spark, sf):
-    """Forgetting twice is forgetting once; the files are folded afterwards."""
+    """Forgetting twice is forgetting once: the second call finds nothing and writes nothing."""
     store = built(spark, sf, t.listing(spark, sf))
     forget(store, "docs", _toxic(spark, sf))
     forget(store, "docs", _toxic(spark, sf))
@@ -154,7 +156,11 @@ def store_swap(spark, sf):
 
 @query("store_compact", f"{PER_SOURCE_SQL} GROUP BY source")
 def store_compact(spark, sf):
-    store = built(spark, sf, t.listing(spark, sf))
+    """The earlier listing brought up to date in two commits, and their deltas folded into the buckets they touch."""
+    store = built(spark, sf, earlier_listing(spark, sf))
+    listing = t.listing(spark, sf)
+    index_sources(store, "docs", listing, _plan())
+    store.delete("docs", store.sources("docs").join(listing, "uri", "left_anti").select("uri"))
     store.compact("docs")
     return _per_label(store.rows("docs"))
 
@@ -201,6 +207,72 @@ def store_search(spark, sf):
     )
 
 
+@query("store_search_ann", f"""WITH {sql.dense_scores_cte()},
+    r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id % 5 <> 0, 'doc://' || doc_id, ordinal) AS rank FROM scored)
+    SELECT qid, rank::BIGINT AS rank, 'doc://' || r.doc_id AS uri, r.ordinal::BIGINT AS ordinal, score FROM r WHERE rank <= 5""")
+def store_search_ann(spark, sf):
+    """The index that a fold has built, every cell probed, with exact re-ranking: a fifth of the sources is folded, the
+    others came later and are the tail, so both ways are asked and must give the exact ranking."""
+    store = _with_index(spark, sf)
+    hits = store.search("docs", t.passages(spark, sf), 5, AnnParams(nprobes=16, refine_factor=60))
+    return hits.select("qid", F.col("rank").cast(L).alias("rank"), "uri", F.col("ordinal").cast(L).alias("ordinal"), "score")
+
+
+def _with_index(spark, sf, tail: bool = True) -> VectorTable:
+    store = VectorTable(spark, scratch(spark, "store"), buckets=8, ann_min_rows=100, ann_cells=16)
+    store.ensure(Collection("docs", "hash-md5", t.DIM))
+    first = F.regexp_extract("uri", r"(\d+)$", 1).cast("long") % 5 == 0
+    listing = t.listing(spark, sf)
+    index_sources(store, "docs", listing.where(first), _plan())
+    if not tail:
+        index_sources(store, "docs", listing.where(~first), _plan())
+    store.compact("docs")
+    if tail:
+        index_sources(store, "docs", listing.where(~first), _plan())
+    return store
+
+
+@query("store_ann_recall")
+def store_ann_recall(spark, sf):
+    """How much of the exact top ten the stored index keeps when some of its cells are probed, every row indexed."""
+    store = _with_index(spark, sf, tail=False)
+    asked = t.passages(spark, sf)
+    exact = store.search("docs", asked, 10).select("qid", "uri", "ordinal")
+    out = None
+    for nprobes, refine in ((1, 1), (4, 10), (8, 10), (16, 60)):
+        found = store.search("docs", asked, 10, AnnParams(nprobes=nprobes, refine_factor=refine)).select("qid", "uri", "ordinal", F.lit(1).alias("hit"))
+        one = exact.join(found, ["qid", "uri", "ordinal"], "left").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
+        one = one.select(F.lit(nprobes).alias("nprobes"), F.lit(refine).alias("refine_factor"), "recall")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_STRING_RANK = "row_number() OVER (PARTITION BY qid ORDER BY score DESC, 'doc://' || doc_id, ordinal)"
+
+
+@query("search_across_stored", f"""WITH {search.two_width_sql(None)},
+    hh AS (SELECT qid, 'docs' AS dataset, 0 AS list_pos, doc_id, ordinal, score, {_STRING_RANK} AS rank FROM s64
+           UNION ALL SELECT qid, 'romance', 1, doc_id, ordinal, score, {_STRING_RANK} FROM s16 JOIN documents USING (doc_id) WHERE lang IN ('fr', 'es')),
+    f AS (SELECT qid, 'doc://' || doc_id AS uri, ordinal, round(sum(1.0 / (60 + rank)), 12) AS rrf, min_by(dataset, (rank, list_pos)) AS dataset,
+                 min_by(score, (rank, list_pos)) AS score FROM hh WHERE rank <= 5 GROUP BY ALL),
+    o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, uri, ordinal) AS rank FROM f)
+    SELECT qid, rank::BIGINT AS rank, dataset, uri, ordinal::BIGINT AS ordinal, score, round(rrf, 9) AS rrf_score FROM o WHERE rank <= 5""")
+def search_across_stored(spark, sf):
+    """Two stored collections of different width: all documents at 64, the French and Spanish ones at 16 besides."""
+    store = built(spark, sf, t.listing(spark, sf))
+    store.ensure(Collection("romance", "hash-16", 16))
+    some = t.documents(spark, sf).where("lang IN ('fr', 'es')").select(doc_uri(F.col("doc_id")).alias("uri"))
+    index_sources(store, "romance", t.listing(spark, sf).join(some, "uri", "left_semi"), _plan(16))
+    targets = [
+        SearchTarget(name, f"hash-{dim}", hash_embedder(dim, "md5"), store, name) for name, dim in (("docs", t.DIM), ("romance", 16))
+    ]
+    asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return search_across(targets, asked, 5).select(
+        "qid", F.col("rank").cast(L).alias("rank"), "dataset", "uri", F.col("ordinal").cast(L).alias("ordinal"), "score",
+        F.round("rrf_score", 9).alias("rrf_score"),
+    )
+
+
 @query("remember", f"""WITH n AS (SELECT conv_id, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations)
     SELECT 'corvane://notes/' || conv_id AS uri, 'notes' AS label, sha256(text) AS content_hash, len({sql.toks('text')})::BIGINT AS tokens FROM n WHERE k = 1""")
 def remember_plan(spark, sf):

@@ -472,10 +472,9 @@ def store_crossover(spark, sf):
 def agg_latency_percentiles(spark, sf):
     """The three order-statistic conventions side by side, event values standing in for latencies."""
     rows = t.table(spark, sf, "events").select("event_type", "value")
-    a = S.picked_percentile(rows, ["event_type"], "value", (0.5, 0.95), "floor").select("event_type", F.col("p50").alias("floor_p50"), F.col("p95").alias("floor_p95"))
-    b = S.picked_percentile(rows, ["event_type"], "value", (0.5, 0.95), "round").select("event_type", F.col("p50").alias("round_p50"), F.col("p95").alias("round_p95"))
-    c = S.picked_percentile(rows, ["event_type"], "value", (0.5,), "middle").select("event_type", F.col("p50").alias("middle"))
-    return a.join(b, "event_type").join(c, "event_type")
+    return S.order_statistics(rows, ["event_type"], "value", {
+        "floor_p50": ("floor", 0.5), "floor_p95": ("floor", 0.95), "round_p50": ("round", 0.5), "round_p95": ("round", 0.95), "middle": ("middle", 0.5),
+    })
 
 
 _WORD = r"regexp_extract_all(lower({}), '[0-9a-z]+|[\x{{3400}}-\x{{4DBF}}\x{{4E00}}-\x{{9FFF}}\x{{F900}}-\x{{FAFF}}]')"

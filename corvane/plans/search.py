@@ -9,11 +9,12 @@ from corvane.functions.rows import fan_out
 from corvane.functions.text import doc_uri
 from corvane.operators.ann import PRESETS, AnnParams, ivf_topk, resolve_params, search_mode
 from corvane.operators.fusion import fuse_datasets, fuse_documents, rerank
-from corvane.operators.lexical import ENGLISH_STOPS, GERMAN_STOPS, bm25_topk, idf, language_of, terms_of
+from corvane.operators.lexical import ENDINGS, MARKERS, STOPS, PostingsIndex, analyzer_of, bm25_topk
 from corvane.operators.metrics import recall_vs_exact, word_overlap
 from corvane.operators.topk import exact_topk
 from corvane.plans import sql
 from corvane.plans import tables as t
+from corvane.plans.hygiene import scratch
 from corvane.plans.registry import query
 from corvane.session import cut_lineage
 
@@ -146,7 +147,7 @@ def overlapping_documents(spark, sf, k: int) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-def _two_width_sql(k: int | None) -> str:
+def two_width_sql(k: int | None) -> str:
     """Chunk rankings under two widths, as CTEs ``hits(qid, dataset, pos, uri, doc_id, ordinal, rank)``; all chunks without ``k``."""
     parts = []
     for dim in (64, 16):
@@ -166,7 +167,7 @@ def _two_width_sql(k: int | None) -> str:
 
 @query(
     "rrf_fuse_datasets",
-    f"""WITH {_two_width_sql(20)},
+    f"""WITH {two_width_sql(20)},
     f AS (SELECT qid, 'doc://' || doc_id AS uri, ordinal, round(sum(1.0 / (60 + rank)), 12) AS rrf,
                  min_by(dataset, (rank, pos)) AS dataset, count(*) AS lists FROM hits GROUP BY ALL),
     o AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, uri, ordinal) AS rank FROM f)
@@ -182,7 +183,7 @@ def rrf_fuse_datasets(spark, sf):
 
 @query(
     "rrf_fuse_documents",
-    f"""WITH {_two_width_sql(None)},
+    f"""WITH {two_width_sql(None)},
     d AS (SELECT qid, dataset, doc_id, min(rank) AS chunk_rank FROM hits GROUP BY ALL),
     r AS (SELECT *, row_number() OVER (PARTITION BY qid, dataset ORDER BY chunk_rank) AS rank FROM d),
     f AS (SELECT qid, doc_id, round(sum(1.0 / (60 + rank)), 12) AS rrf, min(rank) AS best_rank FROM r WHERE rank <= 10 GROUP BY ALL),
@@ -196,41 +197,47 @@ def rrf_fuse_documents(spark, sf):
     )
 
 
-STOPS_SQL = ", ".join(f"'{w}'" for w in ENGLISH_STOPS)
+def _stem_sql(word: str, language: str) -> str:
+    for ending, instead in ENDINGS[language]:
+        word = f"regexp_replace({word}, '{ending}', '\\1{instead}')"
+    return word
 
 
-def _all_terms_sql(expr: str, stops: str = "") -> str:
-    found = rf"regexp_extract_all(lower({expr}), '[\p{{L}}\p{{N}}_]{{2,}}')"
-    return f"list_filter({found}, lambda w: NOT list_contains([{stops}], w))" if stops else found
+def _terms_sql(expr: str, language: str) -> str:
+    stops = ", ".join(f"'{w}'" for w in STOPS[language])
+    found = rf"list_filter(regexp_extract_all(lower({expr}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: NOT list_contains([{stops}], w))"
+    return f"list_transform({found}, lambda w: {_stem_sql('w', language)})"
 
 
-_GERMAN_SQL = ", ".join(f"'{w}'" for w in GERMAN_STOPS)
+def _by_language_sql(expr: str, lang: str) -> str:
+    cases = " ".join(f"WHEN {lang} = '{m}' THEN {_terms_sql(expr, x)}" for m, x in MARKERS.items() if x != "english")
+    return f"CASE {cases} ELSE {_terms_sql(expr, 'english')} END"
 
-LEX_TERMS_SQL = f"CASE WHEN lang = 'de' THEN {_all_terms_sql('text', _GERMAN_SQL)} ELSE {_all_terms_sql('text', STOPS_SQL)} END"
 
-BM25_SQL = f"""lex AS (SELECT doc_id, lang, {LEX_TERMS_SQL} AS ts FROM documents),
-    tot AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM lex),
-    tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM lex) GROUP BY ALL),
-    df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
-    qt AS (SELECT item_id AS qid, term, count(*) AS qtf FROM (SELECT item_id, unnest({_all_terms_sql('text')}) AS term FROM benchmark) GROUP BY ALL),
+BM25_SQL = f"""lex AS (SELECT doc_id, lang, {_by_language_sql('text', 'lang')} AS ts FROM documents WHERE lang IS NOT NULL),
+    tot AS (SELECT lang, count(*) AS n, avg(len(ts)) AS avgdl FROM lex GROUP BY lang),
+    tf AS (SELECT doc_id, lang, term, count(*) AS tf FROM (SELECT doc_id, lang, unnest(ts) AS term FROM lex) GROUP BY ALL),
+    df AS (SELECT lang, term, count(*) AS df, sum(tf) AS cf FROM tf GROUP BY ALL),
+    qt AS (SELECT item_id AS qid, lang, term, count(*) AS qtf FROM (SELECT item_id, lang, unnest({_by_language_sql('text', 'lang')}) AS term FROM benchmark, (SELECT lang FROM tot)) GROUP BY ALL),
     lexscore AS (
       SELECT qt.qid, tf.doc_id,
              round(sum(qtf * ln(1 + (tot.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf * 2.5
                        / (tf.tf + 1.5 * (0.25 + 0.75 * len(lex.ts) / tot.avgdl))), 6) AS score
-      FROM qt JOIN tf USING (term) JOIN df USING (term) JOIN lex ON lex.doc_id = tf.doc_id, tot
+      FROM qt JOIN tf USING (lang, term) JOIN df USING (lang, term) JOIN lex ON lex.doc_id = tf.doc_id JOIN tot ON tot.lang = lex.lang
       GROUP BY qt.qid, tf.doc_id),
     lexrank AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM lexscore WHERE score > 0)"""
 
 
-def doc_language():
-    return language_of(F.concat(F.lit("docs_"), F.coalesce("lang", F.lit(""))))
+def lexical_corpus():
+    """A corpus per language; a document without a language is in none."""
+    return F.concat(F.lit("docs_"), "lang")
 
 
 def lexical_ranking(spark, sf, k: int) -> DataFrame:
     return bm25_topk(
         t.documents(spark, sf).select("doc_id", "text", "lang"),
         t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), k, keys=["doc_id"],
-        language=doc_language(),
+        corpus=lexical_corpus(), per_corpus=False,
     )
 
 
@@ -246,20 +253,14 @@ def bm25_search(spark, sf):
 
 @query(
     "bm25_index",
-    rf"""WITH lex AS (SELECT doc_id, {LEX_TERMS_SQL} AS ts FROM documents),
-    tot AS (SELECT count(*) AS n FROM lex),
-    df AS (SELECT term, count(DISTINCT doc_id) AS df, count(*) AS cf
-           FROM (SELECT doc_id, unnest(ts) AS term FROM lex) GROUP BY term)
-    SELECT term, df::BIGINT AS df, cf::BIGINT AS cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df, tot""",
+    f"""WITH {BM25_SQL}
+    SELECT 'docs_' || lang AS corpus, term, df::BIGINT AS df, cf::BIGINT AS cf, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM df JOIN tot USING (lang)""",
 )
 def bm25_index(spark, sf):
-    """The index statistics: document and collection frequency and idf of every term."""
-    lex = cut_lineage(t.documents(spark, sf).select("doc_id", terms_of(F.col("text"), doc_language()).alias("terms")))  # read three times
-    n_docs = lex.agg(F.count("*").alias("n")).scalar()
-    per_doc = fan_out(lex, [], F.array_distinct("terms"), "term")
-    counts = fan_out(lex, [], F.col("terms"), "term").groupBy("term").agg(F.count("*").alias("cf"))
-    dfs = per_doc.groupBy("term").agg(F.count("*").alias("df"))
-    return dfs.join(counts, "term").select("term", "df", "cf", F.round(idf(n_docs, F.col("df")), 6).alias("idf"))
+    """The index statistics: document and collection frequency and idf of every stem in its corpus."""
+    index = PostingsIndex(spark, f"{scratch(spark, 'postings')}/index")
+    index.build(t.documents(spark, sf).select("doc_id", "text", "lang"), ["doc_id"], corpus=lexical_corpus(), language=analyzer_of(lexical_corpus()))
+    return index.statistics().withColumn("idf", F.round("idf", 6))
 
 
 DEPTH = 20
@@ -318,7 +319,7 @@ def rerank_shortlist(spark, sf):
 
 @query(
     "recall_vs_exact",
-    f"""WITH {_two_width_sql(None)},
+    f"""WITH {two_width_sql(None)},
     d AS (SELECT qid, pos, doc_id, row_number() OVER (PARTITION BY qid, pos ORDER BY min(rank)) AS rank FROM hits GROUP BY qid, pos, doc_id),
     e AS (SELECT qid, doc_id FROM d WHERE pos = 0 AND rank <= 10), c AS (SELECT qid, doc_id FROM d WHERE pos = 1 AND rank <= 10),
     p AS (SELECT e.qid, count(*) AS target, count(c.doc_id) AS found FROM e LEFT JOIN c USING (qid, doc_id) GROUP BY e.qid)

@@ -3,13 +3,15 @@
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators.ann import AnnParams
 from corvane.operators.embed import hash_embedder
 from corvane.operators.index import forget, index_sources, reconcile, reindex, remember
 from corvane.operators.lifecycle import IndexPlan
-from corvane.operators.store import VectorTable
+from corvane.operators.store import FoldPolicy, VectorTable
 from corvane.schema import Collection, ConfigError, Dataset, DimensionError, EngineError, StoreError, pick_dataset
 from corvane.streaming.changes import watch
 
@@ -96,17 +98,97 @@ def test_batches_count_per_stream_and_survive_a_swap(spark, store):
     store.swap("s", "c")
     assert store.last_batch("c") == -1 and store.last_batch("c", "old") == 5
     store.ensure(Collection("s", "m", 16))
-    assert store.vacuum("c") == 2 and store.vacuum("s") == 0 and uris(store) == {"b": 1}
+    assert store.vacuum("c") == 1 and store.vacuum("s") == 0 and uris(store) == {"b": 1}
+    forget(store, "c", spark.createDataFrame([("b",)], "uri string"))  # a later tombstone finds the swapped rows
+    assert uris(store) == {}
 
 
-def test_one_source_rewrites_only_its_bucket_and_vacuum_removes_the_rest(spark, store):
+def files_below(store):
+    return {f: f.stat().st_mtime_ns for f in Path(store.root, "data").rglob("*.parquet")}
+
+
+def test_a_commit_writes_its_own_rows_and_tombstones_only(spark, store):
     index_sources(store, "c", docs(spark, [(f"u{k}", f"word {k}") for k in range(40)]), plan())
-    before = store._need("c")[1]["paths"]
+    before, view = files_below(store), store.rows("c")
+    index_sources(store, "c", docs(spark, [("u7", "other words"), ("new", "x")]), plan())
+    forget(store, "c", spark.createDataFrame([("u8",)], "uri string"))
+    after = files_below(store)
+    assert {f: after[f] for f in before} == before and store.tail("c") == {"commits": 2, "records": 5}
+    added = [spark.read.parquet(str(f)) for f in set(after) - set(before)]
+    assert sum(t.count() for t in added) == 3 + 2 + 2  # tombstones, rows, sources
+    assert len(uris(store)) == 40 and {r.text for r in store.rows("c").where("uri = 'u7'").collect()} == {"other words"}
+    assert "u8" not in {r.uri for r in store.sources("c").collect()}
+    assert {r.text for r in view.where("uri in ('u7', 'u8')").collect()} == {"word 7", "word 8"}  # an older view reads on
+    forget(store, "c", spark.createDataFrame([("u8",), ("nowhere",)], "uri string"))  # nothing to remove, nothing written
+    assert store.tail("c")["commits"] == 2 and files_below(store) == after
+
+
+def test_a_fold_rewrites_the_touched_buckets_and_vacuum_removes_the_rest(spark, store):
+    index_sources(store, "c", docs(spark, [(f"u{k}", f"word {k}") for k in range(40)]), plan())
+    before = store._need("c")[1]["paths"]["chunks"]
     forget(store, "c", spark.createDataFrame([("u7",)], "uri string"))
-    after = store._need("c")[1]["paths"]
-    assert sum(before[b] != after[b] for b in before) == 1 and len(uris(store)) == 39
+    index_sources(store, "c", docs(spark, [("u7", "back again")]), plan())
+    rows = sorted(map(tuple, store.rows("c").collect()), key=repr)
     store.compact("c")
-    assert store.vacuum("c") == 2 and len(uris(store)) == 39
+    after = store._need("c")[1]["paths"]["chunks"]
+    assert sum(before[b] != after[b] for b in before) == 1 and store.tail("c") == {"commits": 0, "records": 0}
+    assert sorted(map(tuple, store.rows("c").collect()), key=repr) == rows and len(rows) == 40
+    assert store.vacuum("c") == 2 and len(uris(store)) == 40
+
+
+def test_the_policy_folds_inside_reconcile(spark):
+    now = [0.0]
+    table = VectorTable(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"), 4, fold=FoldPolicy(8, 60.0, 0), clock=lambda: now[0])
+    table.ensure(Collection("c", "m", 16))
+    texts = {f"u{k}": f"word {k}" for k in range(10)}
+    reconcile(table, "c", docs(spark, list(texts.items())), plan())
+    for k, commits in ((1, 1), (2, 2), (3, 3), (4, 0)):  # two records each: a row and a tombstone
+        texts[f"u{k}"] += " edited"
+        reconcile(table, "c", docs(spark, list(texts.items())), plan())
+        assert table.tail("c")["commits"] == commits
+    now[0] = 61.0
+    texts["u9"] += " late"
+    reconcile(table, "c", docs(spark, list(texts.items())), plan())
+    assert table.tail("c")["commits"] == 0 and {r.uri: r.text for r in table.rows("c").collect()} == texts
+
+
+def test_the_index_is_built_by_a_fold_and_follows_later_ones(spark):
+    rng = np.random.default_rng(5)
+    near = [(f"u{k:04d}", (c + 0.3 * rng.normal(size=16)).tolist()) for k, c in enumerate(np.repeat(rng.normal(size=(12, 16)), 60, axis=0))]
+    table = VectorTable(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"), 4, ann_min_rows=500, ann_cells=12)
+    table.ensure(Collection("c", "m", 16))
+
+    def write(pairs):
+        rows = spark.createDataFrame(pairs, "uri string, vector array<double>").select(
+            "uri", F.lit("l").alias("label"), F.lit("h").alias("content_hash"), F.lit(0.0).alias("mtime"), F.lit(0).alias("ordinal"),
+            F.lit(1).alias("token_count"), F.lit("t").alias("text"), F.lit(None).cast("string").alias("summary"), "vector",
+        )
+        table.replace("c", rows, rows.select("uri", "label", "content_hash", "mtime"))
+
+    asked = spark.createDataFrame([(k, near[k * 30][1]) for k in range(20)], "qid long, vector array<double>")
+
+    def found(params=None):
+        return {(r.qid, r["rank"]): (r.uri, r.score) for r in table.search("c", asked, 5, params).collect()}
+
+    write(near[:400])
+    table.compact("c")
+    assert not table._need("c")[1].get("index")  # too few rows yet
+    write(near[400:700])
+    table.compact("c")
+    assert found(AnnParams(nprobes=12, refine_factor=140)) == found()
+    write(near[700:] + [("u0000", [-x for x in near[0][1]])])  # a tail, and a replaced row
+    forget(table, "c", spark.createDataFrame([("u0001",)], "uri string"))
+    for folded in (False, True):
+        exact = found()
+        assert not {"u0001"} & {u for u, _ in exact.values()} and exact[0, 1][0] != "u0000"
+        assert found(AnnParams(nprobes=12, refine_factor=144)) == exact
+        some = found(AnnParams(nprobes=3, refine_factor=5))
+        truth = {(q, u) for (q, _), (u, _) in exact.items()}
+        assert len(truth & {(q, u) for (q, _), (u, _) in some.items()}) >= 0.9 * len(truth)
+        if not folded:
+            table.compact("c")
+    index = Path(table.root, table._need("c")[1]["index"]["path"], "codes")
+    assert spark.read.parquet(str(index)).count() == table.count("c") == 719 and table.vacuum("c") > 0 and found() == exact
 
 
 def test_remember_and_reindex_mind_their_guards(spark, store):
@@ -126,9 +208,9 @@ def test_a_replayed_batch_changes_nothing(spark, store):
 
 
 def test_two_writers_cannot_publish_one_version(store):
-    store._publish("c", 9, {"model_id": "m", "dim": 16, "paths": {}, "buckets": 4})
+    store._publish("c", 9, {"model_id": "m", "dim": 16, "paths": {"chunks": {}, "sources": {}}, "buckets": 4})
     with pytest.raises(Exception, match="exist"):
-        store._publish("c", 9, {"model_id": "m", "dim": 16, "paths": {}, "buckets": 4})
+        store._publish("c", 9, {"model_id": "m", "dim": 16, "paths": {"chunks": {}, "sources": {}}, "buckets": 4})
 
 
 def test_guards():

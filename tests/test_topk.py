@@ -1,10 +1,15 @@
 """The top-k kernel against brute force."""
 
+import math
+import re
+from collections import Counter
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.operators.lexical import bm25_topk
+from corvane.operators import lexical
+from corvane.operators.lexical import ENDINGS, STOPS
 from corvane.operators.topk import exact_topk
 
 RNG = np.random.default_rng(3)
@@ -79,13 +84,73 @@ def test_a_vector_of_another_width_fails(spark):
         exact_topk(bad, frame(spark, QUERIES, "qid"), 2, dim=DIM, keys=["id"]).collect()
 
 
-def test_bm25_in_blocks_equals_one_pass(spark):
-    words = ["red", "green", "blue", "sun", "moon", "star"]
-    docs = spark.createDataFrame([(i, " ".join(words[: i % 6 + 1]) + f" doc{i}") for i in range(30)], "id long, text string")
-    asked = spark.createDataFrame([(i, f"{w} {words[i - 1]}") for i, w in enumerate(words)], "qid long, text string")
-    one = bm25_topk(docs, asked, 4, keys=["id"]).collect()
-    split = bm25_topk(docs, asked, 4, keys=["id"], max_values=4).collect()
-    assert sorted(map(tuple, one)) == sorted(map(tuple, split)) and one
+LEXICON = {
+    "docs_en": ["cats", "cat", "running", "runs", "boxes", "stories", "story", "the", "and", "sun"],
+    "docs_de": ["katzen", "katze", "häuser", "der", "und", "zeitungen", "zeitung", "sonne", "laufen", "lauf"],
+    "docs_fr": ["journaux", "journal", "chats", "les", "parler", "parlé", "soleil", "lune", "et", "doucement"],
+    "docs_es": ["gatos", "gato", "los", "hablando", "hablar", "sol", "luna", "rápidamente", "rápida", "y"],
+}
+
+
+def bm25_rows():
+    docs = [(i, c, " ".join(RNG.choice(words, size=RNG.integers(0, 9)))) for c, words in LEXICON.items() for i in range(60)]
+    asked = [(i, " ".join(RNG.choice([w for words in LEXICON.values() for w in words], size=6))) for i in range(25)]
+    return docs + [(99, None, "sun"), (98, "docs_en", None)], asked
+
+
+def plain_bm25(docs, asked, k):
+    """Best ``k`` per query and corpus, by counting."""
+    out = []
+    for corpus in LEXICON:
+        language = {"docs_de": "german", "docs_fr": "french", "docs_es": "spanish"}.get(corpus, "english")
+
+        def analyse(text, language=language):
+            words = [w for w in re.findall(r"\w{2,}", (text or "").lower()) if w not in STOPS[language]]
+            for ending, instead in ENDINGS[language]:
+                words = [re.sub(ending, rf"\1{instead}", w) for w in words]
+            return words
+
+        held = {i: analyse(t) for i, c, t in docs if c == corpus}
+        mean = sum(map(len, held.values())) / len(held)
+        df = Counter(w for words in held.values() for w in set(words))
+        for qid, text in asked:
+            scores = {}
+            for w, qtf in Counter(analyse(text)).items():
+                for i, words in held.items():
+                    if tf := words.count(w):
+                        idf = math.log(1 + (len(held) - df[w] + 0.5) / (df[w] + 0.5))
+                        scores[i] = scores.get(i, 0) + qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len(words) / mean))
+            ranked = sorted((-round(x, 6), i) for i, x in scores.items())[:k]
+            out += [(qid, corpus, i, round(-x, 6), r) for r, (x, i) in enumerate(ranked, 1)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("block_docs", [4096, 7])
+def test_postings_equal_counting_in_every_language(spark, monkeypatch, block_docs):
+    docs, asked = bm25_rows()
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", block_docs)
+    got = lexical.bm25_topk(
+        spark.createDataFrame(docs, "id long, corpus string, text string"), spark.createDataFrame(asked, "qid long, text string"), 4,
+        keys=["id"], corpus=F.col("corpus"),
+    )
+    assert sorted((r.qid, r.corpus, r.id, round(r.score, 6), r["rank"]) for r in got.collect()) == plain_bm25(docs, asked, 4)
+
+
+def test_a_stored_index_answers_blocks_of_queries_and_skips_nothing_it_needs(spark, monkeypatch, tmp_path):
+    docs, asked = bm25_rows()
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 5)
+    index = lexical.PostingsIndex(spark, str(tmp_path / "index"))
+    index.build(spark.createDataFrame(docs, "id long, corpus string, text string"), ["id"], corpus=F.col("corpus"), language=lexical.analyzer_of(F.col("corpus")))
+    queries = spark.createDataFrame(asked, "qid long, text string")
+    whole = sorted(map(tuple, index.search(queries, 3).collect()))
+    monkeypatch.setattr(lexical, "QUERY_BLOCK", 4)
+    assert sorted(map(tuple, lexical.PostingsIndex(spark, index.path).search(queries, 3).collect())) == whole and whole
+    merged = {}
+    for qid, _, doc, score, _ in index.search(queries, 200).collect():
+        merged.setdefault(qid, []).append((-score, doc))
+    for r in index.search(queries, 3, per_corpus=False).collect():
+        assert -r.score == sorted(merged[r.qid])[r["rank"] - 1][0]
+    assert index.statistics().where("df > cf").count() == 0
 
 
 def test_plan_moves_candidates_only(spark):
