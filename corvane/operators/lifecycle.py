@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.chunking import chunk_whitespace
 from corvane.operators.sanitize import SanitizeOptions, sanitize
+from corvane.operators.stats import prefix_sums
 
 NEW, CHANGED, UNCHANGED, VANISHED, FAILED = "new", "changed", "unchanged", "vanished", "failed"
 
@@ -42,13 +43,9 @@ def reconcile_report(diff: DataFrame) -> DataFrame:
     )
 
 
-def move_detect(diff: DataFrame) -> DataFrame:
-    """Contents that vanished under one URI and turned up under a new one.
-
-    One row per content, ``content_hash, old_uri, new_uri, n_old, n_new``, with the first URI of
-    each side: a content with many copies (an empty or boilerplate file) is counted, not paired
-    copy by copy.
-    """
+def moves_by_content(diff: DataFrame) -> DataFrame:
+    """Contents that vanished under one URI and turned up under a new one: ``content_hash, old_uri, new_uri, n_old, n_new``,
+    a row per content with the first URI of each side."""
     gone, came = F.col("status") == VANISHED, F.col("status") == NEW
     moved = diff.where(gone | came).groupBy("content_hash").agg(
         F.min(F.when(gone, F.col("uri"))).alias("old_uri"),
@@ -59,6 +56,19 @@ def move_detect(diff: DataFrame) -> DataFrame:
     return moved.where((F.col("n_old") > 0) & (F.col("n_new") > 0))
 
 
+def move_detect(diff: DataFrame) -> DataFrame:
+    """``content_hash, old_uri, new_uri``: every move once.
+
+    The vanished URIs of a content and its new ones are matched by rank, in order of the URI; copies that only one side
+    has more of were deleted or added, not moved. Ranks are prefix sums over ranges of URIs, so a content with very
+    many copies (an empty or boilerplate file) is spread over tasks, and the join is on content and rank.
+    """
+    sides = diff.where(F.col("status").isin(VANISHED, NEW)).select("content_hash", "status", "uri", F.lit(1).alias("one"))
+    ranked = prefix_sums(sides, ["content_hash", "status"], "uri", "one", "nth")
+    old, new = (ranked.where(F.col("status") == s).select("content_hash", "nth", F.col("uri").alias(c)) for s, c in ((VANISHED, "old_uri"), (NEW, "new_uri")))
+    return old.join(new, ["content_hash", "nth"]).select("content_hash", "old_uri", "new_uri")
+
+
 @dataclass(frozen=True)
 class IndexPlan:
     """How sources become vector rows; the same plan serves bulk, reconcile and single writes."""

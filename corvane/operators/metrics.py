@@ -12,7 +12,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.functions.rows import fan_out
 from corvane.functions.text import tokens
 
 
@@ -153,15 +152,28 @@ def rungs_for_cap(caps: DataFrame, product_k: int, budgets: Sequence[int], ladde
     )
 
 
-def word_recall(pairs: DataFrame, key: str, reference: str, extracted: str) -> DataFrame:
-    """Token-multiset recall of ``extracted`` against ``reference`` (arrays of tokens) per row.
+def multiset_overlap(left: Column, right: Column) -> Column:
+    """How many elements two arrays of strings share, repeated ones as often as both have them; inside the row.
 
-    Both sides are counted before they meet, so the join moves distinct tokens, not occurrences;
-    an empty reference scores 1.
+    Both are sorted into one array, in which equal elements stand together, and one fold counts each side's.
     """
-    exploded = fan_out(pairs, [key], F.col(reference), "token").groupBy(key, "token").agg(F.count("*").alias("n"))
-    found = fan_out(pairs, [key], F.col(extracted), "token").groupBy(key, "token").agg(F.count("*").alias("m"))
-    hit = exploded.join(found, [key, "token"], "left").groupBy(key).agg(
-        (F.sum(F.least("n", F.coalesce("m", F.lit(0)))) / F.sum("n")).alias("word_recall")
-    )
-    return pairs.select(key).join(hit, key, "left").select(key, F.coalesce("word_recall", F.lit(1.0)).alias("word_recall"))
+
+    def marked(values: Column, side: int) -> Column:
+        return F.transform(values, lambda x: F.struct(x.alias("x"), F.lit(side).alias("side")))
+
+    def step(acc: Column, e: Column) -> Column:
+        here, other = (e["side"] == 0).cast("int"), (e["side"] == 1).cast("int")
+        return F.when(e["x"] == acc["x"], F.struct(acc["x"].alias("x"), (acc["l"] + here).alias("l"), (acc["r"] + other).alias("r"), acc["n"].alias("n"))).otherwise(
+            F.struct(e["x"].alias("x"), here.alias("l"), other.alias("r"), (acc["n"] + F.least(acc["l"], acc["r"])).alias("n"))
+        )
+
+    start = F.struct(F.lit("").alias("x"), F.lit(0).alias("l"), F.lit(0).alias("r"), F.lit(0).alias("n"))
+    both = F.array_sort(F.concat(marked(left, 0), marked(right, 1)))
+    return F.aggregate(both, start, step, lambda acc: acc["n"] + F.least(acc["l"], acc["r"]))
+
+
+def word_recall(pairs: DataFrame, key: str, reference: str, extracted: str) -> DataFrame:
+    """Token-multiset recall of ``extracted`` against ``reference`` (arrays of tokens) per row; an empty reference scores 1."""
+    shared = multiset_overlap(F.col(reference), F.coalesce(F.col(extracted), F.array().cast("array<string>")))
+    recall = F.when(F.size(reference) > 0, shared / F.size(reference)).otherwise(F.lit(1.0))
+    return pairs.select(key, recall.alias("word_recall"))

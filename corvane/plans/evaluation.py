@@ -18,6 +18,7 @@ from corvane.operators import stats as S
 from corvane.operators.chunking import whitespace_windows
 from corvane.operators.embed import hash_embedder
 from corvane.operators.fusion import fuse_documents
+from corvane.operators import passages
 from corvane.operators.lexical import bm25_topk
 from corvane.operators.topk import exact_topk
 from corvane.plans import search, sql
@@ -55,36 +56,19 @@ def once(spark, sf, name, build) -> DataFrame:
 # -- judgements ------------------------------------------------------------------------------------
 
 
-def word_runs(toks, size: int):
-    """Every run of ``size`` words; none when there are fewer."""
-    return F.when(F.size(toks) >= size, F.transform(
-        F.sequence(F.lit(1), F.size(toks) - size + 1), lambda i: F.array_join(F.slice(toks, i, size), " ")
-    )).otherwise(F.array().cast("array<string>"))
-
-
 def passage_qrels(spark, sf) -> DataFrame:
     """``qid, corpus, doc_id, rel``: documents holding a passage (2), or any eight words in a row of it (1).
 
-    A passage under eight words counts as one run. Documents send hashes of their runs, which meet the
-    passages' in an equi-join (broadcast when the passages are few); the run itself confirms a hit.
+    A passage under eight words counts as one run. Found in one scan, once per state of the tables.
     """
-    asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"), tokens(F.col("text")).alias("_p"))
-    asked = asked.where(F.size("_p") > 0).withColumn("k", F.least(F.size("_p"), F.lit(ANCHOR)))
-    sizes = sorted(r["k"] for r in asked.select("k").distinct().collect())  # at most ANCHOR numbers
-    runs = F.coalesce(*[F.when(F.col("k") == k, word_runs(F.col("_p"), k)) for k in sizes], F.array().cast("array<string>"))
-    asked = asked.select("qid", "passage", F.explode(runs).alias("run"))
-    docs = t.documents(spark, sf).where("lang IS NOT NULL").select("doc_id", "lang", "text")
-    hashes = lambda c: F.transform(c, lambda r: F.xxhash64(r))
-    own = F.concat(F.array().cast("array<long>"), *[hashes(word_runs(F.col("_t"), k)) for k in sizes])
-    rows = fan_out(docs.select("doc_id", tokens(F.col("text")).alias("_t")), ["doc_id"], own, "h")
-    wanted = cut_lineage(asked.select(F.xxhash64("run").alias("h"), "qid", "run").distinct())
-    few = wanted.count() <= 1_000_000  # a number, an id and eight words each
-    found = rows.join(F.broadcast(wanted) if few else wanted, "h").select("doc_id", "qid", "run").distinct()
-    flat = F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" "))
-    sure = found.join(docs, "doc_id").where(F.contains(flat, F.concat(F.lit(" "), "run", F.lit(" "))))
-    passages = asked.select("qid", "passage").distinct()
-    rel = F.max(F.when(F.contains("text", F.col("passage")), 2).otherwise(1))
-    return sure.join(passages, "qid").groupBy("qid", F.concat(F.lit("docs_"), "lang").alias("corpus"), "doc_id").agg(rel.alias("rel"))
+
+    def found() -> DataFrame:
+        docs = t.documents(spark, sf).where("lang IS NOT NULL").select("lang", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+        named = docs.select(F.struct("lang", "doc_id").alias("doc"), "text")
+        rels = passages.hits(named, t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text"), "doc")
+        return rels.groupBy("qid", F.concat(F.lit("docs_"), "doc.lang").alias("corpus"), F.col("doc.doc_id").alias("doc_id")).agg(F.max("rel").alias("rel"))
+
+    return once(spark, sf, "qrels", found)
 
 
 def _runs_sql(words: str, k: str) -> str:
@@ -159,7 +143,7 @@ def _asked(spark, sf, cells) -> DataFrame:
 
 def sweep_scores(spark, sf, words: int | None = None) -> DataFrame:
     """``cell, corpus, profile, axes..., embedding, dim, method, qid, ndcg, recall, mrr, p1``."""
-    qrels = cut_lineage(passage_qrels(spark, sf))
+    qrels = passage_qrels(spark, sf)
     names = corpora(spark, sf)
     parts = []
     lexical = None

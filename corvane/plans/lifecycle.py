@@ -9,7 +9,7 @@ from corvane.operators.ann import AnnParams
 from corvane.operators.datasets import SearchTarget, search_across
 from corvane.operators.embed import hash_embedder
 from corvane.operators.index import forget, index_sources, reconcile, remember
-from corvane.operators.lifecycle import IndexPlan, compaction_due, move_detect, reconcile_diff, reconcile_report
+from corvane.operators.lifecycle import IndexPlan, compaction_due, move_detect, moves_by_content, reconcile_diff, reconcile_report
 from corvane.operators.store import VectorTable
 from corvane.plans import search, sql
 from corvane.plans import tables as t
@@ -57,12 +57,18 @@ def reconcile_diff_plan(spark, sf):
     return reconcile_diff(t.listing(spark, sf), earlier_listing(spark, sf))
 
 
-@query("move_detect", f"""WITH {DIFF_SQL}
+@query("move_detect", f"""WITH {DIFF_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY content_hash, status ORDER BY uri) AS nth FROM diff WHERE status IN ('vanished', 'new'))
+    SELECT o.content_hash, o.uri AS old_uri, n.uri AS new_uri FROM r o JOIN r n USING (content_hash, nth) WHERE o.status = 'vanished' AND n.status = 'new'""")
+def move_detect_plan(spark, sf):
+    return move_detect(reconcile_diff(t.listing(spark, sf), earlier_listing(spark, sf)))
+
+
+@query("moves_by_content", f"""WITH {DIFF_SQL}
     SELECT content_hash, min(uri) FILTER (status = 'vanished') AS old_uri, min(uri) FILTER (status = 'new') AS new_uri,
            count(*) FILTER (status = 'vanished')::BIGINT AS n_old, count(*) FILTER (status = 'new')::BIGINT AS n_new
     FROM diff WHERE status IN ('vanished', 'new') GROUP BY content_hash HAVING n_old > 0 AND n_new > 0""")
-def move_detect_plan(spark, sf):
-    return move_detect(reconcile_diff(t.listing(spark, sf), earlier_listing(spark, sf)))
+def moves_by_content_plan(spark, sf):
+    return moves_by_content(reconcile_diff(t.listing(spark, sf), earlier_listing(spark, sf)))
 
 
 def built(spark, sf, docs) -> VectorTable:
@@ -313,21 +319,34 @@ def watch_debounce(spark, sf):
     return bursts.select("event_type", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "changes")
 
 
-@query("watch_state")
+PULSES = 6  # slices of the event table that arrive one after the other
+
+
+@query("watch_state", f"""WITH e AS (SELECT *, event_id * {PULSES} // (SELECT max(event_id) + 1 FROM events) AS pulse FROM events),
+    l AS (SELECT 'doc://' || user_id AS uri, pulse, max_by(event_type, event_id) AS kind FROM e GROUP BY user_id, pulse),
+    p AS (SELECT *, lag(kind) OVER (PARTITION BY uri ORDER BY pulse) AS was FROM l),
+    s AS (SELECT uri, CASE WHEN kind = 'error' THEN CASE WHEN was <> 'error' THEN 'vanished' END WHEN was IS NULL OR was = 'error' THEN 'new'
+                           WHEN was = kind THEN 'unchanged' ELSE 'changed' END AS status FROM p)
+    SELECT uri, status, count(*)::BIGINT AS changes FROM s WHERE status IS NOT NULL GROUP BY ALL""")
 def watch_state(spark, sf):
-    """The event table replayed as a stream of file changes, each judged against its URI's state."""
-    schema = t.table(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*")
+    """The event table replayed as a stream of file changes, a micro-batch per slice of it, each change judged against
+    what its URI's state remembers of the slices before."""
+    events = t.table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    folder = scratch(spark, "watch")
+    last = events.agg(F.max("event_id")).first()[0]
+    for pulse in range(PULSES):  # one file after the other, so the stream takes them in this order
+        slice_ = events.where(F.floor(F.col("event_id") * PULSES / (last + 1)) == pulse)
+        slice_.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     changes = stream.select(
         F.concat(F.lit("doc://"), F.col("user_id").cast("string")).alias("uri"),
         F.when(F.col("event_type") == "error", "deleted").otherwise("modified").alias("kind"),
         F.sha2("event_type", 256).alias("content_hash"),
         F.col("event_id").alias("seq"),
     )
-    folder = scratch(spark, "watch")
     running = (
         last_known(changes).writeStream.format("parquet").option("path", f"{folder}/out")
         .option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     )
     running.awaitTermination()
-    return spark.read.parquet(f"{folder}/out").groupBy("status").agg(F.count("*").alias("changes"))
+    return spark.read.parquet(f"{folder}/out").groupBy("uri", "status").agg(F.count("*").alias("changes"))

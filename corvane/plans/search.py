@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.functions.rows import fan_out
 from corvane.functions.text import doc_uri
 from corvane.operators.ann import PRESETS, AnnParams, ivf_topk, resolve_params, search_mode
 from corvane.operators.fusion import fuse_datasets, fuse_documents, rerank
