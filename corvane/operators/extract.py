@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
-from html.parser import HTMLParser
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.functions.text import path_of, strip, suffix_of
+from corvane.functions.text import let, path_of, strip, suffix_of
 from corvane.operators.embed import with_retry
 from corvane.schema import ConfigError, ExtractorBackend
 
@@ -34,56 +33,55 @@ def extract_text(files: DataFrame, *, cap: int = TEXT_CAP) -> DataFrame:
     return files.withColumn("error", error).withColumn("text", F.when(F.col("error").isNull(), decoded)).drop("content")
 
 
-# Elements that hold no prose, and elements that end a line.
-_SKIP = {"script", "style", "head", "noscript", "template"}
-_BREAK = {"p", "br", "div", "li", "ul", "ol", "tr", "table", "section", "article", "nav", "h1", "h2", "h3", "h4", "h5",
-          "h6", "header", "footer", "blockquote", "pre"}
+# Elements that hold no prose, elements that end a line, and the named characters that are read.
+HIDDEN = ("script", "style", "noscript", "template", "head")
+LINES = ("p", "br", "div", "li", "ul", "ol", "tr", "table", "section", "article", "nav", "h1", "h2", "h3", "h4", "h5", "h6",
+         "header", "footer", "blockquote", "pre")
+NAMED = {
+    "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": " ", "copy": "©", "reg": "®", "middot": "·", "hellip": "…", "ndash": "–",
+    "mdash": "—", "lsquo": "‘", "rsquo": "’", "ldquo": "“", "rdquo": "”", "laquo": "«", "raquo": "»", "euro": "€", "pound": "£",
+    "sect": "§", "deg": "°", "times": "×", "bull": "•", "trade": "™", "shy": "", "amp": "&",
+}
+TAG = r"</?[A-Za-z][^>]*(?:>|\z)|<[!?][^>]*(?:>|\z)"
+LINE_BLANKS = r"[ \t\r\x0B\f\x{00A0}]+"
 
+# What a page is rewritten by, one after the other: pattern and replacement. An element that is never closed hides the rest.
+HTML_RULES = (
+    (r"(?s)<!--.*?(?:-->|\z)", ""),
+    *((rf"(?is)<{tag}\b[^>]*>.*?(?:</{tag}\s*>|\z)", "") for tag in HIDDEN),
+    *((rf"(?i)<h{n}\b[^>]*>", "\n" + "#" * n + " ") for n in range(1, 7)),
+    (r"(?i)<li\b[^>]*>", "\n- "),
+    (rf"(?i)</?(?:{'|'.join(LINES)})\b[^>]*>", "\n"),
+    (TAG, ""),
+)
 
-class _Reader(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.parts: list[str] = []
-        self.hidden = 0
 
-    def handle_starttag(self, tag, attrs):
-        if tag in _SKIP:
-            self.hidden += 1
-        elif tag in _BREAK:
-            self.parts.append("\n")
-            if tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                self.parts.append("#" * int(tag[1]) + " ")
-            elif tag == "li":
-                self.parts.append("- ")
+def numbered(text: Column) -> Column:
+    """Numbered characters such as ``&#8364;`` and ``&#x20AC;`` as themselves."""
 
-    def handle_endtag(self, tag):
-        if tag in _SKIP:
-            self.hidden = max(0, self.hidden - 1)
-        elif tag in _BREAK:
-            self.parts.append("\n")
+    def one(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^(x[0-9A-Fa-f]{1,6}|[0-9]{1,7});", 1)
+        code = F.when(F.startswith(number, F.lit("x")), F.substring(number, 2, 6)).otherwise(F.conv(number, 10, 16))
+        letter = F.decode(F.unhex(F.lpad(code, 8, "0")), "UTF-32")
+        return F.when(number == "", F.concat(F.lit("&#"), part)).otherwise(F.concat(letter, F.substr(part, F.char_length(number) + 2)))
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.parts.append(data)
-
-
-def html_to_text(html: str) -> str:
-    """Markdown-like text of a page: headings and list items marked, scripts and styles left out."""
-    reader = _Reader()
-    reader.feed(html)
-    reader.close()
-    lines = (" ".join(line.split()) for line in "".join(reader.parts).split("\n"))
-    return "\n".join(line for line in lines if line)
+    read = let(F.split(text, "&#"), lambda p: F.concat(F.get(p, F.lit(0)), F.array_join(F.transform(F.slice(p, F.lit(2), F.size(p)), one), "")))
+    return F.when(F.contains(text, F.lit("&#")), read).otherwise(text)
 
 
 def extract_html(html: Column) -> Column:
-    """:func:`html_to_text` over a column, one Arrow batch at a time."""
+    """Markdown-like text of a page: headings and list items marked, one line per block, no scripts, styles or comments.
 
-    @F.arrow_udf("string")
-    def convert(pages: pa.Array) -> pa.Array:
-        return pa.array([None if p is None else html_to_text(p) for p in pages.to_pylist()], type=pa.string())
-
-    return convert(html)
+    Regular expressions over the column, so a page stays in its row and in the JVM. A null page stays null.
+    """
+    text = html
+    for pattern, instead in HTML_RULES:
+        text = F.regexp_replace(text, pattern, instead)
+    text = numbered(text)
+    for name, letter in NAMED.items():
+        text = F.regexp_replace(text, f"&{name};", letter)
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(F.regexp_replace(x, LINE_BLANKS, " ")))
+    return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
 
 
 Converter = Callable[[bytes, str], str]

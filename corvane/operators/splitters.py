@@ -104,14 +104,13 @@ def semantic(text: str, cap: int, dim: int = 256, drop: float = 0.15) -> list[Sp
 
 
 def spans_of(text: str, strategy: str, cap: int, overlap: int) -> list[Span]:
-    if strategy in ("semantic", "late"):
-        # Late chunking embeds the whole document first; its cuts are those of the base splitter.
-        return semantic(text, cap) if strategy == "semantic" else hierarchical(text, cap, LEVELS["recursive"])
+    if strategy == "semantic":
+        return semantic(text, cap)
     spans = hierarchical(text, cap, LEVELS[strategy])
     return with_context(text, spans, overlap) if strategy == "recursive" else windowed(text, spans, cap, overlap, strategy)
 
 
-SPLIT_STRATEGIES = ("recursive", "markdown", "fast", "semantic", "late")
+SPLIT_STRATEGIES = ("recursive", "markdown", "fast", "semantic")
 _SCHEMA = "array<struct<text:string,token_count:int,start:int,end:int>>"
 _ITEM = pa.struct([("text", pa.string()), ("token_count", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 

@@ -11,7 +11,7 @@ from corvane.functions.rows import fan_out
 from corvane.functions.text import doc_id_of, doc_uri, file_uri, let, path_of, snippet, tokens, truncate_words
 from corvane.operators import chunking as C
 from corvane.operators.embed import embed_once, hash_embedder, leading_sentences
-from corvane.operators.extract import Route, extract_html, extract_text, route_backend
+from corvane.operators.extract import HTML_RULES, LINE_BLANKS, NAMED, Route, extract_html, extract_text, route_backend
 from corvane.operators.lexical import language_of
 from corvane.operators.sanitize import SanitizeOptions, sanitize
 from corvane.operators.splitters import split_documents
@@ -171,7 +171,21 @@ def extract_text_plan(spark, sf):
     return extract_text(files).select("doc_id", "error", F.length("text").cast(L).alias("chars"))
 
 
-@query("extract_html")
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
+def html_sql(html: str) -> str:
+    """The text of a page, for pages without numbered characters."""
+    for pattern, instead in HTML_RULES:
+        html = f"regexp_replace({html}, {_sql_text(pattern)}, {_sql_text(instead)}, 'g')"
+    for name, letter in NAMED.items():
+        html = f"replace({html}, '&{name};', {_sql_text(letter)})"
+    lines = f"list_transform(string_split({html}, chr(10)), lambda x: trim(regexp_replace(x, '{LINE_BLANKS}', ' ', 'g'), ' '))"
+    return f"array_to_string(list_filter({lines}, lambda x: x <> ''), chr(10))"
+
+
+@query("extract_html", f"SELECT page_id, url, {html_sql('html')} AS text FROM pages")
 def extract_html_plan(spark, sf):
     return t.spread(t.table(spark, sf, "pages")).select("page_id", "url", extract_html(F.col("html")).alias("text"))
 

@@ -508,14 +508,26 @@ def agg_group_summary(spark, sf):
     return base.join(middle, "lang")
 
 
-@query("agg_edit_similarity")
+def _grams_sql(expr: str) -> str:
+    flat = rf"lower(array_to_string({sql.toks(expr)}, ' '))"
+    return f"list_transform(range(1, len('  ' || {flat} || '  ') - 1), lambda i: substr('  ' || {flat} || '  ', i, 3))"
+
+
+@query("agg_edit_similarity", f"""WITH {sql.dense_scores_cte()}, {search.DOC_RANK_SQL},
+    best1 AS (SELECT qid, doc_id, ordinal FROM docs WHERE rank <= 1),
+    pair AS (SELECT qid, b.doc_id, benchmark.text AS a, array_to_string(toks, ' ') AS b FROM best1 b JOIN chunks c ON c.doc_id = b.doc_id AND c.ordinal = b.ordinal JOIN benchmark ON item_id = qid),
+    ga AS (SELECT qid, g, count(*) AS n FROM (SELECT qid, unnest({_grams_sql('a')}) AS g FROM pair) GROUP BY ALL),
+    gb AS (SELECT qid, g, count(*) AS n FROM (SELECT qid, unnest({_grams_sql('b')}) AS g FROM pair) GROUP BY ALL),
+    sums AS (SELECT qid, sum(n) AS n FROM (SELECT * FROM ga UNION ALL SELECT * FROM gb) GROUP BY qid),
+    met AS (SELECT qid, sum(least(ga.n, gb.n)) AS m FROM ga JOIN gb USING (qid, g) GROUP BY qid)
+    SELECT qid, doc_id, round(2.0 * coalesce(m, 0) / n, 6) AS similarity FROM pair JOIN sums USING (qid) LEFT JOIN met USING (qid)""")
 def agg_edit_similarity(spark, sf):
     """Each passage against its best chunk, as whole texts."""
     best = cut_lineage(search.document_ranking(spark, sf, 1).select("qid", "doc_id", "ordinal"))
     chunks = t.chunks_of(spark, sf, best.select("doc_id").distinct()).select("doc_id", "ordinal", F.col("text").alias("chunk_text"))
     asked = t.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return best.join(chunks, ["doc_id", "ordinal"]).join(asked, "qid").select(
-        "qid", "doc_id", measure.edit_similarity(F.col("text"), F.col("chunk_text")).alias("similarity")
+        "qid", "doc_id", F.round(measure.edit_similarity(F.col("text"), F.col("chunk_text")), 6).alias("similarity")
     )
 
 
@@ -537,7 +549,7 @@ def agg_phrase_recall(spark, sf):
     return pages.groupBy("format").pivot("extractor", ["raw", "stripped", "body"]).agg(F.round(F.avg(found), 6))
 
 
-@query("extract_html_words")
+@query("extract_html_words", f"""SELECT page_id, len({sql.toks('html')})::INT AS html_words, len({sql.toks('text')})::INT AS words FROM (SELECT page_id, html, {hygiene.html_sql('html')} AS text FROM pages)""")
 def extract_html_words(spark, sf):
     """Words per page, before and after HTML is read as text."""
     pages = t.spread(t.table(spark, sf, "pages")).withColumn("text", extract_html(F.col("html")))

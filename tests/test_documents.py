@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions import text as X
 from corvane.operators import chunking as C
 from corvane.operators.embed import Transient, call_in_batches, hash_embedder, provider_embedder, with_retry
-from corvane.operators.extract import Route, extract_text, html_to_text, route_backend
+from corvane.operators.extract import Route, extract_html, extract_text, route_backend
 from corvane.operators.sanitize import SanitizeOptions, sanitize
 from corvane.operators.spans import text_at, window_spans
 from corvane.operators.splitters import SPLIT_STRATEGIES, spans_of, split_documents
@@ -155,7 +155,13 @@ def test_extraction_keeps_bad_files_as_rows(spark):
     files = spark.createDataFrame([("a", b"fine"), ("b", b"\xff\xfe bad"), ("c", b"x" * 50)], "uri string, content binary")
     got = {r.uri: (r.text, r.error) for r in extract_text(files, cap=20).collect()}
     assert got["a"] == ("fine", None) and got["b"][0] is None and "UTF-8" in got["b"][1] and "cap" in got["c"][1]
-    assert html_to_text("<h1>A &amp; B</h1><script>no()</script><ul><li>x</li></ul>") == "# A & B\n- x"
+    pages = {
+        "<h1>A &amp; B</h1><script>no()</script><ul><li>x</li></ul>": "# A & B\n- x", "a < b &#8364;&#x20AC; &amp;lt; &#xZ;": "a < b €€ &lt; &#xZ;",
+        "<HEAD><title>t</title><style>p{}</style></HEAD><P>one<br/>two \n\t three</p><!-- c --><b>bold</b>er": "one\ntwo\nthree\nbolder",
+        "shown<script>never closed": "shown", "": "", "&nbsp;cut <a href='x": "cut",
+    }
+    got = spark.createDataFrame(list(pages.items()), "html string, want string").select(extract_html(F.col("html")).alias("got"), "want").collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_routing_longest_prefix_first_route_and_scans(spark):
