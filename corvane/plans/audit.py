@@ -172,7 +172,7 @@ def true_cap(spark, sf):
     return sets(spark, sf).select("corpus", "profile", E.true_cap(*args, APPENDED).cast(L).alias("appended_cap"), E.true_cap(*args).cast(L).alias("native_cap"))
 
 
-DECLARED = ("docs_de", "docs_en", "docs_es", "docs_fr")  # the corpora that a report may name
+DECLARED = ("docs_de", "docs_en", "docs_fr")  # the corpora that the registered report may name
 
 # -- spans -----------------------------------------------------------------------------------------
 
@@ -366,10 +366,12 @@ def cells_unscored(spark, sf):
     return E.unscored_cells(embedded, rows.where("recall > 0"), withheld)
 
 
-@query("cells_reject_foreign", f"WITH {ev.CELLS_SQL} SELECT corpus, count(*)::BIGINT AS cells FROM cells GROUP BY corpus")
-def cells_reject_foreign(spark, sf):
-    """The cells of the declared corpora; the job fails when the documents hold another one."""
-    return E.reject_foreign(ev.cells(spark, sf), DECLARED).groupBy("corpus").agg(F.count("*").alias("cells"))
+@query("cells_reject_foreign", f"""WITH {ev.CELLS_SQL} SELECT corpus, corpus NOT IN ({", ".join(f"'{c}'" for c in DECLARED)}) AS rejected, count(*)::BIGINT AS cells FROM cells GROUP BY ALL""")
+def cells_reject_foreign(spark, sf, declared=DECLARED):
+    """The cells of the declared corpora, and beside them those that a report may not name."""
+    kept, foreign = E.reject_foreign(ev.cells(spark, sf), declared)
+    both = kept.withColumn("rejected", F.lit(False)).unionByName(foreign.withColumn("rejected", F.lit(True)))
+    return both.groupBy("corpus", "rejected").agg(F.count("*").alias("cells"))
 
 
 @query("cells_provenance", """SELECT '{"box":"' || event_type || '","measured_utc":"' || strftime(date_trunc('month', ts), '%Y-%m') || '"}' AS run, count(*)::BIGINT AS cells FROM events WHERE event_type <> 'error' GROUP BY ALL""")
@@ -380,7 +382,7 @@ def cells_provenance(spark, sf):
     return E.provenance(rows).select("run", "cells")
 
 
-@query("cell_catalog")
+@query("cell_catalog", f"WITH {ev.CELLS_SQL} SELECT cell, corpus, profile, embedding, dim::INT AS dim, n_queries::BIGINT AS n_queries FROM cells")
 def cell_catalog(spark, sf):
     """Every cell's manifest, written as JSON files and scanned back into one catalogue."""
     path = hygiene.scratch(spark, "manifests")

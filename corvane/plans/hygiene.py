@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import vectors as V
 from corvane.functions.rows import fan_out
-from corvane.functions.text import doc_id_of, doc_uri, file_uri, let, path_of, snippet, tokens, truncate_words
+from corvane.functions.text import doc_id_of, doc_uri, file_uri, let, path_of, snippet, strip, tokens, truncate_words
 from corvane.operators import chunking as C
 from corvane.operators.embed import embed_once, hash_embedder, leading_sentences
 from corvane.operators.extract import HTML_RULES, LINE_BLANKS, NAMED, Route, extract_html, extract_text, route_backend
@@ -19,7 +19,7 @@ from corvane.plans import sql
 from corvane.plans import tables as t
 from corvane.plans.registry import query
 from corvane.schema import ExtractorBackend
-from corvane.session import shared_folder
+from corvane.session import cut_lineage, shared_folder
 from corvane.sources.corpora import layout_blocks, read_chunk_file, squad_items, trec_qrels
 
 L = "long"
@@ -107,18 +107,28 @@ def answer_rows(spark, sf):
 
 
 def middle_words(text):
-    """The middle eight single-spaced words of a text (empty when they are not one run in it)."""
-    def run(toks):
-        return F.array_join(F.slice(toks, F.greatest(F.floor(F.size(toks) / 2).cast("int") - 3, F.lit(1)), 8), " ")
+    """The middle eight words of a text as they stand in it, with the blanks between them; empty without words."""
+    def run(pieces):
+        return strip(F.array_join(F.slice(pieces, F.greatest(F.floor(F.size(pieces) / 2).cast("int") - 3, F.lit(1)), 8), ""))
 
-    return let(let(tokens(text), run), lambda r: F.when(F.contains(text, r), r).otherwise(F.lit("")))
+    return F.coalesce(let(C.token_pieces(text), run), F.lit(""))
 
 
-MIDDLE_SQL = f"""mid AS (
-      SELECT doc_id, lang, text, array_to_string(list_slice(t, greatest(len(t) // 2 - 3, 1), greatest(len(t) // 2 - 3, 1) + 7), ' ') AS a
-      FROM (SELECT doc_id, lang, text, {sql.toks('text')} AS t FROM documents)),
-    qa AS (SELECT m.*, coalesce(l.toxic, 0) AS toxic, strpos(text, a) - 1 AS p FROM mid m LEFT JOIN labels l USING (doc_id)
-           WHERE contains(text, a) AND length(a) > 0)"""
+MIDDLE_SQL = rf"""mid AS (
+      SELECT doc_id, lang, text, trim(array_to_string(list_slice(t, greatest(len(t) // 2 - 3, 1), greatest(len(t) // 2 - 3, 1) + 7), ''), E' \t\n\r\x0b\x0c') AS a
+      FROM (SELECT doc_id, lang, text, regexp_extract_all(text, '^\s*[^\s]+\s*|[^\s]+\s*') AS t FROM documents)),
+    qa AS (SELECT m.*, coalesce(l.toxic, 0) AS toxic, strpos(text, a) - 1 AS p FROM mid m LEFT JOIN labels l USING (doc_id) WHERE length(a) > 0)"""
+
+
+@query("scan_squad_report", f"""WITH {MIDDLE_SQL},
+    v AS (SELECT documents.doc_id, a, CASE WHEN substr(qa.text, p + 2, length(a)) = a THEN p + 1 WHEN toxic = 0 THEN p END AS s FROM documents LEFT JOIN qa USING (doc_id))
+    SELECT CASE WHEN a IS NULL THEN 'no words' WHEN s IS NULL THEN 'answer not at its offset' ELSE 'verified' END AS outcome, count(*)::BIGINT AS documents FROM v GROUP BY ALL""")
+def scan_squad_report(spark, sf):
+    """What became of every document as a question row; the counts add up to the table."""
+    found = squad_items(answer_rows(spark, sf), "doc_id").select("doc_id", F.lit(True).alias("asked"), "answer")
+    rows = t.documents(spark, sf).select("doc_id").join(found, "doc_id", "left")
+    outcome = F.when(F.col("asked").isNull(), "no words").when(F.col("answer").isNull(), "answer not at its offset").otherwise("verified")
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count("*").alias("documents"))
 
 
 @query("scan_squad", f"""WITH {MIDDLE_SQL},
@@ -145,21 +155,44 @@ def scan_layout_json(spark, sf):
     return pages.select("doc_id", F.size("b").cast(L).alias("blocks"), F.array_join("b", "|").alias("text"))
 
 
-@query("src_discover")
+def source_files(spark, sf) -> str:
+    """The documents as files, one text file per source with a line per document, in order of their ids."""
+    folder = scratch(spark, "files")
+    lines = t.documents(spark, sf).select("source", "doc_id", F.regexp_replace("text", "[\\n\\r]", " ").alias("value"))
+    ordered = lines.repartition("source").sortWithinPartitions("source", "doc_id").select("source", "value")
+    ordered.write.partitionBy("source").text(folder)
+    return folder
+
+
+FILES_SQL = """WITH d AS (SELECT source, string_agg(regexp_replace(text, '[\n\r]', ' ', 'g') || chr(10), '' ORDER BY doc_id) AS content FROM documents GROUP BY source)
+    SELECT source, sha256(content) AS content_hash, octet_length(encode(content))::BIGINT AS size FROM d"""
+
+
+def _source_of(uri):
+    return F.regexp_extract(F.url_decode(uri), "source=([^/]*)/", 1)
+
+
+@query("src_discover", FILES_SQL)
 def src_discover(spark, sf):
-    """The tables' own files, listed and hashed by the executors."""
+    """Files listed by Spark and hashed block by block, the second time only those whose size or time is another: half of
+    the files are known with their hashes, half of the known ones with a time that has changed since."""
     from corvane.sources.files import discover
 
-    return discover(spark, [sf], label="tables", extensions=(".parquet",))
+    folder = source_files(spark, sf)
+    first = cut_lineage(discover(spark, [folder]))
+    half = first.where(F.xxhash64("uri") % 2 == 0).withColumn("mtime", F.when(F.xxhash64("uri") % 4 == 0, F.col("mtime") - 1).otherwise(F.col("mtime")))
+    again = discover(spark, [folder], known=half)
+    return again.select(_source_of(F.col("uri")).alias("source"), "content_hash", "size")
 
 
-@query("src_connector")
+@query("src_connector", FILES_SQL)
 def src_connector(spark, sf):
-    """The same listing through the registered data source, one task per folder entry."""
+    """The same files through the registered data source, which deals them to its tasks by size."""
     from corvane.sources.connector import FileListing
 
     spark.dataSource.register(FileListing)
-    return spark.read.format("corvane_files").option("paths", sf).option("extensions", ".parquet").load()
+    listed = spark.read.format("corvane_files").option("paths", source_files(spark, sf)).option("extensions", ".txt").load()
+    return listed.select(_source_of(F.col("uri")).alias("source"), "content_hash", "size")
 
 
 # -- extraction and routing ------------------------------------------------------------------------

@@ -1,20 +1,24 @@
-"""A named data source for file listings: one partition per top-level entry, hashed in blocks."""
+"""A named data source for file listings: files are dealt to tasks by size and hashed in blocks."""
 
 from __future__ import annotations
 
 import hashlib
+import heapq
 import os
+import re
 from pathlib import Path
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-HASH_BLOCK = 64 * 1024  # fixed value
+from corvane.sources.files import sha256_of
 
+TASKS = 64  # tasks that a listing is dealt to, unless the option says otherwise
 
-class _Entry(InputPartition):
-    def __init__(self, path: str) -> None:
-        super().__init__(path)
-        self.path = path
+
+class _Files(InputPartition):
+    def __init__(self, files: list[tuple[str, float, int]]) -> None:
+        super().__init__(len(files))
+        self.files = files
 
 
 class _Reader(DataSourceReader):
@@ -22,29 +26,31 @@ class _Reader(DataSourceReader):
         self.paths = [p for p in options.get("paths", "").split(",") if p]
         self.extensions = tuple(e for e in options.get("extensions", ".md,.txt").split(",") if e)
         self.label = options.get("label", "")
+        self.tasks = int(options.get("tasks", TASKS))
 
     def partitions(self):
-        entries: list[str] = []
+        from pyarrow import fs
+
+        found = []
         for root in self.paths:
-            entries.extend(sorted(os.path.join(root, n) for n in os.listdir(root)) if os.path.isdir(root) else [root])
-        return [_Entry(e) for e in entries] or [_Entry("")]
+            files, name = (fs.LocalFileSystem(), re.sub("^file:/*", "/", root)) if re.match("/|file:", root) else fs.FileSystem.from_uri(root)
+            info = files.get_file_info(name)
+            below = [info] if info.type == fs.FileType.File else files.get_file_info(fs.FileSelector(name, recursive=True))
+            scheme = "" if isinstance(files, fs.LocalFileSystem) else f"{root.partition('://')[0]}://"
+            found += [(scheme + f.path, f.mtime.timestamp(), f.size) for f in below if f.type == fs.FileType.File and f.path.endswith(self.extensions)]
+        # the largest first, each to the task that has the least so far: no folder and no large file decides the number of tasks
+        dealt: list[list] = [[] for _ in range(max(1, min(self.tasks, len(found))))]
+        loads = [(0, i) for i in range(len(dealt))]
+        for file in sorted(found, key=lambda f: (-f[2], f[0])):
+            load, i = heapq.heappop(loads)
+            dealt[i].append(file)
+            heapq.heappush(loads, (load + file[2] + 1, i))
+        return [_Files(d) for d in dealt]
 
     def read(self, partition):
-        base = partition.path
-        if not base:
-            return
-        names = [base] if os.path.isfile(base) else sorted(
-            os.path.join(folder, name) for folder, _, files in os.walk(base) for name in files
-        )
-        for name in names:
-            if not name.endswith(self.extensions):
-                continue
-            digest = hashlib.sha256()
-            with open(name, "rb") as stream:
-                while block := stream.read(HASH_BLOCK):
-                    digest.update(block)
-            uri = Path(os.path.normpath(os.path.abspath(name))).as_uri()
-            yield (uri, self.label, digest.hexdigest(), os.stat(name).st_mtime)
+        for name, mtime, size in partition.files:
+            uri = Path(os.path.normpath(name)).as_uri() if name.startswith("/") else name
+            yield (uri, self.label, sha256_of(name), mtime, size)
 
 
 class FileListing(DataSource):
@@ -55,7 +61,7 @@ class FileListing(DataSource):
         return "corvane_files"
 
     def schema(self):
-        return "uri string, label string, content_hash string, mtime double"
+        return "uri string, label string, content_hash string, mtime double, size long"
 
     def reader(self, schema):
         return _Reader(self.options)

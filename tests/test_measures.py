@@ -1,5 +1,7 @@
 """Intervals, agreement, claims and gates."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +54,36 @@ def test_spearman_ties_and_constants(spark):
     assert views == pytest.approx(9 / ((1 + r) ** 2 + (1 - r) ** 2 + 1))
 
 
+def points():
+    rng = random.Random(8)
+    return [(g, round(rng.random(), 1 + g % 2), rng.randrange(25) / 10) for g in range(3) for _ in range(150 - 60 * g)] + [(9, 1.0, 1.0)] * 3
+
+
+def test_disagreements_are_inversions(spark):
+    want = {}
+    for g, x, y in points():
+        for h, u, v in points():
+            if g == h and x > u and y != v:
+                pairs, wrong = want.get(g, (0, 0))
+                want[g] = (pairs + 1, wrong + (y < v))
+    cells = spark.createDataFrame([(*p, str(i)) for i, p in enumerate(points())], "g int, a double, b double, cell string").repartition(7)
+    assert {r.g: (r.pairs, r.disagreements) for r in S.pair_disagreement(cells, ["g"], "a", "b", "cell").collect()} == want
+    rng = np.random.default_rng(1)
+    x, y, n = rng.integers(0, 9, 60), rng.integers(0, 9, 60), rng.integers(1, 4, 60)
+    assert S.inversions(x, y, n) == sum(n[i] * n[j] for i in range(60) for j in range(60) if x[i] < x[j] and y[i] > y[j])
+
+
+def test_ranks_and_order_statistics_over_ranges(spark):
+    rows = points()
+    df = spark.createDataFrame(rows, "g int, a double, b double").repartition(5)
+    sums = {(r.g, r.a): r.s for r in S.prefix_sums(df.groupBy("g", "a").agg(F.count("*").alias("n")), ["g"], "a", "n", "s").collect()}
+    assert sums == {(g, a): sum(h == g and u < a for h, u, _ in rows) for g, a, _ in rows}
+    got = {r.g: (r.low, r.high, r.mid) for r in S.order_statistics(df, ["g"], "b", {"low": ("floor", 0.25), "high": ("round", 0.9), "mid": ("middle", 0.5)}).collect()}
+    for g in {r[0] for r in rows}:
+        b = sorted(r[2] for r in rows if r[0] == g)
+        assert got[g] == (b[min(int(0.25 * len(b)), len(b) - 1)], b[round(0.9 * (len(b) - 1))], b[len(b) // 2])
+
+
 def test_query_without_hits_counts_as_zero_and_ideal_covers_all_judged(spark):
     ranking = spark.createDataFrame([("q", "a", 1), ("q", "x", 2), ("q", "b", 3)], "qid string, doc_id string, rank int")
     qrels = spark.createDataFrame([("q", "b", 2), ("q", "c", 1), ("r", "a", 1)], "qid string, doc_id string, rel int")

@@ -1,5 +1,6 @@
 """Corpus, judgement and question readers; small helpers of extraction and measurement."""
 
+import hashlib
 import json
 
 import pytest
@@ -10,6 +11,8 @@ from corvane.operators.measure import counter_delta
 from corvane.plans import evaluation as ev
 from corvane.schema import ConfigError, ExtractorBackend
 from corvane.sources import corpora as R
+from corvane.session import cut_lineage
+from corvane.sources.connector import FileListing
 from corvane.sources.files import discover, read_documents
 
 
@@ -40,6 +43,23 @@ def test_files_that_cannot_be_read_are_listed(spark, tmp_path):
     assert all(r.uri.startswith("file:///") for r in discover(spark, [str(tmp_path)]).collect())
 
 
+def test_a_flat_folder_is_many_tasks_and_known_files_are_not_read(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"f{k}.md").write_text(f"file {k}")
+    (tmp_path / "skip.bin").write_text("no")
+    first = discover(spark, [str(tmp_path)])
+    assert first.rdd.getNumPartitions() >= 8
+    hashes = {r.uri: (r.content_hash, r.size) for r in first.collect()}
+    assert len(hashes) == 300 and set(hashes.values()) == {(hashlib.sha256(f"file {k}".encode()).hexdigest(), len(f"file {k}")) for k in range(300)}
+    # a known file of the same size and time keeps its hash without being opened, any other is read again
+    known = first.withColumn("content_hash", F.lit("as before")).withColumn("size", F.when(F.endswith("uri", F.lit("f7.md")), 99).otherwise(F.col("size")).cast("long"))
+    again = {r.uri: r.content_hash for r in discover(spark, [str(tmp_path)], known=cut_lineage(known)).collect()}
+    assert {u for u, h in again.items() if h != "as before"} == {u for u in again if u.endswith("/f7.md")} and again[next(u for u in again if u.endswith("/f7.md"))] == hashlib.sha256(b"file 7").hexdigest()
+    spark.dataSource.register(FileListing)
+    listed = spark.read.format("corvane_files").option("paths", f"{tmp_path},{tmp_path}/f1.md").option("extensions", ".md").option("tasks", "12").load()
+    assert listed.rdd.getNumPartitions() == 12 and {r.uri: (r.content_hash, r.size) for r in listed.collect()} == hashes
+
+
 def test_pages_converters_routes_and_counters(spark):
     pages = spark.createDataFrame([("d", 2, "two"), ("d", 1, "one"), ("e", 1, "x")], "uri string, page int, text string")
     assert {r.uri: r.text for r in join_pages(pages, ["uri"]).collect()} == {"d": "one\n\ntwo", "e": "x"}
