@@ -238,6 +238,18 @@ def exact_topk(
     )
 
 
+def folded(dim: int, width: int) -> Callable[[pa.RecordBatch], np.ndarray]:
+    """Unit vectors of ``width`` buckets from hashed bags of ``dim``: a bucket number modulo a divisor of ``dim`` is that of the
+    narrower bag, so one embedded table serves every width."""
+    if dim % width:
+        raise ConfigError(f"{width} buckets do not divide {dim}")
+
+    def build(part: pa.RecordBatch) -> np.ndarray:
+        return _unit_rows(_matrix(part.column("vector"), dim).reshape(part.num_rows, dim // width, width).sum(axis=1))
+
+    return build
+
+
 def topk_by(
     rows: DataFrame,
     queries: DataFrame,

@@ -9,18 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.rows import fan_out
 from corvane.functions.stats import DRAWS, POISSON_CDF
 from corvane.functions.text import tokens
 from corvane.operators import effects as E
 from corvane.operators import metrics as M
+from corvane.operators import passages
 from corvane.operators import stats as S
 from corvane.operators.chunking import whitespace_windows
 from corvane.operators.embed import hash_embedder
 from corvane.operators.fusion import fuse_documents
-from corvane.operators import passages
 from corvane.operators.lexical import bm25_topk
-from corvane.operators.topk import exact_topk
+from corvane.operators.topk import folded, topk_by
 from corvane.plans import search, sql
 from corvane.plans import tables as t
 from corvane.plans.registry import query
@@ -120,14 +119,22 @@ def profile_tag(cap=None, overlap=None):
     return F.concat(F.lit("whitespace-t"), F.col("max_tokens").cast("string"), F.lit("-o"), F.col("overlap_tokens").cast("string"), F.lit("-word"))
 
 
+def grid_vectors(spark, sf) -> DataFrame:
+    """The chunks of every profile, cut and embedded once at the widest bag; the narrower ones are folds of it."""
+    wide = hash_embedder(max(DIMS), "md5")
+    return once(spark, sf, "grid", lambda: grid_chunks(spark, sf).select(*PROFILE_COLS, "doc_id", "ordinal", wide(F.col("text")).alias("vector")))
+
+
 def grid_rankings(spark, sf, dim: int, words: int | None = None) -> DataFrame:
-    chunks = grid_chunks(spark, sf).withColumn("vector", hash_embedder(dim, "md5")(F.col("text")))
     asked = t.passages(spark, sf, dim)
     if words is not None:
         from corvane.functions.text import truncate_words
 
         asked = asked.select("qid", truncate_words(F.col("text"), words).alias("text")).withColumn("vector", hash_embedder(dim, "md5")(F.col("text")))
-    return exact_topk(chunks, asked, DEPTH, dim=dim, keys=["doc_id", "ordinal"], segments=PROFILE_COLS, unique=["doc_id"])
+    return topk_by(
+        grid_vectors(spark, sf), asked, DEPTH, folded(max(DIMS), dim), dim=dim, keys=["doc_id", "ordinal"], segments=PROFILE_COLS, unique=["doc_id"],
+        payload=["vector"],
+    )
 
 
 def corpora(spark, sf) -> list[str]:
