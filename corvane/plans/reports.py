@@ -12,7 +12,7 @@ from corvane.operators import metrics as M
 from corvane.operators import stats as S
 from corvane.operators.ann import ivf_topk
 from corvane.operators.chunking import chunk_whitespace, mark_headings
-from corvane.operators.claims import Claim, derive, select
+from corvane.operators.claims import Claim, check_file, derive, select
 from corvane.operators.embed import hash_embedder
 from corvane.operators.extract import extract_html
 from corvane.operators.gate import compare_runs, merge_newest, paired_verdicts
@@ -314,6 +314,53 @@ def claim_plan(spark, sf):
     return got.select("id", F.round("derived", 6).alias("derived"), "ok")
 
 
+CLAIM_FILE = {
+    "sets": SETS,
+    "rowsets": {
+        "groups": {"source": "groups.json", "path": "rows"}, "facts": {"source": "groups.json", "path": "facts"}, "labels": {"source": "labels.json"},
+        "steps": {"source": "steps.json", "path": "effects", "orient": True},
+    },
+    "claim": [
+        {"id": "english", "rows": "groups", "reduce": "count", "where": {"lang": "en"}, "published": "20"},
+        {"id": "romance", "rows": "groups", "reduce": "sum", "where": {"lang": "@romance"}, "field": "docs", "published": "251"},
+        {"id": "total", "rows": "facts", "reduce": "value", "field": "docs", "published": "1,000"},
+        {"id": "judged", "rows": "labels", "reduce": "sum", "field": "judged", "published": "399"},
+        {"id": "share", "rows": "labels", "reduce": "ratio", "where": {"quality": 1}, "field": "judged", "against_rows": "facts", "against": {}, "against_field": "docs", "published": "0.3"},
+        {"id": "gained", "rows": "steps", "reduce": "sum", "field": "mean_delta", "published": "0"},
+        {"id": "forward", "rows": "steps", "reduce": "count", "where": {"from_level": "en"}, "published": "1"},
+    ],
+}
+
+
+def _steps(spark, sf) -> DataFrame:
+    """Mean lengths of neighbouring languages as comparisons that run high to low."""
+    means = t.documents(spark, sf).where("lang IS NOT NULL").groupBy("lang").agg(F.round(F.avg("n_chars"), 6).alias("mean"), F.count("*").alias("n"))
+    a, b = (means.select(F.col("lang").alias(f"l{x}"), F.col("mean").alias(f"m{x}"), F.col("n").alias(f"n{x}")) for x in "ab")  # a row per language
+    return a.join(b, F.col("la") > F.col("lb")).select(
+        F.lit("lang").alias("axis"), F.col("la").alias("from_level"), F.col("lb").alias("to_level"), (F.col("mb") - F.col("ma")).alias("mean_delta"),
+        (F.col("mb") - F.col("ma") - 1).alias("ci_lo"), (F.col("mb") - F.col("ma") + 1).alias("ci_hi"), F.col("na").alias("wins"), F.col("nb").alias("losses"),
+    )
+
+
+@query("claim_file", f"""WITH {CLAIMS_SQL}, m AS (SELECT lang, round(avg(n_chars), 6) AS mean FROM documents WHERE lang IS NOT NULL GROUP BY lang),
+    st AS (SELECT b.lang AS lo, a.mean - b.mean AS delta FROM m a JOIN m b ON a.lang > b.lang), j AS (SELECT quality, count(*) AS judged FROM labels GROUP BY quality),
+    x AS (SELECT 'groups' AS rows, 'english' AS id, count(*) FILTER (lang = 'en')::DOUBLE AS d, 20.0 AS p, 0.5 AS tol FROM cc UNION ALL SELECT 'groups', 'romance', sum(docs) FILTER (lang IN ('fr', 'es')), 251, 0.5 FROM cc
+      UNION ALL SELECT 'facts', 'total', count(*), 1000, 0.5 FROM documents UNION ALL SELECT 'labels', 'judged', sum(judged), 399, 0.5 FROM j
+      UNION ALL SELECT 'labels', 'share', max(judged) FILTER (quality = 1) / (SELECT count(*) FROM documents), 0.3, 0.05 FROM j
+      UNION ALL SELECT 'steps', 'gained', sum(delta), 0, 0.5 FROM st UNION ALL SELECT 'steps', 'forward', count(*) FILTER (lo = 'en'), 1, 0.5 FROM st)
+    SELECT rows, id, round(d, 4) AS derived, abs(d - p) <= tol * (1 + 1e-6) AS ok FROM x""")
+def claim_file(spark, sf):
+    """A claim file over three raw JSON files: a list, a table of facts, a whole document, and comparisons turned low to high."""
+    folder = hygiene.scratch(spark, "claims")
+    facts = t.documents(spark, sf).agg(F.count("*").alias("docs"))
+    rows = claim_cells(spark, sf).agg(F.sort_array(F.collect_list(F.struct("key", "lang", "source", "docs", "chars"))).alias("rows"))  # a row per language and source
+    rows.select("rows", F.struct(facts.scalar().alias("docs")).alias("facts")).coalesce(1).write.json(f"{folder}/groups.json")
+    judged = t.table(spark, sf, "labels").groupBy("quality").agg(F.count("*").alias("judged"))
+    judged.agg(F.to_json(F.collect_list(F.struct("quality", "judged"))).alias("value")).write.text(f"{folder}/labels.json")
+    _steps(spark, sf).agg(F.collect_list(F.struct("*")).alias("effects")).coalesce(1).write.json(f"{folder}/steps.json")
+    return check_file(spark, CLAIM_FILE, folder).select("rows", "id", F.round("derived", 4).alias("derived"), "ok")
+
+
 for _how in ("count", "sum", "mean", "min", "max", "value", "ratio", "difference", "percent_change"):
 
     def _reducer(spark, sf, how=_how):
@@ -463,6 +510,68 @@ def store_crossover(spark, sf):
     return out
 
 
+def _widths_sql(where: str = "TRUE", keys: str = "") -> str:
+    """``hits(width, keys, qid, vec_id, label, rank)``: the ten best rows at the full width and at its first 16 components."""
+    cut = lambda x, w: x if w == 64 else f"{x}[1:{w}]"
+    parts = " UNION ALL ".join(
+        f"SELECT {w} AS width, {keys} qid, vec_id, label, round({sql.cosine(cut('q', w), cut('v', w))}, 6) AS score FROM qs, pool WHERE {where}" for w in (64, 16)
+    )
+    return f"""hits AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY width, {keys} qid ORDER BY score DESC, vec_id) AS rank FROM ({parts})) WHERE rank <= 10)"""
+
+
+@query("store_quality_paired", f"""WITH {sql.VECTORS_CTE}, {sql.CLASS_QUERIES_CTE}, pool AS (SELECT * FROM vecs), {_widths_sql()},
+    m AS (SELECT label AS qid, count(*) AS relevant FROM vecs GROUP BY label), n AS (SELECT qid, (SELECT sum(1 / log2(k + 1)) FROM range(1, 11) x(k) WHERE k <= relevant) AS ideal FROM m),
+    d AS (SELECT width, qid, coalesce(sum(CASE WHEN label = qid THEN 1 / log2(rank + 1) END), 0) / any_value(ideal) AS ndcg FROM hits JOIN n USING (qid) GROUP BY width, qid),
+    p AS (SELECT w.qid, round(e.ndcg, 8) AS e, round(w.ndcg, 8) AS w FROM d e JOIN d w USING (qid) WHERE e.width = 64 AND w.width = 16),
+    r AS (SELECT sum((b.vec_id IS NOT NULL)::INT) / count(*) AS recall FROM (SELECT * FROM hits WHERE width = 64) a LEFT JOIN (SELECT * FROM hits WHERE width = 16) b USING (qid, vec_id))
+    SELECT 'truncated-16' AS store, count(*)::BIGINT AS queries, round(avg(e), 6) AS exact_ndcg, round(avg(w), 6) AS store_ndcg, round(avg(w - e), 6) AS mean_delta,
+           count(*) FILTER (w > e)::BIGINT AS wins, count(*) FILTER (w = e)::BIGINT AS ties, count(*) FILTER (w < e)::BIGINT AS losses, round((SELECT recall FROM r), 6) AS doc_recall FROM p""")
+def store_quality_paired(spark, sf):
+    """A store of truncated vectors against the exact one, query by query: nDCG, its paired difference, and the recall of documents."""
+    exact, narrow, queries = *_two_widths(t.vectors(spark, sf), t.class_queries(spark, sf)), t.class_queries(spark, sf)
+    qrels = t.vectors(spark, sf).select(F.col("label").alias("qid"), "vec_id", F.lit(1).alias("rel"))
+    scored = [
+        M.per_query_metrics(rows, qrels, queries.select("qid"), 10, doc="vec_id").select("qid", F.round("ndcg", 8).alias(c)) for rows, c in ((exact, "e"), (narrow, "w"))
+    ]
+    recall = exact.select("qid", "vec_id").join(narrow.select("qid", "vec_id", F.lit(1).alias("hit")), ["qid", "vec_id"], "left").agg((F.count("hit") / F.count("*")).alias("recall"))
+    return scored[0].join(scored[1], "qid").agg(
+        F.lit("truncated-16").alias("store"), F.count("*").alias("queries"), F.round(F.avg("e"), 6).alias("exact_ndcg"), F.round(F.avg("w"), 6).alias("store_ndcg"),
+        F.round(F.avg(F.col("w") - F.col("e")), 6).alias("mean_delta"), F.count_if(F.col("w") > F.col("e")).alias("wins"), F.count_if(F.col("w") == F.col("e")).alias("ties"),
+        F.count_if(F.col("w") < F.col("e")).alias("losses"),
+    ).withColumn("doc_recall", F.round(recall.scalar(), 6))
+
+
+def _two_widths(vectors: DataFrame, queries: DataFrame, segments: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """The ten best rows per query at the full width and at the first 16 components."""
+    cut = lambda rows: rows.withColumn("vector", F.slice("vector", 1, 16))
+    exact = exact_topk(vectors, queries, 10, dim=64, keys=["vec_id"], segments=segments)
+    return exact, exact_topk(cut(vectors), cut(queries), 10, dim=16, keys=["vec_id"], segments=segments)
+
+
+SHARES = (1, 2, 4)  # a subset has the rows whose hash is 0 modulo this
+
+
+@query("store_crossover_exact", f"""WITH {sql.VECTORS_CTE}, {sql.CLASS_QUERIES_CTE},
+    pool AS (SELECT one_in, vecs.* FROM vecs, (VALUES {", ".join(f"({n})" for n in SHARES)}) s(one_in) WHERE ('0x' || substr(md5(vec_id::VARCHAR), 1, 7))::BIGINT % one_in = 0),
+    {_widths_sql(keys="one_in,")}, n AS (SELECT one_in, count(*) AS rows FROM pool GROUP BY one_in),
+    r AS (SELECT a.one_in, sum((b.vec_id IS NOT NULL)::INT) / count(*) AS recall FROM (SELECT * FROM hits WHERE width = 64) a LEFT JOIN (SELECT * FROM hits WHERE width = 16) b USING (one_in, qid, vec_id) GROUP BY a.one_in)
+    SELECT one_in::INT AS one_in, rows::BIGINT AS rows, (rows * (SELECT count(*) FROM qs) * 64)::BIGINT AS exact_values, (rows * (SELECT count(*) FROM qs) * 16)::BIGINT AS narrow_values, round(recall, 6) AS recall
+    FROM n JOIN r USING (one_in)""")
+def store_crossover_exact(spark, sf):
+    """Where the narrow vectors would pay: per subset of the rows the values that either width reads for all queries, and the
+    recall of the narrow one. Subsets are drawn by the hash of the id and nested in each other."""
+    number = F.conv(F.substring(F.md5(F.col("vec_id").cast("string")), 1, 7), 16, 10).cast("long")
+    pool = t.vectors(spark, sf).select("vec_id", "vector", F.explode(F.array(*[F.lit(n) for n in SHARES])).alias("one_in")).where(number % F.col("one_in") == 0)
+    exact, narrow = _two_widths(pool, t.class_queries(spark, sf), ("one_in",))
+    asked = t.class_queries(spark, sf).agg(F.count("*").alias("n")).scalar()
+    keys = ["one_in", "qid", "vec_id"]
+    recall = exact.select(*keys).join(narrow.select(*keys, F.lit(1).alias("hit")), keys, "left").groupBy("one_in").agg(F.round(F.count("hit") / F.count("*"), 6).alias("recall"))
+    rows = pool.groupBy("one_in").agg(F.count("*").alias("rows"))
+    return rows.join(recall, "one_in").select(
+        "one_in", "rows", (F.col("rows") * asked * 64).alias("exact_values"), (F.col("rows") * asked * 16).alias("narrow_values"), "recall"
+    )
+
+
 # -- measurements ----------------------------------------------------------------------------------
 
 

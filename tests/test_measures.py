@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from corvane.functions.stats import poisson_weights
 from corvane.functions.text import within_tolerance
 from corvane.operators import stats as S
-from corvane.operators.claims import Claim, derive, rowset, select
+from corvane.operators.claims import Claim, check_file, derive, rowset, select
 from corvane.operators.fusion import fuse_datasets
 from corvane.operators.gate import paired_verdicts
 from corvane.operators.metrics import per_query_metrics
@@ -120,6 +120,22 @@ def test_claims_filter_reduce_and_refuse(spark):
     assert [len(doc.select(rowset(F.col("d"), p, "array<struct<v:int>>").alias("r")).first().r) for p in ("rows", "one")] == [2, 1]
 
 
+def test_claim_files_refuse_what_they_do_not_know(spark, tmp_path):
+    (tmp_path / "raw.json").write_text('{"rows": [{"k": "a", "v": 2}, {"k": "b", "v": 3}], "facts": {"mean": 2.5}, "bare": [1, 2]}')
+    good = {"rowsets": {"r": {"source": "raw.json", "path": "rows"}, "f": {"source": "raw.json", "path": "facts"}},
+            "claim": [{"id": "x", "rows": "r", "reduce": "mean", "field": "v", "published": "2.5"},
+                      {"id": "y", "rows": "f", "reduce": "difference", "field": "mean", "against_rows": "r", "against": {"k": "a"}, "against_field": "v", "published": "0.5"}]}
+    assert {(r.rows, r.id, r.derived, r.ok) for r in check_file(spark, good, str(tmp_path)).collect()} == {("r", "x", 2.5, True), ("f", "y", 0.5, True)}
+    claim = good["claim"][0]
+    for bad in (
+        good | {"more": 1}, good | {"claim": [claim | {"typo": 1}]}, good | {"claim": [claim | {"rows": "none"}]}, good | {"claim": [{"id": "x"}]}, good | {"claim": []},
+        good | {"rowsets": {"r": {"path": "rows"}}}, good | {"rowsets": {"r": {"source": "raw.json", "path": "bare"}, "f": {"source": "raw.json"}}},
+        good | {"claim": [claim | {"against_rows": "f"}]}, good | {"claim": [claim | {"reduce": "median"}]},
+    ):
+        with pytest.raises(ConfigError):
+            check_file(spark, bad, str(tmp_path))
+
+
 def test_printed_figures_keep_their_own_precision(spark):
     df = spark.createDataFrame([(82.34999999999999, "82.4"), (82.44, "82.3"), (12298.2, "12,298"), (9.0, "nine"), (0.01432, "+0.0143")], "d double, p string")
     assert [r[0] for r in df.select(within_tolerance(F.col("d"), F.col("p"))).collect()] == [True, False, True, True, True]
