@@ -508,9 +508,15 @@ def agg_pair_disagreement(spark, sf):
     return S.pair_disagreement(cells(spark, sf), ["corpus"], "ndcg", "recall", "cell")
 
 
-@query("agg_effective_views")
+_RAW_RHO = " UNION ALL ".join(
+    f"SELECT corpus, CASE WHEN min(r_{a}) = max(r_{a}) OR min(r_{b}) = max(r_{b}) THEN 0 ELSE corr(r_{a}, r_{b}) END AS rho FROM rk GROUP BY corpus" for a, b in _PAIRS)
+
+
+# ranks of complete cells have a matrix without negative eigenvalues, whose squares add up to those of its entries
+@query("agg_effective_views", f"""WITH {CELLS_SQL}, rk AS (SELECT corpus, {_RANKED} FROM cells), rho AS ({_RAW_RHO})
+    SELECT corpus, round({len(METRICS) ** 2} / ({len(METRICS)} + 2 * sum(rho * rho)), 6) AS views FROM rho GROUP BY corpus""")
 def agg_effective_views(spark, sf):
-    return S.effective_views(_rhos(spark, sf), ["corpus"], METRICS)
+    return S.effective_views(_rhos(spark, sf), ["corpus"], METRICS).withColumn("views", F.round("views", 6))
 
 
 @query("agg_metric_redundancy", f"""WITH {CELLS_SQL}, rk AS (SELECT corpus, {_RANKED} FROM cells), rho AS ({_RHO}),

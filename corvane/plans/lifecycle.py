@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from corvane.functions.text import doc_uri
-from corvane.operators.ann import AnnParams
+from corvane.operators.ann import AnnParams, resolve_params
 from corvane.operators.datasets import SearchTarget, search_across
 from corvane.operators.embed import hash_embedder
 from corvane.operators.index import forget, index_sources, reconcile, remember
@@ -240,15 +240,17 @@ def _with_index(spark, sf, tail: bool = True) -> VectorTable:
 
 @query("store_ann_recall")
 def store_ann_recall(spark, sf):
-    """How much of the exact top ten the stored index keeps when some of its cells are probed, every row indexed."""
+    """How much of the exact top ten the stored index keeps under each preset's knobs, every row indexed: one cell alone for
+    comparison, and all cells with the widest re-ranking."""
     store = _with_index(spark, sf, tail=False)
     asked = t.passages(spark, sf)
     exact = store.search("docs", asked, 10).select("qid", "uri", "ordinal")
     out = None
-    for nprobes, refine in ((1, 1), (4, 10), (8, 10), (16, 60)):
-        found = store.search("docs", asked, 10, AnnParams(nprobes=nprobes, refine_factor=refine)).select("qid", "uri", "ordinal", F.lit(1).alias("hit"))
+    presets = {level: resolve_params("lancedb", level) for level in ("fast", "balanced", "accurate")}
+    for level, params in {"one cell": AnnParams(nprobes=1), **presets, "all cells": AnnParams(nprobes=16, refine_factor=60)}.items():
+        found = store.search("docs", asked, 10, params).select("qid", "uri", "ordinal", F.lit(1).alias("hit"))
         one = exact.join(found, ["qid", "uri", "ordinal"], "left").agg(F.round(F.count("hit") / F.count("*"), 4).alias("recall"))
-        one = one.select(F.lit(nprobes).alias("nprobes"), F.lit(refine).alias("refine_factor"), "recall")
+        one = one.select(F.lit(level).alias("preset"), F.lit(params.nprobes).alias("nprobes"), F.lit(params.refine_factor or 1).alias("refine_factor"), "recall")
         out = one if out is None else out.unionByName(one)
     return out
 
