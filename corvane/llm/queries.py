@@ -172,7 +172,32 @@ def op12(spark: SparkSession, sf: str) -> DataFrame:
     return align(documents(spark, sf), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"), ranks)
 
 
-@query("op13_suffix_array_dedup")
+@query(
+    "op13_suffix_array_dedup",
+    # bytes are two hexadecimal letters each; texts are cut into overlapping parts first, as a place in a long string is costly
+    sql="""
+    WITH d AS (
+      SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+    ), c AS (
+      SELECT doc_id, base, substr(h, 2 * base + 1, 798) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 200)) AS base FROM d)
+    ), w AS (
+      SELECT doc_id, base + j AS i, md5(substr(part, 2 * j + 1, 400)) AS k
+      FROM (SELECT doc_id, base, part, unnest(range(0, length(part) // 2 - 199)) AS j FROM c WHERE length(part) >= 400)
+    ), m AS (
+      SELECT k FROM w GROUP BY k HAVING count(*) > 1
+    ), s AS (
+      SELECT doc_id, i, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS fresh FROM w SEMI JOIN m USING (k)
+    ), r AS (
+      SELECT doc_id, min(i) AS a, max(i) + 200 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s) GROUP BY doc_id, run
+    ), p AS (
+      SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS was FROM r
+    ), k AS (
+      SELECT doc_id, string_agg(substr(h, 2 * was + 1, 2 * (a - was)), '' ORDER BY a) || substr(any_value(h), 2 * max(b) + 1) AS kept,
+        sum(b - a) AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY doc_id
+    )
+    SELECT d.doc_id, length(h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+      sha256(unhex(coalesce(kept, h))) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)""",
+)
 def op13(spark: SparkSession, sf: str) -> DataFrame:
     from corvane.llm.suffixes import dedup_bytes
 
