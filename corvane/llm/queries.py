@@ -155,7 +155,44 @@ def op10(spark: SparkSession, sf: str) -> DataFrame:
     return place(documents(spark, sf), "doc_id", [1.0] * 8, [1.0] * 9, keep)
 
 
-@query("op11_spelling_variants")
+@query(
+    "op11_spelling_variants",
+    # the checksum table is computed, then every byte is one step of a fold; near words share a form without one letter
+    sql=f"""
+    WITH RECURSIVE t AS (
+      SELECT list(list_reduce(list_prepend(n, range(8)), lambda c, x: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) ORDER BY n) AS t
+      FROM range(256) r(n)
+    ), occ AS (
+      SELECT doc_id, {LOWER.format("run")} AS run, count(*) AS n
+      FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\\x{{00C0}}-\\x{{00FF}}]+')) AS run FROM documents) GROUP BY ALL
+    ), b AS (
+      SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM occ
+    ), crc AS (
+      SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+        lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM b, t
+    ), v AS (
+      SELECT CASE WHEN h % 97 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+      FROM crc GROUP BY 1
+    ), words AS (
+      SELECT word, n FROM v WHERE length(word) >= 5 AND n >= 3
+    ), less AS (
+      SELECT word, i, substr(word, 1, i - 1) || substr(word, i + 1) AS form FROM (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM words)
+    ), pairs AS (
+      SELECT a.word, b.word AS near FROM less a JOIN less b ON a.i = b.i AND a.form = b.form AND a.word <> b.word
+      UNION SELECT word, form FROM less WHERE form IN (SELECT word FROM words) UNION SELECT form, word FROM less WHERE form IN (SELECT word FROM words)
+    ), best AS (
+      SELECT pairs.word, w.word AS near, w.n, count(*) OVER (PARTITION BY pairs.word) AS n_near,
+        row_number() OVER (PARTITION BY pairs.word ORDER BY w.n DESC, w.word) AS nth FROM pairs JOIN words w ON w.word = pairs.near
+    ), j AS (
+      SELECT words.word, words.n, coalesce(n_near, 0) AS n_near, CASE WHEN best.n >= 2 * words.n THEN near END AS form,
+        CASE WHEN best.n >= 2 * words.n THEN best.n END AS form_n FROM words LEFT JOIN best ON best.word = words.word AND nth = 1
+    ), f AS (
+      SELECT word, form AS last FROM j WHERE form IS NOT NULL UNION ALL SELECT f.word, j.form FROM f JOIN j ON j.word = f.last WHERE j.form IS NOT NULL
+    ), roots AS (
+      SELECT f.word, f.last FROM f JOIN j ON j.word = f.last WHERE j.form IS NULL
+    )
+    SELECT j.word, form, coalesce(last, j.word) AS root, n, n_near, form_n FROM j LEFT JOIN roots ON roots.word = j.word""",
+)
 def op11(spark: SparkSession, sf: str) -> DataFrame:
     from corvane.llm.spelling import variants
 
