@@ -8,6 +8,8 @@ query skips the blocks whose largest impacts cannot reach its best ``k`` so far.
 
 from __future__ import annotations
 
+import functools
+import re
 import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
@@ -19,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corvane.functions.rows import fan_out
 from corvane.operators.topk import in_blocks, table_codes
 from corvane.schema import ConfigError
 from corvane.session import cut_lineage, shared_folder
@@ -114,6 +117,40 @@ def idf(n_docs: Column, df: Column) -> Column:
     return F.log(F.lit(1.0) + (n_docs - df + 0.5) / (df + 0.5))
 
 
+@functools.lru_cache(maxsize=500_000)
+def stemmed(word: str, language: str) -> str | None:
+    """The stem of a word, None for a stop word; a word is looked at once per worker."""
+    if word in STOPS[language]:
+        return None
+    for pattern, instead in _endings(language):
+        word = pattern.sub(instead, word)
+    return word
+
+
+@functools.cache
+def _endings(language: str) -> list[tuple[re.Pattern, str]]:
+    return [(re.compile(ending), rf"\1{instead}") for ending, instead in ENDINGS[language]]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's stems with their counts, and how many there are."""
+    for batch in batches:
+        counts = []
+        for words, language in zip(batch.column("words").to_pylist(), batch.column("language").to_pylist(), strict=True):
+            count: Counter[str] = Counter()
+            for word, n in Counter(words).items():
+                if (found := stemmed(word, language)) is not None:
+                    count[found] += n
+            counts.append(count)
+        ends = np.cumsum([0, *map(len, counts)]).astype(np.int32)
+        flat = pa.StructArray.from_arrays(
+            [pa.array([w for c in counts for w in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int32())], ["term", "tf"]
+        )
+        lengths = pa.array([c.total() for c in counts], pa.int32())
+        columns = [batch.column(c) for c in ("doc", "corpus", "language")]
+        yield pa.RecordBatch.from_arrays([*columns, lengths, pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc", "corpus", "language", "len", "terms"])
+
+
 BLOCK_DOCS = 4096  # documents of a block, about
 QUERY_BLOCK = 4096  # queries that a search answers at a time
 
@@ -134,34 +171,17 @@ class PostingsIndex:
         postings, gathered per corpus, term and block.
         """
         keys = list(keys)
-        known = cut_lineage(
-            docs.select(F.struct(*keys).alias("doc"), corpus.alias("corpus"), language.alias("language"), terms_of(F.coalesce("text", F.lit("")), language).alias("terms"))
-            .where(F.col("corpus").isNotNull())
-        )
+        source = docs.select(F.struct(*keys).alias("doc"), corpus.alias("corpus"), language.alias("language"), terms(F.coalesce("text", F.lit("")), ()).alias("words"))
+        source = source.where(F.col("corpus").isNotNull())
+        found = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("tf", T.IntegerType())]))
+        shape = T.StructType([*source.schema.fields[:3], T.StructField("len", T.IntegerType()), T.StructField("terms", found)])
+        known = cut_lineage(source.mapInArrow(_counted, shape))
         sizes = known.groupBy("corpus").agg(
-            F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("avg_len"), F.first("language").alias("language"),
+            F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"), F.first("language").alias("language"),
             F.ceil(F.count("*") / BLOCK_DOCS).cast("int").alias("blocks"),
         )
         sizes.coalesce(1).write.parquet(f"{self.path}/corpora")
-        doc_type = known.schema["doc"].dataType
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                found = [Counter(words) for words in batch.column("terms").to_pylist()]
-                many = np.array([len(c) for c in found], dtype=np.int64)
-                at = pa.array(np.repeat(np.arange(len(many)), many))
-                lengths = np.repeat(np.array([sum(c.values()) for c in found], dtype=np.int32), many)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("doc").take(at), batch.column("corpus").take(at), pa.array([w for c in found for w in c], pa.string()),
-                        pa.array([n for c in found for n in c.values()], pa.int32()), pa.array(lengths),
-                    ],
-                    ["doc", "corpus", "term", "tf", "len"],
-                )
-
-        shape = T.StructType([T.StructField("doc", doc_type), T.StructField("corpus", T.StringType()), T.StructField("term", T.StringType()),
-                              T.StructField("tf", T.IntegerType()), T.StructField("len", T.IntegerType())])
-        rows = known.select("doc", "corpus", "terms").mapInArrow(counted, shape)
+        rows = fan_out(known, ["doc", "corpus", "len"], F.col("terms"), "t").select("doc", "corpus", "len", "t.term", "t.tf")
         size = self._table("corpora").select("corpus", "avg_len", "blocks")  # a row per corpus
         rows = rows.join(F.broadcast(size) if size.count() <= 10_000 else size, "corpus")
         tf = F.col("tf").cast("double")

@@ -7,8 +7,10 @@ cell in the same plan.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -153,7 +155,7 @@ def rungs_for_cap(caps: DataFrame, product_k: int, budgets: Sequence[int], ladde
 
 
 def multiset_overlap(left: Column, right: Column) -> Column:
-    """How many elements two arrays of strings share, repeated ones as often as both have them; inside the row.
+    """How many elements two short arrays of strings share, repeated ones as often as both have them; inside the row.
 
     Both are sorted into one array, in which equal elements stand together, and one fold counts each side's.
     """
@@ -172,8 +174,19 @@ def multiset_overlap(left: Column, right: Column) -> Column:
     return F.aggregate(both, start, step, lambda acc: acc["n"] + F.least(acc["l"], acc["r"]))
 
 
+def counted_overlap(left: Column, right: Column) -> Column:
+    """How many elements two arrays of strings share, repeated ones as often as both have them; for texts of many words."""
+
+    @F.arrow_udf("int")
+    def shared(lefts: pa.Array, rights: pa.Array) -> pa.Array:
+        pairs = zip(lefts.to_pylist(), rights.to_pylist(), strict=True)
+        return pa.array([(Counter(a or ()) & Counter(b or ())).total() for a, b in pairs], pa.int32())
+
+    return shared(left, right)
+
+
 def word_recall(pairs: DataFrame, key: str, reference: str, extracted: str) -> DataFrame:
     """Token-multiset recall of ``extracted`` against ``reference`` (arrays of tokens) per row; an empty reference scores 1."""
-    shared = multiset_overlap(F.col(reference), F.coalesce(F.col(extracted), F.array().cast("array<string>")))
+    shared = counted_overlap(F.col(reference), F.coalesce(F.col(extracted), F.array().cast("array<string>")))
     recall = F.when(F.size(reference) > 0, shared / F.size(reference)).otherwise(F.lit(1.0))
     return pairs.select(key, recall.alias("word_recall"))
