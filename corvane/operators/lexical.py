@@ -151,7 +151,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, lengths, pa.ListArray.from_arrays(pa.array(ends), flat)], ["doc", "corpus", "language", "len", "terms"])
 
 
-BLOCK_DOCS = 4096  # documents of a block, about
+BLOCK_DOCS = 512  # documents of a block, about
 QUERY_BLOCK = 4096  # queries that a search answers at a time
 
 
