@@ -190,7 +190,7 @@ class PostingsIndex:
         lists = lists.groupBy("corpus", "term", "block").agg(
             F.collect_list("posting").alias("postings"), F.max("posting.impact").alias("most"), F.sum("tf").alias("occurrences")
         )
-        lists.hint("rebalance").sortWithinPartitions("corpus", "term").write.parquet(f"{self.path}/postings")
+        lists.sortWithinPartitions("corpus", "term").write.parquet(f"{self.path}/postings")
         frequent = self._table("postings").groupBy("corpus", "term").agg(F.sum(F.size("postings")).alias("df"), F.sum("occurrences").alias("cf"))
         frequent.write.parquet(f"{self.path}/terms")
         return self
