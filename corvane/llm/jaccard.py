@@ -299,9 +299,9 @@ def near_components(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     seen = stored(profiles(rows, words), "profiles")
     docs = seen.where(F.col("digest").isNotNull()).select("id", "n", "digest")
     often = seen.where(F.col("mer").isNotNull()).groupBy("mer").agg(F.sum("seen").alias("seen"))
-    common = [r["mer"] for r in often.orderBy(F.desc("seen"), "mer").limit(COMMON).collect()]
+    common = often.orderBy(F.desc("seen"), "mer").limit(COMMON).select("mer").toArrow().column("mer").to_numpy()
     classes = docs.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    order = np.sort(np.array(common, dtype=np.int64).view(np.uint64))
+    order = np.sort(common.astype(np.int64).view(np.uint64))
     sets = stored(indexed(rows, order, words).join(classes, ["digest", "id"], "left_semi").drop("digest"), "sets")
     keyed_rows = stored(runs(sets), "keys")
 

@@ -149,10 +149,18 @@ def fit(
     chosen = rated.orderBy(F.xxhash64("id"), "id").limit(sample + sample // 2)
     found = rows.where(F.col("id") != NO_ID).join(F.broadcast(chosen), "id")
     table = stored(featured(found, "grade"), "rated")
-    seen: dict[int, tuple[int, tuple[int, ...]]] = {}
-    for r in table.orderBy(F.xxhash64("id"), "id", "x").limit(sample).collect():
-        seen.setdefault(r["id"], (r["grade"], np.array(r["x"], dtype=np.int32)))
-    return train([x for _, x in seen.values()], np.array([g for g, _ in seen.values()]), n_grades)
+    return train(*drawn(table, sample), n_grades)
+
+
+def drawn(table: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and grades of the first ``sample`` rows by hashed id, one per id; they stay columns on their way to the driver."""
+    first = table.orderBy(F.xxhash64("id"), "id", "x").limit(sample).toArrow().combine_chunks()
+    if not first.num_rows:
+        return [], np.empty(0, np.int64)
+    at = np.sort(np.unique(first.column("id").to_numpy(), return_index=True)[1])
+    x = first.column("x").chunk(0)
+    flat, ends = x.values.to_numpy(), x.offsets.to_numpy()
+    return [flat[ends[i] : ends[i + 1]] for i in at], first.column("grade").to_numpy()[at]
 
 
 def score(docs: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ from collections import Counter, defaultdict
 import brute
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from corvane.llm import pii, quality
@@ -155,3 +156,15 @@ def test_rows_without_an_id_are_one_linked_document(spark):
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()) == [1, 3]
     alone = brute.frame(spark, [(1, "one text of its own"), (None, "another")]).select("doc_id", "text", "lang", "source", "n_chars")
     assert corpus_pipeline.near_copy_stage(spark, alone, "").count() == 2
+
+
+def test_rated_rows_reach_the_driver_as_columns(spark, monkeypatch):
+    rows = [(i % 40, i % 3, [i, i + 1, i + 2]) for i in range(60)]
+    table = spark.createDataFrame(rows, "id long, grade int, x array<int>")
+    expected = {}
+    for r in table.orderBy(F.xxhash64("id"), "id", "x").limit(50).collect():
+        expected.setdefault(r["id"], (r["grade"], r["x"]))
+    monkeypatch.setattr(type(table), "collect", None)  # a Python object per feature
+    x, grades = quality.drawn(table, 50)
+    assert [(g, r.tolist()) for g, r in zip(grades.tolist(), x, strict=True)] == list(expected.values())
+    assert quality.drawn(table.limit(0), 50)[0] == []
