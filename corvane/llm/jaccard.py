@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.llm.common import id_back, in_filter, keyed, lists, map_batches, map_partitions, stored, texts
@@ -21,6 +20,8 @@ BLOCK = 4096  # documents whose shingles are counted together
 SEEN = 4  # sets of a block that a shingle must be in to be counted as common
 COMMON = 1 << 17  # shingles that come last in the order: a broadcast of a MB at most
 TILE = 2048  # documents on a side of a tile
+TILE_SHINGLES = 1 << 27  # their shingles: bitmaps of 64 MB at most
+FIRSTS = 8  # keys that a set lists, so that a pair is given under one of them
 PARTNERS = 1024  # documents that are compared with one home in one task
 
 
@@ -218,51 +219,129 @@ def linked(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     return stored(map_partitions(met, run, "a long, b long").distinct(), "links")
 
 
+class Tile:
+    """The rows of a tile, sorted by size: any of them against all that are near it in size, by bitmaps."""
+
+    def __init__(self, n: np.ndarray, sigs: list[bytes]):
+        self.n = n
+        self.low = np.searchsorted(DEN * n, NUM * n)  # the first and last row inside each row's size band
+        self.high = np.searchsorted(NUM * n, DEN * n, side="right")
+        widths = np.fromiter(map(len, sigs), np.int64, len(sigs))  # larger sets have no narrower bitmaps
+        edges = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), len(sigs)]
+        self.classes = []  # rows of one width: first, last, bitmaps, bitmaps folded to half the width
+        for first, last in zip(edges[:-1], edges[1:], strict=True):
+            wide = np.frombuffer(b"".join(sigs[first:last]), np.uint64).reshape(last - first, -1)
+            half = wide.shape[1] // 2
+            self.classes.append((first, last, wide, wide[:, :half] ^ wide[:, half:] if len(edges) > 2 else wide))
+
+    def shared(self, i: int, start: int, end: int) -> np.ndarray:
+        """The most shingles that row ``i`` shares with each of the rows from ``start`` to ``end`` of its band."""
+        home = next(c for c in self.classes if c[0] <= i < c[1])
+        differ = []
+        for c in self.classes:
+            first, last = max(start, c[0]), min(end, c[1])
+            if first < last:  # widths in a band differ by a factor of two at most
+                own = home[3] if c[0] < home[0] else home[2]
+                others = c[3] if c[0] > home[0] else c[2]
+                differ.append(np.bitwise_count(others[first - c[0] : last - c[0]] ^ own[i - home[0]]).sum(axis=1, dtype=np.int64))
+        return (self.n[start:end] + self.n[i] - (np.concatenate(differ) if len(differ) > 1 else differ[0])) // 2
+
+    def forest(self, part: np.ndarray, group: np.ndarray | None) -> list[tuple[int, int]]:
+        """Pairs that tie the rows' components, most alike first: a spanning forest of the promising pairs, grown row by row.
+
+        With ``group`` only rows of different groups are compared.
+        """
+        order = np.argsort(part, kind="stable")
+        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        members = {int(part[rows[0]]): rows.tolist() for rows in np.split(order, cuts)}
+        best, via, pairs = np.full(len(part), -1.0), np.zeros(len(part), np.int64), []  # -1: not tied yet; -2: in the forest
+        while best[j := int(best.argmax())] > -2:
+            if best[j] >= 0:
+                pairs.append((int(via[j]), j))
+            rows = members.pop(int(part[j]))
+            best[rows] = -2
+            for i in rows if members else []:
+                start, end = self.low[i], self.high[i]
+                shared, both = self.shared(i, start, end), self.n[start:end] + self.n[i]
+                like = np.where(DEN * shared >= NUM * (both - shared), shared / (both - shared), -1)
+                if group is not None:
+                    like[group[start:end] == group[i]] = -1
+                now = best[start:end]
+                nearer = (like > now) & (now > -2)
+                now[nearer] = like[nearer]
+                via[start:end][nearer] = i
+        return pairs
+
+    def complete(self, part: np.ndarray, group: np.ndarray | None, key: int, firsts: np.ndarray) -> list[tuple[int, int]]:
+        """All promising pairs of different components, but those that surely meet under an earlier key too."""
+        pairs = []
+        for i in range(1, len(part)):
+            start = self.low[i]
+            apart = part[start:i] != part[i]
+            if group is not None:
+                apart &= group[start:i] != group[i]
+            if not apart.any():
+                continue
+            shared, both = self.shared(i, start, i), self.n[start:i] + self.n[i]
+            rows = start + np.flatnonzero(apart & (DEN * shared >= NUM * (both - shared)))
+            if len(rows):
+                same = (firsts[rows][:, :, None] == firsts[i]).any(axis=2)
+                meet = firsts[rows, same.argmax(axis=1)]
+                pairs += [(j, i) for j in rows[~same.any(axis=1) | (meet == key)].tolist()]
+        return pairs
+
+
 def across(open_rows: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
     """Promising pairs of different components under one key: ``a, b``.
 
-    ``open_rows`` has ``key, id, n, component``. A key's sets are dealt into groups of about ``TILE``; every two groups
-    make a tile, in which bitmaps are compared along the sizes, inside the band, and between components only. With
-    ``forest`` a tile gives one pair for components that it has not tied yet, so never more pairs than sets.
+    ``open_rows`` has ``key, id, n, component``. A key's sets are dealt into groups of about ``TILE``, or fewer if their
+    bitmaps are large; two groups make a tile, in which bitmaps are compared inside the size band, and between components only.
+    With ``forest`` only neighbouring groups meet, and a tile gives the likeliest pair for each tie, so never more pairs
+    than sets. Without it every two groups meet and all pairs are given, each under the first key that both its sets list.
     """
-    many = open_rows.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / TILE).alias("groups"))
+    many = open_rows.groupBy("key").agg(F.ceil(F.greatest(F.count(F.lit(1)) / TILE, F.sum("n") / TILE_SHINGLES)).alias("groups"))
     dealt = open_rows.join(many, "key").withColumn("g", F.pmod(F.xxhash64("id"), F.col("groups")))
-    dealt = dealt.join(sets.select("id", "n", "sig").distinct(), ["id", "n"])
-    tiles = dealt.withColumn("h", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1))).select(
-        "key", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"), "n", "id", "component", "g", "sig"
+    of_set = sets.select("id", "n", "sig").distinct()
+    if not forest:
+        place = F.row_number().over(Window.partitionBy("id", "n").orderBy("key"))
+        listed = open_rows.withColumn("place", place).where(F.col("place") <= FIRSTS)
+        listed = listed.groupBy("id", "n").agg(F.sort_array(F.collect_list("key")).alias("firsts"))
+        of_set = of_set.join(listed, ["id", "n"])
+    dealt = dealt.join(of_set, ["id", "n"])
+    last = F.col("groups") - 1
+    others = F.sequence(F.greatest(F.col("g") - 1, F.lit(0)), F.least(F.col("g") + 1, last)) if forest else F.sequence(F.lit(0).cast("long"), last)
+    tiles = dealt.withColumn("h", F.explode(others)).select(
+        "key", F.least("g", "h").alias("lo"), F.greatest("g", "h").alias("hi"), "n", "id", "component", "g", "sig", *([] if forest else ["firsts"])
     )
     tiles = tiles.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "n", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, near, tied = None, {}, {}  # near: by component, the tile's rows that are still inside the size band
-
-        def root(x: int) -> int:
-            while tied.get(x, x) != x:
-                x = tied[x]
-            return x
-
+        def pairs(rows: list, start: int, end: int) -> tuple[list[int], list[int]]:
+            key, lo, hi, n, ids, part, group = (c[start:end] for c in rows[:7])
+            if (part == part[0]).all():
+                return [], []
+            tile, group = Tile(n, rows[7][start:end]), group if lo[0] != hi[0] else None
+            if forest:
+                found = tile.forest(part, group)
+            else:
+                firsts = np.array([(f + f[-1:] * FIRSTS)[:FIRSTS] for f in rows[8][start:end]])
+                found = tile.complete(part, group, key[0], firsts)
+            return [int(ids[min(p)]) for p in found], [int(ids[max(p)]) for p in found]
+
+        held = None  # columns of the tile that may go on in the next batch
         for batch in batches:
-            a, b = [], []
-            for key, lo, hi, n, doc, part, g, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, lo, hi) != tile:
-                    tile, near, tied = (key, lo, hi), {}, {}
-                p, size, own = int.from_bytes(sig, "little"), len(sig), root(part)
-                for its, rows in near.items():
-                    if its == part or (forest and root(its) == own):
-                        continue
-                    while rows and NUM * n > DEN * rows[0][0]:
-                        rows.popleft()
-                    for m, other, group, q, width in rows:
-                        if lo != hi and group == g:
-                            continue
-                        if similar((n + m - differing(p, size, q, width)) // 2, n, m):
-                            a.append(other)
-                            b.append(doc)
-                            if forest:
-                                tied[root(its)] = own
-                                break
-                near.setdefault(part, deque()).append((n, doc, g, p, size))
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            if not batch.num_rows:
+                continue
+            rows = [c.to_numpy() for c in batch.columns[:7]] + [c.to_pylist() for c in batch.columns[7:]]
+            if held:
+                rows = [np.concatenate([h, c]) if isinstance(c, np.ndarray) else h + c for h, c in zip(held, rows, strict=True)]
+            new = np.any([c[1:] != c[:-1] for c in rows[:3]], axis=0)
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            found = [pairs(rows, *x) for x in zip(edges[:-1], edges[1:], strict=True)]
+            held = [c[edges[-1] :] for c in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([x for f in found for x in f[k]], pa.int64()) for k in range(2)], ["a", "b"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs(held, 0, len(held[0]))], ["a", "b"])
 
     return stored(map_partitions(tiles, run, "a long, b long").distinct(), "across")
 
@@ -324,7 +403,8 @@ def near_components(df: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
         mixed = held.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("many"), *seal)
         # keys with the very same sets compare the same pairs, so one of them does
         mixed = mixed.where("x < y").groupBy("many", "seal0", "seal1").agg(F.min("key").alias("key")).select("key")
-        label = merged(label, linked(across(held.join(mixed, "key"), sets, forest), rows, words))
+        open_rows = stored(held.join(mixed, "key"), "open")
+        label = merged(label, linked(across(open_rows, sets, forest), rows, words))
 
     label = label.withColumnRenamed("id", "rep")
     named = docs.join(classes.withColumnRenamed("id", "rep"), "digest", "left").join(label, "rep", "left")

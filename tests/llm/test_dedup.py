@@ -1,8 +1,12 @@
+import random
+
 import brute
+import numpy as np
 import pytest
 
+from corvane.llm import jaccard
 from corvane.llm.components import components
-from corvane.llm.jaccard import most_shared, near_components, signature
+from corvane.llm.jaccard import across, most_shared, near_components, signature
 from corvane.llm.lines import dedup_lines
 from corvane.llm.shingles import minimizers, rolling, shingle_set, word_hashes
 from corvane.llm.spans import dedup_spans, repeated_spans
@@ -28,6 +32,72 @@ def test_repeated_ids_with_texts_of_two_sizes(spark):
     assert brute.by_key(got) == brute.by_key(brute.near_components(rows))
 
 
+def edited_family(members, least, most, seed):
+    """Edits of one text, all of about its size; the smallest ids are edited most, so that few are near them."""
+    rng = random.Random(seed)
+    words = [f"s{seed}w{k}" for k in range(150)]
+    rows = []
+    for member in range(members):
+        text = list(words)
+        for at in rng.sample(range(150), most if member < 5 else rng.randrange(least, most)):
+            text[at] = f"m{member}at{at}"
+        rows.append((1000 * seed + member, " ".join(text)))
+    return rows
+
+
+def test_a_family_without_a_hub_gives_pairs_in_proportion(spark, monkeypatch):
+    """Very many pairs are similar or nearly so, and no leader ties them: only likely ties leave the tiles."""
+    rows = edited_family(240, 1, 7, 1) + edited_family(60, 3, 5, 2)
+    made = []
+
+    def counted(*x):
+        made.append((out := across(*x)).count())
+        return out
+
+    monkeypatch.setattr(jaccard, "across", counted)
+    got = [tuple(r) for r in near_components(brute.frame(spark, rows)).collect()]
+    assert brute.by_key(got) == brute.by_key(brute.near_components(rows))
+    assert len(made) == 2 and sum(made) <= 4 * len(rows), made
+
+
+def test_tiles_of_many_groups_lose_no_link(spark, monkeypatch):
+    for name, value in {"TILE": 9, "TILE_SHINGLES": 1000, "FIRSTS": 1}.items():
+        monkeypatch.setattr(jaccard, name, value)
+    rows = edited_family(60, 1, 7, 3) + ROWS
+    got = [tuple(r) for r in near_components(brute.frame(spark, rows)).collect()]
+    assert brute.by_key(got) == brute.by_key(brute.near_components(rows))
+
+
+def test_tiles_give_the_pairs_that_bitmaps_allow():
+    """A tile's rows against each other, one pair at a time, over bitmaps of several widths."""
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
+    sets = sorted((np.unique(rng.choice(pool[: int(n * 1.12)], n, replace=False)) for n in rng.integers(55, 600, 120)), key=len)
+    n, sigs = np.array([len(s) for s in sets]), [signature(s) for s in sets]
+    part, group = rng.integers(0, 40, len(sets)), rng.integers(0, 2, len(sets))
+    for g in (None, group):
+        allowed = {
+            (j, i) for i in range(len(sets)) for j in range(i)
+            if part[i] != part[j] and (g is None or g[i] != g[j]) and 3 * n[i] <= 4 * n[j] and jaccard.similar(most_shared(n[i], sigs[i], n[j], sigs[j]), n[i], n[j])
+        }
+        tile = jaccard.Tile(n, sigs)
+        firsts = np.arange(len(sets))[:, None] + 1000 * np.ones((1, 8), np.int64)
+        assert set(tile.complete(part, g, 7, firsts)) == allowed and len({len(s) for s in sigs}) > 2
+        met = np.full((len(sets), 8), 7)
+        assert set(tile.complete(part, g, 7, met)) == allowed and tile.complete(part, g, 8, met) == []
+
+        def tied(pairs):
+            root = {int(p): int(p) for p in part}
+            for a, b in pairs:
+                x, y = root[int(part[a])], root[int(part[b])]
+                root = {k: min(x, y) if v in (x, y) else v for k, v in root.items()}
+            return root
+
+        forest = tile.forest(part, g)
+        assert {(min(p), max(p)) for p in forest} <= allowed and tied(forest) == tied(allowed)
+        assert len(forest) == len(set(part.tolist())) - len(set(tied(allowed).values()))
+
+
 def test_lines_equal_brute_force(spark):
     got = [tuple(r)[:4] for r in dedup_lines(brute.frame(spark, ROWS), carry=["lang", "id"]).collect()]
     assert brute.by_key(got) == brute.by_key(brute.dedup_lines(ROWS))
