@@ -21,6 +21,7 @@ SEEN = 4  # sets of a block that a shingle must be in to be counted as common
 COMMON = 1 << 17  # shingles that come last in the order: a broadcast of a MB at most
 TILE = 2048  # documents on a side of a tile
 TILE_SHINGLES = 1 << 27  # their shingles: bitmaps of 64 MB at most
+FEW = 32  # rows of a tile that are compared one pair at a time
 FIRSTS = 8  # keys that a set lists, so that a pair is given under one of them
 PARTNERS = 1024  # documents that are compared with one home in one task
 
@@ -223,8 +224,10 @@ class Tile:
     """The rows of a tile, sorted by size: any of them against all that are near it in size, by bitmaps."""
 
     def __init__(self, n: np.ndarray, sigs: list[bytes]):
-        self.n = n
+        self.n, self.sigs = n, sigs
         self.low = np.searchsorted(DEN * n, NUM * n)  # the first and last row inside each row's size band
+        if len(sigs) <= FEW:
+            return
         self.high = np.searchsorted(NUM * n, DEN * n, side="right")
         widths = np.fromiter(map(len, sigs), np.int64, len(sigs))  # larger sets have no narrower bitmaps
         edges = [0, *(np.flatnonzero(widths[1:] != widths[:-1]) + 1).tolist(), len(sigs)]
@@ -234,6 +237,18 @@ class Tile:
             half = wide.shape[1] // 2
             self.classes.append((first, last, wide, wide[:, :half] ^ wide[:, half:] if len(edges) > 2 else wide))
 
+    def pairs(self, part: np.ndarray, group: np.ndarray | None) -> list[tuple[float, int, int]]:
+        """The promising pairs of different components in a tile of few rows, and how alike they are."""
+        found, n, part = [], self.n.tolist(), part.tolist()
+        bits = [int.from_bytes(s, "little") for s in self.sigs]
+        for i, start in enumerate(self.low.tolist()):
+            for j in range(start, i):
+                if part[i] != part[j] and (group is None or group[i] != group[j]):
+                    shared = (n[i] + n[j] - differing(bits[i], len(self.sigs[i]), bits[j], len(self.sigs[j]))) // 2
+                    if similar(shared, n[i], n[j]):
+                        found.append((shared / (n[i] + n[j] - shared), j, i))
+        return found
+
     def shared(self, i: int, start: int, end: int) -> np.ndarray:
         """The most shingles that row ``i`` shares with each of the rows from ``start`` to ``end`` of its band."""
         home = next(c for c in self.classes if c[0] <= i < c[1])
@@ -251,6 +266,8 @@ class Tile:
 
         With ``group`` only rows of different groups are compared.
         """
+        if len(part) <= FEW:
+            return self.few_tied(part, group)
         order = np.argsort(part, kind="stable")
         cuts = np.flatnonzero(np.diff(part[order])) + 1
         members = {int(part[rows[0]]): rows.tolist() for rows in np.split(order, cuts)}
@@ -272,9 +289,24 @@ class Tile:
                 via[start:end][nearer] = i
         return pairs
 
-    def complete(self, part: np.ndarray, group: np.ndarray | None, key: int, firsts: np.ndarray) -> list[tuple[int, int]]:
+    def few_tied(self, part: np.ndarray, group: np.ndarray | None) -> list[tuple[int, int]]:
+        pairs, now = [], part.tolist()
+        for _, j, i in sorted(self.pairs(part, group), key=lambda pair: -pair[0]):
+            if now[i] != now[j]:
+                old, new = now[i], now[j]
+                now = [new if x == old else x for x in now]
+                pairs.append((j, i))
+        return pairs
+
+    def complete(self, part: np.ndarray, group: np.ndarray | None, key: int, firsts) -> list[tuple[int, int]]:
         """All promising pairs of different components, but those that surely meet under an earlier key too."""
         pairs = []
+        if len(part) <= FEW:
+            for _, j, i in self.pairs(part, group):
+                both = set(firsts[i]) & set(firsts[j])
+                if not both or min(both) == key:
+                    pairs.append((j, i))
+            return pairs
         for i in range(1, len(part)):
             start = self.low[i]
             apart = part[start:i] != part[i]
@@ -324,7 +356,9 @@ def across(open_rows: DataFrame, sets: DataFrame, forest: bool) -> DataFrame:
             if forest:
                 found = tile.forest(part, group)
             else:
-                firsts = np.array([(f + f[-1:] * FIRSTS)[:FIRSTS] for f in rows[8][start:end]])
+                firsts = rows[8][start:end]
+                if len(firsts) > FEW:
+                    firsts = np.array([(f + f[-1:] * FIRSTS)[:FIRSTS] for f in firsts])
                 found = tile.complete(part, group, key[0], firsts)
             return [int(ids[min(p)]) for p in found], [int(ids[max(p)]) for p in found]
 

@@ -68,8 +68,10 @@ def test_tiles_of_many_groups_lose_no_link(spark, monkeypatch):
     assert brute.by_key(got) == brute.by_key(brute.near_components(rows))
 
 
-def test_tiles_give_the_pairs_that_bitmaps_allow():
+@pytest.mark.parametrize("few", [0, 32, 1000])
+def test_tiles_give_the_pairs_that_bitmaps_allow(monkeypatch, few):
     """A tile's rows against each other, one pair at a time, over bitmaps of several widths."""
+    monkeypatch.setattr(jaccard, "FEW", few)
     rng = np.random.default_rng(5)
     pool = rng.integers(0, 1 << 63, 700, dtype=np.uint64)
     sets = sorted((np.unique(rng.choice(pool[: int(n * 1.12)], n, replace=False)) for n in rng.integers(55, 600, 120)), key=len)
