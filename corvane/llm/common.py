@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,20 +72,29 @@ def id_filter(ids: DataFrame, column: str, bits: int = 1 << 26) -> np.ndarray:
         ids.select(place.alias("place"))
         .groupBy(F.bitmap_bucket_number("place").alias("slice"))
         .agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
-        .collect()
+        .toArrow()
     )
     out = np.zeros(bits // 8 + 8192, dtype=np.uint8)
-    for row in slices:
-        start = (row["slice"] - 1) * 4096
-        out[start : start + 4096] |= np.frombuffer(row["bits"], dtype=np.uint8)
+    for number, part in zip(slices.column("slice").to_pylist(), slices.column("bits"), strict=True):
+        start = (number - 1) * 4096
+        out[start : start + 4096] |= np.frombuffer(part.as_buffer(), dtype=np.uint8)
     return out
 
 
+def filter_bits(ids: DataFrame) -> int:
+    """Bits of a filter of a written table of ids: some 64 per row, 32 KB at least and 8 MB at most."""
+    return 1 << min(26, max(18, (64 * ids.count()).bit_length()))
+
+
 def in_filter(
     df: DataFrame, column: str, ids: DataFrame, ids_column: str, bits: int = 1 << 26, keep: bool = True
 ) -> DataFrame:
     """The rows of ``df`` whose id may be among ``ids`` (an exact join must follow), or those whose id is surely not."""
-    known = df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_column, bits))
+    return filtered(df, column, df.sparkSession.sparkContext.broadcast(id_filter(ids, ids_column, bits)), bits, keep)
+
+
+def filtered(df: DataFrame, column: str, known: Broadcast, bits: int, keep: bool = True) -> DataFrame:
+    """``in_filter`` by an ``id_filter`` of ``bits`` that is broadcast already."""
 
     def choose(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         place = batch.column(batch.num_columns - 1).to_numpy(zero_copy_only=False)

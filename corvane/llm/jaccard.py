@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import id_back, in_filter, keyed, lists, map_batches, map_partitions, stored, texts
+from corvane.llm.common import filter_bits, id_back, in_filter, keyed, lists, map_batches, map_partitions, stored, texts
 from corvane.llm.components import components
 from corvane.llm.shingles import shingle_set
 
@@ -198,7 +198,7 @@ def linked(pairs: DataFrame, rows: DataFrame, words: int) -> DataFrame:
         dealt.select("a", "part", F.lit(0).alias("side"), F.col("a").alias("id")).distinct()
         .union(dealt.select("a", "part", F.lit(1), "b").distinct()), "sides",
     )
-    met = in_filter(rows, "id", sides, "id").join(sides, "id").select("a", "part", "side", "id", "text")
+    met = in_filter(rows, "id", sides, "id", filter_bits(sides)).join(sides, "id").select("a", "part", "side", "id", "text")
     met = met.repartition("a", "part").sortWithinPartitions("a", "part", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

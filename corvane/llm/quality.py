@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import BLANKS, NO_ID, id_back, keyed, lists, map_batches, stored, texts
+from corvane.llm.common import BLANKS, NO_ID, id_back, keyed, lists, map_batches, map_partitions, stored, texts
 
 SPACE = 1 << 18  # hashed features
 SAMPLE = 10_000  # rated rows at most that a fit sees
@@ -149,12 +149,39 @@ def fit(
     chosen = rated.orderBy(F.xxhash64("id"), "id").limit(sample + sample // 2)
     found = rows.where(F.col("id") != NO_ID).join(F.broadcast(chosen), "id")
     table = stored(featured(found, "grade"), "rated")
-    return train(*drawn(table, sample), n_grades)
+    model = trained(first_rated(table, sample), n_grades).toArrow()
+    weights = np.zeros(SPACE)
+    weights[model.column("place").combine_chunks().flatten().to_numpy()] = model.column("weight").combine_chunks().flatten().to_numpy()
+    return OrdinalModel(weights, model.column("thresholds").combine_chunks().flatten().to_numpy())
+
+
+def trained(first: DataFrame, n_grades: int) -> DataFrame:
+    """``place, weight, thresholds``: one row, the fit to ``first``. A task sees the sample; the driver sees the weights only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        model = train(*columns_of(pa.Table.from_batches(held)) if held else ([], np.empty(0, np.int64)), n_grades)
+        at = np.flatnonzero(model.weights).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [lists([at], pa.int32()), lists([model.weights[at]], pa.float64()), lists([model.thresholds], pa.float64())], ["place", "weight", "thresholds"]
+        )
+
+    return map_partitions(first.coalesce(1), run, "place array<int>, weight array<double>, thresholds array<double>")
+
+
+def first_rated(table: DataFrame, sample: int) -> DataFrame:
+    """The first ``sample`` rows by hashed id, in this order."""
+    return table.orderBy(F.xxhash64("id"), "id", "x").limit(sample)
 
 
 def drawn(table: DataFrame, sample: int) -> tuple[list[np.ndarray], np.ndarray]:
-    """Features and grades of the first ``sample`` rows by hashed id, one per id; they stay columns on their way to the driver."""
-    first = table.orderBy(F.xxhash64("id"), "id", "x").limit(sample).toArrow().combine_chunks()
+    """``columns_of`` the first ``sample`` rows; they stay columns on their way to the driver."""
+    return columns_of(first_rated(table, sample).toArrow())
+
+
+def columns_of(first: pa.Table) -> tuple[list[np.ndarray], np.ndarray]:
+    """Features and grades of rows in order, one row per id."""
+    first = first.combine_chunks()
     if not first.num_rows:
         return [], np.empty(0, np.int64)
     at = np.sort(np.unique(first.column("id").to_numpy(), return_index=True)[1])

@@ -4,6 +4,7 @@ import brute
 import numpy as np
 import pytest
 
+from corvane.llm import components as module
 from corvane.llm import jaccard
 from corvane.llm.components import components
 from corvane.llm.jaccard import across, most_shared, near_components, signature
@@ -139,6 +140,23 @@ def test_components_of_a_long_path_and_a_busy_id(spark):
     assert got == {k: 100 for k in range(100, 301)} | {k: 1 for k in [1, *range(1000, 1100)]}
 
 
+def test_few_links_are_united_in_one_pass(spark, monkeypatch):
+    """Rounds over a few links cost the driver plans, threads and broadcasts; many links still take them."""
+    rng = random.Random(5)
+    pairs = [(rng.randrange(-50, 400), rng.randrange(-50, 400)) for _ in range(300)] + [(2**62, -(2**62)), (3, 3), (None, 4)]
+    links = spark.createDataFrame(pairs, "a long, b long")
+    written = []
+    settled = module.settled
+    monkeypatch.setattr(module, "settled", lambda edges: written.append(1) or settled(edges))
+    few = {tuple(r) for r in components(links, "a", "b").collect()}
+    assert len(written) == 1 and components(links.limit(0), "a", "b").collect() == []
+    monkeypatch.setattr(module, "FEW", 0)
+    rounds = [tuple(r) for r in components(links, "a", "b").collect()]
+    assert len(written) > 3 and len(rounds) == len(few) and set(rounds) == few
+    monkeypatch.setattr(module, "FEW", 240)  # some rounds, and then few links
+    assert {tuple(r) for r in components(links, "a", "b").collect()} == few
+
+
 def test_bitmaps_never_bound_the_overlap_too_low():
     texts = [(t or "").encode() for _, t in ROWS]
     sets = [s for s in (shingle_set(t, 5) for t in texts) if len(s)]

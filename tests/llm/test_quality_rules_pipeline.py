@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from corvane.llm import pii, quality
+from corvane.llm import common, pii, quality
 from corvane.llm.jaccard import near_components
 from corvane.llm.queries import rated_model
 from corvane.llm.rules import CORE, CUT, STATISTICS, consistency, judge
@@ -168,3 +168,29 @@ def test_rated_rows_reach_the_driver_as_columns(spark, monkeypatch):
     x, grades = quality.drawn(table, 50)
     assert [(g, r.tolist()) for g, r in zip(grades.tolist(), x, strict=True)] == list(expected.values())
     assert quality.drawn(table.limit(0), 50)[0] == []
+
+
+def test_rated_rows_stay_out_of_the_driver(spark, sf, monkeypatch):
+    docs = spark.read.parquet(f"{sf}/../sf0.01/documents.parquet")
+    ratings = quality.grades(spark.read.parquet(f"{sf}/../sf0.01/labels.parquet"))
+    rated = ratings.groupBy("doc_id").agg(F.min("grade").alias("grade"))
+    table = quality.featured(docs.join(rated, "doc_id").selectExpr("doc_id AS id", "text", "grade"), "grade")
+    want = quality.train(*quality.drawn(table, 300), 3)
+    monkeypatch.setattr(quality, "drawn", None)
+    got = quality.fit(docs, ratings, 3, sample=300)
+    assert got.weights.any() and (got.weights == want.weights).all() and got.thresholds.tolist() == want.thresholds.tolist()
+    none = quality.fit(docs, ratings.limit(0), 3)
+    assert not none.weights.any() and none.thresholds.tolist() == quality.train([], np.empty(0, np.int64), 3).thresholds.tolist()
+
+
+def test_near_copies_make_one_filter_as_large_as_its_ids_ask_for(spark, monkeypatch):
+    words = [f"w{k}" for k in range(300)]
+    rows = [(k, " ".join([*words[:-1], f"other{k}"])) for k in range(20)] + [(100, "something else altogether " * 20)]
+    docs = brute.frame(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    made = []
+    id_filter = common.id_filter
+    counted = lambda ids, column, bits=1 << 26: made.append(bits) or id_filter(ids, column, bits)
+    for module in (common, corpus_pipeline):
+        monkeypatch.setattr(module, "id_filter", counted, raising=False)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_copy_stage(spark, docs, "").collect()) == [0, 100]
+    assert len(made) == 4 and max(made) == 1 << 18  # one for each join with texts, one for the stage
