@@ -1,6 +1,7 @@
 """Intervals, agreement, claims and gates."""
 
 import random
+from collections import Counter
 from hashlib import md5
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.stats import POISSON_CDF, poisson_matrix, poisson_weights
 from corvane.functions.text import within_tolerance
+from corvane.operators import metrics as M
 from corvane.operators import stats as S
 from corvane.operators.claims import Claim, check_file, derive, rowset, select
 from corvane.operators.fusion import fuse_datasets
@@ -172,3 +174,23 @@ def test_gate_needs_a_mean_drop_and_more_losers(spark):
     assert paired_verdicts(run(base), run([0.4, 0.4, 0.5, 0.5])).first().regressed
     assert not paired_verdicts(run(base), run([0.1, 0.51, 0.51, 0.5])).first().regressed  # one query carried the drop
     assert not paired_verdicts(run(base), run([0.499, 0.499, 0.5, 0.5])).first().regressed
+
+
+def test_words_of_few_texts_are_counted_at_a_time(monkeypatch):
+    rng, taken = random.Random(3), []
+    left = [None if rng.random() < 0.1 else rng.choices([*"abcde", None], k=rng.randrange(30)) for _ in range(300)]
+    right = [None if rng.random() < 0.1 else rng.choices("abcdef", k=rng.randrange(30)) for _ in range(300)]
+    unique = np.unique
+    monkeypatch.setattr(M, "COUNTED", 70)
+    monkeypatch.setattr(M.np, "unique", lambda x, **options: taken.append(len(x)) or unique(x, **options))
+    got = M.counted_overlap(*(pa.array(x, pa.list_(pa.string())) for x in (left, right)))
+    assert got.tolist() == [(Counter(a or ()) & Counter(b or ())).total() for a, b in zip(left, right, strict=True)]
+    assert len(taken) > 200 and max(a + b for a, b in zip(taken[::2], taken[1::2], strict=True)) <= 70
+
+
+def test_recall_keeps_no_rows_waiting_and_sends_no_equal_sides(spark):
+    rows = [(1, ["a", "b", "a"], ["a", "c"]), (2, ["a"], ["a"]), (3, [], ["x"]), (4, ["a"], None), (5, None, ["a"]), (6, ["a", "a"], ["a", "a", "a"])]
+    found = M.word_recall(spark.createDataFrame(rows, "id int, a array<string>, b array<string>"), "id", "a", "b")
+    assert {r.id: r.word_recall for r in found.collect()} == {1: pytest.approx(1 / 3), 2: 1.0, 3: 1.0, 4: 0.0, 5: 1.0, 6: 1.0}
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "MapInArrow" in plan  # the former holds every row of a batch until its count is back
