@@ -6,7 +6,7 @@ k-means cells: a query probes its nearest few cells and ranks their rows exactly
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, fields, replace
 
 import numpy as np
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions.rows import fan_out
-from corvane.functions.vectors import cosine, normalize
+from corvane.functions.vectors import TINY, cosine, normalize
 from corvane.operators.topk import best_of, exact_topk, topk_by
 from corvane.schema import ConfigError
 from corvane.session import cut_lineage, shared_folder
@@ -138,17 +138,51 @@ def default_cells(rows: int) -> int:
 
 def fitted_codes(points: np.ndarray, codes: int, rounds: int = 8) -> np.ndarray:
     """k-means of a bounded sample, from points spread over it; a code that nothing is near keeps its place."""
-    book = points[np.linspace(0, len(points) - 1, codes).astype(np.int64)].copy()
+    return _moved(points, points[np.linspace(0, len(points) - 1, codes).astype(np.int64)].copy(), rounds)
+
+
+def fitted_cells(points: np.ndarray, cells: int, rounds: int = 10, seed: int = 7) -> np.ndarray:
+    """k-means of a bounded sample, from points drawn by their distance to those drawn before; as many as differ, at most."""
+    draw = np.random.default_rng(seed)
+    chosen = [int(draw.integers(len(points)))]
+    # differences are squared, not multiplied out, so that a copy of a chosen point is at 0 and is never drawn
+    far = ((points - points[chosen[0]]) ** 2).sum(axis=1)
+    while len(chosen) < cells and far.any():
+        upto = np.cumsum(far)
+        chosen.append(int(np.searchsorted(upto, draw.random() * upto[-1], side="right").clip(0, len(points) - 1)))
+        for first in range(0, len(points), 8192):
+            part = slice(first, first + 8192)
+            np.minimum(far[part], ((points[part] - points[chosen[-1]]) ** 2).sum(axis=1), out=far[part])
+    return _moved(points, points[chosen], rounds)
+
+
+def _moved(points: np.ndarray, book: np.ndarray, rounds: int) -> np.ndarray:
+    """Every entry moved to the mean of the points nearest to it, ``rounds`` times."""
     for _ in range(rounds):
         near = _nearest(points, book)
-        many = np.bincount(near, minlength=codes)
-        sums = np.stack([np.bincount(near, weights=points[:, c], minlength=codes) for c in range(points.shape[1])], axis=1)
+        many = np.bincount(near, minlength=len(book))
+        sums = np.stack([np.bincount(near, weights=points[:, c], minlength=len(book)) for c in range(points.shape[1])], axis=1)
         book[many > 0] = sums[many > 0] / many[many > 0][:, None]
     return book
 
 
+def _units(vectors: pa.Array, dim: int) -> np.ndarray:
+    """:func:`normalize` in bulk."""
+    flat = pc.list_flatten(vectors).to_numpy(zero_copy_only=False).reshape(-1, dim)
+    return flat / np.maximum(np.sqrt((flat * flat).sum(axis=1, keepdims=True)), TINY)
+
+
+DISTANCES = 1 << 21  # distances that are held at once, 16 MB
+
+
 def _nearest(points: np.ndarray, book: np.ndarray) -> np.ndarray:
-    return ((book * book).sum(axis=1) - 2 * points @ book.T).argmin(axis=1)
+    """The nearest entry of each point; the distances of some points at a time."""
+    out, step, own = np.empty(len(points), np.int64), max(1, DISTANCES // max(1, len(book))), (book * book).sum(axis=1)
+    for first in range(0, len(points), step):
+        distance = points[first : first + step] @ (-2 * book.T)
+        distance += own
+        out[first : first + step] = distance.argmin(axis=1)
+    return out
 
 
 class CodeIndex:
@@ -163,19 +197,28 @@ class CodeIndex:
         self.spark, self.path = spark, path.rstrip("/")
 
     def train(self, rows: DataFrame, dim: int, cells: int | None = None) -> CodeIndex:
-        """Fit centroids and books and write them; ``rows`` has a ``vector``."""
+        """Fit centroids and books and write them; ``rows`` has a ``vector``. One task holds the sample, the driver none of it."""
         total = rows.count()
         cells = min(total, cells or default_cells(total))
         share = min(1.0, 1.2 * TRAIN_ROWS / max(1, total))
-        some = cut_lineage(rows.select("vector").sample(share, seed=7).limit(TRAIN_ROWS) if share < 1 else rows.select("vector"))
-        centroids = ivf_centroids(some, cells)
-        units = np.array([r[0] for r in some.select(normalize(F.col("vector"))).collect()]).reshape(-1, dim)
-        rest = units - centroids[_nearest(units, centroids)]
-        codes = min(CODES, len(rest))
-        books = [fitted_codes(rest[:, at : at + PART], codes) for at in range(0, dim, PART)]
-        self.spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{self.path}/centroids")
-        entries = [(p, i, e.tolist()) for p, book in enumerate(books) for i, e in enumerate(book)]
-        self.spark.createDataFrame(entries, "part int, code int, entry array<double>").coalesce(1).write.parquet(f"{self.path}/books")
+        some = rows.select("vector").sample(share, seed=7).limit(TRAIN_ROWS) if share < 1 else rows.select("vector")
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            units = np.concatenate([np.empty((0, dim)), *[_units(b.column(0), dim) for b in batches]])
+            if not len(units):
+                return
+            centroids = fitted_cells(units, cells)
+            rest = units - centroids[_nearest(units, centroids)]
+            books = [fitted_codes(rest[:, at : at + PART], min(CODES, len(rest))) for at in range(0, dim, PART)]
+            for part, table in enumerate([centroids, *books], -1):
+                ends = pa.array(np.arange(len(table) + 1, dtype=np.int32) * table.shape[1])
+                entries = pa.ListArray.from_arrays(ends, pa.array(table.reshape(-1)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(table), part, np.int32)), pa.array(np.arange(len(table), dtype=np.int32)), entries], ["part", "code", "entry"])
+
+        fitted = cut_lineage(some.repartition(1).mapInArrow(fit, "part int, code int, entry array<double>"))
+        centroids = fitted.where("part < 0").select(F.col("code").alias("cell"), F.col("entry").alias("centroid"))
+        centroids.coalesce(1).write.parquet(f"{self.path}/centroids")
+        fitted.where("part >= 0").coalesce(1).write.parquet(f"{self.path}/books")
         return self
 
     def follow(self, last: CodeIndex, gone: DataFrame) -> CodeIndex:
@@ -198,16 +241,16 @@ class CodeIndex:
         shipped = self.spark.sparkContext.broadcast(self._fitted())
 
         @F.arrow_udf("struct<cell: int, code: binary>")
-        def encoded(units: pa.Array) -> pa.Array:
+        def encoded(vectors: pa.Array) -> pa.Array:
             centroids, books = shipped.value
-            flat = pc.list_flatten(units).to_numpy(zero_copy_only=False).reshape(len(units), centroids.shape[1])
-            cell = _nearest(flat, centroids) if len(flat) else np.empty(0, np.int64)
-            rest = flat - centroids[cell]
+            units = _units(vectors, centroids.shape[1])
+            cell = _nearest(units, centroids)
+            rest = units - centroids[cell]
             at = np.cumsum([0, *(b.shape[1] for b in books)])
             code = np.stack([_nearest(rest[:, s : s + b.shape[1]], b) for s, b in zip(at, books, strict=False)], axis=1).astype(np.uint8)
             return pa.StructArray.from_arrays([pa.array(cell.astype(np.int32)), pa.array([c.tobytes() for c in code], pa.binary())], ["cell", "code"])
 
-        filed = rows.select(*keys, encoded(normalize(F.col("vector"))).alias("_found")).select(*keys, "_found.code", "_found.cell")
+        filed = rows.select(*keys, encoded(F.col("vector")).alias("_found")).select(*keys, "_found.code", "_found.cell")
         filed.hint("rebalance", F.col("cell")).write.mode("append").partitionBy("cell").parquet(f"{self.path}/codes")
         return self
 

@@ -1,12 +1,14 @@
 """The vector table's contract, reconcile, and the watch stream."""
 
 import tempfile
+import tracemalloc
 from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corvane.operators import ann
 from corvane.operators.ann import AnnParams
 from corvane.operators.embed import hash_embedder
 from corvane.operators.index import forget, index_sources, reconcile, reindex, remember
@@ -244,3 +246,37 @@ def test_watch_follows_created_changed_and_deleted_files(spark, store):
         query.stop()
     assert reports[0] == (2, 0, 0, 0) and reports[-1][1:] == (0, 1, 1)
     assert {u.rsplit("/", 1)[1] for u in uris(store)} == {"a.md", "b.TXT"}
+
+
+def test_an_index_is_fitted_without_a_row_on_the_driver(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    vectors = [(x.tolist(),) for x in np.repeat(rng.normal(size=(12, 16)), 60, axis=0) + 0.1 * rng.normal(size=(720, 16))]
+    rows = spark.createDataFrame(vectors, "vector array<double>")
+    index = ann.CodeIndex(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"))
+    with monkeypatch.context() as held:
+        for name in ("collect", "toArrow", "toPandas", "toLocalIterator", "take"):
+            held.setattr(type(rows), name, lambda *a, **b: pytest.fail("rows came to the driver"))
+        index.train(rows, 16, 12)
+    centroids, books = index._fitted()
+    assert centroids.shape == (12, 16) and [b.shape for b in books] == [(256, 4)] * 4
+    units = np.array([v for (v,) in vectors])
+    units /= np.linalg.norm(units, axis=1, keepdims=True)
+    near = ann._nearest(units, centroids).reshape(12, 60)
+    assert sum(len(set(family)) == 1 for family in near.tolist()) >= 8  # most families have a cell of their own, whole
+
+
+def test_distances_are_held_for_some_points_at_a_time():
+    points, book = (np.random.default_rng(k).normal(size=(n, 8)) for k, n in ((1, 6000), (2, 2000)))
+    tracemalloc.start()
+    near = ann._nearest(points, book)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 40e6  # all at once: 96 MB, twice
+    some = slice(5900, 6000)
+    assert (near[some] == ((points[some, None] - book) ** 2).sum(axis=2).argmin(axis=1)).all()
+
+
+def test_cells_are_as_many_as_points_differ():
+    points = np.repeat(np.eye(3), 5, axis=0)
+    assert sorted(map(tuple, ann.fitted_cells(points, 9))) == sorted(map(tuple, np.eye(3)))
+    assert ann.fitted_cells(np.zeros((4, 3)), 2).tolist() == [[0.0] * 3]
