@@ -280,3 +280,30 @@ def test_cells_are_as_many_as_points_differ():
     points = np.repeat(np.eye(3), 5, axis=0)
     assert sorted(map(tuple, ann.fitted_cells(points, 9))) == sorted(map(tuple, np.eye(3)))
     assert ann.fitted_cells(np.zeros((4, 3)), 2).tolist() == [[0.0] * 3]
+
+
+def most_rows_on_the_driver(spark, monkeypatch, work):
+    """The most rows that any collect of ``work`` brings to the driver."""
+    found, kind = [0], type(spark.range(0))
+    for name in ("collect", "toArrow", "toPandas"):
+        own = getattr(kind, name)
+        monkeypatch.setattr(kind, name, lambda self, *a, own=own, **b: found.append(len(got := own(self, *a, **b))) or got)
+    work()
+    monkeypatch.undo()
+    return max(found)
+
+
+def many(spark, n, word):
+    return docs(spark, [(f"u{k}", f"{word} {k} of {k % 7} and {k % 11}") for k in range(n)])
+
+
+def test_a_fold_brings_no_vectors_to_the_driver(spark, monkeypatch):
+    table = VectorTable(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"), 4, ann_min_rows=500)
+    table.ensure(Collection("c", "m", 16))
+    index_sources(table, "c", many(spark, 900, "word"), plan())
+    index_sources(table, "c", many(spark, 100, "other"), plan())
+    rows = table.count("c")
+    assert rows == 1800 and most_rows_on_the_driver(spark, monkeypatch, lambda: table.compact("c")) <= 4 * 256  # books
+    index = Path(table.root, table._need("c")[1]["index"]["path"], "codes")
+    assert spark.read.parquet(str(index)).count() == table.count("c") == rows
+
