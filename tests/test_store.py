@@ -307,3 +307,13 @@ def test_a_fold_brings_no_vectors_to_the_driver(spark, monkeypatch):
     index = Path(table.root, table._need("c")[1]["index"]["path"], "codes")
     assert spark.read.parquet(str(index)).count() == table.count("c") == rows
 
+
+def test_a_fold_inside_reconcile_brings_no_vectors_to_the_driver(spark, monkeypatch):
+    table = VectorTable(spark, tempfile.mkdtemp(prefix="run-", dir="/tmp"), 4, fold=FoldPolicy(8), ann_min_rows=500)
+    table.ensure(Collection("c", "m", 16))
+    index_sources(table, "c", many(spark, 900, "word"), plan())
+    listing = many(spark, 20, "other").union(many(spark, 900, "word").where("cast(substr(uri, 2) as int) >= 20"))
+    assert most_rows_on_the_driver(spark, monkeypatch, lambda: reconcile(table, "c", listing, plan())) <= 4 * 256  # books
+    assert table.tail("c") == {"commits": 0, "records": 0} and table._need("c")[1]["index"]
+    assert {r.uri for r in table.rows("c").where("text like 'other%'").collect()} == {f"u{k}" for k in range(20)} and table.count("c") == 1800
+
